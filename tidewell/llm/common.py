@@ -72,3 +72,11 @@ def by_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def ascii_lower(col):
     """Lower-cases A-Z only. Where a text has no other cased letter, lower() gives the same and is many times faster."""
     return F.when(~col.rlike(r"[[\p{IsUppercase}\p{IsTitlecase}]&&[^A-Z]]"), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the ids of `dropped` (one column `id`), which is broadcast only while its counted size is within the bound; null ids stay."""
+    gone = staged(dropped.select("id").distinct(), "dropped")
+    if gone.count() * 16 <= broadcast_bytes:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")

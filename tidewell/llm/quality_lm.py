@@ -15,8 +15,7 @@ with fewer than `min_rows` such texts use the threshold of all. Texts above are
 
 Defined results: null and empty texts get the trusted mean and are accepted; a null
 language is a language of its own; without trusted text all is accepted with a null
-perplexity. Repeated rows are scored row by row; other columns pass through `score` only
-if asked for.
+perplexity. Repeated rows are scored row by row; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -142,40 +141,49 @@ def _arrays(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray
     return got.column("k").to_numpy(), got.column("v").to_numpy()
 
 
-def perplexities(docs: DataFrame, model: Model, columns: list[str], text_col: str = "text", prior: float = 200.0) -> DataFrame:
-    """The named columns, `bits` (of the whole text), `chars` and `perplexity` per character (smoothed)."""
+def perplexities(docs: DataFrame, model: Model, text_col: str = "text", prior: float = 200.0) -> DataFrame:
+    """docs with `lm_bits` (of the whole text), `lm_chars` and `lm_perplexity` per character (smoothed) behind its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # alphabet^order entries at most
-    src = docs.select(docs[text_col].alias("__text"), *[docs[c] for c in columns])
+    at = docs.columns.index(text_col)
+    names = [f"c{i}" for i in range(len(docs.columns))]
 
     def block(b: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        bits, lens = m.bits(b.column(0).to_pylist())
+        bits, lens = m.bits(b.column(at).to_pylist())
         ppl = np.exp2((bits + prior * m.mean) / (lens + prior))
-        return pa.record_batch([*b.columns[1:], pa.array(bits), pa.array(lens), pa.array(ppl)], [*columns, "bits", "chars", "perplexity"])
+        return pa.record_batch([*b.columns, pa.array(bits), pa.array(lens), pa.array(ppl)], [*names, "bits", "chars", "perplexity"])
 
-    kinds = dict(src.dtypes)
-    return by_blocks(src, block, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", bits double, chars long, perplexity double", "__text")
+    schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True)) + ", bits double, chars long, perplexity double"
+    return by_blocks(docs.toDF(*names), block, schema, names[at]).toDF(*docs.columns, "lm_bits", "lm_chars", "lm_perplexity")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 5, prior: float = 200.0, order: int = ORDER, alphabet: int = ALPHABET) -> DataFrame:
-    """Per row of docs: id, lang, perplexity, threshold, accepted. Trusted texts of fold 0 (crc32(id) mod folds) set the thresholds, the others train."""
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 5, prior: float = 200.0, order: int = ORDER, alphabet: int = ALPHABET) -> DataFrame:
+    """docs with lm_perplexity, lm_threshold and lm_accepted. Trusted texts of fold 0 (crc32(id) mod folds) set the thresholds, the others train."""
     src = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     good = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label = 1").select("id").distinct()
     fold = F.crc32(F.col("id").cast("string")) % folds
-    model = train(src.join(good.where(fold != 0), "id", "left_semi"), order=order, alphabet=alphabet)
+    trusted = staged(src.join(good, "id", "left_semi").withColumn("fold", fold), "lm-trusted")
+    model = train(trusted.where("fold <> 0"), order=order, alphabet=alphabet)
     if model is None:
-        return src.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("accepted"))
-    held = src.join(good.where(fold == 0), "id", "left_semi")
-    sums = perplexities(held, model, ["lang"], prior=0.0001).agg(F.sum("bits").alias("b"), F.sum("chars").alias("c")).first()
+        return docs.select("*", F.lit(None).cast("double").alias("lm_perplexity"), F.lit(None).cast("double").alias("lm_threshold"), F.lit(True).alias("lm_accepted"))
+    held = trusted.where("fold = 0").select("lang", "text")
+    sums = perplexities(held, model).agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
     model.mean = sums.b / sums.c if sums.c else math.log2(alphabet) / 2
-    trusted = staged(perplexities(held, model, ["lang"], prior=prior).select("lang", "perplexity"), "lm-held")
-    at = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)) * slack
-    overall = trusted.agg(at.alias("overall")).first().overall
-    limits = trusted.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    scored = perplexities(src, model, ["id", "lang"], prior=prior)
-    joined = scored.join(limits.select(F.col("lang").alias("of"), "own"), F.col("lang").eqNullSafe(F.col("of")), "left")
-    limit = F.coalesce(F.col("own"), F.lit(overall).cast("double"), F.lit(float("inf")))
-    return joined.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", limit.alias("threshold"), (F.col("perplexity") <= limit).alias("accepted"))
+    seen = staged(perplexities(held, model, prior=prior).select("lang", F.col("lm_perplexity").alias("p")), "lm-held")
+    at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000)) * slack
+    overall = seen.agg(at.alias("overall")).first().overall
+    limits = staged(seen.groupBy("lang").agg(at.alias("lm_own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select(F.col("lang").alias("lm_lang"), "lm_own"), "lm-limits")
+    limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
+    scored = perplexities(docs, model, text_col, prior)
+    joined = scored.join(limits, scored[lang_col].eqNullSafe(F.col("lm_lang")), "left")
+    limit = F.coalesce(F.col("lm_own"), F.lit(overall).cast("double"), F.lit(float("inf")))
+    return joined.select(*[scored[c] for c in docs.columns], "lm_perplexity", limit.alias("lm_threshold"), (F.col("lm_perplexity") <= limit).alias("lm_accepted"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """Per row of docs: id, lang, perplexity, threshold, accepted."""
+    out = judged(docs.select(id_col, lang_col, text_col), labels, id_col, text_col, lang_col, **options)
+    return out.select(id_col, lang_col, F.col("lm_perplexity").alias("perplexity"), F.col("lm_threshold").alias("threshold"), F.col("lm_accepted").alias("accepted"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
