@@ -22,8 +22,9 @@ Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set holds
    one link for each two components. Blocks inside one component aren't compared. So no link
    between components is lost, and no pairs of a hot group are emitted.
 
-Verification reads the texts themselves; only candidate sets' texts are fetched (their keys
-are broadcast while counted at no more than `broadcast_bytes`, else joined by sort-merge).
+Candidates are compared by sketches first (counts of 256 parts of the domain bound the
+distance from below, so no link is lost). Verification reads the texts themselves; only
+candidate sets' texts are fetched (their keys are broadcast while counted at no more than `broadcast_bytes`, else joined by sort-merge).
 
 Defined results: null and empty texts, or texts without words, have n_shingles 0 and are
 their own component (component_id is their id); ids that repeat stand for one document in
@@ -278,7 +279,11 @@ def _compare(k: int, num: int, den: int):
 def _clouds(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
     """Links across components among sets that share large groups: rest has sig, set, comp."""
     hubs = rest.groupBy("sig").agg(F.min("set").alias("hub"))
-    cloud = components(rest.join(hubs, "sig").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct())
+    # A set hangs on its least hub, and its other hubs hang on that one: few different links carry what all memberships do.
+    on = staged(rest.join(hubs, "sig").select("set", "hub").distinct(), "join-hubs")
+    least = on.groupBy("set").agg(F.min("hub").alias("least"))
+    chain = on.join(least, "set").select(F.col("hub").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+    cloud = components(least.select(F.col("set").alias("a"), F.col("least").alias("b")).unionByName(chain))
     rows = staged(rest.select("set", "comp").distinct().join(cloud.select(F.col("node").alias("set"), F.col("comp").alias("cloud")), "set"), "join-cloud")
     sizes = rows.groupBy("cloud", "comp").agg(F.count(F.lit(1)).alias("n"))
     pool = sizes.withColumn("own", F.when(F.col("n") >= block, F.col("comp"))).groupBy("cloud", "own").agg(F.ceil(F.sum("n") / block).cast("long").alias("blocks"))
@@ -296,6 +301,28 @@ def _clouds(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, block
     return staged(got, "join-verified")
 
 
+PARTS = 256
+
+
+def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """set, text -> set, n, sketch: elements per part of the domain, a byte each (at most 255)."""
+    for b in in_blocks(batches, "text", 8 << 20):
+        sets = shingle_sets(b.column(1).to_pylist(), k)
+        rows = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
+        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())], ["set", "n", "sketch"])
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """a, b, na, nb, sa, sb -> a, b whose sketches allow a link: sets differ in no fewer elements than their parts' counts do."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16) for i in (4, 5))
+        total = b.column(2).to_numpy() + b.column(3).to_numpy()
+        allowed = total - 2 * -(-scheme.num * total // (scheme.num + scheme.den))
+        yield b.select([0, 1]).filter(pa.array(np.abs(one - two).sum(axis=1) <= allowed))
+
+
 def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = 80, den: int = 100, slack: float = 1.25, cap: int = CAP, block: int = 512, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (rk, id, set, n, spare), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
     scheme = Scheme(num, den, slack)
@@ -316,13 +343,14 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if not small:
         texts = texts.join(needed.select("rk", "set"), "rk").select("set", "text")
     texts = staged(texts, "join-texts")
-    fits = needed.select("set", "n")
+    sketches = staged(texts.mapInArrow(lambda it: _sketched(it, k), "set long, n long, sketch binary"), "join-sketches")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) whose sizes allow a link, compared exactly."""
-        sized = pairs.distinct().join(fits.select(F.col("set").alias("a"), F.col("n").alias("na")), "a").join(fits.select(F.col("set").alias("b"), F.col("n").alias("nb")), "b")
-        sized = sized.where(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
-        full = sized.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
+        """pairs (a, b) whose sizes and sketches allow a link, compared exactly."""
+        at = {c: sketches.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")}
+        sized = pairs.distinct().join(at["b"], "b").join(at["a"], "a").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+        likely = staged(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda it: _near_enough(it, scheme), "a long, b long"), "join-likely")
+        full = likely.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
         return staged(full.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, k), "a long, b long, inter long, both long"), "join-verified")
 
     def linked(done: DataFrame) -> DataFrame:
@@ -334,18 +362,17 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
         return staged(at.join(mixed, "sig", "left_semi"), "join-apart")
 
-    def across(rows: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of one group and of different components that haven't been compared."""
+    def across(rows: DataFrame) -> DataFrame:
+        """Pairs of one group and of different components."""
         one, two = rows.select("sig", F.col("set").alias("a"), F.col("comp").alias("ca")), rows.select("sig", F.col("set").alias("b"), F.col("comp").alias("cb"))
-        pairs = one.join(two, "sig").where("a < b and ca <> cb").select("a", "b").distinct()
-        return pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        return one.join(two, "sig").where("a < b and ca <> cb").select("a", "b")
 
     done = verify(groups.where("set <> lo").select(F.col("lo").alias("a"), F.col("set").alias("b")))
     comps = components(linked(done))
     rest = apart(groups, comps)
     light = rest.where("not heavy")
     if not light.isEmpty():
-        done = done.unionByName(verify(across(light, done)))
+        done = done.unionByName(verify(across(light)))
         comps = components(linked(done))
     # A set with `spare` large groups or more could owe a link to those alone.
     owing = groups.where("heavy").groupBy("set").agg(F.count(F.lit(1)).alias("large")).join(needed.select("set", "spare"), "set").where("large >= spare").select("set")
