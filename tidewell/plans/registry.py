@@ -1,6 +1,219 @@
-"""All driver queries of the reference's own operators, by name, and their SQL."""
+"""Driver queries of the instruction-curation operators, by name, and their SQL.
+
+The tables hold no tags, so the queries derive stand-ins that SQL can compute as well:
+quality = one of five values by doc_id % 5, reward = doc_id * 37 % 61 - 30, representative =
+least doc_id of equal texts. They are fixtures, not judgements.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import tags, text
+from ..operators import curate, models, neighbours, preference
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+_QUALITY = ["very poor", "poor", "average", "good", "excellent"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
+    least = docs.groupBy("text").agg(F.min("doc_id").alias("rep"))
+    return docs.join(least, "text").select(
+        F.col("doc_id").alias("row_idx"), F.col("doc_id").alias("conversation_id"), F.col("text").alias("instruction"), F.col("text").alias("response"), "source",
+        F.get(F.array(*map(F.lit, _QUALITY)), (F.col("doc_id") % 5).cast("int")).alias("input_quality"), (F.col("doc_id") * 37 % 61 - 30).cast("double").alias("instruct_reward"), F.col("rep").alias("min_similar_conversation_id"),
+    )
+
+
+_TAGGED = """(SELECT doc_id, text, source, ['very poor','poor','average','good','excellent'][CAST(doc_id % 5 AS INT) + 1] AS quality,
+  CAST(doc_id * 37 % 61 - 30 AS DOUBLE) AS reward, min(doc_id) OVER (PARTITION BY text) AS rep FROM documents)"""
+_GOOD = f"SELECT * FROM {_TAGGED} WHERE quality IN ('good','excellent') AND reward > -10 AND NOT ends_with(text, ':') AND (rep IS NULL OR rep = doc_id)"
+
+
+@query("f5_high_quality", f"SELECT doc_id, length(text) AS response_length FROM ({_GOOD}) ORDER BY response_length DESC, doc_id LIMIT 300000")
+def f5_high_quality(spark, sf_dir):
+    return curate.longest(curate.high_quality(_tagged(spark, sf_dir))).select(F.col("row_idx").alias("doc_id"), F.col("response_length").cast("long").alias("response_length"))
+
+
+@query("o3_top_k", "SELECT doc_id, length(text) AS response_length FROM documents ORDER BY length(text) DESC, doc_id LIMIT 100")
+def o3_top_k(spark, sf_dir):
+    return curate.longest(_docs(spark, sf_dir), 100, "text", "doc_id").select("doc_id", F.col("response_length").cast("long").alias("response_length"))
+
+
+@query("r6_whitelist", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Math' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'Math' WHEN doc_id % 3 = 1 THEN 'Other' END AS fixed FROM documents")
+def r6_whitelist(spark, sf_dir):
+    raw = F.when(F.col("doc_id") % 3 == 0, "Math").when(F.col("doc_id") % 3 == 1, "Others").otherwise("math")
+    return _docs(spark, sf_dir).select("doc_id", tags.whitelist(raw, tags.CATEGORY).alias("category"), tags.whitelist(raw, tags.CATEGORY, True).alias("fixed"))
+
+
+_NUMBERED = "SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS file_idx, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS id FROM documents"
+
+
+@query("r5_global_ids", f"WITH d AS ({_NUMBERED}), c AS (SELECT file_idx, count(*) AS n FROM d GROUP BY file_idx) SELECT doc_id, 'part_' || (id + coalesce((SELECT sum(n) FROM c WHERE c.file_idx < d.file_idx), 0)) AS conversation_id FROM d")
+def r5_global_ids(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = _docs(spark, sf_dir).select("doc_id", "source")
+    rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    return curate.global_ids(rows, "part", "source", "id").select("doc_id", "conversation_id")
+
+
+@query("r3_messages", "SELECT doc_id, 'human' AS first_from, text AS first_value, 'gpt' AS second_from, source AS second_value FROM documents")
+def r3_messages(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", curate.messages(F.col("text"), F.col("source")).alias("m"))
+    return rows.selectExpr("doc_id", "m[0].`from` as first_from", "m[0].value as first_value", "m[1].`from` as second_from", "m[1].value as second_value")
+
+
+@query("o4_shuffle", "SELECT doc_id FROM documents")
+def o4_shuffle(spark, sf_dir):
+    return curate.shuffled(_docs(spark, sf_dir).select("doc_id"), "doc_id")
+
+
+@query("o6_split", "SELECT count(*) AS n, CAST(ceil(0.02 * count(*)) AS BIGINT) AS test_rows FROM documents")
+def o6_split(spark, sf_dir):
+    return preference.split(_docs(spark, sf_dir).select("doc_id"), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test_rows"))
+
+
+def _scored(spark, sf_dir):
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
+    return said.select("conv_id", "turn", "text", ((F.col("turn") * 31 + F.col("conv_id") * 17) % 7).cast("double").alias("score"))
+
+
+_SCORED = "(SELECT conv_id, turn, text, CAST((turn * 31 + conv_id * 17) % 7 AS DOUBLE) AS score FROM conversations WHERE role = 'assistant')"
+
+
+@query("g1_best_worst", f"SELECT conv_id, (array_agg(text ORDER BY score DESC, turn))[1] AS chosen, (array_agg(text ORDER BY score, turn))[1] AS rejected, count(*) AS n FROM {_SCORED} GROUP BY conv_id")
+def g1_best_worst(spark, sf_dir):
+    lists = preference.collected(_scored(spark, sf_dir), "conv_id", "turn", "text", "score").withColumn("instruction", F.lit("q"))
+    return preference.pairs(lists).selectExpr("conv_id", "chosen[1].content as chosen", "rejected[1].content as rejected", "cast(size(responses) as long) as n")
+
+
+_TURN = "max(CASE WHEN role = '{r}' AND k = {k} THEN text END) AS {n}"
+_TURNS = ", ".join(_TURN.format(r=r, k=k, n=n if k == 1 else f"{n}_{k}") for k in (1, 2, 3) for r, n in (("user", "instruction"), ("assistant", "response")))
+
+
+@query("mt_widen_turns", f"SELECT conv_id, {_TURNS} FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations WHERE role IN ('user', 'assistant')) WHERE k <= 3 GROUP BY conv_id")
+def mt_widen_turns(spark, sf_dir):
+    return curate.widen_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 3)
+
+
+_KNN = "WITH p AS (SELECT a.vec_id, b.vec_id AS nid, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nid) AS rk FROM p)"
+
+
+@query("j1_nearest", _KNN + " SELECT vec_id, nid, rk, round(d, 4) AS d FROM r WHERE rk <= 5 AND nid <> vec_id")
+def j1_nearest(spark, sf_dir):
+    found = neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5).where("nid <> id")
+    return found.select(F.col("id").alias("vec_id"), "nid", F.col("rank").cast("long").alias("rk"), F.round("d", 4).alias("d"))
+
+
+@query("j4_near_duplicates", _KNN + " SELECT vec_id, round(min(d) FILTER (nid <> vec_id), 4) AS min_neighbor_distance, count(*) FILTER (nid <> vec_id AND d < 1.2) AS repeat_count, least(vec_id, min(nid) FILTER (nid <> vec_id AND d < 1.2)) * CASE WHEN count(*) FILTER (nid <> vec_id AND d < 1.2) > 0 THEN 1 END AS representative FROM r WHERE rk <= 500 GROUP BY vec_id")
+def j4_near_duplicates(spark, sf_dir):
+    out = neighbours.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 1.2)
+    return out.withColumn("min_neighbor_distance", F.round("min_neighbor_distance", 4))
+
+
+
+def _derived():
+    return F.concat(F.when(F.col("doc_id") % 4 == 0, "Task: ").when(F.col("doc_id") % 4 == 1, "1. ").when(F.col("doc_id") % 4 == 2, "**Question** ").otherwise(""), F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, "?").when(F.col("doc_id") % 3 == 1, ":\nrest").otherwise(" The answer is: 4"))
+_DERIVED_SQL = "concat(CASE doc_id % 4 WHEN 0 THEN 'Task: ' WHEN 1 THEN '1. ' WHEN 2 THEN '**Question** ' ELSE '' END, substr(text, 1, 200), CASE doc_id % 3 WHEN 0 THEN '?' WHEN 1 THEN chr(58) || chr(10) || 'rest' ELSE ' The answer is: 4' END)"
+
+
+@query("c2_remove_prefix", f"SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 4 = 1 THEN substr(t, 4) WHEN doc_id % 4 = 0 THEN substr(t, 7) WHEN doc_id % 4 = 2 THEN substr(t, 14) ELSE t END, '^\\s+|\\s+$', '', 'g')) AS instruction FROM (SELECT doc_id, {_DERIVED_SQL} AS t FROM documents)")
+def c2_remove_prefix(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.remove_prefix(_derived()).alias("instruction"))
+
+
+def _sanitized(family: str):
+    def run(spark, sf_dir):
+        return _docs(spark, sf_dir).select("doc_id", text.sanitize(_derived(), family).alias("s")).select("doc_id", "s.instruction", "s.class")
+
+    return run
+
+
+query("c5_sanitize_gemma")(_sanitized("gemma-2"))
+query("c6_sanitize_llama")(_sanitized("llama-3"))
+query("c7_sanitize_other", f"SELECT doc_id, {_DERIVED_SQL} AS instruction, CAST(0 AS DOUBLE) AS class FROM documents")(_sanitized("other"))
+
+
+@query("c8_stop_tokens", "SELECT doc_id, CASE WHEN contains(text, '. ') THEN split_part(text, '. ', 1) WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS cut FROM documents")
+def c8_stop_tokens(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.cut_at_stop(F.col("text"), ["\n", ". "]).alias("cut"))
+
+
+@query("c4_next_newline", "SELECT doc_id, CAST(instr(text, chr(10)) - 1 AS BIGINT) AS at, length(text) AS input_length FROM documents")
+def c4_next_newline(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.next_newline(F.col("text")).cast("long").alias("at"), F.length("text").cast("long").alias("input_length"))
+
+
+@query("c10_repair_tags", "SELECT doc_id, regexp_extract('{' || chr(10) || t, '^.*\\}', 0, 's') AS tags, '{' || t || '}' AS api FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '\"a\": 1} tail' ELSE text END AS t FROM documents)")
+def c10_repair_tags(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 2 == 0, '"a": 1} tail').otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", text.repair_tags(t).alias("tags"), text.repair_tags_api(t).alias("api"))
+
+
+@query("c12_parse_tags")
+def c12_parse_tags(spark, sf_dir):
+    made = F.concat(F.lit('{"intent": "i", "knowledge": null, "difficulty": "'), F.get(F.array(*map(F.lit, tags.DIFFICULTY)), (F.col("doc_id") % 5).cast("int")), F.when(F.col("doc_id") % 7 == 0, '"} x').otherwise('"}'))
+    return _docs(spark, sf_dir).select("doc_id", tags.parse_tags(made, "difficulty").alias("t")).select("doc_id", "t.*")
+
+
+@query("c13_prompts")
+def c13_prompts(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", *[F.length(tags.prompt(m, F.col("text"))).alias(m) for m in tags.MISSIONS])
+
+
+@query("c18_uuid5")
+def c18_uuid5(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.uuid5(F.col("text")).alias("uuid"))
+
+
+@query("s10_resume", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def s10_resume(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id")
+    return curate.resume(docs, docs.where("doc_id % 3 = 0"), "doc_id")
+
+
+@query("s11_debug_limit", "SELECT doc_id FROM documents WHERE doc_id < 100")
+def s11_debug_limit(spark, sf_dir):
+    return _docs(spark, sf_dir).where("doc_id < 100").select("doc_id")
+
+
+@query("g6_counts", "SELECT source, count(*) AS n, (count(*) + 127) // 128 AS batches FROM documents GROUP BY source")
+def g6_counts(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("batches", F.expr("(n + 127) div 128"))
+
+
+@query("m1_generate")
+def m1_generate(spark, sf_dir):
+    return models.instructions(spark, models.StubGenerator, "<user>", 100, 3)
+
+
+@query("m2_respond")
+def m2_respond(spark, sf_dir):
+    return models.generate(_docs(spark, sf_dir).select("doc_id", "text"), models.StubGenerator, "text", "doc_id", "response").select("doc_id", "response")
+
+
+@query("m5_samples")
+def m5_samples(spark, sf_dir):
+    return models.samples(_docs(spark, sf_dir).select("doc_id", "text"), models.StubGenerator, 4, "text", "doc_id").select("doc_id", "responses")
+
+
+@query("m11_language")
+def m11_language(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", "lang", models.language(F.col("text")).alias("language"))
