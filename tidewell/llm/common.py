@@ -71,7 +71,8 @@ def by_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 
 def ascii_lower(col):
     """Lower-cases A-Z only. Where a text has no other cased letter, lower() gives the same and is many times faster."""
-    return F.when(~col.rlike(r"[[\p{IsUppercase}\p{IsTitlecase}]&&[^A-Z]]"), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+    # \p{Cn}: letters newer than the pattern engine's tables, which lower() may know.
+    return F.when(~col.rlike(r"[[\p{IsUppercase}\p{IsTitlecase}\p{Cn}]&&[^A-Z]]"), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", broadcast_bytes: int = 32 << 20) -> DataFrame:

@@ -66,9 +66,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.sha2("norm", 256)
     keyed = norm.withColumn("digest", F.unhex(sha) if digest is None else digest.cast("string").cast("binary"))
     path = staged_path(spark, "dedup-slim")
-    slim = keyed.select("digest", "id", F.struct("file", F.octet_length("norm").alias("n_bytes")).alias("locator"))
-    if digest is not None:
-        slim = slim.withColumn("sha", F.unhex(sha))
+    slim = keyed.select("digest", "id", F.struct("file", F.octet_length("norm").alias("n_bytes")).alias("locator"), *([] if digest is None else [F.unhex(sha).alias("sha")]))
     slim.write.parquet(path)
     slim = spark.read.schema(slim.schema).parquet(path)
 

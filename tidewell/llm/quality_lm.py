@@ -49,7 +49,7 @@ def _codes(texts: list[str | None], lookup: np.ndarray, order: int, alphabet: in
 
 
 class Model:
-    """codes/probs per order (1..n), contexts' back-off weights per order (2..n), the characters' classes, and the trusted mean."""
+    """codes/probs per order (1..n), contexts' back-off weights per order, the characters' classes, and the trusted mean."""
 
     def __init__(self, order: int, alphabet: int, chars: list[int], probs: list, gammas: list, mean: float = 0.0):
         self.order, self.alphabet, self.chars, self.probs, self.gammas, self.mean = order, alphabet, chars, probs, gammas, mean
@@ -69,9 +69,11 @@ class Model:
         if self._table is None:
             a, p = self.alphabet, np.full(self.alphabet, 1 / self.alphabet, np.float32)
             for n in range(1, self.order + 1):
-                if n > 1:
-                    gamma = np.ones(a ** (n - 1), np.float32)
-                    gamma[self.gammas[n - 2][0]] = self.gammas[n - 2][1]
+                gamma = np.ones(a ** (n - 1), np.float32)
+                gamma[self.gammas[n - 1][0]] = self.gammas[n - 1][1]
+                if n == 1:
+                    p = gamma * p
+                else:
                     p = (gamma.reshape(a, -1, 1) * p.reshape(1, -1, a)).reshape(-1) if n > 2 else (gamma[:, None] * p[None, :]).reshape(-1)
                 p[self.probs[n - 1][0]] = self.probs[n - 1][1]
             self._table = -np.log2(np.maximum(p, np.float32(1e-12)))
@@ -130,8 +132,7 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, alphab
             p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")
         lower = staged(joined.select("code", p.alias("p")), "lm-probs")
         probs.append(_arrays(lower, "code", "p"))
-        if n > 1:
-            gammas.append(_arrays(contexts, "context", "gamma"))
+        gammas.append(_arrays(contexts, "context", "gamma"))
     return Model(order, alphabet, chars, probs, gammas)
 
 

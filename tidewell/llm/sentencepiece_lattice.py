@@ -10,8 +10,8 @@
    for which the path of the best summed score (Viterbi) is not the model's encoding; so
    the fold replays the model's merges instead: in each step the applicable edge of the
    best score, the leftmost on ties, removes the one boundary inside it. Boundaries are bits
-   of a long. For a unigram model pass fold='viterbi', which keeps the best sum.
-   Characters without a piece become the ids of their bytes.
+   of a long, and an edge is one long. Characters without a piece become the ids of their
+   bytes.
 4. The encoded chunks return to the documents: as a broadcast table while its counted size
    is at most `broadcast_bytes`; beyond that by an equi-join on chunks, regrouped by row.
 
@@ -158,54 +158,66 @@ def chunk_table(src: DataFrame, shared) -> DataFrame:
         found = [joined[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)]
         return pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["key", "chunk"])
 
-    return by_blocks(src, block, "key long, chunk string").distinct()
+    return by_blocks(src, block, "key long, chunk string", limit=2 << 20).distinct()
 
 
-_EDGE = "struct(-score as cost, s, e, id, shiftleft(1L, s) | shiftleft(1L, e) as ends, (shiftleft(1L, e) - shiftleft(2L, s)) as inside)"
+#: One edge in a long: rank of its score, start, end, piece id; so edges sort by score, then from the left.
+_EDGE = "shiftleft(cast(rank as bigint), 32) | shiftleft(cast(s as bigint), 26) | shiftleft(cast(e as bigint), 20) | cast(id as bigint)"
+_S, _E, _ID = "cast(shiftright({x}, 26) & 63L as int)", "cast(shiftright({x}, 20) & 63L as int)", "cast({x} & 1048575L as int)"
+_INSIDE = f"(shiftleft(1L, {_E}) - shiftleft(2L, {_S}))".format(x="x")
+_ENDS = f"(shiftleft(1L, {_S}) | shiftleft(1L, {_E}))".format(x="x")
+_SPAN = f"struct(x as edge, {_ENDS} as ends, {_INSIDE} as inside)"
 _MERGES = """
 aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1L, (st, i) -> st & ~coalesce(
-  array_min(filter(edges, x -> x.e - x.s > 1 and (st & x.ends) = x.ends and bit_count(st & x.inside) = 1)).inside, 0L))
-"""
-#: Best sum per boundary: edges in order of their end; `best` holds (sum, start) of each boundary reached so far.
-_VITERBI = """
-aggregate(sequence(1, n), array(struct(cast(0.0 as double) as sum, -1 as s)), (best, i) -> concat(best, array(coalesce(
-  array_max(transform(filter(edges, x -> x.e = i), x -> struct(best[x.s].sum - x.cost as sum, x.s as s))),
-  struct(best[i - 1].sum - 1e6D as sum, i - 1 as s)))),
-  best -> aggregate(sequence(1, n), struct(n as at, shiftleft(1L, n) as bits), (b, i) -> if(b.at <= 0, b, struct(best[b.at].s as at, b.bits | shiftleft(1L, best[b.at].s) as bits)), b -> b.bits))
+  array_min(filter(spans, x -> (st & x.ends) = x.ends and bit_count(st & x.inside) = 1)).inside, 0L))
 """
+#: Chunks a task groups at a time, and the number beyond which its hash table gives way to a sort.
+CHUNKS_A_TASK, HASHED = 16_000, 64_000
 
 
-def lattice_ids(table: DataFrame, pieces: Pieces, fold: str = "merges") -> DataFrame:
-    """key and ids of every chunk of the table (key, chunk)."""
+def lattice_ids(table: DataFrame, pieces: Pieces) -> DataFrame:
+    """key and ids of every chunk of the table (key, chunk), staged."""
     spark = table.sparkSession
-    rows = [(p, i, float(pieces.scores[i])) for p, i in pieces.index.items()]
-    vocabulary = F.broadcast(spark.createDataFrame(rows, "piece string, id int, score double"))
-    short = table.where(F.length("chunk") <= LONGEST).withColumn("n", F.length("chunk"))
+    ranks = {x: i for i, x in enumerate(sorted({-pieces.scores[i] for i in pieces.index.values()}))}
+    rows = [(p, i, ranks[-pieces.scores[i]]) for p, i in pieces.index.items()]
+    vocabulary = F.broadcast(spark.createDataFrame(rows, "piece string, id int, rank int"))
+    short = table.where(F.length("chunk") <= LONGEST)
+    parts = max(1, -(-short.count() // CHUNKS_A_TASK))
+    short = short.repartition(parts, "key").withColumn("n", F.length("chunk"))
     starts = short.selectExpr("key", "chunk", "n", "explode(sequence(0, n - 1)) as s")
     spans = starts.selectExpr("key", "chunk", "n", "s", f"explode(sequence(s + 1, least(n, s + {pieces.longest}))) as e").selectExpr("key", "chunk", "n", "s", "e", "substring(chunk, s + 1, e - s) as piece")
     # Single characters always stay as rows, so that a chunk without any piece keeps its row; their edge is null then.
+    # Rows are dealt by key already, so the grouping needs no further exchange.
     edges = spans.join(vocabulary, "piece", "left").where("id is not null or e = s + 1").groupBy("key", "chunk").agg(F.expr(f"collect_list(if(id is null, null, {_EDGE}))").alias("edges"))
-    folded = edges.selectExpr("key", "chunk", "length(chunk) as n", "edges").selectExpr("key", "chunk", "n", "edges", f"{_MERGES if fold == 'merges' else _VITERBI} as bits")
+    wide = f"{_E} - {_S} > 1".format(x="x")
+    folded = edges.selectExpr("key", "chunk", "length(chunk) as n", "edges", f"transform(filter(edges, x -> {wide}), x -> {_SPAN}) as spans").selectExpr("key", "chunk", "n", "edges", f"{_MERGES} as bits")
     cuts = folded.selectExpr("key", "chunk", "edges", "filter(sequence(0, n), i -> (bits & shiftleft(1L, i)) <> 0) as cuts")
     as_bytes = f"transform(sequence(0, octet_length(substring(chunk, cuts[i] + 1, 1)) - 1), j -> cast(conv(substring(hex(encode(substring(chunk, cuts[i] + 1, 1), 'UTF-8')), 2 * j + 1, 2), 16, 10) as int) + {pieces.byte_ids[0] if pieces.byte_ids else 0})"
-    ids = cuts.selectExpr("key", f"flatten(transform(sequence(0, size(cuts) - 2), i -> if(exists(edges, x -> x.s = cuts[i] and x.e = cuts[i + 1]), transform(filter(edges, x -> x.s = cuts[i] and x.e = cuts[i + 1]), x -> x.id), {as_bytes}))) as ids")
+    on = f"{_S} = cuts[i] and {_E} = cuts[i + 1]".format(x="x")
+    ids = cuts.selectExpr("key", f"flatten(transform(sequence(0, size(cuts) - 2), i -> if(exists(edges, x -> {on}), transform(filter(edges, x -> {on}), x -> {_ID.format(x='x')}), {as_bytes}))) as ids")
     shared = spark.sparkContext.broadcast(pieces)
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_blocks(batches, "chunk", 1 << 20):
             yield pa.record_batch([b.column(0), pa.array([shared.value.merge(c) for c in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["key", "ids"])
 
-    return ids.unionByName(table.where(F.length("chunk") > LONGEST).select("key", "chunk").mapInArrow(long, "key long, ids array<int>"))
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(HASHED))
+    try:
+        return staged(ids.unionByName(table.where(F.length("chunk") > LONGEST).select("key", "chunk").mapInArrow(long, "key long, ids array<int>")), "pieces-ids")
+    finally:
+        spark.conf.set(name, before)
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", fold: str = "merges", broadcast_bytes: int = 256 << 20) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Per row of docs: id, ids and round_trip (the ids decode to the text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = dict(src.dtypes)["id"]
     table = staged(chunk_table(src.select("text"), shared), "pieces-chunks")
-    encoded = staged(lattice_ids(table, pieces, fold), "pieces-ids")
+    encoded = lattice_ids(table, pieces)
     size = encoded.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
     if size.n == size.keys and size.n * 16 + size.ids * 4 <= broadcast_bytes:
         got = encoded.orderBy("key").toArrow()
@@ -227,7 +239,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             same = [shared.value.decode(rows[s:e]) == (t or "").replace(SPACE, " ") for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             return pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)], ["id", "ids", "round_trip"])
 
-        return by_blocks(src, block, f"id {kind}, ids array<int>, round_trip boolean", limit=4 << 20).withColumnRenamed("id", id_col)
+        return by_blocks(src, block, f"id {kind}, ids array<int>, round_trip boolean", limit=1 << 20).withColumnRenamed("id", id_col)
 
     # Beyond the bound: chunks as rows, joined to their ids and put together again by row.
     keyed = staged(src.withColumn("row", F.monotonically_increasing_id()), "pieces-rows")
@@ -241,7 +253,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     parts = by_blocks(keyed.select("row", "text"), rows, "row long, no long, chunk string")
     whole = staged(table.withColumn("at", F.monotonically_increasing_id()), "pieces-named")
-    again = lattice_ids(whole.select(F.col("at").alias("key"), "chunk"), pieces, fold)
+    again = lattice_ids(whole.select(F.col("at").alias("key"), "chunk"), pieces)
     named = staged(again.join(whole.select(F.col("at").alias("key"), "chunk"), "key").select("chunk", "ids"), "pieces-by-chunk")
     lists = parts.join(named, "chunk").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     out = keyed.join(lists, "row", "left").select("id", "text", F.coalesce(F.flatten(F.col("parts.ids")), F.array().cast("array<int>")).alias("ids"))
