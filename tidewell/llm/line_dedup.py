@@ -32,29 +32,29 @@ def _masked(line):
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
-def line_templates(distinct: DataFrame, depth: int, dominance: float, similarity: float) -> DataFrame:
-    """From the distinct masked lines (h, masked): h and tid of those that belong to a generalised template."""
-    toks = distinct.select("h", F.split("masked", r"\s+").alias("t")).where(F.size("t") > depth)
-    toks = toks.withColumn("leaf", F.xxhash64(F.size("t"), F.slice("t", 1, depth)))
-    wide = toks.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    rows = toks.join(wide.select("leaf"), "leaf", "left_semi")
+def line_templates(rows: DataFrame, dominance: float, similarity: float) -> DataFrame:
+    """From distinct masked lines of leaves (h, leaf, t, the tokens): h and tid of those that belong to a generalised template."""
     cells = rows.select("leaf", F.posexplode("t").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n"))
     best = cells.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    fixed = best.where(F.col("top.n") >= dominance * F.col("all"))
-    size = best.groupBy("leaf").agg(F.count(F.lit(1)).alias("width"))
-    leaves = fixed.groupBy("leaf").agg(F.collect_list(F.struct("pos", F.col("top.token").alias("token"))).alias("fixed")).join(size, "leaf").where(F.size("fixed") >= similarity * F.col("width"))
+    constant = F.when(F.col("top.n") >= dominance * F.col("all"), F.struct("pos", F.col("top.token").alias("token")))
+    leaves = best.groupBy("leaf").agg(F.collect_list(constant).alias("fixed"), F.count(F.lit(1)).alias("width")).where(F.size("fixed") >= similarity * F.col("width"))
     member = F.forall("fixed", lambda c: F.get("t", c["pos"]) == c["token"])
     return rows.join(leaves, "leaf").where(member).select("h", F.xxhash64(F.lit("leaf"), "leaf").alias("tid"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, depth: int = 3, dominance: float = 0.6, similarity: float = 0.7) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, depth: int = 3, dominance: float = 0.6, similarity: float = 0.7, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: id, n_lines, n_dropped and the text without its recurring lines."""
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     src = src.withColumn("rk", F.xxhash64("id", "text"))
     lines = src.select("rk", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("rk", "no", _masked("line").alias("masked")).where("masked <> ''")
-    slim = staged(lines.select("rk", "no", F.xxhash64("masked").alias("h")), "lines")
-    distinct = staged(lines.select(F.xxhash64("masked").alias("h"), "masked").distinct(), "lines-distinct")
-    members = staged(line_templates(distinct, depth, dominance, similarity), "lines-members")
+    lines = lines.withColumn("t", F.split("masked", r"\s+")).select("rk", "no", F.xxhash64("masked").alias("h"), "t", F.when(F.size("t") > depth, F.xxhash64(F.size("t"), F.slice("t", 1, depth))).alias("leaf"))
+    slim = staged(lines.select("rk", "no", "h", "leaf"), "lines")
+    # Only a leaf with min_docs lines, two of them different, can hold a recurring template that isn't one line.
+    wide = slim.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("x"), F.max("h").alias("y")).where((F.col("n") >= min_docs) & (F.col("x") <> F.col("y")))
+    wide = staged(wide.select("leaf"), "lines-leaves")
+    wide = F.broadcast(wide) if wide.count() * 16 <= broadcast_bytes else wide
+    distinct = staged(lines.select("h", "leaf", "t").join(wide, "leaf", "left_semi").distinct(), "lines-distinct")
+    members = staged(line_templates(distinct, dominance, similarity), "lines-members")
     known = slim.join(members, "h", "left").select("rk", "no", F.coalesce("tid", "h").alias("tid"))
     known = staged(known, "lines-templates")
     recurring = known.select("tid", "rk").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
