@@ -50,7 +50,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lines.withColumn("t", F.split("masked", r"\s+")).select("rk", "no", F.xxhash64("masked").alias("h"), "t", F.when(F.size("t") > depth, F.xxhash64(F.size("t"), F.slice("t", 1, depth))).alias("leaf"))
     slim = staged(lines.select("rk", "no", "h", "leaf"), "lines")
     # Only a leaf with min_docs lines, two of them different, can hold a recurring template that isn't one line.
-    wide = slim.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("x"), F.max("h").alias("y")).where((F.col("n") >= min_docs) & (F.col("x") <> F.col("y")))
+    wide = slim.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("x"), F.max("h").alias("y")).where((F.col("n") >= min_docs) & (F.col("x") != F.col("y")))
     wide = staged(wide.select("leaf"), "lines-leaves")
     wide = F.broadcast(wide) if wide.count() * 16 <= broadcast_bytes else wide
     distinct = staged(lines.select("h", "leaf", "t").join(wide, "leaf", "left_semi").distinct(), "lines-distinct")
