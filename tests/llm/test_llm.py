@@ -91,8 +91,15 @@ def test_quality_model_sums_to_one_and_separates(spark):
     d = docs(spark, good + bad + ODD[:3])
     labels = spark.createDataFrame([(i, 1) for i in range(150)] + [(150, 0), (None, 1)], "doc_id long, quality int")
     model = quality_lm.train(d.where("doc_id < 150"))
-    p = 2.0 ** -model.table().reshape(-1, model.alphabet)
-    assert abs(p.sum(1) - 1).max() < 1e-2
+    rows = model.rows.orderBy("key").toArrow()
+    known, values = rows.column("key").to_numpy(), rows.column("value").to_numpy()
+    seen = sorted(set("".join(good)))
+    assert model.chars == len(seen) + 1
+    for context in ("", "the ", "cat sat", "zzzz", "\u65e5"):
+        total = [2.0 ** -(lambda b: b[1] - b[0])(quality_lm._bits([context, context + c], model.order, model.floor, known, values)[0]) for c in [*seen, "\u8a9e"]]
+        assert abs(sum(total) - 1) < 1e-5, context
+    one, two = ({r.doc_id: r.perplexity for r in quality_lm.classify(d, labels, broadcast_bytes=n).collect()} for n in (1 << 27, 0))
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-9 for i in one)
     got = {r.doc_id: r.accepted for r in quality_lm.classify(d, labels).collect()}
     assert all(got[i] for i in range(150)) and not any(got[i] for i in range(150, 160)) and got[160] and got[161]
     assert all(r.accepted for r in quality_lm.classify(d, labels.where("quality > 1")).collect())

@@ -1,14 +1,19 @@
 """Quality by an interpolated modified Kneser-Ney n-gram model of characters.
 
 Training: trusted texts (label 1, all of them, none sampled) give n-gram counts, folded
-per block and summed by shards of the n-gram code. Discounts come from counts of counts;
-the probabilities of each order come from joins of its counts with the sums of their
-contexts and with the next lower order. Characters are numbered by frequency in the
-trusted text; `alphabet` (64) bounds a model of order 4 to 64^4 entries whatever the
-corpus, so the finished model is data of a proven bound and every scoring task holds it as
-one dense table.
-
-Scoring: a text's perplexity per character, smoothed towards the trusted mean by `prior`
+per block and summed by shards of the n-gram. Discounts come from counts of counts; the
+probabilities of each order come from joins of its counts with the sums of their contexts
+and with the next lower order. Neither the characters nor the n-grams are limited: the model
+grows with its input. It is a staged table of 64-bit keys and values: the probability of each n-gram
+seen, of all orders, and the back-off weight of each context.
+
+Scoring: texts are read in blocks, and a block asks for the keys of its distinct n-grams
+only. While the model's counted size is within `broadcast_bytes` each task looks them up in
+a sorted copy. Beyond it the blocks' keys are joined with the model's shards, and the values
+found return to their block, so that no task holds more than one block and its answers. Both
+ways give the same figures.
+
+A text's perplexity is per character, smoothed towards the trusted mean by `prior`
 characters so that short texts aren't judged by a few letters. The threshold of a language
 is the `quantile` of its trusted texts outside the training folds times `slack`; languages
 with fewer than `min_rows` such texts use the threshold of all. Texts above are rejected.
@@ -20,162 +25,248 @@ perplexity. Repeated rows are scored row by row; other columns pass through unre
 
 from __future__ import annotations
 
+import dataclasses
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_blocks, documents, staged, table
+from .common import by_blocks, documents, in_blocks, staged, table
 
-ORDER, ALPHABET = 4, 64
+ORDER, BLOCK, BROADCAST_BYTES = 5, 4 << 20, 128 << 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _codes(texts: list[str | None], lookup: np.ndarray, order: int, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes of all texts, one per character, and the texts' lengths; contexts before a text are the boundary class 0."""
+def _times(n: int, power: int = 1) -> np.uint64:
+    """n times a power of the step, modulo 2^64."""
+    return np.uint64(n * int(_STEP) ** power % 2**64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def _key(code: np.ndarray, order: int, context: bool) -> np.ndarray:
+    """Keys in the model of n-grams, or of contexts, by their rolling codes."""
+    return _mix(code + _times(2 * order + context)).view(np.int64)
+
+
+def _points(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, order - 1 zeros before each; the positions of the texts' characters; and the texts' lengths."""
     pad = "\x00" * (order - 1)
-    joined = np.frombuffer((pad + pad.join(t or "" for t in texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = lookup[np.minimum(joined, len(lookup) - 1)].astype(np.uint32)
-    code = cls.copy()
-    for i in range(1, order):
-        code[i:] += cls[:-i] * np.uint32(alphabet**i)
-    lens = np.array([len(t or "") for t in texts], np.int64)
-    ends = np.cumsum(lens + order - 1)
-    keep = np.zeros(len(joined) + 1, np.int64)
-    np.add.at(keep, ends - lens, 1)
-    np.add.at(keep, ends, -1)
-    return code[np.cumsum(keep)[:-1] > 0], lens
+    texts = [t.replace("\x00", "�") if t else "" for t in texts]
+    joined = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lens = np.array([len(t) for t in texts], np.int64)
+    heads = np.cumsum(lens + order - 1) - lens
+    return joined, np.arange(lens.sum()) + np.repeat(heads - (np.cumsum(lens) - lens), lens), lens
 
 
+def _distinct(joined: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """One position of each distinct n-gram that ends at one of `at`, and which of these stands at each of `at`."""
+    value = _mix(joined.astype(np.uint64) + _STEP)
+    code = value[at]
+    for i in range(1, order):
+        code += value[at - i] * _times(1, i)
+    which = pa.array(code).dictionary_encode()
+    which, n = which.indices.to_numpy(), len(which.dictionary)
+    where = np.zeros(n, np.int64)
+    where[which] = at
+    return where, which
+
+
+def _codes(joined: np.ndarray, where: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1..order the rolling codes of the n-grams that end at `where` and of their contexts."""
+    code, context = np.zeros(len(where), np.uint64), np.zeros(len(where), np.uint64)
+    for i in range(order):
+        value = _mix(joined[where - i].astype(np.uint64) + _STEP)
+        code = code + value * _times(1, i)
+        if i:
+            context = context + value * _times(1, i - 1)
+        yield code, context
+
+
+@dataclasses.dataclass
 class Model:
-    """codes/probs per order (1..n), contexts' back-off weights per order, the characters' classes, and the trusted mean."""
-
-    def __init__(self, order: int, alphabet: int, chars: list[int], probs: list, gammas: list, mean: float = 0.0):
-        self.order, self.alphabet, self.chars, self.probs, self.gammas, self.mean = order, alphabet, chars, probs, gammas, mean
-        self._table = None
-
-    def __getstate__(self):
-        return self.order, self.alphabet, self.chars, self.probs, self.gammas, self.mean
-
-    def __setstate__(self, state):
-        self.__init__(*state)
-
-    def lookup(self) -> np.ndarray:
-        return class_lookup(self.chars)
-
-    def table(self) -> np.ndarray:
-        """Negative log2 probability of every n-gram code."""
-        if self._table is None:
-            a, p = self.alphabet, np.full(self.alphabet, 1 / self.alphabet, np.float32)
-            for n in range(1, self.order + 1):
-                gamma = np.ones(a ** (n - 1), np.float32)
-                gamma[self.gammas[n - 1][0]] = self.gammas[n - 1][1]
-                if n == 1:
-                    p = gamma * p
-                else:
-                    p = (gamma.reshape(a, -1, 1) * p.reshape(1, -1, a)).reshape(-1) if n > 2 else (gamma[:, None] * p[None, :]).reshape(-1)
-                p[self.probs[n - 1][0]] = self.probs[n - 1][1]
-            self._table = -np.log2(np.maximum(p, np.float32(1e-12)))
-        return self._table
-
-    def bits(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        codes, lens = _codes(texts, self.lookup(), self.order, self.alphabet)
-        sums = np.concatenate([[0.0], np.cumsum(self.table()[codes], dtype=np.float64)])
-        ends = np.cumsum(lens)
-        return sums[ends] - sums[ends - lens], lens
-
-
-def class_lookup(chars: list[int]) -> np.ndarray:
-    """Code point to class: 0 boundary, 1 any other character, 2.. the listed ones."""
-    out = np.ones(max([*chars, 0]) + 2, np.uint8)
-    out[0] = 0
-    for i, c in enumerate(chars):
-        out[c] = i + 2
-    return out
-
-
-def _fold(docs: DataFrame, keys_of) -> DataFrame:
+    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the trusted mean in bits."""
+
+    order: int
+    rows: DataFrame
+    size: int
+    floor: float
+    chars: int
+    mean: float = 0.0
+
+
+def _wanted(texts: list[str | None], order: int) -> np.ndarray:
+    """All keys that the scores of these texts may need, each once."""
+    joined, at, _ = _points(texts, order)
+    where, _ = _distinct(joined, at, order)
+    keys = []
+    for n, (code, context) in enumerate(_codes(joined, where, order), 1):
+        keys.append(_key(code, n, False))
+        if n > 1:
+            keys.append(_key(context, n, True))
+    return np.unique(np.concatenate(keys))
+
+
+def _bits(texts: list[str | None], order: int, floor: float, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and characters of each text; `known` is sorted."""
+
+    def look(keys: np.ndarray, default) -> np.ndarray:
+        if not len(known):
+            return np.full(len(keys), default)
+        i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[i] == keys, values[i], default)
+
+    joined, at, lens = _points(texts, order)
+    where, which = _distinct(joined, at, order)
+    p = np.full(len(where), floor)
+    for n, (code, context) in enumerate(_codes(joined, where, order), 1):
+        seen = look(_key(code, n, False), np.nan)
+        lower = p * look(_key(context, n, True), 1.0) if n > 1 else p
+        p = np.where(np.isnan(seen), lower, seen)
+    sums = np.concatenate([[0.0], np.cumsum(-np.log2(np.maximum(p, 1e-12))[which])])
+    ends = np.cumsum(lens)
+    return sums[ends] - sums[ends - lens], lens
+
+
+def _counts(docs: DataFrame, order: int) -> DataFrame:
+    """The n-grams of docs.text, as strings that start with zeros before a text, and how often they occur."""
+
     def block(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, counts = np.unique(keys_of(b.column(0).to_pylist()), return_counts=True)
-        return pa.record_batch([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], ["code", "n"])
+        joined, at, _ = _points(b.column(0).to_pylist(), order)
+        where, which = _distinct(joined, at, order)
+        grams = joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel()
+        return pa.record_batch([pa.array(grams.tolist(), pa.string()), pa.array(np.bincount(which, minlength=len(where)), pa.int64())], ["gram", "n"])
+
+    return by_blocks(docs, block, "gram string, n long", limit=BLOCK).groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def _keyed(df: DataFrame, order: int, length: int, context: bool) -> DataFrame:
+    """key and value of rows (gram, value), whose grams have `length` characters."""
 
-    return by_blocks(docs, block, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            joined = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+            *_, (code, _) = _codes(joined, np.arange(length - 1, len(joined), length), length)
+            yield pa.record_batch([pa.array(_key(code, order, context)), b.column(1)], ["key", "value"])
 
+    return df.mapInArrow(run, "key long, value float")
 
-def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, alphabet: int = ALPHABET) -> Model | None:
+
+def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> Model | None:
     """The model of all trusted texts; None if they hold no character."""
     src = trusted.select(trusted[text_col].alias("text"))
-    chars = _fold(src, lambda ts: np.frombuffer("".join(t or "" for t in ts).encode("utf-32-le", "surrogatepass"), np.uint32))
-    chars = [r.code for r in chars.where("code > 0").orderBy(F.desc("n"), "code").limit(alphabet - 2).collect()]
-    if not chars:
-        return None
-    lookup = class_lookup(chars)
-    grams = [staged(_fold(src, lambda ts: _codes(ts, lookup, order, alphabet)[0]), "lm-grams")]
-    for n in range(order - 1, 0, -1):  # lower orders count the distinct words before them
-        grams.append(staged(grams[-1].groupBy((F.col("code") % alphabet**n).alias("code")).agg(F.count(F.lit(1)).alias("n")), "lm-grams"))
+    grams = [staged(_counts(src, order), "lm-grams")]
+    for _ in range(order - 1):  # lower orders count the distinct characters before them
+        grams.append(staged(grams[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lm-grams"))
     grams.reverse()
-    lower, probs, gammas = None, [], []
+    lower, parts, floor, chars = None, [], 1.0, grams[0].count() + 1
+    if chars == 1:
+        return None
     for n, counts in enumerate(grams, 1):
         of = {r.n: r.k for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
         n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = counts.select("code", F.col("n").cast("double").alias("n"), cut.alias("cut"), (F.col("code") / alphabet).cast("long").alias("context") if n > 1 else F.lit(0).cast("long").alias("context"), (F.col("code") % alphabet ** (n - 1)).cast("long").alias("suffix"))
+        rows = counts.select("gram", F.col("n").cast("double").alias("n"), cut.alias("cut"), F.expr(f"substring(gram, 1, {n - 1})").alias("context"), F.expr("substring(gram, 2)").alias("suffix"))
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass")).withColumn("gamma", F.col("mass") / F.col("total"))
-        joined = rows.join(contexts, "context")
         if lower is None:
-            p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") / alphabet
+            of_all = contexts.first()
+            floor = of_all.gamma / chars
+            p = rows.select("gram", ((F.col("n") - F.col("cut")) / of_all.total + floor).alias("p"))
         else:
-            joined = joined.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("below")), "suffix")
-            p = (F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")
-        lower = staged(joined.select("code", p.alias("p")), "lm-probs")
-        probs.append(_arrays(lower, "code", "p"))
-        gammas.append(_arrays(contexts, "context", "gamma"))
-    return Model(order, alphabet, chars, probs, gammas)
-
-
-def _arrays(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
-    """Two arrays of alphabet^order entries at most."""
-    got = df.select(F.col(key).cast("int").alias("k"), F.col(value).cast("float").alias("v")).toArrow()
-    return got.column("k").to_numpy(), got.column("v").to_numpy()
-
-
-def perplexities(docs: DataFrame, model: Model, text_col: str = "text", prior: float = 200.0) -> DataFrame:
+            contexts = staged(contexts, "lm-contexts")
+            joined = rows.join(contexts, "context").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+            p = joined.select("gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
+            parts.append(_keyed(contexts.select("context", F.col("gamma").cast("float").alias("value")), n, n - 1, True))
+        lower = staged(p, "lm-probs")
+        parts.append(_keyed(lower.select("gram", F.col("p").cast("float").alias("value")), n, n, False))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    rows = staged(rows, "lm-model")
+    return Model(order, rows, rows.count(), floor, chars)
+
+
+def perplexities(docs: DataFrame, model: Model, text_col: str = "text", prior: float = 200.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with `lm_bits` (of the whole text), `lm_chars` and `lm_perplexity` per character (smoothed) behind its columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # alphabet^order entries at most
     at = docs.columns.index(text_col)
     names = [f"c{i}" for i in range(len(docs.columns))]
-
-    def block(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = shared.value
-        bits, lens = m.bits(b.column(at).to_pylist())
-        ppl = np.exp2((bits + prior * m.mean) / (lens + prior))
-        return pa.record_batch([*b.columns, pa.array(bits), pa.array(lens), pa.array(ppl)], [*names, "bits", "chars", "perplexity"])
-
+    order, floor, mean = model.order, model.floor, model.mean
+    plain = docs.toDF(*names)
     schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True)) + ", bits double, chars long, perplexity double"
-    return by_blocks(docs.toDF(*names), block, schema, names[at]).toDF(*docs.columns, "lm_bits", "lm_chars", "lm_perplexity")
 
+    def score(b: pa.RecordBatch, known: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        bits, lens = _bits(b.column(at).to_pylist(), order, floor, known, values)
+        ppl = np.exp2((bits + prior * mean) / (lens + prior))
+        return pa.record_batch([*b.columns, pa.array(bits), pa.array(lens), pa.array(ppl)], [*names, "bits", "chars", "perplexity"])
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 5, prior: float = 200.0, order: int = ORDER, alphabet: int = ALPHABET) -> DataFrame:
+    if model.size * 12 <= broadcast_bytes:
+        got = model.rows.orderBy("key").toArrow()
+        shared = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("value").to_numpy()))
+        out = by_blocks(plain, lambda b: score(b, *shared.value), schema, names[at], BLOCK)
+    else:
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            for i, b in enumerate(in_blocks(batches, names[at], BLOCK)):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(b)
+                yield pa.record_batch([pa.array([part << 32 | i]), pa.array([sink.getvalue().to_pybytes()])], ["block", "body"])
+
+        def opened(body: pa.Scalar) -> pa.RecordBatch:
+            return pa.ipc.open_stream(body.as_buffer()).read_next_batch()
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for block, body in zip(b.column(0), b.column(1), strict=True):
+                    keys = _wanted(opened(body).column(at).to_pylist(), order)
+                    yield pa.record_batch([pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(keys)], ["block", "key"])
+
+        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for body, pairs in zip(b.column(0), b.column(1), strict=True):
+                    if pairs.is_valid:
+                        known, values = (pairs.values.field(i).to_numpy() for i in (0, 1))
+                        by = np.argsort(known)
+                        known, values = known[by], values[by]
+                    else:
+                        known, values = np.zeros(0, np.int64), np.zeros(0, np.float32)
+                    yield score(opened(body), known, values)
+
+        blocks = staged(plain.mapInArrow(pack, "block long, body binary"), "lm-blocks")
+        answers = blocks.mapInArrow(ask, "block long, key long").join(model.rows, "key").groupBy("block").agg(F.collect_list(F.struct("key", "value")).alias("pairs"))
+        out = blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, schema)
+    return out.toDF(*docs.columns, "lm_bits", "lm_chars", "lm_perplexity")
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 5, prior: float = 200.0, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with lm_perplexity, lm_threshold and lm_accepted. Trusted texts of fold 0 (crc32(id) mod folds) set the thresholds, the others train."""
     src = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     good = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label = 1").select("id").distinct()
     fold = F.crc32(F.col("id").cast("string")) % folds
     trusted = staged(src.join(good, "id", "left_semi").withColumn("fold", fold), "lm-trusted")
-    model = train(trusted.where("fold <> 0"), order=order, alphabet=alphabet)
+    model = train(trusted.where("fold <> 0"), order=order)
     if model is None:
         return docs.select("*", F.lit(None).cast("double").alias("lm_perplexity"), F.lit(None).cast("double").alias("lm_threshold"), F.lit(True).alias("lm_accepted"))
     held = trusted.where("fold = 0").select("lang", "text")
-    sums = perplexities(held, model).agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
-    model.mean = sums.b / sums.c if sums.c else math.log2(alphabet) / 2
-    seen = staged(perplexities(held, model, prior=prior).select("lang", F.col("lm_perplexity").alias("p")), "lm-held")
+    sums = perplexities(held, model, broadcast_bytes=broadcast_bytes).agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
+    model.mean = sums.b / sums.c if sums.c else math.log2(model.chars) / 2
+    seen = staged(perplexities(held, model, prior=prior, broadcast_bytes=broadcast_bytes).select("lang", F.col("lm_perplexity").alias("p")), "lm-held")
     at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000)) * slack
     overall = seen.agg(at.alias("overall")).first().overall
     limits = staged(seen.groupBy("lang").agg(at.alias("lm_own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select(F.col("lang").alias("lm_lang"), "lm_own"), "lm-limits")
     limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
-    scored = perplexities(docs, model, text_col, prior)
+    scored = perplexities(docs, model, text_col, prior, broadcast_bytes)
     joined = scored.join(limits, scored[lang_col].eqNullSafe(F.col("lm_lang")), "left")
     limit = F.coalesce(F.col("lm_own"), F.lit(overall).cast("double"), F.lit(float("inf")))
     return joined.select(*[scored[c] for c in docs.columns], "lm_perplexity", limit.alias("lm_threshold"), (F.col("lm_perplexity") <= limit).alias("lm_accepted"))
