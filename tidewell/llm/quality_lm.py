@@ -26,6 +26,7 @@ perplexity. Repeated rows are scored row by row; other columns pass through unre
 from __future__ import annotations
 
 import dataclasses
+import functools
 import math
 from collections.abc import Iterator
 
@@ -102,6 +103,14 @@ class Model:
     chars: int
     mean: float = 0.0
 
+    @functools.cached_property
+    def shared(self):
+        """A broadcast of the sorted keys and their values; for models of a checked size only."""
+        got = self.rows.toArrow()
+        keys, values = got.column("key").to_numpy(), got.column("value").to_numpy()
+        by = np.argsort(keys)
+        return self.rows.sparkSession.sparkContext.broadcast((keys[by], values[by]))
+
 
 def _wanted(texts: list[str | None], order: int) -> np.ndarray:
     """All keys that the scores of these texts may need, each once."""
@@ -167,32 +176,29 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> Mod
     for _ in range(order - 1):  # lower orders count the distinct characters before them
         grams.append(staged(grams[-1].groupBy(F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")), "lm-grams"))
     grams.reverse()
-    lower, parts, floor, chars = None, [], 1.0, grams[0].count() + 1
-    if chars == 1:
+    tallies = [F.count_if(F.col("n") == i).alias(f"n{i}") for i in (1, 2, 3, 4)]
+    sizes = functools.reduce(DataFrame.unionByName, [g.select(F.lit(n).alias("order"), "n") for n, g in enumerate(grams, 1)])
+    sizes = {r.order: r for r in sizes.groupBy("order").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), *tallies).collect()}
+    if not sizes:
         return None
+    lower, parts, floor, chars = None, [], 1.0, sizes[1].rows + 1
     for n, counts in enumerate(grams, 1):
-        of = {r.n: r.k for r in counts.where("n <= 4").groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
-        n1, n2, n3, n4 = (of.get(i, 0) for i in (1, 2, 3, 4))
+        n1, n2, n3, n4 = (sizes[n][f"n{i}"] for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
         d = [max(0.05, min(i - 0.05, i - (i + 1) * y * b / a)) if a and b else 0.5 * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         rows = counts.select("gram", F.col("n").cast("double").alias("n"), cut.alias("cut"), F.expr(f"substring(gram, 1, {n - 1})").alias("context"), F.expr("substring(gram, 2)").alias("suffix"))
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass")).withColumn("gamma", F.col("mass") / F.col("total"))
         if lower is None:
-            of_all = contexts.first()
-            floor = of_all.gamma / chars
-            p = rows.select("gram", ((F.col("n") - F.col("cut")) / of_all.total + floor).alias("p"))
+            floor = (d[0] * n1 + d[1] * n2 + d[2] * (sizes[1].rows - n1 - n2)) / sizes[1].total / chars
+            p = rows.select("gram", ((F.col("n") - F.col("cut")) / sizes[1].total + floor).alias("p"))
         else:
-            contexts = staged(contexts, "lm-contexts")
             joined = rows.join(contexts, "context").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
             p = joined.select("gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
             parts.append(_keyed(contexts.select("context", F.col("gamma").cast("float").alias("value")), n, n - 1, True))
         lower = staged(p, "lm-probs")
         parts.append(_keyed(lower.select("gram", F.col("p").cast("float").alias("value")), n, n, False))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = staged(rows, "lm-model")
+    rows = staged(functools.reduce(DataFrame.unionByName, parts), "lm-model")
     return Model(order, rows, rows.count(), floor, chars)
 
 
@@ -210,8 +216,7 @@ def perplexities(docs: DataFrame, model: Model, text_col: str = "text", prior: f
         return pa.record_batch([*b.columns, pa.array(bits), pa.array(lens), pa.array(ppl)], [*names, "bits", "chars", "perplexity"])
 
     if model.size * 12 <= broadcast_bytes:
-        got = model.rows.orderBy("key").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast((got.column("key").to_numpy(), got.column("value").to_numpy()))
+        shared = model.shared
         out = by_blocks(plain, lambda b: score(b, *shared.value), schema, names[at], BLOCK)
     else:
 
@@ -258,10 +263,10 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = train(trusted.where("fold <> 0"), order=order)
     if model is None:
         return docs.select("*", F.lit(None).cast("double").alias("lm_perplexity"), F.lit(None).cast("double").alias("lm_threshold"), F.lit(True).alias("lm_accepted"))
-    held = trusted.where("fold = 0").select("lang", "text")
-    sums = perplexities(held, model, broadcast_bytes=broadcast_bytes).agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
+    seen = staged(perplexities(trusted.where("fold = 0").select("lang", "text"), model, prior=prior, broadcast_bytes=broadcast_bytes).select("lang", "lm_bits", "lm_chars"), "lm-held")
+    sums = seen.agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
     model.mean = sums.b / sums.c if sums.c else math.log2(model.chars) / 2
-    seen = staged(perplexities(held, model, prior=prior, broadcast_bytes=broadcast_bytes).select("lang", F.col("lm_perplexity").alias("p")), "lm-held")
+    seen = seen.select("lang", F.pow(F.lit(2.0), (F.col("lm_bits") + prior * model.mean) / (F.col("lm_chars") + prior)).alias("p"))
     at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000)) * slack
     overall = seen.agg(at.alias("overall")).first().overall
     limits = staged(seen.groupBy("lang").agg(at.alias("lm_own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select(F.col("lang").alias("lm_lang"), "lm_own"), "lm-limits")
