@@ -71,10 +71,10 @@ def _points(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray
 def _distinct(joined: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """One position of each distinct n-gram that ends at one of `at`, and which of these stands at each of `at`."""
     value = _mix(joined.astype(np.uint64) + _STEP)
-    code = value[at]
+    code = value.copy()
     for i in range(1, order):
-        code += value[at - i] * _times(1, i)
-    which = pa.array(code).dictionary_encode()
+        code[i:] += value[:-i] * _times(1, i)
+    which = pa.array(code[at]).dictionary_encode()
     which, n = which.indices.to_numpy(), len(which.dictionary)
     where = np.zeros(n, np.int64)
     where[which] = at
@@ -130,16 +130,24 @@ def _bits(texts: list[str | None], order: int, floor: float, known: np.ndarray,
     def look(keys: np.ndarray, default) -> np.ndarray:
         if not len(known):
             return np.full(len(keys), default)
+        by = np.argsort(keys)  # neighbouring look-ups stay near each other in the table
+        out, keys = np.empty(len(keys)), keys[by]
         i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[i] == keys, values[i], default)
+        out[by] = np.where(known[i] == keys, values[i], default)
+        return out
 
     joined, at, lens = _points(texts, order)
     where, which = _distinct(joined, at, order)
-    p = np.full(len(where), floor)
-    for n, (code, context) in enumerate(_codes(joined, where, order), 1):
+    p, left = np.ones(len(where)), np.arange(len(where))
+    for n in range(order, 0, -1):  # only n-grams never seen go on to the next lower order
+        *_, (code, context) = _codes(joined, where[left], n)
         seen = look(_key(code, n, False), np.nan)
-        lower = p * look(_key(context, n, True), 1.0) if n > 1 else p
-        p = np.where(np.isnan(seen), lower, seen)
+        hit = ~np.isnan(seen)
+        p[left[hit]] *= seen[hit]
+        left = left[~hit]
+        if n > 1:
+            p[left] *= look(_key(context[~hit], n, True), 1.0)
+    p[left] *= floor
     sums = np.concatenate([[0.0], np.cumsum(-np.log2(np.maximum(p, 1e-12))[which])])
     ends = np.cumsum(lens)
     return sums[ends] - sums[ends - lens], lens
