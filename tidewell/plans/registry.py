@@ -129,26 +129,39 @@ def j4_near_duplicates(spark, sf_dir):
 
 
 
-def _derived():
-    return F.concat(F.when(F.col("doc_id") % 4 == 0, "Task: ").when(F.col("doc_id") % 4 == 1, "1. ").when(F.col("doc_id") % 4 == 2, "**Question** ").otherwise(""), F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, "?").when(F.col("doc_id") % 3 == 1, ":\nrest").otherwise(" The answer is: 4"))
+def _derived(body="text"):
+    return F.concat(F.when(F.col("doc_id") % 4 == 0, "Task: ").when(F.col("doc_id") % 4 == 1, "1. ").when(F.col("doc_id") % 4 == 2, "**Question** ").otherwise(""), body, F.when(F.col("doc_id") % 3 == 0, "?").when(F.col("doc_id") % 3 == 1, ":\nrest").otherwise(" The answer is: 4"))
+
+
+def _start():
+    """What the SQL of c2_remove_prefix and c7_sanitize_other reads of a text; all other queries read the whole."""
+    return F.substring("text", 1, 200)
+
+
 _DERIVED_SQL = "concat(CASE doc_id % 4 WHEN 0 THEN 'Task: ' WHEN 1 THEN '1. ' WHEN 2 THEN '**Question** ' ELSE '' END, substr(text, 1, 200), CASE doc_id % 3 WHEN 0 THEN '?' WHEN 1 THEN chr(58) || chr(10) || 'rest' ELSE ' The answer is: 4' END)"
 
 
 @query("c2_remove_prefix", f"SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 4 = 1 THEN substr(t, 4) WHEN doc_id % 4 = 0 THEN substr(t, 7) WHEN doc_id % 4 = 2 THEN substr(t, 14) ELSE t END, '^\\s+|\\s+$', '', 'g')) AS instruction FROM (SELECT doc_id, {_DERIVED_SQL} AS t FROM documents)")
 def c2_remove_prefix(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", text.remove_prefix(_derived(_start())).alias("instruction"))
+
+
+@query("c2_remove_prefix_whole")
+def c2_remove_prefix_whole(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.remove_prefix(_derived()).alias("instruction"))
 
 
-def _sanitized(family: str):
+def _sanitized(family: str, body=lambda: "text"):
     def run(spark, sf_dir):
-        return _docs(spark, sf_dir).select("doc_id", text.sanitize(_derived(), family).alias("s")).select("doc_id", "s.instruction", "s.class")
+        return _docs(spark, sf_dir).select("doc_id", text.sanitize(_derived(body()), family).alias("s")).select("doc_id", "s.instruction", "s.class")
 
     return run
 
 
 query("c5_sanitize_gemma")(_sanitized("gemma-2"))
 query("c6_sanitize_llama")(_sanitized("llama-3"))
-query("c7_sanitize_other", f"SELECT doc_id, {_DERIVED_SQL} AS instruction, CAST(0 AS DOUBLE) AS class FROM documents")(_sanitized("other"))
+query("c7_sanitize_other", f"SELECT doc_id, {_DERIVED_SQL} AS instruction, CAST(0 AS DOUBLE) AS class FROM documents")(_sanitized("other", _start))
+query("c7_sanitize_other_whole")(_sanitized("other"))
 
 
 @query("c8_stop_tokens", "SELECT doc_id, CASE WHEN contains(text, '. ') THEN split_part(text, '. ', 1) WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS cut FROM documents")
