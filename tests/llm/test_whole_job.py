@@ -1,0 +1,27 @@
+"""The llm operators do the whole job where lines, notices and chunks meet."""
+
+import random
+
+from tidewell.llm import line_dedup
+
+SCHEMA = "doc_id long, text string"
+
+
+def docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+
+
+def name(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+def test_mixed_leaves_keep_all_their_templates(spark):
+    rng = random.Random(7)
+    one = [f"please sign in as {name(i)} to read the whole story here" for i in range(60)]
+    two = [f"please sign in with {name(i)} at once or buy it {name(i * 7)}" for i in range(60)]
+    three = [f"please sign in under {name(i % 5)} and see {name(i)} other things there" for i in range(30)]
+    other = ["please sign in " + " ".join(name(rng.randrange(17_000)) for _ in range(8)) for _ in range(45)]
+    texts = one + two + three + other
+    got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert [i for i in range(150) if got[i].text] == []
+    assert [got[i].text for i in range(150, len(texts))] == other

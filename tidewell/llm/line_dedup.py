@@ -2,10 +2,12 @@
 
 A line's tokens that hold a digit are variable fields and read `<*>`. The tree has fixed
 depth: token count, then the first `depth` tokens; its leaf holds the distinct lines that
-agree on those. In a leaf, a position is constant if one token has at least `dominance` of
-the leaf's distinct lines; if at least `similarity` of the positions are constant, the leaf
-has one generalised template, and lines that match all its constants belong to it. Any
-other line is its own template. A template that occurs in at least `min_docs` different
+agree on those. In a group of lines, first a leaf, a position is constant if one token has
+at least `dominance` of the group's distinct lines; if at least `similarity` of the positions
+are constant, the group has a generalised template, and lines that match all its constants
+belong to it. Each other line goes on to the group of those that share its most frequent
+token at a position among those not dominant there, while it has one that two lines share;
+so one leaf gives as many templates as it holds. A line left over is its own template. A template that occurs in at least `min_docs` different
 documents is recurring, and its lines are dropped from every document.
 
 All counts fold map-side; the joins on lines and templates are plain equi-joins that
@@ -18,6 +20,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +36,27 @@ def _masked(line):
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
-def line_templates(rows: DataFrame, dominance: float, similarity: float) -> DataFrame:
-    """From distinct masked lines of leaves (h, leaf, t, the tokens): h and tid of those that belong to a generalised template."""
-    cells = rows.select("leaf", F.posexplode("t").alias("pos", "token")).groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n"))
-    best = cells.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
-    constant = F.when(F.col("top.n") >= dominance * F.col("all"), F.struct("pos", F.col("top.token").alias("token")))
-    leaves = best.groupBy("leaf").agg(F.collect_list(constant).alias("fixed"), F.count(F.lit(1)).alias("width")).where(F.size("fixed") >= similarity * F.col("width"))
-    member = F.forall("fixed", lambda c: F.get("t", c["pos"]) == c["token"])
-    return rows.join(leaves, "leaf").where(member).select("h", F.xxhash64(F.lit("leaf"), "leaf").alias("tid"))
+def line_templates(rows: DataFrame, dominance: float, similarity: float, min_docs: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """From distinct masked lines of leaves (h, leaf, t, the tokens, c, how often it occurs): h and tid of those that belong to a generalised template."""
+    found, rows = [], rows.withColumnRenamed("leaf", "g")
+    while True:
+        cells = rows.select("g", "c", F.posexplode("t").alias("pos", "token")).groupBy("g", "pos", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
+        cells = staged(cells, "lines-cells")
+        best = cells.groupBy("g", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
+        constant = F.when(F.col("top.n") >= dominance * F.col("all"), F.struct("pos", F.col("top.token").alias("token")))
+        groups = best.groupBy("g").agg(F.collect_list(constant).alias("fixed"), F.count(F.lit(1)).alias("width"), F.max("all").alias("all")).where("all > 1")
+        member = (F.size("fixed") >= similarity * F.col("width")) & F.forall("fixed", lambda x: F.get("t", x["pos"]) == x["token"])
+        placed = staged(rows.join(groups, "g").select("h", "g", "c", "t", "all", member.alias("member")), "lines-placed")
+        found.append(placed.where("member").select("h", F.xxhash64(F.lit("leaf"), "g").alias("tid")))
+        # The others go on by their most frequent token that isn't dominant. A new group has less than `dominance` of its old one's lines, so the rounds end.
+        rest = placed.where("not member")
+        usable = staged(cells.where((F.col("n") > 1) & (F.col("c") >= min_docs)).select("g", "pos", "token", "n"), "lines-usable")
+        usable = F.broadcast(usable) if usable.count() * 64 <= broadcast_bytes else usable
+        own = rest.select("h", "g", "all", F.posexplode("t").alias("pos", "token")).join(usable, ["g", "pos", "token"]).where(F.col("n") < dominance * F.col("all"))
+        own = own.groupBy("h").agg(F.max(F.struct("n", (-F.col("pos")).alias("at"), "token")).alias("by"))
+        rows = staged(rest.join(own, "h").select("h", F.xxhash64("g", "by.at", "by.token").alias("g"), "c", "t"), "lines-rest")
+        if rows.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, depth: int = 3, dominance: float = 0.6, similarity: float = 0.7, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -53,8 +70,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wide = slim.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("x"), F.max("h").alias("y")).where((F.col("n") >= min_docs) & (F.col("x") != F.col("y")))
     wide = staged(wide.select("leaf"), "lines-leaves")
     wide = F.broadcast(wide) if wide.count() * 16 <= broadcast_bytes else wide
-    distinct = staged(lines.select("h", "leaf", "t").join(wide, "leaf", "left_semi").distinct(), "lines-distinct")
-    members = staged(line_templates(distinct, dominance, similarity), "lines-members")
+    distinct = staged(lines.select("h", "leaf", "t").join(wide, "leaf", "left_semi").groupBy("h", "leaf", "t").agg(F.count(F.lit(1)).alias("c")), "lines-distinct")
+    members = staged(line_templates(distinct, dominance, similarity, min_docs, broadcast_bytes), "lines-members")
     known = slim.join(members, "h", "left").select("rk", "no", F.coalesce("tid", "h").alias("tid"))
     known = staged(known, "lines-templates")
     recurring = known.select("tid", "rk").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
