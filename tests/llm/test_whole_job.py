@@ -25,3 +25,13 @@ def test_mixed_leaves_keep_all_their_templates(spark):
     got = {r.doc_id: r for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
     assert [i for i in range(150) if got[i].text] == []
     assert [got[i].text for i in range(150, len(texts))] == other
+
+
+def test_long_lines_need_fewer_texts(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(name(rng.randrange(17_000)) for _ in range(n))
+    long, middle, short, copied = line(60), line(25), line(8), line(70)
+    texts = [f"{line(4)}\n{long}\n{short}" for _ in range(2)] + [f"{line(4)}\n{middle}\n{short}" for _ in range(4)] + [f"{line(4)}\n{line(25)}" for _ in range(3)] + [copied, copied]
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
+    assert all(got[i] == "\n".join(x for x in texts[i].split("\n") if x not in (long, middle)) for i in range(len(texts)))
+    assert got[0] != texts[0] and got[2] != texts[2] and got[9] == copied

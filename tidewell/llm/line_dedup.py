@@ -8,7 +8,9 @@ are constant, the group has a generalised template, and lines that match all its
 belong to it. Each other line goes on to the group of those that share its most frequent
 token at a position among those not dominant there, while it has one that two lines share;
 so one leaf gives as many templates as it holds. A line left over is its own template. A template that occurs in at least `min_docs` different
-documents is recurring, and its lines are dropped from every document.
+documents is recurring, and its lines are dropped from every document. Beyond `short` words
+the number falls with the length, to min_docs * short / words and to two at least, counted
+in different texts.
 
 All counts fold map-side; the joins on lines and templates are plain equi-joins that
 adaptive execution can split, so one very common line doesn't end in one task.
@@ -36,11 +38,16 @@ def _masked(line):
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)
 
 
-def line_templates(rows: DataFrame, dominance: float, similarity: float, min_docs: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def _needed(words: str, min_docs: int, short: int):
+    """How many different texts make a line of so many words recurring."""
+    return F.greatest(F.lit(min(2, min_docs)), F.ceil(min_docs * F.least(F.lit(1.0), short / F.col(words))))
+
+
+def line_templates(rows: DataFrame, dominance: float, similarity: float, min_docs: int, short: int, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """From distinct masked lines of leaves (h, leaf, t, the tokens, c, how often it occurs): h and tid of those that belong to a generalised template."""
     found, rows = [], rows.withColumnRenamed("leaf", "g")
     while True:
-        cells = rows.select("g", "c", F.posexplode("t").alias("pos", "token")).groupBy("g", "pos", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"))
+        cells = rows.select("g", "c", F.size("t").alias("w"), F.posexplode("t").alias("pos", "token")).groupBy("g", "pos", "token").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c"), F.max("w").alias("w"))
         cells = staged(cells, "lines-cells")
         best = cells.groupBy("g", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("all"))
         constant = F.when(F.col("top.n") >= dominance * F.col("all"), F.struct("pos", F.col("top.token").alias("token")))
@@ -50,7 +57,7 @@ def line_templates(rows: DataFrame, dominance: float, similarity: float, min_doc
         found.append(placed.where("member").select("h", F.xxhash64(F.lit("leaf"), "g").alias("tid")))
         # The others go on by their most frequent token that isn't dominant. A new group has less than `dominance` of its old one's lines, so the rounds end.
         rest = placed.where("not member")
-        usable = staged(cells.where((F.col("n") > 1) & (F.col("c") >= min_docs)).select("g", "pos", "token", "n"), "lines-usable")
+        usable = staged(cells.where((F.col("n") > 1) & (F.col("c") >= _needed("w", min_docs, short))).select("g", "pos", "token", "n"), "lines-usable")
         usable = F.broadcast(usable) if usable.count() * 64 <= broadcast_bytes else usable
         own = rest.select("h", "g", "all", F.posexplode("t").alias("pos", "token")).join(usable, ["g", "pos", "token"]).where(F.col("n") < dominance * F.col("all"))
         own = own.groupBy("h").agg(F.max(F.struct("n", (-F.col("pos")).alias("at"), "token")).alias("by"))
@@ -59,22 +66,24 @@ def line_templates(rows: DataFrame, dominance: float, similarity: float, min_doc
             return functools.reduce(DataFrame.unionByName, found)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, depth: int = 3, dominance: float = 0.6, similarity: float = 0.7, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, short: int = 10, depth: int = 3, dominance: float = 0.6, similarity: float = 0.7, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """Per row of docs: id, n_lines, n_dropped and the text without its recurring lines."""
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     src = src.withColumn("rk", F.xxhash64("id", "text"))
-    lines = src.select("rk", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("rk", "no", _masked("line").alias("masked")).where("masked <> ''")
-    lines = lines.withColumn("t", F.split("masked", r"\s+")).select("rk", "no", F.xxhash64("masked").alias("h"), "t", F.when(F.size("t") > depth, F.xxhash64(F.size("t"), F.slice("t", 1, depth))).alias("leaf"))
-    slim = staged(lines.select("rk", "no", "h", "leaf"), "lines")
-    # Only a leaf with min_docs lines, two of them different, can hold a recurring template that isn't one line.
-    wide = slim.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("x"), F.max("h").alias("y")).where((F.col("n") >= min_docs) & (F.col("x") != F.col("y")))
+    lines = src.select("rk", F.xxhash64("text").alias("tk"), F.posexplode(F.split("text", "\n")).alias("no", "line")).select("rk", "tk", "no", _masked("line").alias("masked")).where("masked <> ''")
+    lines = lines.withColumn("t", F.split("masked", r"\s+")).select("rk", "tk", "no", F.xxhash64("masked").alias("h"), "t", F.size("t").alias("w"), F.when(F.size("t") > depth, F.xxhash64(F.size("t"), F.slice("t", 1, depth))).alias("leaf"))
+    slim = staged(lines.select("rk", "tk", "no", "h", "w", "leaf"), "lines")
+    # Only a leaf with the needed number of lines, two of them different, can hold a recurring template that isn't one line.
+    wide = slim.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("x"), F.max("h").alias("y"), F.max("w").alias("w")).where((F.col("n") >= _needed("w", min_docs, short)) & (F.col("x") != F.col("y")))
     wide = staged(wide.select("leaf"), "lines-leaves")
     wide = F.broadcast(wide) if wide.count() * 16 <= broadcast_bytes else wide
     distinct = staged(lines.select("h", "leaf", "t").join(wide, "leaf", "left_semi").groupBy("h", "leaf", "t").agg(F.count(F.lit(1)).alias("c")), "lines-distinct")
-    members = staged(line_templates(distinct, dominance, similarity, min_docs, broadcast_bytes), "lines-members")
-    known = slim.join(members, "h", "left").select("rk", "no", F.coalesce("tid", "h").alias("tid"))
+    members = staged(line_templates(distinct, dominance, similarity, min_docs, short, broadcast_bytes), "lines-members")
+    known = slim.join(members, "h", "left").select("rk", "tk", "no", "w", F.coalesce("tid", "h").alias("tid"))
     known = staged(known, "lines-templates")
-    recurring = known.select("tid", "rk").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs)
+    # Copies of a text make up min_docs documents, but of the lower numbers each text counts once: a pair of copies isn't emptied.
+    counted = known.groupBy("tid", "tk", "rk").agg(F.max("w").alias("w")).groupBy("tid", "tk").agg(F.count(F.lit(1)).alias("docs"), F.max("w").alias("w"))
+    recurring = counted.groupBy("tid").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts"), F.max("w").alias("w")).where((F.col("docs") >= min_docs) | (F.col("texts") >= _needed("w", min_docs, short)))
     recurring = staged(recurring.select("tid"), "lines-recurring")
     dropped = known.join(recurring, "tid").groupBy("rk").agg(F.collect_set("no").alias("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
