@@ -2,7 +2,7 @@
 
 import random
 
-from tidewell.llm import line_dedup
+from tidewell.llm import license_scan, line_dedup
 
 SCHEMA = "doc_id long, text string"
 
@@ -35,3 +35,15 @@ def test_long_lines_need_fewer_texts(spark):
     got = {r.doc_id: r.text for r in line_dedup.line_dedup(docs(spark, texts)).collect()}
     assert all(got[i] == "\n".join(x for x in texts[i].split("\n") if x not in (long, middle)) for i in range(len(texts)))
     assert got[0] != texts[0] and got[2] != texts[2] and got[9] == copied
+
+
+def test_a_license_only_yields_at_its_own_words(spark):
+    bsd = license_scan.TEMPLATES["bsd-3-clause"].rsplit(" ", 2)[0] + " were kept"
+    gpl2, gpl3 = license_scan.TEMPLATES["gpl-2.0"], license_scan.TEMPLATES["gpl-3.0"]
+    filler = "some plain words of no licence stand here " * 20
+    near = gpl2.replace("version 2", "version 2x")
+    texts = ["All rights reserved. " + bsd, bsd + " All rights reserved.", gpl3, gpl3 + " " + near, f"{gpl3} {filler} {near}", f"{gpl3} {gpl2}", f"All rights reserved. {bsd} {filler} {bsd}"]
+    got = {r.doc_id: {m.license: m.containment for m in r.matches} for r in license_scan.license_scan(docs(spark, texts)).collect()}
+    assert got[0].keys() == got[1].keys() == got[6].keys() == {"all-rights-reserved", "bsd-3-clause"} and 0.8 <= got[0]["bsd-3-clause"] < 1
+    assert got[2] == {"gpl-3.0": 1.0} and got[5] == {"gpl-2.0": 1.0, "gpl-3.0": 1.0}
+    assert got[3].keys() == got[4].keys() == {"gpl-2.0", "gpl-3.0"} and got[3]["gpl-2.0"] == got[4]["gpl-2.0"] == 0.875

@@ -13,7 +13,8 @@ all others the outcome, no collision, is known. The templates are a parameter of
 size (`MAX_TEMPLATES`) and travel as literals; nothing but the result is shuffled.
 
 Defined results: null and empty texts have no matches; a template counts once per row of
-the table, at its first best window; ids may repeat or be null (row by row, rows equal in
+the table, at its first best window among those that stay: a match is dropped only if its matched
+words overlap those of a better match, of another template, that stays; ids may repeat or be null (row by row, rows equal in
 id and text are returned as often as they stand there); other columns are ignored.
 """
 
@@ -104,15 +105,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     wins = wins.selectExpr("id", "rk", "row", "win.m as wm", "win.start as start", f"{cases} as wsh").selectExpr("*", f"if(wsh is null, null, {_minhash('wsh', bands)}) as wmins")
     hits = wins.join(F.broadcast(table), F.expr("wm = m and exists(arrays_zip(wmins, mins), z -> z.wmins = z.mins)"), "left")
     share = "size(array_intersect(sh, wsh)) / size(sh)"
-    hits = hits.selectExpr("id", "rk", "row", "license", f"{share} as share", "start").selectExpr("id", "rk", "row", f"if(share >= {containment}, struct(license, share, start), null) as hit")
+    shared = f"if({share} >= {containment}, filter(transform(wsh, (x, i) -> if(array_contains(sh, x), i, null)), i -> i is not null), null)"
+    # The words a match covers: those of the shared shingles in the run of m words with most of them, the first such run.
+    inside = f"filter(at, i -> i >= p and i <= p + m - least(m, {SHINGLE}))"
+    run = f"array_max(transform(at, p -> struct(size(array_distinct(transform({inside}, i -> wsh[i]))) / size(sh) as o, -p as p)))"
+    words = f"array_distinct(flatten(transform({inside}, i -> sequence(start + i, start + i + least(m, {SHINGLE}) - 1))))"
+    hits = hits.selectExpr("id", "rk", "row", "m", "license", "sh", "wsh", "start", f"{share} as share", f"{shared} as at").selectExpr("*", f"{run} as run").selectExpr("*", "-run.p as p")
+    hits = hits.selectExpr("id", "rk", "row", f"if(at is not null, struct(-run.o as o, start as start, license as license, share as share, {words} as words), null) as hit")
     # One row per row and window: folded map-side, by row and then by licence, without a hot key.
     best = hits.groupBy("id", "rk", "row").agg(F.collect_set("hit").alias("hits"))
-    one = "transform(array_sort(array_distinct(transform(hits, h -> h.license))), l -> array_max(transform(filter(hits, h -> h.license = l), h -> struct(h.share as share, -h.start as at))))"
-    best = best.selectExpr("id", "array_sort(array_distinct(transform(hits, h -> h.license))) as names", f"{one} as tops")
-    best = best.selectExpr("id", "zip_with(names, tops, (l, t) -> struct(l as license, t.share as containment, -t.at as first_word)) as all")
-    # Of notices that differ in few words the better match at about the same place stays.
-    rival = f"exists(all, y -> y.containment > x.containment and abs(y.first_word - x.first_word) <= {max(sized, default=0)})"
-    return best.selectExpr(f"id as `{id_col}`", f"filter(all, x -> not {rival}) as matches")
+    # Best matches first, by what their run shares: one stays unless it shares words with a better one, of another licence, that stays.
+    rival = "exists(kept, y -> y.o < x.o and y.license <> x.license and arrays_overlap(y.words, x.words))"
+    kept = f"aggregate(array_sort(hits), cast(array() as array<struct<o:double,start:int,license:string,share:double,words:array<int>>>), (kept, x) -> if(x.o > -1 and {rival}, kept, concat(kept, array(x))))"
+    best = best.selectExpr("id", f"{kept} as kept")
+    one = "transform(array_sort(array_distinct(transform(kept, x -> x.license))), l -> struct(l as license, array_max(transform(filter(kept, x -> x.license = l), x -> struct(x.share as share, -x.start as at))) as top))"
+    return best.selectExpr(f"id as `{id_col}`", f"transform({one}, x -> struct(x.license as license, x.top.share as containment, -x.top.at as first_word)) as matches")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
