@@ -2,7 +2,7 @@
 
 import random
 
-from tidewell.llm import license_scan, line_dedup
+from tidewell.llm import license_scan, line_dedup, sentencepiece_lattice
 
 SCHEMA = "doc_id long, text string"
 
@@ -47,3 +47,14 @@ def test_a_license_only_yields_at_its_own_words(spark):
     assert got[0].keys() == got[1].keys() == got[6].keys() == {"all-rights-reserved", "bsd-3-clause"} and 0.8 <= got[0]["bsd-3-clause"] < 1
     assert got[2] == {"gpl-3.0": 1.0} and got[5] == {"gpl-2.0": 1.0, "gpl-3.0": 1.0}
     assert got[3].keys() == got[4].keys() == {"gpl-2.0", "gpl-3.0"} and got[3]["gpl-2.0"] == got[4]["gpl-2.0"] == 0.875
+
+
+def test_chunks_of_every_length_at_the_end_of_the_lattice(spark):
+    import sentencepiece
+
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_lattice.MODEL), sentencepiece_lattice.load()
+    texts = [c * n for n in range(59, 66) for c in ("-", "a", " ", "=", "ab")]
+    sizes = {n for t in texts for n in sentencepiece_lattice.chunks([t], pieces)[2].tolist()}
+    assert {60, 61, 62, 63, 64} <= sizes
+    got = sentencepiece_lattice.encode(docs(spark, texts), pieces).collect()
+    assert len(got) == len(texts) and all(r.ids == sp.encode(texts[r.doc_id]) and r.round_trip for r in got)

@@ -168,7 +168,7 @@ _INSIDE = f"(shiftleft(1L, {_E}) - shiftleft(2L, {_S}))".format(x="x")
 _ENDS = f"(shiftleft(1L, {_S}) | shiftleft(1L, {_E}))".format(x="x")
 _SPAN = f"struct(x as edge, {_ENDS} as ends, {_INSIDE} as inside)"
 _MERGES = """
-aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1L, (st, i) -> st & ~coalesce(
+aggregate(sequence(1, greatest(n - 1, 1)), ~shiftleft(-1L, n + 1), (st, i) -> st & ~coalesce(
   array_min(filter(spans, x -> (st & x.ends) = x.ends and bit_count(st & x.inside) = 1)).inside, 0L))
 """
 #: Chunks a task groups at a time, and the number beyond which its hash table gives way to a sort.
