@@ -34,3 +34,24 @@ def test_sanitised_queries_read_whole_texts(spark, long_docs):
     assert gemma[11] == llama[11] == (long + "so.", 4.0)
     assert gemma[19] == ("List:\n" + long + "a", 5.1) and llama[19] == ("List:\n" + long + "a", 6.1)
     assert llama[27] == (long + "so.", 5.0)
+
+
+def test_all_turns_are_widened(spark, tmp_path):
+    rows = [(1, 0, "system", "s")] + [(1, 2 * k + i + 1, role, f"{role}{k}") for k in range(5) for i, role in enumerate(("user", "assistant"))][:-1] + [(2, 0, "user", "only")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.asDict() for r in registry.QUERIES["mt_widen_turns_all"](spark, str(tmp_path)).collect()}
+    for who, name in (("user", "instruction"), ("assistant", "response")):
+        for k in range(5):
+            cell = name if k == 0 else f"{name}_{k + 1}"
+            assert got[1][cell] == (None if (who, k) == ("assistant", 4) else f"{who}{k}") and got[2][cell] == ("only" if (who, k) == ("user", 0) else None)
+    assert len(got[1]) == 11
+
+
+def test_nearest_of_the_references_k(spark, tmp_path):
+    spark.createDataFrame([(i, [float(i * i)]) for i in range(520)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in registry.QUERIES["j1_nearest_500"](spark, str(tmp_path)).collect():
+        got.setdefault(r.vec_id, []).append((r.rk, r.nid))
+    for i in (0, 7, 300, 519):
+        want = sorted(range(520), key=lambda j: ((i * i - j * j) ** 2, j))[:500]
+        assert sorted(got[i]) == [(k + 1, j) for k, j in enumerate(want) if j != i]

@@ -49,10 +49,12 @@ def to_conversations(df: DataFrame, prefix: str, strict_fix: bool = False) -> Da
     return rows.withColumn("conversations", messages(F.col("instruction"), F.col("response"))).withColumn("gen_input_configs", F.col("gen_input_configs").withField("pre_query_template", F.col("pre_query_template"))).withColumn("difficulty", whitelist(F.col("difficulty"), DIFFICULTY)).withColumn("input_quality", whitelist(F.col("input_quality"), QUALITY)).withColumn("task_category", whitelist(F.col("task_category"), CATEGORY, strict_fix)).select(*COLUMNS)
 
 
-def widen_turns(df: DataFrame, turns: int, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """instruction, response, instruction_2, response_2, ... from one row per message; a system turn isn't counted."""
+def widen_turns(df: DataFrame, turns: int | None, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """instruction, response, instruction_2, response_2, ... from one row per message; a system turn isn't counted. turns None: as many as the data hold."""
     said = df.where(F.col(role).isin("user", "assistant"))
     order = Window.partitionBy(key, role).orderBy(turn)
+    if turns is None:
+        turns = said.groupBy(key, role).count().agg(F.max("count").alias("n")).first().n or 1
     said = said.withColumn("k", F.row_number().over(order)).where(F.col("k") <= turns)
     cells = [F.max(F.when((F.col(role) == who) & (F.col("k") == k), F.col(text))).alias(name if k == 1 else f"{name}_{k}") for k in range(1, turns + 1) for who, name in (("user", "instruction"), ("assistant", "response"))]
     return said.groupBy(key).agg(*cells)

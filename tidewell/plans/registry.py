@@ -113,13 +113,27 @@ def mt_widen_turns(spark, sf_dir):
     return curate.widen_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 3)
 
 
+@query("mt_widen_turns_all")
+def mt_widen_turns_all(spark, sf_dir):
+    return curate.widen_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"), None)
+
+
 _KNN = "WITH p AS (SELECT a.vec_id, b.vec_id AS nid, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - z[2]) * (CAST(z[1] AS DOUBLE) - z[2]))) AS d FROM embeddings a, embeddings b), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nid) AS rk FROM p)"
 
 
+def _neighbours(spark, sf_dir, k):
+    found = neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k).where("nid <> id")
+    return found.select(F.col("id").alias("vec_id"), "nid", F.col("rank").cast("long").alias("rk"), F.round("d", 4).alias("d"))
+
+
 @query("j1_nearest", _KNN + " SELECT vec_id, nid, rk, round(d, 4) AS d FROM r WHERE rk <= 5 AND nid <> vec_id")
 def j1_nearest(spark, sf_dir):
-    found = neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 5).where("nid <> id")
-    return found.select(F.col("id").alias("vec_id"), "nid", F.col("rank").cast("long").alias("rk"), F.round("d", 4).alias("d"))
+    return _neighbours(spark, sf_dir, 5)
+
+
+@query("j1_nearest_500")
+def j1_nearest_500(spark, sf_dir):
+    return _neighbours(spark, sf_dir, 500)
 
 
 @query("j4_near_duplicates", _KNN + " SELECT vec_id, round(min(d) FILTER (nid <> vec_id), 4) AS min_neighbor_distance, count(*) FILTER (nid <> vec_id AND d < 1.2) AS repeat_count, least(vec_id, min(nid) FILTER (nid <> vec_id AND d < 1.2)) * CASE WHEN count(*) FILTER (nid <> vec_id AND d < 1.2) > 0 THEN 1 END AS representative FROM r WHERE rk <= 500 GROUP BY vec_id")
