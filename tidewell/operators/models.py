@@ -1,4 +1,4 @@
-"""Model stages as batch protocols: anything with generate, score or encode; deterministic stubs for machines without models."""
+"""Model stages as batch protocols: anything with generate; deterministic stubs for machines without models."""
 
 from __future__ import annotations
 

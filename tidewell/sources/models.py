@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 SCHEMA = """model_name string, stop_tokens array<string>, stop_token_ids array<long>, stop_tokens_assistant array<string>,
 pre_query_template string, pre_query_template_with_system_prompt string, mt_append_template string,
 pre_query_template_math string, pre_query_template_code string, pre_query_template_translation string"""
-#: Name parts and families, the first that occurs wins.
-FAMILIES = [("llama-3", "llama3"), ("llama-2", "llama2"), ("gemma", "gemma"), ("qwen", "qwen"), ("phi", "phi"), ("mistral", "mistral"), ("yi", "yi"), ("vicuna", "vicuna"), ("deepseek", "deepseek")]
+#: Name parts, all needed, and families; the first that fits wins. The last two aren't the reference's.
+FAMILIES = [(("llama-3",), "llama3"), (("llama3",), "llama3"), (("gemma",), "gemma"), (("qwen",), "qwen"), (("zephyr",), "zephyr"), (("llama-2",), "llama2"), (("tulu",), "tulu"), (("mixtral",), "mistral"), (("mistral",), "mistral"), (("yi", "chat"), "yi"), (("vicuna",), "vicuna"), (("phi",), "phi"), (("deepseek",), "deepseek")]
+#: Models that go by another name at the API.
+API_NAMES = {f"meta-llama/Meta-Llama-3-{n}B-Instruct": f"meta-llama/Llama-3-{n}b-chat-hf" for n in (8, 70)}
 
 
 def load_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -43,11 +46,19 @@ def stop_list(early_stopping: bool) -> Column:
 
 def family(model: Column) -> Column:
     low, out = F.lower(model), None
-    for part, name in FAMILIES:
-        out = F.when(low.contains(part), name) if out is None else out.when(low.contains(part), name)
+    for parts, name in FAMILIES:
+        fits = functools.reduce(Column.__and__, [low.contains(p) for p in parts])
+        out = F.when(fits, name) if out is None else out.when(fits, name)
     return out.otherwise(F.raise_error(F.concat(F.lit("no template for "), model)).cast("string"))
 
 
+def api_name(model: Column) -> Column:
+    out = model
+    for name, alias in API_NAMES.items():
+        out = F.when(model == name, alias).otherwise(out)
+    return out
+
+
 def rounds(total: int, n: int) -> int:
     """Rounds of n samples; the last isn't clipped, so rounds * n rows may exceed total."""
     return -(-total // n)
