@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_STAGED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the session names in spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder all executors share: what the session names in spark.checkpoint.dir. Only a local master, whose executors are this machine, may do without; a cluster is told to name one."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidewell-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +43,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what is staged at a path; no error if it is gone."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    with contextlib.suppress(ValueError):
+        _STAGED.remove(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
+    """Tables staged inside go when it ends, but for those that the DataFrames of keep() read; nothing that is evaluated later may read the others."""
+    before = len(_STAGED)
+    yield
+    needed = {f.rpartition("/")[0] for df in keep() for f in df.inputFiles()}
+    for path in _STAGED[before:]:
+        if not any(f.endswith(path.split(":", 1)[-1].lstrip("/")) for f in needed):
+            remove(spark, path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -75,9 +103,55 @@ def ascii_lower(col):
     return F.when(~col.rlike(r"[[\p{IsUppercase}\p{IsTitlecase}\p{Cn}]&&[^A-Z]]"), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id", broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """docs without the ids of `dropped` (one column `id`), which is broadcast only while its counted size is within the bound; null ids stay."""
-    gone = staged(dropped.select("id").distinct(), "dropped")
-    if gone.count() * 16 <= broadcast_bytes:
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: Column, *cols: Column) -> Column:
+    """What tells rows apart that share an id: the id and 128 bits of hashes of other columns."""
+    return F.struct(id_col.alias("id"), F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(7), *cols).alias("g"))
+
+
+def without(docs: DataFrame, key: Column, dropped: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """docs without the rows whose key is in `dropped` (one column `gone`), which is broadcast only while its counted size is within the bound. Keys are compared as hashes of two seeds beside the value, so that null ids count as equal."""
+    gone = staged(dropped.select("gone").distinct(), "dropped")
+    if gone.count() * 40 <= broadcast_bytes:
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    at = fresh(docs, "_key")
+    return docs.withColumn(at, key).join(gone, F.col(at).eqNullSafe(F.col("gone")), "left_anti").drop(at)
+
+
+def packed(src: DataFrame, text: str, limit: int) -> DataFrame:
+    """block, body: consecutive rows of src with about `limit` bytes of text together, as one compressed Arrow stream; a longer text is alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, no, held, size = TaskContext.get().partitionId(), 0, [], 0
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+
+        def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.record_batch([pa.array([part << 32 | no], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "body"])
+
+        for b in in_blocks(batches, text, limit):
+            more = pc.sum(pc.binary_length(b.column(text))).as_py() or 0
+            if held and size + more > limit:
+                yield row(held)
+                no, held, size = no + 1, [], 0
+            held.append(b)
+            size += more
+        if held:
+            yield row(held)
+
+    return src.mapInArrow(run, "block long, body binary")
+
+
+def unpacked(body: pa.Scalar, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a block, in slices of about `limit` bytes of text."""
+    yield from in_blocks(iter(pa.ipc.open_stream(body.as_buffer())), text, limit)

@@ -8,12 +8,16 @@
    grouped by chunk.
 3. Fold: a higher-order `aggregate` over the edges. The given model is a byte-pair model,
    for which the path of the best summed score (Viterbi) is not the model's encoding; so
-   the fold replays the model's merges instead: in each step the applicable edge of the
-   best score, the leftmost on ties, removes the one boundary inside it. Boundaries are bits
-   of a long, and an edge is one long. Characters without a piece become the ids of their
-   bytes.
+   the fold replays the model's merges instead. Boundaries are bits of a long, and an edge
+   is one long. One pass over the edges, sorted by score and then from the left, is enough:
+   an edge whose ends are boundaries and that has one boundary inside removes it. A piece is
+   regular if its own parts all merge before it does; then its edge can't become applicable
+   after its turn. `Pieces.irregular` holds the others (here runs of spaces); a chunk with
+   such an edge starts over after every merge instead. Characters without a piece become the
+   ids of their bytes.
 4. The encoded chunks return to the documents: as a broadcast table while its counted size
-   is at most `broadcast_bytes`; beyond that by an equi-join on chunks, regrouped by row.
+   is at most `broadcast_bytes`; beyond that each block of texts asks for its distinct chunks
+   by an equi-join and gets them back in one row.
 
 Chunks longer than 62 characters (long runs of letters or spaces) are merged by the same
 rule in a heap, in a Python function: a long has no more bits.
@@ -34,10 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_blocks, documents, in_blocks, staged
+from .common import by_blocks, documents, in_blocks, packed, staged, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, LONGEST = "▁", 62
+SPACE, LONGEST, BLOCK = "▁", 62, 2 << 20
 
 
 class Pieces:
@@ -72,6 +76,23 @@ class Pieces:
         byte = {i: bytes([b]) for b, i in enumerate(self.byte_ids)}
         return [byte[i] if i in byte else b"" if i in self.special else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+    @functools.cached_property
+    def irregular(self) -> list[int]:
+        """Ids of pieces whose edge could become applicable after edges of worse scores were merged."""
+        rank = {i: -self.scores[i] for i in self.index.values()}
+
+        def regular(piece: str, own: float) -> bool:
+            parts = list(piece)
+            while len(parts) > 2:
+                known = ((rank[p], i) for i in range(len(parts) - 1) if (p := self.index.get(parts[i] + parts[i + 1])) is not None)
+                best, i = min(known, default=(own, 0))
+                if best >= own:
+                    return False
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return True
+
+        return [i for p, i in self.index.items() if not regular(p, rank[i])]
+
     def decode(self, ids: list[int]) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
@@ -163,20 +184,24 @@ def chunk_table(src: DataFrame, shared) -> DataFrame:
 
 #: One edge in a long: rank of its score, start, end, piece id; so edges sort by score, then from the left.
 _EDGE = "shiftleft(cast(rank as bigint), 32) | shiftleft(cast(s as bigint), 26) | shiftleft(cast(e as bigint), 20) | cast(id as bigint)"
-_S, _E, _ID = "cast(shiftright({x}, 26) & 63L as int)", "cast(shiftright({x}, 20) & 63L as int)", "cast({x} & 1048575L as int)"
-_INSIDE = f"(shiftleft(1L, {_E}) - shiftleft(2L, {_S}))".format(x="x")
-_ENDS = f"(shiftleft(1L, {_S}) | shiftleft(1L, {_E}))".format(x="x")
-_SPAN = f"struct(x as edge, {_ENDS} as ends, {_INSIDE} as inside)"
-_MERGES = """
-aggregate(sequence(1, greatest(n - 1, 1)), ~shiftleft(-1L, n + 1), (st, i) -> st & ~coalesce(
-  array_min(filter(spans, x -> (st & x.ends) = x.ends and bit_count(st & x.inside) = 1)).inside, 0L))
+#: The id of a single character without a piece.
+_NONE = 1048575
+_S, _E = "cast(shiftright(x, 26) & 63L as int)", "cast(shiftright(x, 20) & 63L as int)"
+_INSIDE, _ENDS = f"(shiftleft(1L, {_E}) - shiftleft(2L, {_S}))", f"(shiftleft(1L, {_S}) | shiftleft(1L, {_E}))"
+_ALL = "~shiftleft(-1L, n + 1)"
+_ONE_PASS = f"""
+aggregate(wide, {_ALL}, (st, x) -> if((st & {_ENDS}) = {_ENDS} and bit_count(st & {_INSIDE}) = 1, st & ~{_INSIDE}, st))
+"""
+_START_OVER = f"""
+aggregate(sequence(1, greatest(n - 1, 1)), {_ALL}, (st, i) -> st & ~coalesce(
+  get(transform(filter(wide, x -> (st & {_ENDS}) = {_ENDS} and bit_count(st & {_INSIDE}) = 1), x -> {_INSIDE}), 0), 0L))
 """
 #: Chunks a task groups at a time, and the number beyond which its hash table gives way to a sort.
 CHUNKS_A_TASK, HASHED = 16_000, 64_000
 
 
 def lattice_ids(table: DataFrame, pieces: Pieces) -> DataFrame:
-    """key and ids of every chunk of the table (key, chunk), staged."""
+    """key, chunk and ids of every chunk of the table (key, chunk), staged."""
     spark = table.sparkSession
     ranks = {x: i for i, x in enumerate(sorted({-pieces.scores[i] for i in pieces.index.values()}))}
     rows = [(p, i, ranks[-pieces.scores[i]]) for p, i in pieces.index.items()]
@@ -186,26 +211,29 @@ def lattice_ids(table: DataFrame, pieces: Pieces) -> DataFrame:
     short = short.repartition(parts, "key").withColumn("n", F.length("chunk"))
     starts = short.selectExpr("key", "chunk", "n", "explode(sequence(0, n - 1)) as s")
     spans = starts.selectExpr("key", "chunk", "n", "s", f"explode(sequence(s + 1, least(n, s + {pieces.longest}))) as e").selectExpr("key", "chunk", "n", "s", "e", "substring(chunk, s + 1, e - s) as piece")
-    # Single characters always stay as rows, so that a chunk without any piece keeps its row; their edge is null then.
+    # Every single character gives an edge, so that it has an id or is known to have none.
     # Rows are dealt by key already, so the grouping needs no further exchange.
-    edges = spans.join(vocabulary, "piece", "left").where("id is not null or e = s + 1").groupBy("key", "chunk").agg(F.expr(f"collect_list(if(id is null, null, {_EDGE}))").alias("edges"))
-    wide = f"{_E} - {_S} > 1".format(x="x")
-    folded = edges.selectExpr("key", "chunk", "length(chunk) as n", "edges", f"transform(filter(edges, x -> {wide}), x -> {_SPAN}) as spans").selectExpr("key", "chunk", "n", "edges", f"{_MERGES} as bits")
-    cuts = folded.selectExpr("key", "chunk", "edges", "filter(sequence(0, n), i -> (bits & shiftleft(1L, i)) <> 0) as cuts")
-    as_bytes = f"transform(sequence(0, octet_length(substring(chunk, cuts[i] + 1, 1)) - 1), j -> cast(conv(substring(hex(encode(substring(chunk, cuts[i] + 1, 1), 'UTF-8')), 2 * j + 1, 2), 16, 10) as int) + {pieces.byte_ids[0] if pieces.byte_ids else 0})"
-    on = f"{_S} = cuts[i] and {_E} = cuts[i + 1]".format(x="x")
-    ids = cuts.selectExpr("key", f"flatten(transform(sequence(0, size(cuts) - 2), i -> if(exists(edges, x -> {on}), transform(filter(edges, x -> {on}), x -> {_ID.format(x='x')}), {as_bytes}))) as ids")
+    known = spans.join(vocabulary, "piece", "left").where("id is not null or e = s + 1").selectExpr("key", "chunk", "s", "e", f"coalesce(id, {_NONE}) as id", "coalesce(rank, 0) as rank")
+    odd = f"bool_or(id in ({', '.join(map(str, [-1, *pieces.irregular]))}))"
+    edges = known.groupBy("key", "chunk").agg(F.expr(f"collect_list({_EDGE})").alias("edges"), F.expr(odd).alias("odd"))
+    sorted_wide = edges.selectExpr("key", "chunk", "length(chunk) as n", "edges", "odd", f"array_sort(filter(edges, x -> {_E} - {_S} > 1)) as wide")
+    folded = sorted_wide.selectExpr("key", "chunk", "edges", f"if(odd, {_START_OVER}, {_ONE_PASS}) as bits")
+    # The edges between neighbouring boundaries, from the left.
+    path = folded.selectExpr("key", "chunk", f"array_sort(transform(filter(edges, x -> (bits & {_ENDS}) = {_ENDS} and (bits & {_INSIDE}) = 0), x -> x & 4294967295L)) as path")
+    as_bytes = f"transform(sequence(0, octet_length(substring(chunk, {_S} + 1, 1)) - 1), j -> cast(conv(substring(hex(encode(substring(chunk, {_S} + 1, 1), 'UTF-8')), 2 * j + 1, 2), 16, 10) as int) + {pieces.byte_ids[0] if pieces.byte_ids else 0})"
+    id_of = "cast(x & 1048575L as int)"
+    ids = path.selectExpr("key", "chunk", f"if(exists(path, x -> {id_of} = {_NONE}), flatten(transform(path, x -> if({id_of} = {_NONE}, {as_bytes}, array({id_of})))), transform(path, x -> {id_of})) as ids")
     shared = spark.sparkContext.broadcast(pieces)
 
     def long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_blocks(batches, "chunk", 1 << 20):
-            yield pa.record_batch([b.column(0), pa.array([shared.value.merge(c) for c in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["key", "ids"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array([shared.value.merge(c) for c in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["key", "chunk", "ids"])
 
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(name)
     spark.conf.set(name, str(HASHED))
     try:
-        return staged(ids.unionByName(table.where(F.length("chunk") > LONGEST).select("key", "chunk").mapInArrow(long, "key long, ids array<int>")), "pieces-ids")
+        return staged(ids.unionByName(table.where(F.length("chunk") > LONGEST).select("key", "chunk").mapInArrow(long, "key long, chunk string, ids array<int>")), "pieces-ids")
     finally:
         spark.conf.set(name, before)
 
@@ -220,7 +248,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     encoded = lattice_ids(table, pieces)
     size = encoded.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
     if size.n == size.keys and size.n * 16 + size.ids * 4 <= broadcast_bytes:
-        got = encoded.orderBy("key").toArrow()
+        got = encoded.select("key", "ids").orderBy("key").toArrow()
         lists = got.column("ids").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         lookup = spark.sparkContext.broadcast((got.column("key").to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(np.int32)))
@@ -241,28 +269,34 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
         return by_blocks(src, block, f"id {kind}, ids array<int>, round_trip boolean", limit=1 << 20).withColumnRenamed("id", id_col)
 
-    # Beyond the bound: chunks as rows, joined to their ids and put together again by row.
-    keyed = staged(src.withColumn("row", F.monotonically_increasing_id()), "pieces-rows")
-
-    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        joined, starts, sizes, _, counts = chunks(b.column(1).to_pylist(), shared.value)
-        row = np.repeat(b.column(0).to_numpy(), counts)
-        first = np.repeat(np.cumsum(counts) - counts, counts)
-        found = [joined[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-        return pa.record_batch([pa.array(row, pa.int64()), pa.array(np.arange(len(row)) - first, pa.int64()), pa.array(found, pa.string())], ["row", "no", "chunk"])
+    # Beyond the bound: each block asks for its distinct chunks, whatever the number of their occurrences.
+    blocks = staged(packed(src, "text", BLOCK), "pieces-blocks")
 
-    parts = by_blocks(keyed.select("row", "text"), rows, "row long, no long, chunk string")
-    whole = staged(table.withColumn("at", F.monotonically_increasing_id()), "pieces-named")
-    again = lattice_ids(whole.select(F.col("at").alias("key"), "chunk"), pieces)
-    named = staged(again.join(whole.select(F.col("at").alias("key"), "chunk"), "key").select("chunk", "ids"), "pieces-by-chunk")
-    lists = parts.join(named, "chunk").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("no", "ids"))).alias("parts"))
-    out = keyed.join(lists, "row", "left").select("id", "text", F.coalesce(F.flatten(F.col("parts.ids")), F.array().cast("array<int>")).alias("ids"))
-
-    def check(b: pa.RecordBatch) -> pa.RecordBatch:
-        same = [shared.value.decode(i) == (t or "").replace(SPACE, " ") for t, i in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        return pa.record_batch([b.column(0), b.column(2), pa.array(same)], ["id", "ids", "round_trip"])
-
-    return by_blocks(out, check, f"id {kind}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                wanted: set[str] = set()
+                for part in unpacked(body, "text", 1 << 20):
+                    joined, starts, sizes, _, _ = chunks(part.column("text").to_pylist(), shared.value)
+                    wanted.update(joined[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True))
+                yield pa.record_batch([pa.array([block] * len(wanted), pa.int64()), pa.array(list(wanted), pa.string())], ["block", "chunk"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body, pairs in zip(b.column(0), b.column(1), strict=True):
+                known = dict(zip(pairs.values.field(0).to_pylist(), pairs.values.field(1).to_pylist(), strict=True)) if pairs.is_valid else {}
+                for part in unpacked(body, "text", 1 << 20):
+                    texts = part.column("text").to_pylist()
+                    joined, starts, sizes, _, counts = chunks(texts, shared.value)
+                    found = [known[joined[s : s + n]] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+                    ends = np.cumsum(counts).tolist()
+                    rows = [[i for ids in found[e - n : e] for i in ids] for e, n in zip(ends, counts.tolist(), strict=True)]
+                    same = [shared.value.decode(i) == (t or "").replace(SPACE, " ") for t, i in zip(texts, rows, strict=True)]
+                    yield pa.record_batch([part.column("id"), pa.array(rows, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["id", "ids", "round_trip"])
+
+    answers = blocks.mapInArrow(ask, "block long, chunk string").join(encoded.select("chunk", "ids"), "chunk").groupBy("block").agg(F.collect_list(F.struct("chunk", "ids")).alias("pairs"))
+    out = blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, f"id {kind}, ids array<int>, round_trip boolean")
+    return out.withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
