@@ -18,10 +18,10 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, staged, staged_path
+from .common import ascii_lower, documents, fresh, staged, staged_path
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -90,6 +90,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "locator")
 
 
+def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs that stay, with its columns: of equal texts the row with the largest id (null before all).
+
+    Of rows equal in id and normalised text the one whose text sorts first stays, of wholly equal ones any. The keys of
+    dropped rows, and of repeated ones, are broadcast while counted within broadcast_bytes.
+    """
+    found = staged(exact_dedup(docs, id_col, text_col).select(F.struct(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha")).alias("row"), "kept"), "dedup-rows")
+    lost, twice = found.where("not kept").select("row"), found.where("kept").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row")
+    at, no = fresh(docs, "_row"), fresh(docs, "_no")
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))
+    keyed = docs.withColumn(at, F.struct(docs[id_col].alias("id"), sha.alias("sha")))
+
+    def gone(rows: DataFrame) -> tuple[DataFrame, bool]:
+        rows = staged(rows.distinct(), "dropped")
+        n = rows.count()
+        return (F.broadcast(rows) if n * 64 <= broadcast_bytes else rows), n > 0
+
+    drop, _ = gone(lost)
+    out = keyed.join(drop, F.col(at).eqNullSafe(F.col("row")), "left_anti")
+    again, any_twice = gone(twice)
+    if not any_twice:
+        return out.drop(at)
+    once = out.join(again, F.col(at).eqNullSafe(F.col("row")), "left_anti").drop(at)
+    first = Window.partitionBy(at).orderBy(F.col(text_col).asc_nulls_first())
+    rest = out.join(again, F.col(at).eqNullSafe(F.col("row")), "left_semi").withColumn(no, F.row_number().over(first)).where(F.col(no) == 1)
+    return once.unionByName(rest.drop(at, no))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir)).drop("locator")
 

@@ -7,20 +7,30 @@ and with the next lower order. Neither the characters nor the n-grams are limite
 grows with its input. It is a staged table of 64-bit keys and values: the probability of each n-gram
 seen, of all orders, and the back-off weight of each context.
 
-Scoring: texts are read in blocks, and a block asks for the keys of its distinct n-grams
-only. While the model's counted size is within `broadcast_bytes` each task looks them up in
-a sorted copy. Beyond it the blocks' keys are joined with the model's shards, and the values
-found return to their block, so that no task holds more than one block and its answers. Both
-ways give the same figures.
+Scoring: texts are read in blocks, and a block asks for its distinct n-grams of the highest
+order only. The distinct n-grams of all blocks are joined with the model's shards: first by
+themselves, and only those never seen go on to the contexts and the lower orders. The
+probabilities found return to the blocks by an equi-join on the n-gram, so that no task holds
+more than one block and its answers. The `hot` most frequent n-grams of the training texts,
+which nearly every block would ask for, are a broadcast table of that fixed size, so that no
+n-gram of the join is hot. With `broadcast_bytes` above 0 a model within that counted size
+is looked up in a sorted copy instead; both ways give the same figures.
+
+Cross-fit: trusted texts are dealt into `folds` by crc32(id); a document, trusted or not, is
+scored by the model of the trusted texts of the other folds, so no text is judged by its own
+counts, and the perplexities of all trusted texts make the thresholds.
 
 A text's perplexity is per character, smoothed towards the trusted mean by `prior`
 characters so that short texts aren't judged by a few letters. The threshold of a language
-is the `quantile` of its trusted texts outside the training folds times `slack`; languages
-with fewer than `min_rows` such texts use the threshold of all. Texts above are rejected.
+is the `quantile` of its trusted texts times `slack`; languages with fewer than `min_rows`
+such texts use the threshold of all. Texts above are rejected.
 
 Defined results: null and empty texts get the trusted mean and are accepted; a null
 language is a language of its own; without trusted text all is accepted with a null
-perplexity. Repeated rows are scored row by row; other columns pass through unread.
+perplexity; a null id is of fold 0; where a fold's others hold no text, the model of all
+trusted texts scores it. Repeated rows are scored row by row, also where an id has several
+texts or labels (one label 1 makes all its texts trusted); an empty table gives an empty
+result; other columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -32,13 +42,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_blocks, documents, in_blocks, staged, table
+from .common import by_blocks, documents, packed, row_key, scratch, staged, table, unpacked, without
 
-ORDER, BLOCK, BROADCAST_BYTES = 5, 4 << 20, 128 << 20
+#: Characters of context, bytes of text worked on at once, bytes of text that ask together, and the n-grams that are broadcast.
+ORDER, BLOCK, ASK, HOT = 5, 2 << 20, 16 << 20, 1 << 17
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,14 +104,14 @@ def _codes(joined: np.ndarray, where: np.ndarray, order: int) -> Iterator[tuple[
 
 @dataclasses.dataclass
 class Model:
-    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the trusted mean in bits."""
+    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the most frequent n-grams of the highest order (gram, p)."""
 
     order: int
     rows: DataFrame
     size: int
     floor: float
     chars: int
-    mean: float = 0.0
+    hot: DataFrame | None = None
 
     @functools.cached_property
     def shared(self):
@@ -112,18 +122,6 @@ class Model:
         return self.rows.sparkSession.sparkContext.broadcast((keys[by], values[by]))
 
 
-def _wanted(texts: list[str | None], order: int) -> np.ndarray:
-    """All keys that the scores of these texts may need, each once."""
-    joined, at, _ = _points(texts, order)
-    where, _ = _distinct(joined, at, order)
-    keys = []
-    for n, (code, context) in enumerate(_codes(joined, where, order), 1):
-        keys.append(_key(code, n, False))
-        if n > 1:
-            keys.append(_key(context, n, True))
-    return np.unique(np.concatenate(keys))
-
-
 def _bits(texts: list[str | None], order: int, floor: float, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits and characters of each text; `known` is sorted."""
 
@@ -148,6 +146,11 @@ def _bits(texts: list[str | None], order: int, floor: float, known: np.ndarray,
         if n > 1:
             p[left] *= look(_key(context[~hit], n, True), 1.0)
     p[left] *= floor
+    return _summed(p, which, lens)
+
+
+def _summed(p: np.ndarray, which: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and characters of each text from the probabilities of the distinct n-grams, which of these stand where, and the texts' lengths."""
     sums = np.concatenate([[0.0], np.cumsum(-np.log2(np.maximum(p, 1e-12))[which])])
     ends = np.cumsum(lens)
     return sums[ends] - sums[ends - lens], lens
@@ -177,7 +180,7 @@ def _keyed(df: DataFrame, order: int, length: int, context: bool) -> DataFrame:
     return df.mapInArrow(run, "key long, value float")
 
 
-def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> Model | None:
+def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: int = HOT) -> Model | None:
     """The model of all trusted texts; None if they hold no character."""
     src = trusted.select(trusted[text_col].alias("text"))
     grams = [staged(_counts(src, order), "lm-grams")]
@@ -207,88 +210,143 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER) -> Mod
         lower = staged(p, "lm-probs")
         parts.append(_keyed(lower.select("gram", F.col("p").cast("float").alias("value")), n, n, False))
     rows = staged(functools.reduce(DataFrame.unionByName, parts), "lm-model")
-    return Model(order, rows, rows.count(), floor, chars)
+    most = grams[-1].orderBy(F.desc("n"), "gram").limit(hot).select("gram")
+    most = staged(lower.join(F.broadcast(most), "gram").select("gram", F.col("p").cast("float").alias("p")), "lm-hot")
+    return Model(order, rows, rows.count(), floor, chars, most)
 
 
-def perplexities(docs: DataFrame, model: Model, text_col: str = "text", prior: float = 200.0, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with `lm_bits` (of the whole text), `lm_chars` and `lm_perplexity` per character (smoothed) behind its columns."""
-    at = docs.columns.index(text_col)
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    order, floor, mean = model.order, model.floor, model.mean
-    plain = docs.toDF(*names)
-    schema = ", ".join(f"{n} {kind}" for n, (_, kind) in zip(names, docs.dtypes, strict=True)) + ", bits double, chars long, perplexity double"
+def _grams(texts: list[str | None], order: int) -> set[str]:
+    """The distinct n-grams of the texts, as strings that start with zeros before a text."""
+    joined, at, _ = _points(texts, order)
+    where, _ = _distinct(joined, at, order)
+    return set(joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel().tolist())
+
+
+def _gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The model's keys of the n-grams, and those to go on with: context, next lower order, its context, and so on."""
+    joined = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = list(_codes(joined, np.arange(order - 1, len(joined), order), order))
+    rest = []
+    for n in range(order, 0, -1):
+        code, context = codes[n - 1]
+        if n < order:
+            rest.append(_key(code, n, False))
+        if n > 1:
+            rest.append(_key(context, n, True))
+    return _key(codes[-1][0], order, False), rest
 
-    def score(b: pa.RecordBatch, known: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        bits, lens = _bits(b.column(at).to_pylist(), order, floor, known, values)
-        ppl = np.exp2((bits + prior * mean) / (lens + prior))
-        return pa.record_batch([*b.columns, pa.array(bits), pa.array(lens), pa.array(ppl)], [*names, "bits", "chars", "perplexity"])
+
+def _resolved(grams: DataFrame, model: Model) -> DataFrame:
+    """gram and p of distinct n-grams of the highest order, by joins with the model's shards."""
+    order = model.order
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                own, rest = _gram_keys(b.column(0).to_pylist(), order)
+                flat = pa.array(np.stack(rest, 1).ravel())
+                yield pa.record_batch([b.column(0), pa.array(own), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(rest)), flat)], ["gram", "own", "rest"])
+
+    shards = model.rows.select(F.col("key").alias("own"), "value")
+    first = staged(grams.mapInArrow(keys, "gram string, own long, rest array<long>").join(shards, "own", "left"), "lm-first")
+    seen = first.where("value is not null").select("gram", F.col("value").cast("double").alias("p"))
+    rest = first.where("value is null").select("gram", F.posexplode("rest").alias("slot", "own")).join(shards, "own", "left")
+    wide = rest.groupBy("gram").agg(*[F.max(F.when(F.col("slot") == i, F.col("value").cast("double"))).alias(f"v{i}") for i in range(2 * order - 2)])
+    p = F.lit(model.floor)
+    for n in range(1, order):  # at slots from the end: order 1, context of 2, order 2, context of 3, ...
+        at = 2 * (order - n) - 1
+        p = F.coalesce(F.col(f"v{at - 1}"), F.lit(1.0)) * F.coalesce(F.col(f"v{at}"), p)
+    return seen.unionByName(wide.select("gram", p.alias("p")))
+
+
+def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame:
+    """From rows with a column `text` and others: the others, lm_bits (of the whole text) and lm_chars. The texts themselves don't come back."""
+    order, floor = model.order, model.floor
+    others = [c for c in src.columns if c != "text"]
+    kinds = dict(src.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "lm_bits double", "lm_chars long"])
+
+    def scored(b: pa.RecordBatch, bits: np.ndarray, lens: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([*(b.column(c) for c in others), pa.array(bits), pa.array(lens)], [*others, "lm_bits", "lm_chars"])
 
     if model.size * 12 <= broadcast_bytes:
         shared = model.shared
-        out = by_blocks(plain, lambda b: score(b, *shared.value), schema, names[at], BLOCK)
-    else:
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            part = TaskContext.get().partitionId()
-            for i, b in enumerate(in_blocks(batches, names[at], BLOCK)):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                    w.write_batch(b)
-                yield pa.record_batch([pa.array([part << 32 | i]), pa.array([sink.getvalue().to_pybytes()])], ["block", "body"])
-
-        def opened(body: pa.Scalar) -> pa.RecordBatch:
-            return pa.ipc.open_stream(body.as_buffer()).read_next_batch()
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for block, body in zip(b.column(0), b.column(1), strict=True):
-                    keys = _wanted(opened(body).column(at).to_pylist(), order)
-                    yield pa.record_batch([pa.array(np.full(len(keys), block.as_py(), np.int64)), pa.array(keys)], ["block", "key"])
-
-        def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for body, pairs in zip(b.column(0), b.column(1), strict=True):
-                    if pairs.is_valid:
-                        known, values = (pairs.values.field(i).to_numpy() for i in (0, 1))
-                        by = np.argsort(known)
-                        known, values = known[by], values[by]
-                    else:
-                        known, values = np.zeros(0, np.int64), np.zeros(0, np.float32)
-                    yield score(opened(body), known, values)
-
-        blocks = staged(plain.mapInArrow(pack, "block long, body binary"), "lm-blocks")
-        answers = blocks.mapInArrow(ask, "block long, key long").join(model.rows, "key").groupBy("block").agg(F.collect_list(F.struct("key", "value")).alias("pairs"))
-        out = blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, schema)
-    return out.toDF(*docs.columns, "lm_bits", "lm_chars", "lm_perplexity")
-
-
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 5, prior: float = 200.0, order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """docs with lm_perplexity, lm_threshold and lm_accepted. Trusted texts of fold 0 (crc32(id) mod folds) set the thresholds, the others train."""
-    src = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
-    good = labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label = 1").select("id").distinct()
-    fold = F.crc32(F.col("id").cast("string")) % folds
-    trusted = staged(src.join(good, "id", "left_semi").withColumn("fold", fold), "lm-trusted")
-    model = train(trusted.where("fold <> 0"), order=order)
-    if model is None:
-        return docs.select("*", F.lit(None).cast("double").alias("lm_perplexity"), F.lit(None).cast("double").alias("lm_threshold"), F.lit(True).alias("lm_accepted"))
-    seen = staged(perplexities(trusted.where("fold = 0").select("lang", "text"), model, prior=prior, broadcast_bytes=broadcast_bytes).select("lang", "lm_bits", "lm_chars"), "lm-held")
-    sums = seen.agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
-    model.mean = sums.b / sums.c if sums.c else math.log2(model.chars) / 2
-    seen = seen.select("lang", F.pow(F.lit(2.0), (F.col("lm_bits") + prior * model.mean) / (F.col("lm_chars") + prior)).alias("p"))
+        return by_blocks(src, lambda b: scored(b, *_bits(b.column("text").to_pylist(), order, floor, *shared.value)), schema, limit=BLOCK)
+    got = model.hot.toArrow()  # HOT rows at most
+    common = src.sparkSession.sparkContext.broadcast(dict(zip(got.column("gram").to_pylist(), got.column("p").to_pylist(), strict=True)))
+    blocks = staged(packed(src, "text", ASK), "lm-blocks")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                wanted: set[str] = set()
+                for part in unpacked(body, "text", BLOCK):
+                    wanted |= _grams(part.column("text").to_pylist(), order) - common.value.keys()
+                yield pa.record_batch([pa.array([block] * len(wanted), pa.int64()), pa.array(list(wanted), pa.string())], ["block", "gram"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body, pairs in zip(b.column(0), b.column(1), strict=True):
+                known = dict(zip(pairs.values.field(0).to_pylist(), pairs.values.field(1).to_pylist(), strict=True)) if pairs.is_valid else {}
+                for part in unpacked(body, "text", BLOCK):
+                    joined, at, lens = _points(part.column("text").to_pylist(), order)
+                    where, which = _distinct(joined, at, order)
+                    grams = joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel().tolist()
+                    p = np.array([common.value[g] if g in common.value else known[g] for g in grams])
+                    yield scored(part, *_summed(p, which, lens))
+
+    asked = staged(blocks.mapInArrow(ask, "block long, gram string"), "lm-asked")
+    resolved = _resolved(asked.select("gram").distinct(), model)
+    answers = asked.join(resolved, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "p")).alias("pairs"))
+    return blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, schema)
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 2, prior: float = 200.0, order: int = ORDER, broadcast_bytes: int = 0, label_bytes: int = 64 << 20) -> DataFrame:
+    """Per row of docs, without its text: id, lang, key (the row's own, see row_key), perplexity, threshold, accepted. The trusted ids are broadcast while counted within `label_bytes`."""
+    key = row_key(docs[id_col], docs[lang_col], docs[text_col])
+    src = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), key.alias("key"), docs[text_col].alias("text"))
+    good = staged(labels.select(labels[id_col].alias("id"), labels[label_col].alias("label")).where("label = 1 and id is not null").select("id").distinct(), "lm-good")
+    good = F.broadcast(good) if good.count() * 16 <= label_bytes else good
+    fold = F.coalesce(F.crc32(F.col("id").cast("string")) % folds, F.lit(0))
+    trusted = src.join(good, "id", "left_semi").select("id", "text")
+    everything, parts = [], []
+    for f in range(folds):
+        model = train(trusted.where(fold != f).select("text"), order=order)
+        if model is None:
+            everything = everything or [train(trusted.select("text"), order=order)]
+            model = everything[0]
+        if model is None:
+            nothing = F.lit(None).cast("double")
+            return src.select("id", "lang", "key", nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("accepted"))
+        made: list[DataFrame] = []
+        with scratch(src.sparkSession, lambda: made):  # noqa: B023  used at once
+            made.append(staged(tallied(src.where(fold == f), model, broadcast_bytes), "lm-tallied"))
+        parts += [(made[0], model)]
+    scored = functools.reduce(DataFrame.unionByName, [p for p, _ in parts])
+    held = scored.join(good, "id", "left_semi")
+    sums = held.agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
+    mean = sums.b / sums.c if sums.c else math.log2(parts[0][1].chars) / 2
+    perplexity = F.pow(F.lit(2.0), (F.col("lm_bits") + prior * mean) / (F.col("lm_chars") + prior))
+    seen = held.select("lang", perplexity.alias("p"))
     at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000)) * slack
     overall = seen.agg(at.alias("overall")).first().overall
-    limits = staged(seen.groupBy("lang").agg(at.alias("lm_own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select(F.col("lang").alias("lm_lang"), "lm_own"), "lm-limits")
+    limits = staged(seen.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select(F.col("lang").alias("of"), "own"), "lm-limits")
     limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
-    scored = perplexities(docs, model, text_col, prior, broadcast_bytes)
-    joined = scored.join(limits, scored[lang_col].eqNullSafe(F.col("lm_lang")), "left")
-    limit = F.coalesce(F.col("lm_own"), F.lit(overall).cast("double"), F.lit(float("inf")))
-    return joined.select(*[scored[c] for c in docs.columns], "lm_perplexity", limit.alias("lm_threshold"), (F.col("lm_perplexity") <= limit).alias("lm_accepted"))
+    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("of")), "left")
+    limit = F.coalesce(F.col("own"), F.lit(overall).cast("double"), F.lit(float("inf")))
+    return joined.select("id", "lang", "key", perplexity.alias("perplexity"), limit.alias("threshold")).withColumn("accepted", F.col("perplexity") <= F.col("threshold"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """Per row of docs: id, lang, perplexity, threshold, accepted."""
-    out = judged(docs.select(id_col, lang_col, text_col), labels, id_col, text_col, lang_col, **options)
-    return out.select(id_col, lang_col, F.col("lm_perplexity").alias("perplexity"), F.col("lm_threshold").alias("threshold"), F.col("lm_accepted").alias("accepted"))
+    out = judged(docs, labels, id_col, text_col, lang_col, **options)
+    return out.select(F.col("id").alias(id_col), F.col("lang").alias(lang_col), "perplexity", "threshold", "accepted")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
+    """The rows of docs that aren't rejected, with its columns. Only keys of rejected rows meet the texts again."""
+    out = judged(docs, labels, id_col, text_col, lang_col, **options)
+    return without(docs, row_key(docs[id_col], docs[lang_col], docs[text_col]), out.where("not accepted").select(F.col("key").alias("gone")))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
