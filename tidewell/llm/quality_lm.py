@@ -42,13 +42,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_blocks, documents, packed, row_key, scratch, staged, table, unpacked, without
 
 #: Characters of context, bytes of text worked on at once, bytes of text that ask together, and the n-grams that are broadcast.
-ORDER, BLOCK, ASK, HOT = 5, 2 << 20, 16 << 20, 1 << 17
+ORDER, BLOCK, ASK, HOT = 5, 2 << 20, 16 << 20, 1 << 18
+#: What stands before a text; a text's own, and its zeros, are read as U+FFFD.
+PAD = "\x03"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,9 +72,9 @@ def _key(code: np.ndarray, order: int, context: bool) -> np.ndarray:
 
 
 def _points(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, order - 1 zeros before each; the positions of the texts' characters; and the texts' lengths."""
-    pad = "\x00" * (order - 1)
-    texts = [t.replace("\x00", "�") if t else "" for t in texts]
+    """Code points of all texts, order - 1 pads before each; the positions of the texts' characters; and the texts' lengths."""
+    pad = PAD * (order - 1)
+    texts = [t.replace("\x00", "�").replace(PAD, "�") if t else "" for t in texts]
     joined = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     lens = np.array([len(t) for t in texts], np.int64)
     heads = np.cumsum(lens + order - 1) - lens
@@ -156,14 +159,18 @@ def _summed(p: np.ndarray, which: np.ndarray, lens: np.ndarray) -> tuple[np.ndar
     return sums[ends] - sums[ends - lens], lens
 
 
+def _strings(joined: np.ndarray, where: np.ndarray, order: int) -> pa.Array:
+    """The n-grams that end at `where`."""
+    return pa.array(joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel(), pa.string())
+
+
 def _counts(docs: DataFrame, order: int) -> DataFrame:
-    """The n-grams of docs.text, as strings that start with zeros before a text, and how often they occur."""
+    """The n-grams of docs.text, as strings that start with pads before a text, and how often they occur."""
 
     def block(b: pa.RecordBatch) -> pa.RecordBatch:
         joined, at, _ = _points(b.column(0).to_pylist(), order)
         where, which = _distinct(joined, at, order)
-        grams = joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel()
-        return pa.record_batch([pa.array(grams.tolist(), pa.string()), pa.array(np.bincount(which, minlength=len(where)), pa.int64())], ["gram", "n"])
+        return pa.record_batch([_strings(joined, where, order), pa.array(np.bincount(which, minlength=len(where)), pa.int64())], ["gram", "n"])
 
     return by_blocks(docs, block, "gram string, n long", limit=BLOCK).groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -215,13 +222,6 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: i
     return Model(order, rows, rows.count(), floor, chars, most)
 
 
-def _grams(texts: list[str | None], order: int) -> set[str]:
-    """The distinct n-grams of the texts, as strings that start with zeros before a text."""
-    joined, at, _ = _points(texts, order)
-    where, _ = _distinct(joined, at, order)
-    return set(joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel().tolist())
-
-
 def _gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The model's keys of the n-grams, and those to go on with: context, next lower order, its context, and so on."""
     joined = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -272,28 +272,32 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     if model.size * 12 <= broadcast_bytes:
         shared = model.shared
         return by_blocks(src, lambda b: scored(b, *_bits(b.column("text").to_pylist(), order, floor, *shared.value)), schema, limit=BLOCK)
-    got = model.hot.toArrow()  # HOT rows at most
-    common = src.sparkSession.sparkContext.broadcast(dict(zip(got.column("gram").to_pylist(), got.column("p").to_pylist(), strict=True)))
+    got = model.hot.toArrow().combine_chunks()  # HOT rows at most
+    common = src.sparkSession.sparkContext.broadcast((pa.array(got.column("gram").to_pylist(), pa.string()), got.column("p").to_numpy().astype(np.float64)))
     blocks = staged(packed(src, "text", ASK), "lm-blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                wanted: set[str] = set()
+                wanted = pa.array([], pa.string())
                 for part in unpacked(body, "text", BLOCK):
-                    wanted |= _grams(part.column("text").to_pylist(), order) - common.value.keys()
-                yield pa.record_batch([pa.array([block] * len(wanted), pa.int64()), pa.array(list(wanted), pa.string())], ["block", "gram"])
+                    joined, at, _ = _points(part.column("text").to_pylist(), order)
+                    grams = _strings(joined, _distinct(joined, at, order)[0], order)
+                    grams = grams.filter(pc.invert(pc.is_in(grams, common.value[0])))
+                    wanted = pc.unique(pa.concat_arrays([wanted, grams]))
+                yield pa.record_batch([pa.array(np.full(len(wanted), block, np.int64)), wanted], ["block", "gram"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for body, pairs in zip(b.column(0), b.column(1), strict=True):
-                known = dict(zip(pairs.values.field(0).to_pylist(), pairs.values.field(1).to_pylist(), strict=True)) if pairs.is_valid else {}
+                known, p = common.value
+                if pairs.is_valid:
+                    known, p = pa.concat_arrays([known, pairs.values.field(0)]), np.concatenate([p, pairs.values.field(1).to_numpy()])
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, lens = _points(part.column("text").to_pylist(), order)
                     where, which = _distinct(joined, at, order)
-                    grams = joined[where[:, None] - np.arange(order - 1, -1, -1)].view(f"<U{order}").ravel().tolist()
-                    p = np.array([common.value[g] if g in common.value else known[g] for g in grams])
-                    yield scored(part, *_summed(p, which, lens))
+                    found = pc.index_in(_strings(joined, where, order), known).to_numpy(zero_copy_only=False)
+                    yield scored(part, *_summed(p[found], which, lens))
 
     asked = staged(blocks.mapInArrow(ask, "block long, gram string"), "lm-asked")
     resolved = _resolved(asked.select("gram").distinct(), model)
