@@ -1,44 +1,54 @@
-"""Similarity join on word shingles by PartEnum signatures, exact.
+"""Similarity join on word shingles by PartEnum signatures.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set holds its distinct
 5-word shingles (a shorter text is one shingle). Two documents link when
-100 * |r & s| >= 80 * |r | s|.
-
-1. Equal sets collapse: a set is known by the 64-bit digest of its sorted shingles.
-2. PartEnum: sets with |r| + |s| = m that link differ in at most floor(m / 9) shingles. The
-   shingle domain is cut into g parts, g a power of two or one and a half of it, larger by
-   `slack` than that distance; each part that isn't empty gives one signature, the digest of
-   the part's content and g. Sets emit for every g that a partner's size (0.8 to 1.25 times)
-   may ask for, so similar sets of equal or neighbouring size bands share a signature.
-   A set with too few non-empty parts emits its empty ones too, so nothing is lost.
-3. Rows are dealt by signature and sorted (spilling), then read as a stream that keeps at
-   most `cap` members of a group, whatever its size.
-4. Within a group each member is compared with the group's least member; verified links give
-   components. Only groups that still hold several components go on. Groups of at most `cap`
-   members compare the pairs across components. A larger group matters only to sets that
-   have too few small groups to be sure (their distance could touch all of those). Such sets
-   that hang together by large groups form a cloud; it is dealt into blocks of about `block`
-   sets, and each pair of blocks is one bounded product of incidence matrices that returns
-   one link for each two components. Blocks inside one component aren't compared. So no link
-   between components is lost, and no pairs of a hot group are emitted.
+100 * |r & s| >= 80 * |r | s|. Shingles are 64-bit hashes, and a set is known by the 64-bit
+digest of its sorted shingles: among n different ones the odds of any collision are about
+n^2 / 2^65. Otherwise the join is exact.
+
+1. Equal sets collapse.
+2. PartEnum: sets with |r| + |s| = m that link differ in at most k = floor(m / 9) shingles.
+   The shingle domain is cut into n1 > k / 2 partitions, so some partition has at most one
+   difference; each partition is cut into three parts, and every subset of two of the three
+   is enumerated: one of them has no difference. A signature is the digest of a subset's
+   content, its place and n1. n1 follows bands of sizes; sets emit for every band that a
+   partner's size (0.8 to 1.25 times) may ask for, so similar sets of equal or neighbouring
+   bands share a signature. A set with too few non-empty subsets emits its empty ones too,
+   so nothing is lost.
+3. A signature that more than `cap` sets of one block of texts share is settled in that
+   block: its sets point to the least of them, and only that one goes on. So a hot signature
+   reaches its task as one row a block. Rows are dealt by signature and sorted (spilling),
+   then read as a stream that keeps at most `cap` members of a group, whatever its size.
+4. Within a group each member is compared with the group's least member (or its block's);
+   verified links give components. Only groups that still hold several components go on.
+   Groups of at most `cap` members compare the pairs across components. A larger group
+   matters only to sets that have too few small groups to be sure (their distance could touch
+   all of those). Such sets that hang together by large groups form a cloud; it is dealt into
+   blocks of about `block` sets, and each pair of blocks is one bounded product of incidence
+   matrices that returns one link for each two components. Blocks inside one component aren't
+   compared. So no link between components is lost, and no pairs of a hot group are emitted;
+   the work within one cloud does grow with the square of its blocks.
 
 Candidates are compared by sketches first (counts of 256 parts of the domain bound the
 distance from below, so no link is lost). Verification reads the texts themselves; only
-candidate sets' texts are fetched (their keys are broadcast while counted at no more than `broadcast_bytes`, else joined by sort-merge).
+candidate sets' texts are fetched (their keys are broadcast while counted at no more than
+`broadcast_bytes`, else joined by sort-merge), and they travel compressed.
 
 Defined results: null and empty texts, or texts without words, have n_shingles 0 and are
 their own component (component_id is their id); ids that repeat stand for one document in
-component_id; a null id takes the least id of its component, null if it has none. Other
-columns are ignored.
+component_id; a null id takes the least id of its component, null if it has none. An empty
+table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,13 +95,17 @@ def set_key(s: np.ndarray) -> int:
         return int(_mix(np.array([s.sum(dtype=np.uint64) + np.bitwise_xor.reduce(_mix(s + _A[1])) * _A[0] + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-_GRID = np.unique([g for i in range(1, 40) for g in (2**i, 3 * 2 ** (i - 1))])
+#: First-level partitions: bands of this ratio.
+_GRID = np.unique([round(1.5625**i) for i in range(50)])
+#: Second-level parts of each partition, differences allowed in it, and the subsets enumerated.
+PARTS_2, ERRORS_2 = 3, 1
+SUBSETS = list(itertools.combinations(range(PARTS_2), PARTS_2 - ERRORS_2))
 
 
 class Scheme:
-    """Parts per size and the distance bound, for a threshold num/den and a slack."""
+    """Partitions per size and the distance bound, for a threshold num/den and a slack."""
 
-    def __init__(self, num: int = 80, den: int = 100, slack: float = 1.25):
+    def __init__(self, num: int = 80, den: int = 100, slack: float = 1.0):
         self.num, self.den, self.slack = num, den, slack
         self._levels: dict[int, list[tuple[int, int]]] = {}
 
@@ -100,12 +114,17 @@ class Scheme:
         return m - 2 * -(-self.num * m // (self.num + self.den))
 
     def parts(self, largest: int) -> int:
-        """Parts for pairs whose larger set has this size; 0 if such sets link only if equal."""
+        """First-level partitions for pairs whose larger set has this size, so many that one has no more than ERRORS_2 differences; 0 if such sets link only if equal."""
         k = max(self.bound(2 * largest), self.bound(2 * largest - 1), 0)
-        return int(_GRID[np.searchsorted(_GRID, self.slack * (k + 1) + 2)]) if k else 0
+        return int(_GRID[np.searchsorted(_GRID, self.slack * (k // (ERRORS_2 + 1) + 1))]) if k else 0
+
+    @staticmethod
+    def touched(g: int, k: int) -> int:
+        """Most of the g partitions' three subsets each that k differences can touch: the first in a partition touches two, a second the third."""
+        return 2 * k if k <= g else min(3 * g, g + k)
 
     def levels(self, size: int) -> list[tuple[int, int]]:
-        """(parts, distance bound) of every level on which a set of this size may meet a partner."""
+        """(partitions, distance bound) of every level on which a set of this size may meet a partner."""
         if size not in self._levels:
             top = size * self.den // self.num
             found: dict[int, int] = {}
@@ -129,49 +148,48 @@ class Scheme:
             low = a + 1
 
 
-def signatures(sets: list[np.ndarray], scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures, the index of their set, and per set the least number of non-empty parts above the distance bound."""
+def signatures(sets: list[np.ndarray], scheme: Scheme, only_spare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the index of their set, and per set the least number of non-empty subsets that a partner shares for sure; only_spare leaves the first two empty."""
     rows = [(i, g, k) for i, s in enumerate(sets) if len(s) for g, k in scheme.levels(len(s))]
     spare = np.full(len(sets), 2**31 - 1, np.int64)
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), spare
-    owner, parts, bound = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    owner, firsts, bound = (np.array(x, np.int64) for x in zip(*rows, strict=True))
     lens = np.array([len(sets[i]) for i in owner])
     flat = np.concatenate([sets[i] for i in owner])
+    base = np.cumsum(firsts) - firsts  # the first partition of each row
     row = np.repeat(np.arange(len(rows)), lens)
-    g = parts[row].astype(np.uint64)
-    part = ((flat >> np.uint64(32)) * g) >> np.uint64(32)  # rises with the element, so parts are runs
-    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
     with np.errstate(over="ignore"):
-        content = np.add.reduceat(_mix(flat + _A[2]), first)
-        sig = _mix(content + part[first] * _A[3] + g[first] * _A[4])
-    of = row[first]
-    full = np.bincount(of, minlength=len(rows))
-    np.minimum.at(spare, owner, full - bound)
-    extra_sig, extra_of = [], []
-    for r in np.flatnonzero(full <= bound):  # too few parts in use: its empty parts count as well
-        used = set(part[first][of == r].tolist())
-        for p in range(int(parts[r])):
-            if p not in used:
-                extra_of.append(r)
-                with np.errstate(over="ignore"):
-                    extra_sig.append(_mix(np.array([p], np.uint64) * _A[3] + np.uint64(int(parts[r])) * _A[4])[0])
-    if extra_sig:
-        sig, of = np.concatenate([sig, np.array(extra_sig, np.uint64)]), np.concatenate([of, np.array(extra_of, np.int64)])
-    return sig.view(np.int64), owner[of], spare
+        part = base[row] * PARTS_2 + (((flat >> np.uint64(32)) * (firsts[row] * PARTS_2).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)  # rises with the element, so parts are runs
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        full = np.zeros((int(firsts.sum()), PARTS_2), bool)
+        full.reshape(-1)[part[first]] = True
+        of = np.repeat(np.arange(len(rows)), firsts)
+        some = np.stack([np.logical_or.reduce([full[:, j] for j in subset]) for subset in SUBSETS], 1)
+        sure = np.bincount(of, some.sum(1), len(rows)).astype(np.int64) - np.array([scheme.touched(g, k) for _, g, k in rows])
+        np.minimum.at(spare, owner, sure)
+        if only_spare:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), spare
+        some |= (sure <= 0)[of][:, None]  # too few subsets in use: the empty ones count as well
+        content = np.zeros(full.shape, np.uint64)
+        content.reshape(-1)[part[first]] = np.add.reduceat(_mix(flat + _A[2]), first)
+        place = (np.arange(len(of)) - base[of]).astype(np.uint64) * _A[3] + firsts[of].astype(np.uint64) * _A[4]
+        parts = [_mix(content[:, j] + np.uint64(j + 1) * _A[0]) for j in range(PARTS_2)]
+        sig = np.stack([_mix(sum(parts[j] for j in subset) + place + np.uint64(n + 1) * _A[1]) for n, subset in enumerate(SUBSETS)], 1)
+    return sig[some].view(np.int64), np.repeat(owner[of], some.sum(1)), spare
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """rk, id, text -> rk, id, set, n, spare."""
     for b in in_blocks(batches, "text", 8 << 20):
         sets = shingle_sets(b.column(2).to_pylist(), k)
-        _, _, spare = signatures(sets, scheme)
+        _, _, spare = signatures(sets, scheme, True)
         keys = [set_key(s) if len(s) else None for s in sets]
         yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(spare)], ["rk", "id", "set", "n", "spare"])
 
 
-def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """text -> sig, set; copies within the task count once."""
+def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int) -> Iterator[pa.RecordBatch]:
+    """text -> sig, set, lo; copies within the task count once. lo is null but where more than `cap` sets of a block share a signature: then it is the least of them, whose own row (lo = set) alone goes on."""
     seen: set[int] = set()
     for b in in_blocks(batches, "text", 4 << 20):
         fresh = []
@@ -182,30 +200,48 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Iterat
                 fresh.append((key, s))
         sig, owner, _ = signatures([s for _, s in fresh], scheme)
         if len(sig):
-            yield pa.record_batch([pa.array(sig), pa.array(np.array([k for k, _ in fresh], np.int64)[owner])], ["sig", "set"])
+            sets = np.array([k for k, _ in fresh], np.int64)[owner]
+            by = np.lexsort((sets, sig))
+            sig, sets = sig[by], sets[by]
+            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            n = np.diff(np.append(first, len(sig)))
+            lo = pa.array(np.repeat(sets[first], n), mask=np.repeat(n <= cap, n))
+            yield pa.record_batch([pa.array(sig), pa.array(sets), lo], ["sig", "set", "lo"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by sig and set -> sig, set, lo (the group's least set), heavy (more than cap members), of groups with two sets or more. Keeps cap + 1 rows of an open group at most."""
+    """Rows (sig, set and, if there, lo) sorted by sig, set and lo, nulls last -> sig, set, lo (the group's least set, or the block's where it is given), heavy (more than cap members), of groups with two sets or more. Keeps cap + 1 rows of an open group at most."""
     sig = sets = np.zeros(0, np.int64)  # the open group's rows while it isn't heavy
+    big = np.zeros(0, bool)
     lo = None  # set once the open group is heavy
     last_sig = last_set = None
 
     def out(s, x, low, heavy):
         return pa.record_batch([pa.array(s), pa.array(x), pa.array(low), pa.array(heavy)], ["sig", "set", "lo", "heavy"])
 
-    def closed(s, x, counts):
-        low = np.repeat(x[np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)], counts)
-        size = np.repeat(counts, counts)
-        keep = size > 1
-        return out(s[keep], x[keep], low[keep], size[keep] > cap)
+    def closed(s, x, many, counts):
+        first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        low, size = np.repeat(x[first], counts), np.repeat(counts, counts)
+        heavy = np.repeat(np.logical_or.reduceat(many, first), counts) | (size > cap)
+        keep = (size > 1) | heavy
+        return out(s[keep], x[keep], low[keep], heavy[keep])
 
     for b in batches:
         if not b.num_rows:
             continue
         s, x = b.column(0).to_numpy(), b.column(1).to_numpy()
+        many = np.zeros(len(s), bool)
+        if b.num_columns > 2 and b.column(2).null_count < len(s):
+            low, given = b.column(2).fill_null(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            many = given & (low == x)
+            settled = given & ~many
+            if settled.any():
+                yield out(s[settled], x[settled], low[settled], np.ones(settled.sum(), bool))
+                s, x, many = s[~settled], x[~settled], many[~settled]
+            if not len(s):
+                continue
         new = np.concatenate([[(s[0], x[0]) != (last_sig, last_set)], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
-        s, x = s[new], x[new]
+        s, x, many = s[new], x[new], many[new]
         if not len(s):
             continue
         if lo is not None:
@@ -213,32 +249,37 @@ def _groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBa
             if n:
                 yield out(s[:n], x[:n], np.full(n, lo), np.ones(n, bool))
             last_sig, last_set = int(s[-1]), int(x[-1])
-            s, x = s[n:], x[n:]
+            s, x, many = s[n:], x[n:], many[n:]
             if not len(s):
                 continue
             lo = None
         last_sig, last_set = int(s[-1]), int(x[-1])
-        sig, sets = np.concatenate([sig, s]), np.concatenate([sets, x])
+        sig, sets, big = np.concatenate([sig, s]), np.concatenate([sets, x]), np.concatenate([big, many])
         edges = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         if len(edges) > 1:
-            yield closed(sig[: edges[-1]], sets[: edges[-1]], np.diff(edges))
-            sig, sets = sig[edges[-1] :], sets[edges[-1] :]
+            yield closed(sig[: edges[-1]], sets[: edges[-1]], big[: edges[-1]], np.diff(edges))
+            sig, sets, big = sig[edges[-1] :], sets[edges[-1] :], big[edges[-1] :]
         if len(sig) > cap:
             lo = int(sets[0])
             yield out(sig, sets, np.full(len(sig), lo), np.ones(len(sig), bool))
-            sig = sets = np.zeros(0, np.int64)
-    if len(sig) > 1:
-        yield closed(sig, sets, np.array([len(sig)]))
+            sig, sets, big = sig[:0], sets[:0], big[:0]
+    if len(sig):
+        yield closed(sig, sets, big, np.array([len(sig)]))
+
+
+def _opened(texts: pa.Array) -> list[str]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(t).decode("utf-8", "surrogatepass") for t in texts.to_pylist()]
 
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """a, b, ta, tb -> a, b, inter, both: the exact sizes of intersection and union."""
-    for b in in_blocks(batches, "tb", 4 << 20):
+    for b in in_blocks(batches, "tb", 1 << 20):
         a, x = b.column(0).to_pylist(), b.column(1).to_pylist()
-        left = dict(zip(a, b.column(2).to_pylist(), strict=True))
-        lsets = dict(zip(left, shingle_sets(list(left.values()), k), strict=True))
+        left = dict(zip(a, b.column(2), strict=True))
+        lsets = dict(zip(left, shingle_sets(_opened(pa.array(left.values(), pa.binary())), k), strict=True))
         inter, both = [], []
-        for key, s in zip(a, shingle_sets(b.column(3).to_pylist(), k), strict=True):
+        for key, s in zip(a, shingle_sets(_opened(b.column(3)), k), strict=True):
             n = len(np.intersect1d(lsets[key], s, assume_unique=True))
             inter.append(n)
             both.append(len(lsets[key]) + len(s) - n)
@@ -252,7 +293,7 @@ def _compare(k: int, num: int, den: int):
         sides = [pdf[pdf.side == i] for i in (0, 1)]
         if sides[1].empty:
             sides[1] = sides[0]
-        sets = [shingle_sets(x.text.tolist(), k) for x in sides]
+        sets = [shingle_sets(_opened(pa.array(x.text, pa.binary())), k) for x in sides]
         keys, comps = [x.set.to_numpy() for x in sides], [x.comp.to_numpy() for x in sides]
         flat = [np.concatenate(x) for x in sets]
         common = np.intersect1d(*flat)
@@ -305,11 +346,13 @@ PARTS = 256
 
 
 def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """set, text -> set, n, sketch: elements per part of the domain, a byte each (at most 255)."""
-    for b in in_blocks(batches, "text", 8 << 20):
-        sets = shingle_sets(b.column(1).to_pylist(), k)
+    """set, text -> set, n, sketch (elements per part of the domain, a byte each, at most 255), text (compressed)."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for b in in_blocks(batches, "text", 4 << 20):
+        texts = b.column(1).to_pylist()
+        sets = shingle_sets(texts, k)
         rows = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
-        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())], ["set", "n", "sketch"])
+        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary()), pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], ["set", "n", "sketch", "text"])
 
 
 def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
@@ -323,27 +366,27 @@ def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
         yield b.select([0, 1]).filter(pa.array(np.abs(one - two).sum(axis=1) <= allowed))
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = 80, den: int = 100, slack: float = 1.25, cap: int = CAP, block: int = 512, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = 80, den: int = 100, slack: float = 1.0, cap: int = CAP, block: int = 512, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """members (rk, id, set, n, spare), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
     scheme = Scheme(num, den, slack)
     spark = docs.sparkSession
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).select(F.xxhash64("id", "text").alias("rk"), "id", "text")
     kind = dict(src.dtypes)["id"]
     members = staged(src.mapInArrow(lambda it: _members(it, k, scheme), f"rk long, id {kind}, set long, n long, spare long"), "join-members")
-    signed = src.select("text").mapInArrow(lambda it: _signed(it, k, scheme), "sig long, set long")
+    signed = src.select("text").mapInArrow(lambda it: _signed(it, k, scheme, cap), "sig long, set long, lo long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = signed.repartition(parts, "sig").sortWithinPartitions("sig", "set").mapInArrow(lambda it: _groups(it, cap), "sig long, set long, lo long, heavy boolean")
+    # What a block has settled itself is dealt by its set, all else by signature.
+    dealt = F.when(F.col("lo") != F.col("set"), F.col("set")).otherwise(F.col("sig"))
+    groups = signed.repartition(parts, dealt).sortWithinPartitions("sig", "set", F.desc_nulls_last("lo")).mapInArrow(lambda it: _groups(it, cap), "sig long, set long, lo long, heavy boolean")
     groups = staged(groups, "join-groups")
 
     sizes = members.where("n > 0").groupBy("set").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("spare").alias("spare"))
     needed = staged(groups.select("set").distinct().join(sizes, "set"), "join-needed")
-    keys = needed.select("rk")
     small = needed.count() * 16 <= broadcast_bytes
-    texts = src.select("rk", "text").join(F.broadcast(keys) if small else keys, "rk", "left_semi").dropDuplicates(["rk"]) if not small else src.select("rk", "text").join(F.broadcast(needed.select("rk", "set")), "rk").groupBy("set").agg(F.first("text").alias("text"))
-    if not small:
-        texts = texts.join(needed.select("rk", "set"), "rk").select("set", "text")
-    texts = staged(texts, "join-texts")
-    sketches = staged(texts.mapInArrow(lambda it: _sketched(it, k), "set long, n long, sketch binary"), "join-sketches")
+    texts = src.select("rk", "text").join(F.broadcast(needed.select("rk", "set")) if small else needed.select("rk", "set"), "rk").select("set", "text")
+    packed = texts.mapInArrow(lambda it: _sketched(it, k), "set long, n long, sketch binary, text binary")
+    sketches = staged(packed.groupBy("set").agg(F.first(F.struct("n", "sketch", "text")).alias("x")).select("set", "x.*"), "join-sketches")
+    texts = sketches.select("set", "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) whose sizes and sketches allow a link, compared exactly."""
