@@ -40,6 +40,8 @@ def test_pii_extras_and_odd_texts(spark):
     t = "IBAN GB82 WEST 1234 5698 7654 32 and GB00 WEST 1234 5698 7654 32; ssn 123-45-6789, plain 123-45-6789"
     assert [k for k, *_ in pii.find(t)].count("iban") == 1
     assert pii.find("ssn 123-45-6789")[0][0] == "ssn" and not pii.find("number 123-45-6789")
+    assert [k for k, *_ in pii.find('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x')] == ["secret"]
+    assert not pii.find("token abcdefghijklmnopqrstuvwxyz " + "x9" * 200) and not pii.find("some 04dbebab91ab85687d33eeaaf9ac699e1188f962 here") and not pii.find("9" * 30_000 + " token " + "a" * 30_000)
     assert pii.pii_spans(docs(spark, ODD)).count() == len(ODD)
     assert pii.pii_spans(docs(spark, [])).count() == 0
 

@@ -1,10 +1,15 @@
 """PII spans: regular expressions propose, checksums confirm, nearby words adjust the score.
 
 Base kinds are email, ip, card and phone; they always stay in the result once their
-own rule (parts, Luhn, digit count) holds. The method adds `iban` (confirmed by mod-97)
-and `ssn` (three-two-four digits, kept only if its score reaches `min_score`, which
-takes a context word). Null and empty texts have no spans. Positions count code points,
-ends are exclusive. Repeated rows are handled row by row; other columns are ignored.
+own rule (parts, Luhn, digit count) holds. The method adds `iban` (confirmed by mod-97),
+`ssn` (three-two-four digits) and `secret` (a run of 20 to 256 letters, digits, _ and - that
+holds letters and digits both, as keys and tokens do); the last two are kept only if their
+score reaches `min_score`, which takes a context word within NEAR code points. Positions count
+code points, ends are exclusive.
+
+Defined results: null and empty texts have no spans; an empty table gives an empty result;
+rows are handled one by one, whether ids repeat or are null; spans of different kinds may
+overlap; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import by_blocks, documents
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -26,6 +31,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])(?=[0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,256}+(?![A-Za-z0-9_-])")
 CONTEXT = {
     "email": ("mail", "contact", "courriel", "correo", "write", "adresse"),
     "ip": ("ip", "host", "server", "address", "login"),
@@ -33,8 +39,9 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "telefon", "fax", "appel"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "tax"),
+    "secret": ("token", "key", "secret", "password", "passwd", "api", "auth", "bearer", "credential", "credentials"),
 }
-PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.5, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 NEAR, LIFT = 40, 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,6 +101,7 @@ def find(text: str | None, min_score: float = 0.5) -> list[tuple[str, int, int,
     out = [(k, s, e, score(text, k, s, e)) for k, s, e in found]
     out += [("iban", *m.span(), score(text, "iban", *m.span())) for m in _IBAN.finditer(text) if mod97(m.group())]
     out += [("ssn", *m.span(), p) for m in _SSN.finditer(text) if (p := score(text, "ssn", *m.span())) >= min_score]
+    out += [("secret", *m.span(), p) for m in _SECRET.finditer(text) if (p := score(text, "secret", *m.span())) >= min_score]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -114,5 +122,6 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(documents(spark, sf_dir))
     joined = "array_join(transform({}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     base = f"filter(spans, x -> x.kind in {BASE!r})"
-    counts = [f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) as n_{k}" for k in KINDS]
-    return found.selectExpr("doc_id", *counts, f"sha2({joined.format(base)}, 256) as base_sha256", f"{joined.format('spans')} as spans", "array_join(transform(spans, x -> cast(x.score as string)), ',') as scores")
+    counts = {k: f"cast(size(filter(spans, x -> x.kind = '{k}')) as long) as n_{k}" for k in KINDS}
+    extra = [*(counts[k] for k in KINDS if k not in BASE), "cast(size(spans) as long) as n_spans", "array_join(transform(spans, x -> cast(x.score as string)), ',') as scores"]
+    return found.selectExpr("doc_id", *(counts[k] for k in BASE), f"sha2({joined.format(base)}, 256) as base_sha256", f"{joined.format('spans')} as spans", *extra)
