@@ -111,7 +111,7 @@ def test_models(spark, tmp_path):
     p.write_text(json.dumps({"org/m-1": {"stop_tokens": ["x"], "stop_tokens_assistant": ["y"], "pre_query_template": "T"}}))
     reg = registry.load_registry(spark, str(p))
     rows = spark.createDataFrame([("org/m-1",)], "model_name string")
-    assert registry.with_model(rows, reg).select(registry.stop_list(True).alias("s")).first().s == ["x", "\n", "y"]
+    assert registry.with_model(rows, reg).select(registry.stop_list(True).alias("s")).first().s == ["x", "y", "\n"]
     with pytest.raises(Exception, match="no such model"):
         registry.with_model(spark.createDataFrame([("z",)], "model_name string"), reg).collect()
     assert apply(spark, models.language, ["the cat and the dog", "der Hund und die Katze", ""]) == ["EN", "DE", None]

@@ -60,11 +60,12 @@ def test_nearest_of_the_references_k(spark, tmp_path):
 
 
 def test_families_and_api_names(spark):
-    wanted = {"x/Llama-3-8B": "llama3", "x/Llama3-8B": "llama3", "x/zephyr-7b": "zephyr", "x/tulu-2": "tulu", "x/Mixtral-8x7B": "mistral", "dolphin-mistral": "mistral", "Yi-34B-Chat": "yi", "phi-3": "phi"}
+    wanted = {"x/Llama-3-8B": "llama3", "x/Llama3-8B": "llama3", "x/zephyr-7b": "zephyr", "x/tulu-2": "tulu", "x/Mixtral-8x7B": "mistral", "dolphin-mistral": "mistral", "Yi-34B-Chat": "yi", "zephyr-7b": "zephyr"}
     rows = spark.createDataFrame([(m,) for m in wanted], "m string")
     assert {r.m: r.f for r in rows.select("m", models.family(rows.m).alias("f")).collect()} == wanted
-    with pytest.raises(Exception, match="no template for"):
-        spark.createDataFrame([("Yi-34B",)], "m string").select(models.family(F.col("m"))).collect()
+    for name in ("Yi-34B", "phi-3", "deepseek"):
+        with pytest.raises(Exception, match="no template for"):
+            spark.createDataFrame([(name,)], "m string").select(models.family(F.col("m"))).collect()
     given = ["meta-llama/Meta-Llama-3-8B-Instruct", "meta-llama/Meta-Llama-3-70B-Instruct", "other"]
     rows = spark.createDataFrame([(m,) for m in given], "m string")
     assert {r.m: r.a for r in rows.select("m", models.api_name(rows.m).alias("a")).collect()} == dict(zip(given, ["meta-llama/Llama-3-8b-chat-hf", "meta-llama/Llama-3-70b-chat-hf", "other"], strict=True))

@@ -26,13 +26,18 @@ _ASK = {
 _VALUES = {"difficulty": DIFFICULTY, "quality": QUALITY, "classification": [*CATEGORY[:-1], "Others"]}
 
 
-def prompt(mission: str, text: Column) -> Column:
-    """The tagging prompt of a mission around the text."""
+def around(mission: str) -> tuple[str, str]:
+    """What stands before and after the text in a mission's prompt."""
     if mission not in _ASK:
         raise ValueError(f"unknown mission {mission!r}")
     keys = ", ".join(f'"{k}"' for k in MISSIONS[mission])
-    head = f"{_ASK[mission].format(values=' / '.join(_VALUES[mission]))} Answer with one JSON object with the keys {keys}.\n\n## User query\n```\n"
-    return F.concat(F.lit(head), text, F.lit("\n```\n"))
+    return f"{_ASK[mission].format(values=' / '.join(_VALUES[mission]))} Answer with one JSON object with the keys {keys}.\n\n## User query\n```\n", "\n```\n"
+
+
+def prompt(mission: str, text: Column) -> Column:
+    """The tagging prompt of a mission around the text."""
+    head, tail = around(mission)
+    return F.concat(F.lit(head), text, F.lit(tail))
 
 
 def whitelist(col: Column, allowed: list[str], others: bool = False) -> Column:
@@ -54,8 +59,10 @@ def parse_tags(text: Column, mission: str) -> Column:
             try:
                 found = json.loads(t)
                 got = [found[k] for k in keys]
-                rows.append([True, *(g if g is None or isinstance(g, str) else json.dumps(g) for g in got)])
-            except (ValueError, TypeError, KeyError, IndexError):
+                cells = [g if g is None or isinstance(g, str) else json.dumps(g) for g in got]
+                "".join(c or "" for c in cells).encode()  # a lone surrogate is no text
+                rows.append([True, *cells])
+            except Exception:  # whatever a model's answer does to the parser, it costs that row's tags only
                 rows.append([False, *[None] * len(keys)])
         return pd.DataFrame(rows, columns=["ok", *MISSIONS[mission].values()])
 

@@ -40,14 +40,15 @@ def _bare(s: Column) -> Column:
 
 
 def sanitize(text: Column, family: str) -> Column:
-    """struct(instruction, class) by the decision table of the model family, gemma-2 or llama-3; others stay as they are, class 0.
+    """struct(instruction, class) by the decision table of the model family, whose name holds gemma-2 or llama-3; others stay as they are, class 0.
 
     The place of an answer or step mark is found before the second prefix removal and used
     after it, as the table has it.
     """
-    if family not in ("gemma-2", "llama-3"):
+    family = family.lower()
+    if "gemma-2" not in family and "llama-3" not in family:
         return F.struct(text.alias("instruction"), F.lit(0.0).alias("class"))
-    llama = family == "llama-3"
+    llama = "gemma-2" not in family
     low = F.lit("")
 
     def place(s: Column, pattern: str) -> Column:
@@ -121,6 +122,36 @@ def uuid5(text: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def has_keyword(text: Column, words: list[str]) -> Column:
-    low = F.lower(text)
-    return F.exists(F.array(*map(F.lit, words)), lambda k: low.contains(k))
+#: What marks texts on mathematics, and on code.
+MATH_KEYWORDS = [
+    "radius", "diameter", "circumference", "perimeter", "triangle", "rectangle",
+    "algebra", "geometry", "calculus", "trigonometry", "set theory", "linear regression",
+    "number theory", "graph theory", "topology", "differential equations", "integral", "derivative",
+    "logarithm", "exponent", "polynomial", "quadratic", "vector", "matrix", "determinant", "eigenvalue",
+    "eigenvector", "complex number", "real number", "rational number", "irrational number", "prime number",
+    "factorial", "permutation", "combination", "binomial", "continuity", "eigen vector",
+    "domain", "range", "inverse", "composition", "angle", "radian", "sine",
+    "cosine", "tangent", "cotangent", "secant", "cosecant", "pythagorean theorem", "euclidean geometry",
+    "non-euclidean geometry", "hyperbolic geometry", "elliptic geometry", "fractal", "chaos theory",
+    "golden ratio", "fibonacci sequence", "pascal's triangle", "binomial theorem", "fourier series",
+    "laplace transform", "z-transform", "normal distribution", "poisson distribution", "chi-square distribution",
+    "Student's t-distribution", "confidence interval", "hypothesis testing", "p-value", "bayes' theorem",
+    "law of large numbers", "central limit theorem", "regression analysis", "correlation coefficient",
+    "covariance", "ANOVA", "chi-square test", "t-test", "F-test", "Mann-Whitney U test", "Kolmogorov-Smirnov test",
+    "Wilcoxon signed-rank test", "Kruskal-Wallis test", "Fisher's exact test", "McNemar's test", "Spearman's rank correlation",
+    "Kendall's tau", "Pearson's correlation", "linear programming", "integer programming", "dynamic programming",
+]
+CODE_KEYWORDS = [
+    "Python", "Java", "in C", "C++", "C#", "JavaScript", "Ruby", "PHP", "Swift", "Objective-C",
+    "Kotlin", "in Go", "Rust", "Lua", "Perl", "MATLAB", "Fortran", "Julia", "TypeScript",
+    "F#", "Bash", "PowerShell", "SQL", "HTML", "CSS", "XML", "YAML", "JSON",
+    "Markdown", "LaTeX", "Assembly", "VBA", "Pascal",
+    "in D", "in R", "Solidity", "Verilog", "VHDL", "Visual Basic", "BASIC",
+    "\n\n```", "\n```", "```", "import ", "def", "elif", "#include",
+]
+
+
+def has_keyword(text: Column, words: list[str], ignore_case: bool = True) -> Column:
+    """Whether the text holds one of the words."""
+    low = F.lower(text) if ignore_case else text
+    return F.exists(F.array(*(F.lit(w.lower() if ignore_case else w) for w in words)), lambda k: low.contains(k))

@@ -19,6 +19,13 @@ def longest(df: DataFrame, n: int = 300_000, text: str = "response", tie: str =
     return df.withColumn("response_length", F.length(text)).orderBy(F.desc("response_length"), tie).limit(n)
 
 
+def with_least_equal(df: DataFrame, text: str, key: str, out: str) -> DataFrame:
+    """df with the least key of the rows of equal text. Only 128 bits of hash and the keys are shuffled; two hashes of different seeds agree for different texts with odds of 2^-128 a pair."""
+    hashes = {"_h": F.xxhash64(text), "_g": F.xxhash64(F.lit(7), text)}
+    least = df.select(key, *(h.alias(n) for n, h in hashes.items())).groupBy(*hashes).agg(F.min(key).alias(out), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return df.withColumns(hashes).join(least, [*hashes], "left").drop(*hashes).withColumn(out, F.coalesce(out, key))
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A fixed order by a hash of seed and key, the same for any partitioning."""
     return df.orderBy(F.xxhash64(F.lit(seed), key), key)
@@ -37,18 +44,36 @@ def global_ids(df: DataFrame, prefix: str, file_col: str = "file_idx", id_col: s
     return df.join(F.broadcast(offsets), file_col).withColumn("conversation_id", F.concat(F.lit(prefix + "_"), F.col(id_col) + F.col("offset"))).drop("offset")
 
 
+#: The columns of a conversation row.
 COLUMNS = ["conversation_id", "instruction", "response", "conversations", "gen_input_configs", "intent", "knowledge", "difficulty", "difficulty_generator", "input_quality", "quality_explanation", "quality_generator", "task_category", "other_task_category", "task_category_generator", "llama_guard_2", "instruct_reward", "reward_model", "language"]
 
 
 def to_conversations(df: DataFrame, prefix: str, strict_fix: bool = False) -> DataFrame:
     """The 19 columns of a conversation row; differing or foreign generators and missing columns are errors."""
     made, answered = F.col("gen_input_configs.input_generator"), F.col("gen_response_configs.output_generator")
-    ok = F.when(~made.eqNullSafe(answered), F.raise_error(F.lit("input and output generator differ"))).when(~made.contains(prefix), F.raise_error(F.lit("the id prefix isn't part of the generator")))
+    ok = F.when(made.isNull() | answered.isNull(), F.raise_error(F.lit("a generator is missing"))).when(made != answered, F.raise_error(F.lit("input and output generator differ"))).when(~made.contains(prefix), F.raise_error(F.lit("the id prefix isn't part of the generator")))
     rows = global_ids(df, prefix)
     rows = rows.where(F.coalesce(ok.cast("boolean"), F.lit(True)))
     return rows.withColumn("conversations", messages(F.col("instruction"), F.col("response"))).withColumn("gen_input_configs", F.col("gen_input_configs").withField("pre_query_template", F.col("pre_query_template"))).withColumn("difficulty", whitelist(F.col("difficulty"), DIFFICULTY)).withColumn("input_quality", whitelist(F.col("input_quality"), QUALITY)).withColumn("task_category", whitelist(F.col("task_category"), CATEGORY, strict_fix)).select(*COLUMNS)
 
 
+def debug_limit(df: DataFrame, n: int = 100, key: str = "row_idx") -> DataFrame:
+    """The first n rows by their index."""
+    return df.where(F.col(key) < n)
+
+
+def batch_count(rows: Column, size: int) -> Column:
+    """How many batches of a size hold so many rows."""
+    return F.floor((rows + (size - 1)) / size)
+
+
+def round_order(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """round and place: the rows of each round of n ids in a fixed shuffled order; no more than n rows meet in a window."""
+    dealt = df.withColumn("round", F.floor(F.col(key) / n))
+    mixed = F.sha1(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    return dealt.withColumn("place", F.row_number().over(Window.partitionBy("round").orderBy(mixed, key)).cast("long"))
+
+
 def widen_turns(df: DataFrame, turns: int | None, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """instruction, response, instruction_2, response_2, ... from one row per message; a system turn isn't counted. turns None: as many as the data hold."""
     said = df.where(F.col(role).isin("user", "assistant"))

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +23,16 @@ class StubGenerator:
 
 
 def generate(df: DataFrame, build: Callable[[], Generator], prompt: str, key: str, out: str) -> DataFrame:
-    """df with a column of generated text; the engine is built once per task, samples are seeded by the row's key."""
+    """df with a column of generated text, stripped; the engine is built once per task, samples are seeded by the row's key. Arrow batches pass all other columns through unchanged; a null prompt is read as the empty text."""
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = build()
         for b in batches:
-            yield b.assign(**{out: engine.generate(b[prompt].tolist(), b[key].tolist())})
+            made = engine.generate([p or "" for p in b.column(prompt).to_pylist()], b.column(key).to_pylist())
+            yield pa.record_batch([*b.columns, pa.array([m.strip() for m in made], pa.string())], [*b.schema.names, out])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def instructions(spark, build: Callable[[], Generator], template: str, n: int, rounds: int) -> DataFrame:
@@ -48,21 +49,29 @@ def samples(df: DataFrame, build: Callable[[], Generator], n: int, prompt: str,
     return df.join(lists, key)
 
 
-def turns(df: DataFrame, build: Callable[[], Generator], n: int, key: str) -> DataFrame:
-    """instruction_k and response_k for k = 2..n, each from what was said before."""
+def turns(df: DataFrame, build: Callable[[], Generator], n: int, key: str, system: str | None = None, append: str = "", head: str = "<|{role}|>\n", tail: str = "<|end|>\n") -> DataFrame:
+    """instruction_k and response_k for k = 2..n, each from the chat before it; the system prompt and the appended template stand only before a user's turn."""
+    from .tagging import chat, render
+
     if n < 2:
         raise ValueError("at least two turns")
-    said = F.concat_ws("\n", "instruction", "response")
+    said = [("user", F.col("instruction")), ("assistant", F.col("response"))]
     for k in range(2, n + 1):
-        df = generate(df.withColumn("_said", said), build, "_said", key, f"instruction_{k}")
-        df = generate(df.withColumn("_said", F.concat_ws("\n", "_said", f"instruction_{k}")), build, "_said", key, f"response_{k}")
-        said = F.concat_ws("\n", "_said", f"response_{k}")
-    return df.drop("_said")
+        ask = F.concat(render(chat(*([("system", F.lit(system))] if system else []), *said), head, tail), F.lit(append))
+        df = generate(df.withColumn("_said", ask), build, "_said", key, f"instruction_{k}").drop("_said")
+        said.append(("user", F.col(f"instruction_{k}")))
+        df = generate(df.withColumn("_said", render(chat(*said), head, tail, "assistant")), build, "_said", key, f"response_{k}").drop("_said")
+        said.append(("assistant", F.col(f"response_{k}")))
+    return df
+
+
+#: Fixed value: the logit of a banned token.
+BANNED = -9999.999
 
 
 def ban_first(logits: Column, banned: list[int], first: Column) -> Column:
-    """At the first position the banned tokens' logits are minus infinity."""
-    return F.when(first, F.transform(logits, lambda x, i: F.when(i.isin(banned), float("-inf")).otherwise(x))).otherwise(logits)
+    """At the first position the banned tokens' logits are BANNED."""
+    return F.when(first, F.transform(logits, lambda x, i: F.when(i.isin(banned), BANNED).otherwise(x))).otherwise(logits)
 
 
 def flatten_first(logits: Column, first: Column, by: float = 1.2) -> Column:

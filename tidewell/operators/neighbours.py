@@ -10,40 +10,44 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 64 << 20) -> DataFrame:
+def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 4 << 20, tile: int = 1024) -> DataFrame:
     """id, nid, d, rank of the k nearest rows of each row (itself included), exact.
 
-    The matrix is broadcast in blocks of at most block_bytes; each block gives its own best
-    k per row, and blocks are merged by rank.
+    Rows are dealt by a hash of the id into blocks of about block_bytes of vectors, each packed
+    into one row. Every block of queries meets every block of data by an equi-join on the
+    block's number, in tiles of `tile` queries, and keeps its own best k of each row; blocks are
+    merged by rank. Neither the driver nor a task holds more than two blocks and a tile of
+    distances. Ids of any type; rows without a vector have no neighbours and are none.
     """
-    spark = df.sparkSession
-    src = df.select(df[id_col].alias("id"), df[vec_col].alias("v"))
+    src = df.select(df[id_col].alias("id"), df[vec_col].alias("v")).where("v is not null")
+    kind = dict(src.dtypes)["id"]
     size = src.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first()
-    blocks = max(1, -(-size.n * size.dim * 4 // block_bytes))
-    parts = None
-    for i in range(blocks):
-        rows = (src if blocks == 1 else src.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i)).orderBy("id").toPandas()
-        if rows.empty:
-            continue
-        shared = spark.sparkContext.broadcast((rows.id.to_numpy(), np.stack(rows.v.to_numpy()).astype(np.float64)))
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, m = shared.value
-            for b in batches:
-                for at in range(0, len(b), 1024):
-                    part = b.iloc[at : at + 1024]
-                    q = np.stack(part.v.to_numpy()).astype(np.float64)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size.n * size.dim * 4 // block_bytes), min(cores, -(-size.n // 256)))
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id")
+        return pd.DataFrame({"block": [part.block.iloc[0]], "ids": [part.id.tolist()], "vectors": [np.stack(part.v.to_numpy()).astype(np.float32).tobytes()]})
+
+    packed = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).groupBy("block").applyInPandas(pack, f"block long, ids array<{kind}>, vectors binary")
+    queries = packed.select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    pairs = queries.join(packed, "block").repartition(min(blocks * blocks, 16 * cores), "q", "block")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for qids, qv, mids, mv in zip(b.qids, b.qvectors, b.ids, b.vectors, strict=True):
+                ids, qids = np.asarray(mids), np.asarray(qids)
+                m, every = (np.frombuffer(x, np.float32).reshape(len(y), -1).astype(np.float64) for x, y in ((mv, ids), (qv, qids)))
+                top = min(k, len(ids))
+                for at in range(0, len(qids), tile):
+                    q = every[at : at + tile]
                     d = np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * q @ m.T, 0)
-                    top = min(k, len(ids))
                     best = np.argpartition(d, top - 1, axis=1)[:, :top] if top < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                    yield pd.DataFrame({"id": np.repeat(part.id.to_numpy(), top), "nid": ids[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
+                    yield pd.DataFrame({"id": np.repeat(qids[at : at + tile], top), "nid": ids[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
 
-        found = src.mapInPandas(search, "id long, nid long, d double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        return src.select("id", F.col("id").alias("nid"), F.lit(0.0).alias("d"), F.lit(1).alias("rank"))
+    found = pairs.select("qids", "qvectors", "ids", "vectors").mapInPandas(search, f"id {kind}, nid {kind}, d double")
     order = Window.partitionBy("id").orderBy("d", "nid")
-    return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.05, k: int = 500, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -53,3 +57,25 @@ def near_duplicates(df: DataFrame, threshold: float = 0.05, k: int = 500, id_col
     close = other & (F.col("d") < threshold)
     agg = near.groupBy("id").agg(F.min(F.when(other, F.col("d"))).alias("min_neighbor_distance"), F.count_if(close).alias("repeat_count"), F.min(F.when(close, F.col("nid"))).alias("first"))
     return agg.select(F.col("id").alias(id_col), "min_neighbor_distance", "repeat_count", F.when(F.col("first").isNotNull(), F.least("first", "id")).alias("representative"))
+
+
+def near_duplicate_rows(df: DataFrame, threshold: float = 0.05, k: int = 500, position: str = "row_idx", id_col: str = "conversation_id", vec_col: str = "embedding") -> DataFrame:
+    """df, all its rows and columns, with min_neighbor_distance, repeat_count and min_similar_conversation_id: the id at the representative's position, null without neighbours."""
+    found = near_duplicates(df, threshold, k, position, vec_col)
+    named = df.select(F.col(position).alias("representative"), F.col(id_col).alias("min_similar_conversation_id"))
+    found = found.join(named, "representative", "left").select(position, "min_neighbor_distance", "repeat_count", "min_similar_conversation_id")
+    return df.join(found, position, "left")
+
+
+def deduplicated(df: DataFrame, id_col: str = "conversation_id", near: str = "min_similar_conversation_id") -> DataFrame:
+    """Rows that represent themselves or have no neighbours."""
+    return df.where(F.col(near).isNull() | (F.col(near) == F.col(id_col)))
+
+
+def save_index(df: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """The vectors, by id, as Parquet."""
+    df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding")).write.mode("overwrite").parquet(path)
+
+
+def load_index(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

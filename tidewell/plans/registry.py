@@ -15,7 +15,6 @@ from ..operators import curate, models, neighbours, preference
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-_QUALITY = ["very poor", "poor", "average", "good", "excellent"]
 
 
 def query(name: str, sql: str | None = None):
@@ -34,10 +33,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
-    least = docs.groupBy("text").agg(F.min("doc_id").alias("rep"))
-    return docs.join(least, "text").select(
+    return curate.with_least_equal(docs, "text", "doc_id", "rep").select(
         F.col("doc_id").alias("row_idx"), F.col("doc_id").alias("conversation_id"), F.col("text").alias("instruction"), F.col("text").alias("response"), "source",
-        F.get(F.array(*map(F.lit, _QUALITY)), (F.col("doc_id") % 5).cast("int")).alias("input_quality"), (F.col("doc_id") * 37 % 61 - 30).cast("double").alias("instruct_reward"), F.col("rep").alias("min_similar_conversation_id"),
+        F.get(F.array(*map(F.lit, tags.QUALITY)), (F.col("doc_id") % 5).cast("int")).alias("input_quality"), (F.col("doc_id") * 37 % 61 - 30).cast("double").alias("instruct_reward"), F.col("rep").alias("min_similar_conversation_id"),
     )
 
 
@@ -131,7 +129,7 @@ def j1_nearest(spark, sf_dir):
     return _neighbours(spark, sf_dir, 5)
 
 
-@query("j1_nearest_500")
+@query("j1_nearest_500", _KNN + " SELECT vec_id, nid, rk, round(d, 4) AS d FROM r WHERE rk <= 500 AND nid <> vec_id")
 def j1_nearest_500(spark, sf_dir):
     return _neighbours(spark, sf_dir, 500)
 
@@ -147,35 +145,69 @@ def _derived(body="text"):
     return F.concat(F.when(F.col("doc_id") % 4 == 0, "Task: ").when(F.col("doc_id") % 4 == 1, "1. ").when(F.col("doc_id") % 4 == 2, "**Question** ").otherwise(""), body, F.when(F.col("doc_id") % 3 == 0, "?").when(F.col("doc_id") % 3 == 1, ":\nrest").otherwise(" The answer is: 4"))
 
 
-def _start():
-    """What the SQL of c2_remove_prefix and c7_sanitize_other reads of a text; all other queries read the whole."""
-    return F.substring("text", 1, 200)
-
-
-_DERIVED_SQL = "concat(CASE doc_id % 4 WHEN 0 THEN 'Task: ' WHEN 1 THEN '1. ' WHEN 2 THEN '**Question** ' ELSE '' END, substr(text, 1, 200), CASE doc_id % 3 WHEN 0 THEN '?' WHEN 1 THEN chr(58) || chr(10) || 'rest' ELSE ' The answer is: 4' END)"
-
-
-@query("c2_remove_prefix", f"SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 4 = 1 THEN substr(t, 4) WHEN doc_id % 4 = 0 THEN substr(t, 7) WHEN doc_id % 4 = 2 THEN substr(t, 14) ELSE t END, '^\\s+|\\s+$', '', 'g')) AS instruction FROM (SELECT doc_id, {_DERIVED_SQL} AS t FROM documents)")
+_DERIVED_SQL = "(SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN 'Task: ' WHEN 1 THEN '1. ' WHEN 2 THEN '**Question** ' ELSE '' END, text, CASE doc_id % 3 WHEN 0 THEN '?' WHEN 1 THEN chr(58) || chr(10) || 'rest' ELSE ' The answer is: 4' END) AS t FROM documents)"
+
+
+def _strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '\\A{text.WS}+|{text.WS}+\\z', '', 'g')"
+
+
+def _prefix_sql(x: str) -> str:
+    """A leading number or mark, then one leading task word."""
+    words = "|".join(v for w in text.PREFIXES for v in (f"{w}:", rf"\*\*{w}\*\*", f"## {w}:"))
+    numbered = _strip_sql(rf"regexp_replace({x}, '\A(?:\p{{Nd}}+\.|[\p{{L}}\p{{N}}_]+\)){text.WS}*', '')")
+    return _strip_sql(rf"regexp_replace({numbered}, '(?i)\A(?:{words}|Question \p{{Nd}}+:|Question \p{{Nd}}+\.|Part \p{{Nd}}+:|Q\p{{Nd}}+\.|Q\p{{Nd}}+:){text.WS}*', '')")
+
+
+def _sanitized_sql(llama: bool) -> str:
+    """The decision table of the sanitiser, rule by rule."""
+    mark, step = "(?:" + "|".join(text.MARKERS) + ")s?:", "(?:" + "|".join(text.STEPS) + "):?"
+    line, upto = _strip_sql("split_part(s, chr(10), 1)"), _strip_sql("split_part(s, '?', 1)") + " || '?'"
+    gone = lambda x, what: _strip_sql(f"replace({x}, '{what}', '')")
+    bold = lambda x: f"CASE WHEN instr({x}, '**') = 2 THEN {gone(x, '**')} ELSE {_strip_sql(x)} END"
+    bare = lambda x: bold(_strip_sql(x))
+    a, b, c, d, e = (6.1, 6.2, 6.3, 99.1, 99.2) if llama else (5.1, 5.2, 5.3, 6.1, 6.2)
+    rules = [
+        ("starts_with(f, '*') AND contains(f, '?')", gone("split_part(f, '?', 1)", "*") + " || '?'", 1.0),
+        ("starts_with(s, chr(34)) AND contains(s, '?')", gone("split_part(s, '?', 1)", '"') + " || '?'", 2.1),
+        ("starts_with(s, chr(34))", gone(gone("split_part(s, chr(10), 1)", '"'), "*"), 2.2),
+        ("starts_with(s, '<b>')", gone("s", "*"), 3.0),
+        ("mark IS NOT NULL", bare("substr(s, 1, mark)"), 4.0),
+        *([("step IS NOT NULL", bare("substr(s, 1, step)"), 5.0)] if llama else []),
+        ("ends_with(line, ':') AND contains(s, '#')", bare("split_part(s, '#', 1)"), a),
+        ("ends_with(line, ':') AND contains(s, '?')", bold(f"({upto})"), b),
+        ("ends_with(line, ':')", gone("line", "*"), c),
+        ("contains(s, '?')", bold(f"({upto})"), d),
+        ("true", gone("line", "*"), e),
+    ]
+    first = " ".join(f"WHEN {test} THEN {made}" for test, made, _ in rules)
+    number = " ".join(f"WHEN {test} THEN {n}" for test, _, n in rules)
+    return f"""WITH f AS (SELECT doc_id, {_prefix_sql('t')} AS f FROM {_DERIVED_SQL}),
+s AS (SELECT doc_id, f, {_prefix_sql('f')} AS s, CASE WHEN regexp_matches(f, '{mark}') THEN length(string_split_regex(f, '{mark}')[1]) END AS mark, CASE WHEN regexp_matches(f, '{step}') THEN length(string_split_regex(f, '{step}')[1]) END AS step FROM f),
+l AS (SELECT *, {line} AS line FROM s), r AS (SELECT doc_id, CASE {first} END AS made, CAST(CASE {number} END AS DOUBLE) AS class FROM l)
+SELECT doc_id, {_prefix_sql('made')} AS instruction, class FROM r"""
+
+
+@query("c2_remove_prefix", f"SELECT doc_id, {_prefix_sql('t')} AS instruction FROM {_DERIVED_SQL}")
 def c2_remove_prefix(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.remove_prefix(_derived(_start())).alias("instruction"))
+    return _docs(spark, sf_dir).select("doc_id", text.remove_prefix(_derived()).alias("instruction"))
 
 
-@query("c2_remove_prefix_whole")
-def c2_remove_prefix_whole(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", text.remove_prefix(_derived()).alias("instruction"))
+QUERIES["c2_remove_prefix_whole"] = c2_remove_prefix
+ORACLE_SQL["c2_remove_prefix_whole"] = ORACLE_SQL["c2_remove_prefix"]
 
 
-def _sanitized(family: str, body=lambda: "text"):
+def _sanitized(family: str):
     def run(spark, sf_dir):
-        return _docs(spark, sf_dir).select("doc_id", text.sanitize(_derived(body()), family).alias("s")).select("doc_id", "s.instruction", "s.class")
+        return _docs(spark, sf_dir).select("doc_id", text.sanitize(_derived(), family).alias("s")).select("doc_id", "s.instruction", "s.class")
 
     return run
 
 
-query("c5_sanitize_gemma")(_sanitized("gemma-2"))
-query("c6_sanitize_llama")(_sanitized("llama-3"))
-query("c7_sanitize_other", f"SELECT doc_id, {_DERIVED_SQL} AS instruction, CAST(0 AS DOUBLE) AS class FROM documents")(_sanitized("other", _start))
-query("c7_sanitize_other_whole")(_sanitized("other"))
+query("c5_sanitize_gemma", _sanitized_sql(False))(_sanitized("google/gemma-2-9b-it"))
+query("c6_sanitize_llama", _sanitized_sql(True))(_sanitized("meta-llama/Llama-3.1-8B-Instruct"))
+for _name in ("c7_sanitize_other", "c7_sanitize_other_whole"):
+    query(_name, f"SELECT doc_id, t AS instruction, CAST(0 AS DOUBLE) AS class FROM {_DERIVED_SQL}")(_sanitized("other"))
 
 
 @query("c8_stop_tokens", "SELECT doc_id, CASE WHEN contains(text, '. ') THEN split_part(text, '. ', 1) WHEN contains(text, chr(10)) THEN split_part(text, chr(10), 1) ELSE text END AS cut FROM documents")
@@ -194,18 +226,24 @@ def c10_repair_tags(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.repair_tags(t).alias("tags"), text.repair_tags_api(t).alias("api"))
 
 
-@query("c12_parse_tags")
+@query("c12_parse_tags", f"SELECT doc_id, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN 'i' END AS intent, CAST(NULL AS VARCHAR) AS knowledge, CASE WHEN doc_id % 7 <> 0 THEN {tags.DIFFICULTY!r}[CAST(doc_id % 5 AS INT) + 1] END AS difficulty FROM documents")
 def c12_parse_tags(spark, sf_dir):
     made = F.concat(F.lit('{"intent": "i", "knowledge": null, "difficulty": "'), F.get(F.array(*map(F.lit, tags.DIFFICULTY)), (F.col("doc_id") % 5).cast("int")), F.when(F.col("doc_id") % 7 == 0, '"} x').otherwise('"}'))
     return _docs(spark, sf_dir).select("doc_id", tags.parse_tags(made, "difficulty").alias("t")).select("doc_id", "t.*")
 
 
-@query("c13_prompts")
+_PROMPT_SIZES = ", ".join(f"CAST(length(text) + {sum(map(len, tags.around(m)))} AS INT) AS {m}" for m in tags.MISSIONS)
+
+
+@query("c13_prompts", f"SELECT doc_id, {_PROMPT_SIZES} FROM documents")
 def c13_prompts(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", *[F.length(tags.prompt(m, F.col("text"))).alias(m) for m in tags.MISSIONS])
 
 
-@query("c18_uuid5")
+_HASH = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(text))"
+
+
+@query("c18_uuid5", f"SELECT doc_id, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) AS uuid FROM (SELECT doc_id, {_HASH} AS h FROM documents)")
 def c18_uuid5(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", text.uuid5(F.col("text")).alias("uuid"))
 
@@ -218,20 +256,25 @@ def s10_resume(spark, sf_dir):
 
 @query("s11_debug_limit", "SELECT doc_id FROM documents WHERE doc_id < 100")
 def s11_debug_limit(spark, sf_dir):
-    return _docs(spark, sf_dir).where("doc_id < 100").select("doc_id")
+    return curate.debug_limit(_docs(spark, sf_dir), 100, "doc_id").select("doc_id")
 
 
 @query("g6_counts", "SELECT source, count(*) AS n, (count(*) + 127) // 128 AS batches FROM documents GROUP BY source")
 def g6_counts(spark, sf_dir):
-    return _docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("batches", F.expr("(n + 127) div 128"))
+    return _docs(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("batches", curate.batch_count(F.col("n"), 128))
+
+
+def _made_sql(seed: str, prompt: str) -> str:
+    """What the stub generator says."""
+    return f"substr(sha1(concat({seed}, ':', {prompt})), 1, 12)"
 
 
-@query("m1_generate")
+@query("m1_generate", f"SELECT id, '<user>' AS pre_query_template, {_made_sql('id', "'<user>'")} AS instruction FROM range(300) t(id)")
 def m1_generate(spark, sf_dir):
     return models.instructions(spark, models.StubGenerator, "<user>", 100, 3)
 
 
-@query("m2_respond")
+@query("m2_respond", f"SELECT doc_id, {_made_sql('doc_id', 'text')} AS response FROM documents")
 def m2_respond(spark, sf_dir):
     return models.generate(_docs(spark, sf_dir).select("doc_id", "text"), models.StubGenerator, "text", "doc_id", "response").select("doc_id", "response")
 

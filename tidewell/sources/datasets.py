@@ -54,6 +54,13 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def concatenate(spark: SparkSession, paths: list[str], to: str, schema=None) -> DataFrame:
+    """All shards in one JSON-lines folder, in place of what was there; returns it as read back."""
+    rows = read_shards(spark, paths, schema).drop("file_idx")
+    write_jsonl(rows, to)
+    return read_jsonl(spark, to, rows.schema)
+
+
 def write_json_array(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
     """One indented array in one local file, for small results only: more than max_rows is an error."""
     rows = [r.asDict(recursive=True) for r in df.limit(max_rows + 1).collect()]
@@ -72,18 +79,28 @@ def output_name(path: str, stage: str, n: int | None = None) -> str:
     return f"{stem}_{n}res.json" if n is not None else f"{stem}_{SUFFIX.get(stage, stage)}.json"
 
 
-def with_retry(call: Callable[[], str], retries: int = 5, sleep: Callable[[float], None] = time.sleep) -> str | None:
-    """The call's result; after each failure it waits 2^attempt seconds; None after the last."""
+def with_retry(call: Callable[[], str], retries: int = 5, sleep: Callable[[float], None] = time.sleep, errors: tuple[type[BaseException], ...] = (Exception,)) -> str | None:
+    """The call's result; after each failure of the given kinds it waits 2^attempt seconds; None after the last."""
     for attempt in range(retries):
         try:
             return call()
-        except Exception:  # any failure of a remote call counts
+        except errors:
             sleep(2**attempt)
     return None
 
 
-def chat_completion(messages: list[dict], params: dict, endpoint: str, headers: dict) -> str:
+class ChatClient:
+    """A chat API by HTTP, with retries of failed requests only (timeouts among them)."""
+
+    def __init__(self, endpoint: str, headers: dict, timeout: float = 600.0):
+        self.endpoint, self.headers, self.timeout = endpoint, headers, timeout
+
+    def complete(self, messages: list[dict], params: dict) -> str | None:
+        return with_retry(lambda: chat_completion(messages, params, self.endpoint, self.headers, self.timeout), errors=(OSError,))
+
+
+def chat_completion(messages: list[dict], params: dict, endpoint: str, headers: dict, timeout: float = 600.0) -> str:
     """One HTTP chat completion."""
     body = json.dumps({**params, "messages": messages}).encode()
-    with urllib.request.urlopen(urllib.request.Request(endpoint, body, {"Content-Type": "application/json", **headers})) as r:
+    with urllib.request.urlopen(urllib.request.Request(endpoint, body, {"Content-Type": "application/json", **headers}), timeout=timeout) as r:
         return json.load(r)["choices"][0]["message"]["content"]

@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 SCHEMA = """model_name string, stop_tokens array<string>, stop_token_ids array<long>, stop_tokens_assistant array<string>,
 pre_query_template string, pre_query_template_with_system_prompt string, mt_append_template string,
 pre_query_template_math string, pre_query_template_code string, pre_query_template_translation string"""
-#: Name parts, all needed, and families; the first that fits wins. The last two aren't the reference's.
-FAMILIES = [(("llama-3",), "llama3"), (("llama3",), "llama3"), (("gemma",), "gemma"), (("qwen",), "qwen"), (("zephyr",), "zephyr"), (("llama-2",), "llama2"), (("tulu",), "tulu"), (("mixtral",), "mistral"), (("mistral",), "mistral"), (("yi", "chat"), "yi"), (("vicuna",), "vicuna"), (("phi",), "phi"), (("deepseek",), "deepseek")]
+#: Parts of a name, all needed, and the family of its chat template; the first that fits wins.
+FAMILIES = [
+    (("llama-3",), "llama3"),
+    (("llama3",), "llama3"),
+    (("gemma",), "gemma"),
+    (("qwen",), "qwen"),
+    (("zephyr",), "zephyr"),
+    (("llama-2",), "llama2"),
+    (("tulu",), "tulu"),
+    (("mixtral",), "mistral"),
+    (("mistral",), "mistral"),
+    (("yi", "chat"), "yi"),
+    (("vicuna",), "vicuna"),
+]
 #: Models that go by another name at the API.
 API_NAMES = {f"meta-llama/Meta-Llama-3-{n}B-Instruct": f"meta-llama/Llama-3-{n}b-chat-hf" for n in (8, 70)}
 
@@ -25,23 +37,24 @@ def load_registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_model(rows: DataFrame, registry: DataFrame, key: str = "model_name") -> DataFrame:
-    """Rows with their model's entry (the registry is broadcast); a missing model fails the query."""
-    found = rows.join(F.broadcast(registry), key, "left")
-    known = F.coalesce(F.col("pre_query_template"), F.raise_error(F.concat(F.lit("no such model: "), F.coalesce(F.col(key), F.lit("null")))).cast("string"))
-    return found.withColumn("pre_query_template", known)
+    """Rows with their model's entry (the registry is broadcast); a missing model fails whatever is selected of them."""
+    marked = registry.withColumn("_known", F.lit(True))
+    found = rows.join(F.broadcast(marked), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no such model: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return found.where(F.coalesce(F.col("_known"), missing)).drop("_known")
 
 
 def template(control_task: str | None = None, system_prompt: bool = False) -> Column:
-    """The control task's template, else the one with a system prompt, else the default."""
-    if control_task:
-        return F.col(f"pre_query_template_{control_task}")
-    return F.col("pre_query_template_with_system_prompt" if system_prompt else "pre_query_template")
+    """The control task's template, else the one with a system prompt, else the default; a model without the one asked for is an error."""
+    name = f"pre_query_template_{control_task}" if control_task else "pre_query_template_with_system_prompt" if system_prompt else "pre_query_template"
+    return F.coalesce(F.col(name), F.raise_error(F.lit(f"the model has no {name}")).cast("string"))
 
 
-def stop_list(early_stopping: bool) -> Column:
-    """Stop tokens; with early stopping also a line feed and the assistant's markers."""
-    extra = F.concat(F.array(F.lit("\n")), F.coalesce("stop_tokens_assistant", F.array().cast("array<string>")))
-    return F.concat("stop_tokens", extra) if early_stopping else F.col("stop_tokens")
+def stop_list(early_stopping: bool, multi_turn: bool = False) -> Column:
+    """Stop tokens, then (but not for further turns) the assistant's markers, and with early stopping a line feed at the end."""
+    none = F.array().cast("array<string>")
+    parts = [F.coalesce("stop_tokens", none)] + ([] if multi_turn else [F.coalesce("stop_tokens_assistant", none)])
+    return F.concat(*parts, F.array(F.lit("\n"))) if early_stopping else F.concat(*parts)
 
 
 def family(model: Column) -> Column:

@@ -14,13 +14,23 @@ from ..operators.curate import resume
 def run_stage(source: DataFrame, stage: Callable[[DataFrame], DataFrame], path: str, key: str = "row_idx", batches: int = 1) -> DataFrame:
     """The staged output of all source rows; batches already in the folder aren't computed again."""
     spark = source.sparkSession
+    if not source.where(F.col(key).isNull()).isEmpty():
+        raise ValueError(f"{key} is null in some rows: a restart couldn't tell whether they are done")
     for i in range(batches):
         part = source.where(F.pmod(F.xxhash64(key), F.lit(batches)) == i)
         try:
             done = spark.read.parquet(path)
-        except AnalysisException:  # nothing staged yet
-            done = None
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            done = None  # nothing staged yet
         rest = resume(part, done, key)
         if not rest.isEmpty():
             stage(rest).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def finish(spark, path: str) -> None:
+    """Removes a stage's folder once its output is written elsewhere."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
