@@ -39,7 +39,7 @@ def staged_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: cuts lineage and survives the loss of executors."""
     path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)  # smaller row groups: less is held while writing
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,6 +70,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Sets the session to Arrow batches of so many rows, unless it has a number of its own: ten thousand texts at once take much memory on either side."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def in_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text columns hold about `limit` bytes at most, so that memory doesn't follow the batch size; one longer text is a block of its own."""
     for batch in batches:
@@ -87,12 +94,14 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Itera
 
 def by_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", limit: int = 8 << 20) -> DataFrame:
     """mapInArrow over blocks of bounded bytes."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in in_blocks(batches, text, limit):
             out = fn(block)
             if out is not None and out.num_rows:
                 yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -118,11 +127,11 @@ def row_key(id_col: Column, *cols: Column) -> Column:
 
 def without(docs: DataFrame, key: Column, dropped: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """docs without the rows whose key is in `dropped` (one column `gone`), which is broadcast only while its counted size is within the bound. Keys are compared as hashes of two seeds beside the value, so that null ids count as equal."""
-    gone = staged(dropped.select("gone").distinct(), "dropped")
+    at, of = fresh(docs, "_key"), fresh(docs, "_gone")
+    gone = staged(dropped.select(F.col("gone").alias(of)).distinct(), "dropped")
     if gone.count() * 40 <= broadcast_bytes:
         gone = F.broadcast(gone)
-    at = fresh(docs, "_key")
-    return docs.withColumn(at, key).join(gone, F.col(at).eqNullSafe(F.col("gone")), "left_anti").drop(at)
+    return docs.withColumn(at, key).join(gone, F.col(at).eqNullSafe(F.col(of)), "left_anti").drop(at)
 
 
 def packed(src: DataFrame, text: str, limit: int) -> DataFrame:
@@ -149,9 +158,11 @@ def packed(src: DataFrame, text: str, limit: int) -> DataFrame:
         if held:
             yield row(held)
 
+    small_batches(src.sparkSession)
     return src.mapInArrow(run, "block long, body binary")
 
 
 def unpacked(body: pa.Scalar, text: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The rows of a block, in slices of about `limit` bytes of text."""
     yield from in_blocks(iter(pa.ipc.open_stream(body.as_buffer())), text, limit)
+    pa.default_memory_pool().release_unused()

@@ -26,8 +26,10 @@ from .common import ascii_lower, documents, fresh, staged, staged_path
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each state partition reserves megabytes
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",  # a stopped query's state leaves the executors' memory at the next one
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
@@ -98,23 +100,23 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     """
     found = staged(exact_dedup(docs, id_col, text_col).select(F.struct(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("sha")).alias("row"), "kept"), "dedup-rows")
     lost, twice = found.where("not kept").select("row"), found.where("kept").groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row")
-    at, no = fresh(docs, "_row"), fresh(docs, "_no")
+    at, of, no = fresh(docs, "_row"), fresh(docs, "_of"), fresh(docs, "_no")
     sha = F.unhex(F.sha2(ascii_lower(F.coalesce(docs[text_col], F.lit(""))), 256))
     keyed = docs.withColumn(at, F.struct(docs[id_col].alias("id"), sha.alias("sha")))
 
     def gone(rows: DataFrame) -> tuple[DataFrame, bool]:
-        rows = staged(rows.distinct(), "dropped")
+        rows = staged(rows.distinct().withColumnRenamed("row", of), "dropped")
         n = rows.count()
         return (F.broadcast(rows) if n * 64 <= broadcast_bytes else rows), n > 0
 
     drop, _ = gone(lost)
-    out = keyed.join(drop, F.col(at).eqNullSafe(F.col("row")), "left_anti")
+    out = keyed.join(drop, F.col(at).eqNullSafe(F.col(of)), "left_anti")
     again, any_twice = gone(twice)
     if not any_twice:
         return out.drop(at)
-    once = out.join(again, F.col(at).eqNullSafe(F.col("row")), "left_anti").drop(at)
+    once = out.join(again, F.col(at).eqNullSafe(F.col(of)), "left_anti").drop(at)
     first = Window.partitionBy(at).orderBy(F.col(text_col).asc_nulls_first())
-    rest = out.join(again, F.col(at).eqNullSafe(F.col("row")), "left_semi").withColumn(no, F.row_number().over(first)).where(F.col(no) == 1)
+    rest = out.join(again, F.col(at).eqNullSafe(F.col(of)), "left_semi").withColumn(no, F.row_number().over(first)).where(F.col(no) == 1)
     return once.unionByName(rest.drop(at, no))
 
 

@@ -16,10 +16,10 @@ n^2 / 2^65. Otherwise the join is exact.
    bands share a signature. A set with too few non-empty subsets emits its empty ones too,
    so nothing is lost.
 3. A signature that more than `cap` sets of one block of texts share is settled in that
-   block: its sets point to the least of them, and only that one goes on. So a hot signature
-   reaches its task as one row a block. Rows are dealt by signature and sorted (spilling),
+   block: there its sets are a group of their own, and only the least of them stays in the
+   shared one. So a hot signature reaches its task as one row a block. Rows are dealt by signature and sorted (spilling),
    then read as a stream that keeps at most `cap` members of a group, whatever its size.
-4. Within a group each member is compared with the group's least member (or its block's);
+4. Within a group each member is compared with the group's least member;
    verified links give components. Only groups that still hold several components go on.
    Groups of at most `cap` members compare the pairs across components. A larger group
    matters only to sets that have too few small groups to be sure (their distance could touch
@@ -49,10 +49,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_blocks, staged
+from .common import documents, in_blocks, small_batches, staged
 from .components import components
 
 WORDS, CAP = 5, 16
@@ -181,7 +182,7 @@ def signatures(sets: list[np.ndarray], scheme: Scheme, only_spare: bool = False)
 
 def _members(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """rk, id, text -> rk, id, set, n, spare."""
-    for b in in_blocks(batches, "text", 8 << 20):
+    for b in in_blocks(batches, "text", 2 << 20):
         sets = shingle_sets(b.column(2).to_pylist(), k)
         _, _, spare = signatures(sets, scheme, True)
         keys = [set_key(s) if len(s) else None for s in sets]
@@ -189,9 +190,10 @@ def _members(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Itera
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int) -> Iterator[pa.RecordBatch]:
-    """text -> sig, set, lo; copies within the task count once. lo is null but where more than `cap` sets of a block share a signature: then it is the least of them, whose own row (lo = set) alone goes on."""
+    """text -> sig, set; copies within the task count once. Sets of a block that share a signature and are more than `cap` get a signature of their own; the least of them alone keeps the shared one, with its last bit set."""
     seen: set[int] = set()
-    for b in in_blocks(batches, "text", 4 << 20):
+    part = TaskContext.get().partitionId()
+    for no, b in enumerate(in_blocks(batches, "text", 2 << 20)):
         fresh = []
         for s in shingle_sets(b.column(0).to_pylist(), k):
             key = set_key(s) if len(s) else None
@@ -199,18 +201,25 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int)
                 seen.add(key)
                 fresh.append((key, s))
         sig, owner, _ = signatures([s for _, s in fresh], scheme)
-        if len(sig):
-            sets = np.array([k for k, _ in fresh], np.int64)[owner]
-            by = np.lexsort((sets, sig))
-            sig, sets = sig[by], sets[by]
-            first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            n = np.diff(np.append(first, len(sig)))
-            lo = pa.array(np.repeat(sets[first], n), mask=np.repeat(n <= cap, n))
-            yield pa.record_batch([pa.array(sig), pa.array(sets), lo], ["sig", "set", "lo"])
+        if not len(sig):
+            continue
+        sets = np.array([k for k, _ in fresh], np.int64)[owner]
+        _, which, n = np.unique(sig, return_inverse=True, return_counts=True)
+        sig = sig & ~1
+        hot = n[which] > cap
+        if hot.any():
+            by = np.lexsort((sets[hot], which[hot]))
+            x, s, g = sets[hot][by], sig[hot][by], which[hot][by]
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+            with np.errstate(over="ignore"):
+                own = _mix(s.view(np.uint64) + np.uint64(part << 32 | no) * _A[1] + _A[0]).view(np.int64) & ~1
+            sig, sets = np.concatenate([sig[~hot], own, s[first] | 1]), np.concatenate([sets[~hot], x, x[first]])
+        by = np.argsort(sig)  # sorted runs make the sort after the exchange cheap
+        yield pa.record_batch([pa.array(sig[by]), pa.array(sets[by])], ["sig", "set"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, set and, if there, lo) sorted by sig, set and lo, nulls last -> sig, set, lo (the group's least set, or the block's where it is given), heavy (more than cap members), of groups with two sets or more. Keeps cap + 1 rows of an open group at most."""
+    """Rows (sig, set and, if there, big) sorted by sig, set and big, true first -> sig, set, lo (the group's least set), heavy (more than cap members, or one that is big), of groups with two sets or more, or heavy ones. Keeps cap + 1 rows of an open group at most."""
     sig = sets = np.zeros(0, np.int64)  # the open group's rows while it isn't heavy
     big = np.zeros(0, bool)
     lo = None  # set once the open group is heavy
@@ -230,16 +239,7 @@ def _groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBa
         if not b.num_rows:
             continue
         s, x = b.column(0).to_numpy(), b.column(1).to_numpy()
-        many = np.zeros(len(s), bool)
-        if b.num_columns > 2 and b.column(2).null_count < len(s):
-            low, given = b.column(2).fill_null(0).to_numpy(), b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            many = given & (low == x)
-            settled = given & ~many
-            if settled.any():
-                yield out(s[settled], x[settled], low[settled], np.ones(settled.sum(), bool))
-                s, x, many = s[~settled], x[~settled], many[~settled]
-            if not len(s):
-                continue
+        many = b.column(2).to_numpy(zero_copy_only=False) if b.num_columns > 2 else np.zeros(len(s), bool)
         new = np.concatenate([[(s[0], x[0]) != (last_sig, last_set)], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
         s, x, many = s[new], x[new], many[new]
         if not len(s):
@@ -274,7 +274,7 @@ def _opened(texts: pa.Array) -> list[str]:
 
 def _verified(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """a, b, ta, tb -> a, b, inter, both: the exact sizes of intersection and union."""
-    for b in in_blocks(batches, "tb", 1 << 20):
+    for b in in_blocks(batches, "tb", 1 << 19):
         a, x = b.column(0).to_pylist(), b.column(1).to_pylist()
         left = dict(zip(a, b.column(2), strict=True))
         lsets = dict(zip(left, shingle_sets(_opened(pa.array(left.values(), pa.binary())), k), strict=True))
@@ -348,7 +348,7 @@ PARTS = 256
 def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """set, text -> set, n, sketch (elements per part of the domain, a byte each, at most 255), text (compressed)."""
     pack = zstandard.ZstdCompressor(level=3)
-    for b in in_blocks(batches, "text", 4 << 20):
+    for b in in_blocks(batches, "text", 2 << 20):
         texts = b.column(1).to_pylist()
         sets = shingle_sets(texts, k)
         rows = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
@@ -370,14 +370,14 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """members (rk, id, set, n, spare), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
     scheme = Scheme(num, den, slack)
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).select(F.xxhash64("id", "text").alias("rk"), "id", "text")
     kind = dict(src.dtypes)["id"]
     members = staged(src.mapInArrow(lambda it: _members(it, k, scheme), f"rk long, id {kind}, set long, n long, spare long"), "join-members")
-    signed = src.select("text").mapInArrow(lambda it: _signed(it, k, scheme, cap), "sig long, set long, lo long")
+    signed = src.select("text").mapInArrow(lambda it: _signed(it, k, scheme, cap), "sig long, set long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # What a block has settled itself is dealt by its set, all else by signature.
-    dealt = F.when(F.col("lo") != F.col("set"), F.col("set")).otherwise(F.col("sig"))
-    groups = signed.repartition(parts, dealt).sortWithinPartitions("sig", "set", F.desc_nulls_last("lo")).mapInArrow(lambda it: _groups(it, cap), "sig long, set long, lo long, heavy boolean")
+    dealt = signed.repartition(parts, F.shiftright("sig", 1)).select(F.shiftright("sig", 1).alias("sig"), "set", ((F.col("sig") % 2) != 0).alias("big"))
+    groups = dealt.sortWithinPartitions("sig", "set", F.desc("big")).mapInArrow(lambda it: _groups(it, cap), "sig long, set long, lo long, heavy boolean")
     groups = staged(groups, "join-groups")
 
     sizes = members.where("n > 0").groupBy("set").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("spare").alias("spare"))

@@ -48,8 +48,8 @@ from pyspark.sql import functions as F
 
 from .common import by_blocks, documents, packed, row_key, scratch, staged, table, unpacked, without
 
-#: Characters of context, bytes of text worked on at once, bytes of text that ask together, and the n-grams that are broadcast.
-ORDER, BLOCK, ASK, HOT = 5, 2 << 20, 16 << 20, 1 << 18
+#: Characters of an n-gram, bytes of text counted at once, scored at once and asking together, and the n-grams that are broadcast.
+ORDER, COUNT, BLOCK, ASK, HOT = 5, 1 << 20, 1 << 19, 8 << 20, 1 << 18
 #: What stands before a text; a text's own, and its zeros, are read as U+FFFD.
 PAD = "\x03"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -172,7 +172,7 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
         where, which = _distinct(joined, at, order)
         return pa.record_batch([_strings(joined, where, order), pa.array(np.bincount(which, minlength=len(where)), pa.int64())], ["gram", "n"])
 
-    return by_blocks(docs, block, "gram string, n long", limit=BLOCK).groupBy("gram").agg(F.sum("n").alias("n"))
+    return by_blocks(docs, block, "gram string, n long", limit=COUNT).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _keyed(df: DataFrame, order: int, length: int, context: bool) -> DataFrame:
@@ -209,16 +209,23 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: i
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass")).withColumn("gamma", F.col("mass") / F.col("total"))
         if lower is None:
             floor = (d[0] * n1 + d[1] * n2 + d[2] * (sizes[1].rows - n1 - n2)) / sizes[1].total / chars
-            p = rows.select("gram", ((F.col("n") - F.col("cut")) / sizes[1].total + floor).alias("p"))
+            p = rows.select("gram", "n", ((F.col("n") - F.col("cut")) / sizes[1].total + floor).alias("p"))
         else:
             joined = rows.join(contexts, "context").join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-            p = joined.select("gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
+            p = joined.select("gram", "n", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
             parts.append(_keyed(contexts.select("context", F.col("gamma").cast("float").alias("value")), n, n - 1, True))
         lower = staged(p, "lm-probs")
         parts.append(_keyed(lower.select("gram", F.col("p").cast("float").alias("value")), n, n, False))
     rows = staged(functools.reduce(DataFrame.unionByName, parts), "lm-model")
-    most = grams[-1].orderBy(F.desc("n"), "gram").limit(hot).select("gram")
-    most = staged(lower.join(F.broadcast(most), "gram").select("gram", F.col("p").cast("float").alias("p")), "lm-hot")
+    # The most frequent n-grams, cut where a count of counts says that no more than `hot` are left.
+    step = F.floor(F.log2("n") * 8)
+    left, cut = hot, None
+    for r in sorted(lower.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r.step
+    most = staged(lower.where(step >= cut if cut is not None else F.lit(False)).select("gram", F.col("p").cast("float").alias("p")), "lm-hot")
     return Model(order, rows, rows.count(), floor, chars, most)
 
 
@@ -272,8 +279,10 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     if model.size * 12 <= broadcast_bytes:
         shared = model.shared
         return by_blocks(src, lambda b: scored(b, *_bits(b.column("text").to_pylist(), order, floor, *shared.value)), schema, limit=BLOCK)
-    got = model.hot.toArrow().combine_chunks()  # HOT rows at most
-    common = src.sparkSession.sparkContext.broadcast((pa.array(got.column("gram").to_pylist(), pa.string()), got.column("p").to_numpy().astype(np.float64)))
+    got = model.hot.toArrow()  # HOT rows at most
+    common = src.sparkSession.sparkContext.broadcast((pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in got.column("gram").chunks)]), got.column("p").to_numpy().astype(np.float64)))
+    del got
+    pa.default_memory_pool().release_unused()
     blocks = staged(packed(src, "text", ASK), "lm-blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,23 +322,21 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     good = F.broadcast(good) if good.count() * 16 <= label_bytes else good
     fold = F.coalesce(F.crc32(F.col("id").cast("string")) % folds, F.lit(0))
     trusted = src.join(good, "id", "left_semi").select("id", "text")
-    everything, parts = [], []
+    parts, chars = [], 1
     for f in range(folds):
-        model = train(trusted.where(fold != f).select("text"), order=order)
-        if model is None:
-            everything = everything or [train(trusted.select("text"), order=order)]
-            model = everything[0]
-        if model is None:
-            nothing = F.lit(None).cast("double")
-            return src.select("id", "lang", "key", nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("accepted"))
         made: list[DataFrame] = []
         with scratch(src.sparkSession, lambda: made):  # noqa: B023  used at once
+            model = train(trusted.where(fold != f).select("text"), order=order) or train(trusted.select("text"), order=order)
+            if model is None:
+                nothing = F.lit(None).cast("double")
+                return src.select("id", "lang", "key", nothing.alias("perplexity"), nothing.alias("threshold"), F.lit(True).alias("accepted"))
             made.append(staged(tallied(src.where(fold == f), model, broadcast_bytes), "lm-tallied"))
-        parts += [(made[0], model)]
-    scored = functools.reduce(DataFrame.unionByName, [p for p, _ in parts])
+            chars = model.chars
+        parts += made
+    scored = functools.reduce(DataFrame.unionByName, parts)
     held = scored.join(good, "id", "left_semi")
     sums = held.agg(F.sum("lm_bits").alias("b"), F.sum("lm_chars").alias("c")).first()
-    mean = sums.b / sums.c if sums.c else math.log2(parts[0][1].chars) / 2
+    mean = sums.b / sums.c if sums.c else math.log2(chars) / 2
     perplexity = F.pow(F.lit(2.0), (F.col("lm_bits") + prior * mean) / (F.col("lm_chars") + prior))
     seen = held.select("lang", perplexity.alias("p"))
     at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000)) * slack

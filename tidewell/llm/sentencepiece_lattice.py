@@ -251,7 +251,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         got = encoded.select("key", "ids").orderBy("key").toArrow()
         lists = got.column("ids").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        lookup = spark.sparkContext.broadcast((got.column("key").to_numpy(), lists.offsets.to_numpy().astype(np.int64), lists.values.to_numpy().astype(np.int32)))
+        lookup = spark.sparkContext.broadcast((got.column("key").to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy().astype(np.uint16 if len(pieces.pieces) <= 1 << 16 else np.int32)))
+        del got, lists
+        pa.default_memory_pool().release_unused()
 
         def block(b: pa.RecordBatch) -> pa.RecordBatch:
             known, offsets, values = lookup.value
@@ -259,9 +261,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             _, _, _, keys, counts = chunks(texts, shared.value)
             distinct, back = np.unique(keys, return_inverse=True)
             at = np.searchsorted(known, distinct)[back]
-            lens = (offsets[1:] - offsets[:-1])[at]
+            lens = (offsets[at + 1] - offsets[at]).astype(np.int64)
             total = np.concatenate([[0], np.cumsum(lens)])
-            flat = values[np.repeat(offsets[at] - total[:-1], lens) + np.arange(total[-1])]
+            flat = values[np.repeat(offsets[at] - total[:-1], lens) + np.arange(total[-1])].astype(np.int32)
             ends = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
             rows = flat.tolist()
             same = [shared.value.decode(rows[s:e]) == (t or "").replace(SPACE, " ") for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
