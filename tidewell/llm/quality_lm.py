@@ -288,12 +288,12 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                wanted = pa.array([], pa.string())
+                found = [pa.array([], pa.string())]
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, _ = _points(part.column("text").to_pylist(), order)
-                    grams = _strings(joined, _distinct(joined, at, order)[0], order)
-                    grams = grams.filter(pc.invert(pc.is_in(grams, common.value[0])))
-                    wanted = pc.unique(pa.concat_arrays([wanted, grams]))
+                    found.append(_strings(joined, _distinct(joined, at, order)[0], order))
+                wanted = pc.unique(pa.concat_arrays(found))
+                wanted = wanted.filter(pc.invert(pc.is_in(wanted, common.value[0])))
                 yield pa.record_batch([pa.array(np.full(len(wanted), block, np.int64)), wanted], ["block", "gram"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +302,23 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
                 known, p = common.value
                 if pairs.is_valid:
                     known, p = pa.concat_arrays([known, pairs.values.field(0)]), np.concatenate([p, pairs.values.field(1).to_numpy()])
+                held = []  # a few slices are looked up together: the table is hashed anew each time
+
+                def flush(held, known, p):
+                    at = np.cumsum([0, *(len(g) for *_, g in held)])
+                    found = pc.index_in(pa.concat_arrays([g for *_, g in held]), known).to_numpy(zero_copy_only=False)
+                    for i, (part, which, lens, _) in enumerate(held):
+                        yield scored(part, *_summed(p[found[at[i] : at[i + 1]]], which, lens))
+
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, lens = _points(part.column("text").to_pylist(), order)
                     where, which = _distinct(joined, at, order)
-                    found = pc.index_in(_strings(joined, where, order), known).to_numpy(zero_copy_only=False)
-                    yield scored(part, *_summed(p[found], which, lens))
+                    held.append((part, which, lens, _strings(joined, where, order)))
+                    if len(held) == 4:
+                        yield from flush(held, known, p)
+                        held = []
+                if held:
+                    yield from flush(held, known, p)
 
     asked = staged(blocks.mapInArrow(ask, "block long, gram string"), "lm-asked")
     resolved = _resolved(asked.select("gram").distinct(), model)
