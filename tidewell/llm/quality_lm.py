@@ -10,8 +10,8 @@ seen, of all orders, and the back-off weight of each context.
 Scoring: texts are read in blocks, and a block asks for its distinct n-grams of the highest
 order only. The distinct n-grams of all blocks are joined with the model's shards: first by
 themselves, and only those never seen go on to the contexts and the lower orders. The
-probabilities found return to the blocks by an equi-join on the n-gram, so that no task holds
-more than one block and its answers. The `hot` most frequent n-grams of the training texts,
+probabilities found return to the blocks by an equi-join on the n-gram's 64-bit key, so that
+no task holds more than one block and its answers. The `hot` most frequent n-grams of the training texts,
 which nearly every block would ask for, are a broadcast table of that fixed size, so that no
 n-gram of the join is hot. With `broadcast_bytes` above 0 a model within that counted size
 is looked up in a sorted copy instead; both ways give the same figures.
@@ -81,17 +81,17 @@ def _points(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray
     return joined, np.arange(lens.sum()) + np.repeat(heads - (np.cumsum(lens) - lens), lens), lens
 
 
-def _distinct(joined: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """One position of each distinct n-gram that ends at one of `at`, and which of these stands at each of `at`."""
+def _distinct(joined: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One position of each distinct n-gram that ends at one of `at`, which of these stands at each of `at`, and their rolling codes."""
     value = _mix(joined.astype(np.uint64) + _STEP)
     code = value.copy()
     for i in range(1, order):
         code[i:] += value[:-i] * _times(1, i)
     which = pa.array(code[at]).dictionary_encode()
-    which, n = which.indices.to_numpy(), len(which.dictionary)
-    where = np.zeros(n, np.int64)
+    which, codes = which.indices.to_numpy(), which.dictionary.to_numpy()
+    where = np.zeros(len(codes), np.int64)
     where[which] = at
-    return where, which
+    return where, which, codes
 
 
 def _codes(joined: np.ndarray, where: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -107,7 +107,7 @@ def _codes(joined: np.ndarray, where: np.ndarray, order: int) -> Iterator[tuple[
 
 @dataclasses.dataclass
 class Model:
-    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the most frequent n-grams of the highest order (gram, p)."""
+    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the most frequent n-grams of the highest order (key, value)."""
 
     order: int
     rows: DataFrame
@@ -138,7 +138,7 @@ def _bits(texts: list[str | None], order: int, floor: float, known: np.ndarray,
         return out
 
     joined, at, lens = _points(texts, order)
-    where, which = _distinct(joined, at, order)
+    where, which, _ = _distinct(joined, at, order)
     p, left = np.ones(len(where)), np.arange(len(where))
     for n in range(order, 0, -1):  # only n-grams never seen go on to the next lower order
         *_, (code, context) = _codes(joined, where[left], n)
@@ -169,22 +169,23 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
 
     def block(b: pa.RecordBatch) -> pa.RecordBatch:
         joined, at, _ = _points(b.column(0).to_pylist(), order)
-        where, which = _distinct(joined, at, order)
+        where, which, _ = _distinct(joined, at, order)
         return pa.record_batch([_strings(joined, where, order), pa.array(np.bincount(which, minlength=len(where)), pa.int64())], ["gram", "n"])
 
     return by_blocks(docs, block, "gram string, n long", limit=COUNT).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _keyed(df: DataFrame, order: int, length: int, context: bool) -> DataFrame:
-    """key and value of rows (gram, value), whose grams have `length` characters."""
+    """Rows (gram, another column), whose grams have `length` characters, with the gram's key in its place."""
+    name, kind = df.dtypes[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             joined = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
             *_, (code, _) = _codes(joined, np.arange(length - 1, len(joined), length), length)
-            yield pa.record_batch([pa.array(_key(code, order, context)), b.column(1)], ["key", "value"])
+            yield pa.record_batch([pa.array(_key(code, order, context)), b.column(1)], ["key", name])
 
-    return df.mapInArrow(run, "key long, value float")
+    return df.mapInArrow(run, f"key long, {name} {kind}")
 
 
 def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: int = HOT) -> Model | None:
@@ -225,7 +226,8 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: i
         if left < 0:
             break
         cut = r.step
-    most = staged(lower.where(step >= cut if cut is not None else F.lit(False)).select("gram", F.col("p").cast("float").alias("p")), "lm-hot")
+    most = lower.where(step >= cut if cut is not None else F.lit(False)).select("gram", F.col("p").cast("float").alias("value"))
+    most = staged(_keyed(most, order, order, False), "lm-hot")
     return Model(order, rows, rows.count(), floor, chars, most)
 
 
@@ -244,7 +246,7 @@ def _gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, list[np.ndarra
 
 
 def _resolved(grams: DataFrame, model: Model) -> DataFrame:
-    """gram and p of distinct n-grams of the highest order, by joins with the model's shards."""
+    """key and p of distinct n-grams of the highest order, by joins with the model's shards."""
     order = model.order
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,18 +254,18 @@ def _resolved(grams: DataFrame, model: Model) -> DataFrame:
             if b.num_rows:
                 own, rest = _gram_keys(b.column(0).to_pylist(), order)
                 flat = pa.array(np.stack(rest, 1).ravel())
-                yield pa.record_batch([b.column(0), pa.array(own), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(rest)), flat)], ["gram", "own", "rest"])
+                yield pa.record_batch([pa.array(own), pa.array(own), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(rest)), flat)], ["key", "own", "rest"])
 
     shards = model.rows.select(F.col("key").alias("own"), "value")
-    first = staged(grams.mapInArrow(keys, "gram string, own long, rest array<long>").join(shards, "own", "left"), "lm-first")
-    seen = first.where("value is not null").select("gram", F.col("value").cast("double").alias("p"))
-    rest = first.where("value is null").select("gram", F.posexplode("rest").alias("slot", "own")).join(shards, "own", "left")
-    wide = rest.groupBy("gram").agg(*[F.max(F.when(F.col("slot") == i, F.col("value").cast("double"))).alias(f"v{i}") for i in range(2 * order - 2)])
+    first = staged(grams.mapInArrow(keys, "key long, own long, rest array<long>").join(shards, "own", "left"), "lm-first")
+    seen = first.where("value is not null").select("key", F.col("value").cast("double").alias("p"))
+    rest = first.where("value is null").select("key", F.posexplode("rest").alias("slot", "own")).join(shards, "own", "left")
+    wide = rest.groupBy("key").agg(*[F.max(F.when(F.col("slot") == i, F.col("value").cast("double"))).alias(f"v{i}") for i in range(2 * order - 2)])
     p = F.lit(model.floor)
     for n in range(1, order):  # at slots from the end: order 1, context of 2, order 2, context of 3, ...
         at = 2 * (order - n) - 1
         p = F.coalesce(F.col(f"v{at - 1}"), F.lit(1.0)) * F.coalesce(F.col(f"v{at}"), p)
-    return seen.unionByName(wide.select("gram", p.alias("p")))
+    return seen.unionByName(wide.select("key", p.alias("p")))
 
 
 def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame:
@@ -280,7 +282,7 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
         shared = model.shared
         return by_blocks(src, lambda b: scored(b, *_bits(b.column("text").to_pylist(), order, floor, *shared.value)), schema, limit=BLOCK)
     got = model.hot.toArrow()  # HOT rows at most
-    common = src.sparkSession.sparkContext.broadcast((pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in got.column("gram").chunks)]), got.column("p").to_numpy().astype(np.float64)))
+    common = src.sparkSession.sparkContext.broadcast((pa.concat_arrays([pa.array([], pa.int64()), *got.column("key").chunks]), got.column("value").to_numpy().astype(np.float64)))
     del got
     pa.default_memory_pool().release_unused()
     blocks = staged(packed(src, "text", ASK), "lm-blocks")
@@ -288,12 +290,18 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = [pa.array([], pa.string())]
+                keys, grams = [np.array([], np.int64)], [pa.array([], pa.string())]
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, _ = _points(part.column("text").to_pylist(), order)
-                    found.append(_strings(joined, _distinct(joined, at, order)[0], order))
-                wanted = pc.unique(pa.concat_arrays(found))
-                wanted = wanted.filter(pc.invert(pc.is_in(wanted, common.value[0])))
+                    where, _, codes = _distinct(joined, at, order)
+                    key = _key(codes, order, False)
+                    rare = ~pc.is_in(pa.array(key), common.value[0]).to_numpy(zero_copy_only=False)
+                    keys.append(key[rare])
+                    grams.append(_strings(joined, where[rare], order))
+                which = pa.array(np.concatenate(keys)).dictionary_encode()
+                once = np.zeros(len(which.dictionary), np.int64)  # a place of each key
+                once[which.indices.to_numpy()] = np.arange(len(which))
+                wanted = pa.concat_arrays(grams).take(pa.array(once))
                 yield pa.record_batch([pa.array(np.full(len(wanted), block, np.int64)), wanted], ["block", "gram"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,15 +313,15 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
                 held = []  # a few slices are looked up together: the table is hashed anew each time
 
                 def flush(held, known, p):
-                    at = np.cumsum([0, *(len(g) for *_, g in held)])
-                    found = pc.index_in(pa.concat_arrays([g for *_, g in held]), known).to_numpy(zero_copy_only=False)
+                    at = np.cumsum([0, *(len(k) for *_, k in held)])
+                    found = pc.index_in(pa.array(np.concatenate([k for *_, k in held])), known).to_numpy(zero_copy_only=False)
                     for i, (part, which, lens, _) in enumerate(held):
                         yield scored(part, *_summed(p[found[at[i] : at[i + 1]]], which, lens))
 
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, lens = _points(part.column("text").to_pylist(), order)
-                    where, which = _distinct(joined, at, order)
-                    held.append((part, which, lens, _strings(joined, where, order)))
+                    _, which, codes = _distinct(joined, at, order)
+                    held.append((part, which, lens, _key(codes, order, False)))
                     if len(held) == 4:
                         yield from flush(held, known, p)
                         held = []
@@ -322,7 +330,8 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
 
     asked = staged(blocks.mapInArrow(ask, "block long, gram string"), "lm-asked")
     resolved = _resolved(asked.select("gram").distinct(), model)
-    answers = asked.join(resolved, "gram").groupBy("block").agg(F.collect_list(F.struct("gram", "p")).alias("pairs"))
+    asking = _keyed(asked.select("gram", "block"), order, order, False)
+    answers = asking.join(resolved, "key").groupBy("block").agg(F.collect_list(F.struct("key", "p")).alias("pairs"))
     return blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, schema)
 
 
