@@ -42,7 +42,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +70,14 @@ def _key(code: np.ndarray, order: int, context: bool) -> np.ndarray:
     return _mix(code + _times(2 * order + context)).view(np.int64)
 
 
+def _place(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys stand in the sorted `known`, and whether they do."""
+    if not len(known):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    i = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return i, known[i] == keys
+
+
 def _points(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts, order - 1 pads before each; the positions of the texts' characters; and the texts' lengths."""
     pad = PAD * (order - 1)
@@ -282,7 +289,9 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
         shared = model.shared
         return by_blocks(src, lambda b: scored(b, *_bits(b.column("text").to_pylist(), order, floor, *shared.value)), schema, limit=BLOCK)
     got = model.hot.toArrow()  # HOT rows at most
-    common = src.sparkSession.sparkContext.broadcast((pa.concat_arrays([pa.array([], pa.int64()), *got.column("key").chunks]), got.column("value").to_numpy().astype(np.float64)))
+    keys, values = got.column("key").to_numpy(), got.column("value").to_numpy().astype(np.float64)
+    by = np.argsort(keys)
+    common = src.sparkSession.sparkContext.broadcast((keys[by], values[by]))
     del got
     pa.default_memory_pool().release_unused()
     blocks = staged(packed(src, "text", ASK), "lm-blocks")
@@ -295,7 +304,7 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
                     joined, at, _ = _points(part.column("text").to_pylist(), order)
                     where, _, codes = _distinct(joined, at, order)
                     key = _key(codes, order, False)
-                    rare = ~pc.is_in(pa.array(key), common.value[0]).to_numpy(zero_copy_only=False)
+                    rare = ~_place(common.value[0], key)[1]
                     keys.append(key[rare])
                     grams.append(_strings(joined, where[rare], order))
                 which = pa.array(np.concatenate(keys)).dictionary_encode()
@@ -309,24 +318,13 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
             for body, pairs in zip(b.column(0), b.column(1), strict=True):
                 known, p = common.value
                 if pairs.is_valid:
-                    known, p = pa.concat_arrays([known, pairs.values.field(0)]), np.concatenate([p, pairs.values.field(1).to_numpy()])
-                held = []  # a few slices are looked up together: the table is hashed anew each time
-
-                def flush(held, known, p):
-                    at = np.cumsum([0, *(len(k) for *_, k in held)])
-                    found = pc.index_in(pa.array(np.concatenate([k for *_, k in held])), known).to_numpy(zero_copy_only=False)
-                    for i, (part, which, lens, _) in enumerate(held):
-                        yield scored(part, *_summed(p[found[at[i] : at[i + 1]]], which, lens))
-
+                    known, p = (np.concatenate([x, pairs.values.field(i).to_numpy()]) for i, x in enumerate((known, p)))
+                    by = np.argsort(known)
+                    known, p = known[by], p[by]
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, lens = _points(part.column("text").to_pylist(), order)
                     _, which, codes = _distinct(joined, at, order)
-                    held.append((part, which, lens, _key(codes, order, False)))
-                    if len(held) == 4:
-                        yield from flush(held, known, p)
-                        held = []
-                if held:
-                    yield from flush(held, known, p)
+                    yield scored(part, *_summed(p[_place(known, _key(codes, order, False))[0]], which, lens))
 
     asked = staged(blocks.mapInArrow(ask, "block long, gram string"), "lm-asked")
     resolved = _resolved(asked.select("gram").distinct(), model)
