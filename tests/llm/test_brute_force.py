@@ -242,3 +242,18 @@ def test_toxicity_scores_equal_a_plain_lexicon():
         t = " ".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
         assert abs(lex.score(t) - plain(t)) < 1e-12, t
     assert lex.score("zorkan soup") == lex.score(None) < lex.score("zorkan stew")
+
+
+def test_key_index_finds_what_a_dict_finds():
+    import numpy as np
+
+    from tidewell.llm.quality_lm import _Index
+
+    made = np.random.default_rng(3)
+    for size in (0, 1, 2, 5000):
+        keys = made.integers(-(2**63), 2**63 - 1, size)
+        keys[size // 2 :] = np.where(made.random(size - size // 2) < 0.1, keys[: size - size // 2], keys[size // 2 :])  # repeated keys
+        asked = np.concatenate([keys, made.integers(-(2**63), 2**63 - 1, 500), np.arange(-5, 5)])
+        found, held = _Index(keys).find(asked), set(keys.tolist())
+        assert [f >= 0 for f in found] == [a in held for a in asked.tolist()]
+        assert (keys[found[found >= 0]] == asked[found >= 0]).all()

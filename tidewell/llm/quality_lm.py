@@ -42,7 +42,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +104,33 @@ def _codes(joined: np.ndarray, where: np.ndarray, order: int) -> Iterator[tuple[
         yield code, context
 
 
+class _Index:
+    """Where 64-bit keys stand among given ones. A table is addressed by a key's upper bits; of keys that share a slot one stays, the others go on to the next table, whose bits are others."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.keys, self.tables = keys, []
+        left = np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            self.tables.append(np.full(2 << len(left).bit_length(), -1, np.int32))
+            slots = self._slots(keys[left], len(self.tables) - 1)
+            self.tables[-1][slots] = left
+            left = left[self.tables[-1][slots] != left]
+
+    def _slots(self, keys: np.ndarray, level: int) -> np.ndarray:
+        return (keys.view(np.uint64) * _times(1, level)) >> np.uint64(65 - len(self.tables[level]).bit_length())
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 for those that aren't there."""
+        out, left = np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        for level, table in enumerate(self.tables):
+            at = table[self._slots(keys, level)]
+            same = (at >= 0) & (self.keys[at] == keys)
+            out[left[same]] = at[same]
+            on = (at >= 0) & ~same  # an empty slot ends the search: no key went past it
+            left, keys = left[on], keys[on]
+        return out
+
+
 @dataclasses.dataclass
 class Model:
     """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the most frequent n-grams of the highest order (key, value)."""
@@ -288,6 +314,7 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     blocks = staged(packed(src, "text", ASK), "lm-blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = _Index(common.value[0].to_numpy())
         for b in batches:
             for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 keys, grams = [np.array([], np.int64)], [pa.array([], pa.string())]
@@ -295,7 +322,7 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
                     joined, at, _ = _points(part.column("text").to_pylist(), order)
                     where, _, codes = _distinct(joined, at, order)
                     key = _key(codes, order, False)
-                    rare = ~pc.is_in(pa.array(key), common.value[0]).to_numpy(zero_copy_only=False)
+                    rare = hot.find(key) < 0
                     keys.append(key[rare])
                     grams.append(_strings(joined, where[rare], order))
                 which = pa.array(np.concatenate(keys)).dictionary_encode()
@@ -305,28 +332,26 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
                 yield pa.record_batch([pa.array(np.full(len(wanted), block, np.int64)), wanted], ["block", "gram"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, none = _Index(common.value[0].to_numpy()), np.array([], np.int64)
         for b in batches:
             for body, pairs in zip(b.column(0), b.column(1), strict=True):
-                known, p = common.value
+                own, known = none, np.array([])
                 if pairs.is_valid:
-                    known, p = pa.concat_arrays([known, pairs.values.field(0)]), np.concatenate([p, pairs.values.field(1).to_numpy()])
-                held = []  # a few slices are looked up together: the table is hashed anew each time
-
-                def flush(held, known, p):
-                    at = np.cumsum([0, *(len(k) for *_, k in held)])
-                    found = pc.index_in(pa.array(np.concatenate([k for *_, k in held])), known).to_numpy(zero_copy_only=False)
-                    for i, (part, which, lens, _) in enumerate(held):
-                        yield scored(part, *_summed(p[found[at[i] : at[i + 1]]], which, lens))
-
+                    own, known = pairs.values.field(0).to_numpy(), pairs.values.field(1).to_numpy()
+                own = _Index(own)
                 for part in unpacked(body, "text", BLOCK):
                     joined, at, lens = _points(part.column("text").to_pylist(), order)
                     _, which, codes = _distinct(joined, at, order)
-                    held.append((part, which, lens, _key(codes, order, False)))
-                    if len(held) == 4:
-                        yield from flush(held, known, p)
-                        held = []
-                if held:
-                    yield from flush(held, known, p)
+                    keys = _key(codes, order, False)
+                    found = hot.find(keys)
+                    rare = np.flatnonzero(found < 0)
+                    asked = own.find(keys[rare])
+                    if (asked < 0).any():
+                        raise ValueError("an n-gram of a block has no answer")
+                    p = np.empty(len(keys))
+                    p[rare] = known[asked]
+                    p[found >= 0] = common.value[1][found[found >= 0]]
+                    yield scored(part, *_summed(p, which, lens))
 
     asked = staged(blocks.mapInArrow(ask, "block long, gram string"), "lm-asked")
     resolved = _resolved(asked.select("gram").distinct(), model)
