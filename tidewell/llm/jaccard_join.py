@@ -17,8 +17,11 @@ n^2 / 2^65. Otherwise the join is exact.
    so nothing is lost.
 3. A signature that more than `cap` sets of one block of texts share is settled in that
    block: there its sets are a group of their own, and only the least of them stays in the
-   shared one. So a hot signature reaches its task as one row a block. Rows are dealt by signature and sorted (spilling),
-   then read as a stream that keeps at most `cap` members of a group, whatever its size.
+   shared one; the same once more over the blocks of a task. So a hot signature reaches its
+   task of the exchange as at most `cap` rows from each task before. Rows are dealt by
+   signature and sorted (spilling), then read as a stream that keeps at most `cap` members of
+   a group, whatever its size. If the shared group holds several components in the end, the
+   groups settled below it are opened as well.
 4. Within a group each member is compared with the group's least member;
    verified links give components. Only groups that still hold several components go on.
    Groups of at most `cap` members compare the pairs across components. A larger group
@@ -189,11 +192,52 @@ def _members(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Itera
         yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(spare)], ["rk", "id", "set", "n", "spare"])
 
 
+class Settled:
+    """A task's rows (sig, set) on their way to the exchange. A signature that more than `cap` sets of a block share is settled there: its sets get a signature of their own, only the least of them stays in the shared one, its last bit set. Where that leaves more than `cap` rows of the task's blocks, these are settled once more over the task."""
+
+    def __init__(self, cap: int, most: int = 1 << 16):
+        self.cap, self.most, self.part, self.no = cap, most, TaskContext.get().partitionId(), 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _split(self, sig: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """sig and set of rows to send, then of the least sets that stand for a hot signature."""
+        _, which, n = np.unique(sig, return_inverse=True, return_counts=True)
+        hot = n[which] > self.cap
+        by = np.lexsort((sets[hot], which[hot]))
+        x, s, g = sets[hot][by], sig[hot][by], which[hot][by]
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+        self.no += 1
+        with np.errstate(over="ignore"):
+            own = _mix(s.view(np.uint64) + np.uint64(self.part << 32 | self.no) * _A[1] + _A[0]).view(np.int64) & ~1
+        return np.concatenate([sig[~hot], own]), np.concatenate([sets[~hot], x]), s[first], x[first]
+
+    def block(self, sig: np.ndarray, sets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sig, sets, hot, least = self._split(sig & ~1, sets)
+        if len(hot):
+            self.held.append((hot, least))
+        yield self._rows(sig, sets)
+        if sum(len(s) for s, _ in self.held) > self.most:
+            yield from self.close()
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            sig, sets = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            known = np.unique(sig)
+            sig, sets, hot, least = self._split(sig, sets)
+            yield self._rows(np.concatenate([np.where(np.isin(sig, known), sig | 1, sig), hot | 1]), np.concatenate([sets, least]))
+            self.held = []
+
+    @staticmethod
+    def _rows(sig: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+        by = np.argsort(sig)  # sorted runs make the sort after the exchange cheap
+        return pa.record_batch([pa.array(sig[by]), pa.array(sets[by])], ["sig", "set"])
+
+
 def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int) -> Iterator[pa.RecordBatch]:
-    """text -> sig, set; copies within the task count once. Sets of a block that share a signature and are more than `cap` get a signature of their own; the least of them alone keeps the shared one, with its last bit set."""
+    """text -> sig, set (see Settled); copies within the task count once."""
     seen: set[int] = set()
-    part = TaskContext.get().partitionId()
-    for no, b in enumerate(in_blocks(batches, "text", 2 << 20)):
+    out = Settled(cap)
+    for b in in_blocks(batches, "text", 2 << 20):
         fresh = []
         for s in shingle_sets(b.column(0).to_pylist(), k):
             key = set_key(s) if len(s) else None
@@ -201,21 +245,9 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int)
                 seen.add(key)
                 fresh.append((key, s))
         sig, owner, _ = signatures([s for _, s in fresh], scheme)
-        if not len(sig):
-            continue
-        sets = np.array([k for k, _ in fresh], np.int64)[owner]
-        _, which, n = np.unique(sig, return_inverse=True, return_counts=True)
-        sig = sig & ~1
-        hot = n[which] > cap
-        if hot.any():
-            by = np.lexsort((sets[hot], which[hot]))
-            x, s, g = sets[hot][by], sig[hot][by], which[hot][by]
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            with np.errstate(over="ignore"):
-                own = _mix(s.view(np.uint64) + np.uint64(part << 32 | no) * _A[1] + _A[0]).view(np.int64) & ~1
-            sig, sets = np.concatenate([sig[~hot], own, s[first] | 1]), np.concatenate([sets[~hot], x, x[first]])
-        by = np.argsort(sig)  # sorted runs make the sort after the exchange cheap
-        yield pa.record_batch([pa.array(sig[by]), pa.array(sets[by])], ["sig", "set"])
+        if len(sig):
+            yield from out.block(sig, np.array([k for k, _ in fresh], np.int64)[owner])
+    yield from out.close()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
@@ -366,20 +398,17 @@ def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
         yield b.select([0, 1]).filter(pa.array(np.abs(one - two).sum(axis=1) <= allowed))
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = 80, den: int = 100, slack: float = 1.0, cap: int = CAP, block: int = 512, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members (rk, id, set, n, spare), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
-    scheme = Scheme(num, den, slack)
-    spark = docs.sparkSession
-    small_batches(spark)
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).select(F.xxhash64("id", "text").alias("rk"), "id", "text")
-    kind = dict(src.dtypes)["id"]
-    members = staged(src.mapInArrow(lambda it: _members(it, k, scheme), f"rk long, id {kind}, set long, n long, spare long"), "join-members")
-    signed = src.select("text").mapInArrow(lambda it: _signed(it, k, scheme, cap), "sig long, set long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def grouped(signed: DataFrame, cap: int) -> DataFrame:
+    """The groups (sig, set, lo, heavy) of rows (sig, set) as Settled gives them."""
+    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = signed.repartition(parts, F.shiftright("sig", 1)).select(F.shiftright("sig", 1).alias("sig"), "set", ((F.col("sig") % 2) != 0).alias("big"))
     groups = dealt.sortWithinPartitions("sig", "set", F.desc("big")).mapInArrow(lambda it: _groups(it, cap), "sig long, set long, lo long, heavy boolean")
-    groups = staged(groups, "join-groups")
+    return staged(groups, "join-groups")
+
 
+def group_links(src: DataFrame, members: DataFrame, groups: DataFrame, scheme: Scheme, k: int, block: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links between sets of one group (a, b, inter, both), enough of them for the components, and comps (node, comp) of the linked sets. src has rk and text, members rk, set, n and spare."""
+    num, den = scheme.num, scheme.den
     sizes = members.where("n > 0").groupBy("set").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("spare").alias("spare"))
     needed = staged(groups.select("set").distinct().join(sizes, "set"), "join-needed")
     small = needed.count() * 16 <= broadcast_bytes
@@ -399,11 +428,13 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def linked(done: DataFrame) -> DataFrame:
         return done.where(den * F.col("inter") >= num * F.col("both"))
 
-    def apart(rows: DataFrame, comps: DataFrame) -> DataFrame:
-        """Rows of groups that hold several components still, with each set's component."""
-        at = rows.join(comps.select(F.col("node").alias("set"), "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-        mixed = at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-        return staged(at.join(mixed, "sig", "left_semi"), "join-apart")
+    def placed(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        """rows with each set's component."""
+        return rows.join(comps.select(F.col("node").alias("set"), "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+
+    def mixed(at: DataFrame) -> DataFrame:
+        """Groups that hold several components still."""
+        return at.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
 
     def across(rows: DataFrame) -> DataFrame:
         """Pairs of one group and of different components."""
@@ -412,25 +443,44 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     done = verify(groups.where("set <> lo").select(F.col("lo").alias("a"), F.col("set").alias("b")))
     comps = components(linked(done))
-    rest = apart(groups, comps)
-    light = rest.where("not heavy")
+    at = placed(groups.where("not heavy"), comps)
+    light = staged(at.join(mixed(at), "sig", "left_semi"), "join-apart")
     if not light.isEmpty():
         done = done.unionByName(verify(across(light)))
         comps = components(linked(done))
     # A set with `spare` large groups or more could owe a link to those alone.
     owing = groups.where("heavy").groupBy("set").agg(F.count(F.lit(1)).alias("large")).join(needed.select("set", "spare"), "set").where("large >= spare").select("set")
-    large = groups.where("heavy").join(owing, "set", "left_semi").select("sig", "set")
-    rest = apart(large, comps)
-    if not rest.isEmpty():
-        more = _clouds(rest, texts, k, num, den, block)
-        done = done.unionByName(more)
+    large = staged(groups.where("heavy").join(owing, "set", "left_semi"), "join-large")
+    at = placed(large, comps)
+    open_groups = staged(mixed(at), "join-mixed")
+    if not open_groups.isEmpty():
+        for _ in range(2):  # a hot signature's groups of one block, and of one task, hang on its open one by their least set
+            below = large.join(large.join(open_groups, "sig", "left_semi").select(F.col("set").alias("lo")).distinct(), "lo", "left_semi").select("sig")
+            open_groups = staged(open_groups.unionByName(below).distinct(), "join-mixed")
+        rest = staged(at.join(open_groups, "sig", "left_semi").select("sig", "set", "comp"), "join-apart")
+        done = done.unionByName(_clouds(rest, texts, k, num, den, block))
         comps = components(linked(done))
-    return members, linked(done), comps
+    return linked(done), comps
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row of docs: id, n_shingles, component_id."""
-    members, _, comps = similarity_links(docs, id_col, text_col, **options)
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = 80, den: int = 100, slack: float = 1.0, cap: int = CAP, block: int = 512, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """members (rk, id, set, n, spare), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
+    scheme = Scheme(num, den, slack)
+    small_batches(docs.sparkSession)
+    src = keyed(docs, id_col, text_col)
+    kind = dict(src.dtypes)["id"]
+    members = staged(src.mapInArrow(lambda it: _members(it, k, scheme), f"rk long, id {kind}, set long, n long, spare long"), "join-members")
+    groups = grouped(src.select("text").mapInArrow(lambda it: _signed(it, k, scheme, cap), "sig long, set long"), cap)
+    return members, *group_links(src, members, groups, scheme, k, block, broadcast_bytes)
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rk (a hash of the row's id and text), id, text."""
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).select(F.xxhash64("id", "text").alias("rk"), "id", "text")
+
+
+def component_ids(members: DataFrame, comps: DataFrame, id_col: str) -> DataFrame:
+    """Per row of members: id, n_shingles, component_id."""
     sets = members.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
     at = sets.join(comps.select(F.col("node").alias("set"), "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = at.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -439,5 +489,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row of docs: id, n_shingles, component_id."""
+    members, _, comps = similarity_links(docs, id_col, text_col, **options)
+    return component_ids(members, comps, id_col)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(documents(spark, sf_dir))
