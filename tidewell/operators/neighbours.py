@@ -1,62 +1,51 @@
-"""Nearest-neighbour self-join on vectors (squared L2) and the one-hop representative rule."""
+"""Nearest-neighbour self-join on vectors (squared L2), the one-hop representative rule, and a vector index on disk."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cells
+
+
+def _source(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    return df.select(df[id_col].alias("id"), df[vec_col].alias("v")).where("v is not null")
 
-def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 4 << 20, tile: int = 1024) -> DataFrame:
-    """id, nid, d, rank of the k nearest rows of each row (itself included), exact.
 
-    Rows are dealt by a hash of the id into blocks of about block_bytes of vectors, each packed
-    into one row. Every block of queries meets every block of data by an equi-join on the
-    block's number, in tiles of `tile` queries, and keeps its own best k of each row; blocks are
-    merged by rank. Neither the driver nor a task holds more than two blocks and a tile of
-    distances. Ids of any type; rows without a vector have no neighbours and are none.
+def nearest(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block_bytes: int = 1 << 20, max_pivots: int = cells.MAX_PIVOTS) -> DataFrame:
+    """id, nid, d, rank of the k nearest rows of each row (itself included), exact, ties by nid.
+
+    Ids of any sortable type; rows without a vector have no neighbours and are none. See cells
+    for the plan: vectors are sent once as queries and at most once a group of queries as data.
     """
-    src = df.select(df[id_col].alias("id"), df[vec_col].alias("v")).where("v is not null")
-    kind = dict(src.dtypes)["id"]
-    size = src.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("dim")).first()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, -(-size.n * size.dim * 4 // block_bytes), min(cores, -(-size.n // 256)))
-
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("id")
-        return pd.DataFrame({"block": [part.block.iloc[0]], "ids": [part.id.tolist()], "vectors": [np.stack(part.v.to_numpy()).astype(np.float32).tobytes()]})
-
-    packed = src.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long")).groupBy("block").applyInPandas(pack, f"block long, ids array<{kind}>, vectors binary")
-    queries = packed.select(F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("block").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    pairs = queries.join(packed, "block").repartition(min(blocks * blocks, 16 * cores), "q", "block")
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qids, qv, mids, mv in zip(b.qids, b.qvectors, b.ids, b.vectors, strict=True):
-                ids, qids = np.asarray(mids), np.asarray(qids)
-                m, every = (np.frombuffer(x, np.float32).reshape(len(y), -1).astype(np.float64) for x, y in ((mv, ids), (qv, qids)))
-                top = min(k, len(ids))
-                for at in range(0, len(qids), tile):
-                    q = every[at : at + tile]
-                    d = np.maximum((q**2).sum(1)[:, None] + (m**2).sum(1)[None, :] - 2 * q @ m.T, 0)
-                    best = np.argpartition(d, top - 1, axis=1)[:, :top] if top < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
-                    yield pd.DataFrame({"id": np.repeat(qids[at : at + tile], top), "nid": ids[best].ravel(), "d": np.take_along_axis(d, best, 1).ravel()})
-
-    found = pairs.select("qids", "qvectors", "ids", "vectors").mapInPandas(search, f"id {kind}, nid {kind}, d double")
-    order = Window.partitionBy("id").orderBy("d", "nid")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    src = _source(df, id_col, vec_col)
+    pivots = cells.choose_pivots(src, max_pivots)
+    packed = cells.blocks(src, pivots, block_bytes)
+    return cells.search(packed, packed, pivots, k)[0]
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.05, k: int = 500, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Per row: id, min_neighbor_distance, repeat_count, representative (the least near row's id if it stands before the row, else its own; null without neighbours). One hop, not transitive."""
-    near = nearest(df, k, id_col, vec_col)
-    other = F.col("nid") != F.col("id")
-    close = other & (F.col("d") < threshold)
-    agg = near.groupBy("id").agg(F.min(F.when(other, F.col("d"))).alias("min_neighbor_distance"), F.count_if(close).alias("repeat_count"), F.min(F.when(close, F.col("nid"))).alias("first"))
-    return agg.select(F.col("id").alias(id_col), "min_neighbor_distance", "repeat_count", F.when(F.col("first").isNotNull(), F.least("first", "id")).alias("representative"))
+    """Per row: id, min_neighbor_distance, repeat_count, representative (the least near row's id if it stands before the row, else its own; null without neighbours). One hop, not transitive. Each row is summed up in its task; only rows nearer than the threshold, and the nearest one, are searched for."""
+    src = _source(df, id_col, vec_col)
+    kind = dict(src.dtypes)["id"]
+
+    def fold(rows: pd.DataFrame, ids: pd.Series) -> pd.DataFrame:
+        other = rows[rows.nid.to_numpy() != rows.id.to_numpy()]
+        near = other[other.d < threshold]
+        by = near.groupby("id").nid
+        out = pd.DataFrame({id_col: ids.to_numpy()})
+        out["min_neighbor_distance"] = out[id_col].map(other.groupby("id").d.min())
+        out["repeat_count"] = out[id_col].map(by.size()).fillna(0).astype(np.int64)
+        first = out[id_col].map(by.min())
+        least = [None if pd.isna(f) else min(f, i) for f, i in zip(first, out[id_col], strict=True)]
+        out["representative"] = pd.array(least, dtype="Int64") if pd.api.types.is_integer_dtype(ids) else least
+        return out
+
+    pivots = cells.choose_pivots(src)
+    packed = cells.blocks(src, pivots)
+    return cells.search(packed, packed, pivots, k, threshold, fold, f"`{id_col}` {kind}, min_neighbor_distance double, repeat_count long, representative {kind}")[0]
 
 
 def near_duplicate_rows(df: DataFrame, threshold: float = 0.05, k: int = 500, position: str = "row_idx", id_col: str = "conversation_id", vec_col: str = "embedding") -> DataFrame:
@@ -72,10 +61,49 @@ def deduplicated(df: DataFrame, id_col: str = "conversation_id", near: str = "mi
     return df.where(F.col(near).isNull() | (F.col(near) == F.col(id_col)))
 
 
-def save_index(df: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
-    """The vectors, by id, as Parquet."""
-    df.select(F.col(id_col).alias("vec_id"), F.col(vec_col).alias("embedding")).write.mode("overwrite").parquet(path)
+def _write_cells(src: DataFrame, pivots: np.ndarray, path: str, mode: str) -> None:
+    packed = cells.blocks(src, pivots)
+    files = packed.repartition(F.col("cell"), F.pmod(F.xxhash64("ids"), F.lit(8)))
+    files.write.mode(mode).partitionBy("cell").parquet(f"{path}/cells")
+
+
+def save_index(df: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding", max_pivots: int = cells.MAX_PIVOTS) -> None:
+    """An inverted index in place of what is at path: the centres, and a folder a cell with packed vectors, each pack with its size and radii."""
+    src = _source(df, id_col, vec_col)
+    pivots = cells.choose_pivots(src, max_pivots)
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(pivots)]
+    df.sparkSession.createDataFrame(rows, "cell int, centre array<float>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    _write_cells(src, pivots, path, "overwrite")
+
+
+def append_index(df: DataFrame, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    """More vectors into the cells of an index; its centres stay."""
+    _write_cells(_source(df, id_col, vec_col), _centres(df.sparkSession, path), path, "append")
+
+
+def _centres(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/centres").orderBy("cell").collect()  # cells.MAX_PIVOTS at most
+    return np.array([r.centre for r in rows], np.float32)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    """vec_id and embedding of all vectors of an index."""
+    stored = spark.read.parquet(f"{path}/cells")
+    kind = dict(stored.dtypes)["ids"].removeprefix("array<").removesuffix(">")
+
+    def opened(parts):
+        for b in parts:
+            for ids, body in zip(b.ids, b.vectors, strict=True):
+                yield pd.DataFrame({"vec_id": list(ids), "embedding": list(np.frombuffer(body, np.float32).reshape(len(ids), -1))})
+
+    return stored.select("ids", "vectors").mapInPandas(opened, f"vec_id {kind}, embedding array<float>")
 
 
-def load_index(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def search_index(queries: DataFrame, path: str, k: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """id, nid, d, rank of the k nearest stored vectors of each query row, exact. Only folders of cells that can hold a neighbour are read; for few queries those are few."""
+    spark = queries.sparkSession
+    pivots = _centres(spark, path)
+    # Sizes and radii come from the packs themselves, so an append that failed half-way or is still going on can't make them wrong.
+    asked = cells.blocks(_source(queries, id_col, vec_col), pivots)
+    stored = spark.read.parquet(f"{path}/cells")
+    return cells.search(asked, stored, pivots, k)[0]

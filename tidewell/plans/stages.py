@@ -234,6 +234,16 @@ def k6_index(spark, sf_dir):
     return neighbours.load_index(spark, path).selectExpr("vec_id", "cast(embedding[0] as double) as first", "size(embedding) as dim")
 
 
+@query("k6_index_search", _KNN + " SELECT vec_id, nid, rk, round(d, 4) AS d FROM r WHERE rk <= 10 AND vec_id % 20 = 0")
+def k6_index_search(spark, sf_dir):
+    """An index of one half, the other half appended; every twentieth vector is looked up in it."""
+    rows, path = spark.read.parquet(f"{sf_dir}/embeddings.parquet"), _folder(spark)
+    neighbours.save_index(rows.where("vec_id % 2 = 0"), path)
+    neighbours.append_index(rows.where("vec_id % 2 = 1"), path)
+    found = neighbours.search_index(rows.where("vec_id % 20 = 0"), path, 10)
+    return found.select(F.col("id").alias("vec_id"), "nid", F.col("rank").cast("long").alias("rk"), F.round("d", 4).alias("d"))
+
+
 @query("k3_staged", "SELECT doc_id, length(text) AS size FROM documents")
 def k3_staged(spark, sf_dir):
     """A stage that stops half-way, starts again, and is removed once its output is written."""
