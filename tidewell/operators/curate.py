@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import CATEGORY, DIFFICULTY, QUALITY, whitelist
+from .positions import top_by
 
 
 def high_quality(df: DataFrame, quality: str = "input_quality", reward: str = "instruct_reward", text: str = "instruction", near: str = "min_similar_conversation_id", key: str = "conversation_id", least: float = -10.0) -> DataFrame:
@@ -15,8 +16,8 @@ def high_quality(df: DataFrame, quality: str = "input_quality", reward: str = "i
 
 
 def longest(df: DataFrame, n: int = 300_000, text: str = "response", tie: str = "row_idx") -> DataFrame:
-    """The n rows of longest text, by code points; ties by row order."""
-    return df.withColumn("response_length", F.length(text)).orderBy(F.desc("response_length"), tie).limit(n)
+    """The n rows of longest text, by code points; ties by row order, an integer. Null texts are never among them unless all rows are. The cut-off is found first, see positions.top_by."""
+    return top_by(df.withColumn("response_length", F.length(text)), F.col("response_length"), tie, n)
 
 
 def with_least_equal(df: DataFrame, text: str, key: str, out: str) -> DataFrame:

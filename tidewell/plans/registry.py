@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags, text
-from ..operators import curate, models, neighbours, preference
+from ..operators import curate, models, neighbours, positions, preference
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -65,10 +65,7 @@ _NUMBERED = "SELECT doc_id, source, dense_rank() OVER (ORDER BY source) - 1 AS f
 
 @query("r5_global_ids", f"WITH d AS ({_NUMBERED}), c AS (SELECT file_idx, count(*) AS n FROM d GROUP BY file_idx) SELECT doc_id, 'part_' || (id + coalesce((SELECT sum(n) FROM c WHERE c.file_idx < d.file_idx), 0)) AS conversation_id FROM d")
 def r5_global_ids(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = _docs(spark, sf_dir).select("doc_id", "source")
-    rows = rows.withColumn("id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    rows = positions.numbered(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id", "source")
     return curate.global_ids(rows, "part", "source", "id").select("doc_id", "conversation_id")
 
 

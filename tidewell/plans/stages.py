@@ -7,15 +7,12 @@ They are fixtures, not judgements.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags, text
-from ..operators import curate, models, neighbours, preference, tagging
-from ..sources import datasets
+from ..operators import curate, models, neighbours, positions, preference, tagging
+from ..sources import datasets, shared
 from ..sources import models as registry
 from ..streaming import stages
 from .registry import _KNN, _docs, _made_sql, query
@@ -23,8 +20,7 @@ from .registry import _KNN, _docs, _made_sql, query
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/tidewell-{uuid.uuid4().hex}"
+    return shared.new_folder(spark)
 
 
 def _said(role: str, body: str) -> str:
@@ -219,6 +215,16 @@ def s12_shards(spark, sf_dir):
     return datasets.read_shards(spark, paths, rows.schema).select("file_idx", "doc_id", "text")
 
 
+@query("s12_row_index", f"SELECT doc_id, {_SHARD} AS file_idx, row_number() OVER (PARTITION BY {_SHARD} ORDER BY doc_id) - 1 AS id, row_number() OVER (ORDER BY {_SHARD}, doc_id) - 1 AS row_idx FROM documents")
+def s12_row_index(spark, sf_dir):
+    """Dense positions of rows read from files, in the files' order."""
+    rows, folder = _docs(spark, sf_dir).select("doc_id", "text", "lang"), _folder(spark)
+    paths = [f"{folder}/{i}.jsonl" for i in (0, 1)]
+    for path, part in zip(paths, (rows.where("lang = 'en'"), rows.where("lang is distinct from 'en'")), strict=True):
+        datasets.write_jsonl(part.orderBy("doc_id"), path)
+    return positions.read_numbered(spark, paths, rows.schema).select("doc_id", "file_idx", "id", "row_idx")
+
+
 @query("k7_concatenated", "SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0")
 def k7_concatenated(spark, sf_dir):
     rows, folder = _docs(spark, sf_dir).select("doc_id", "lang"), _folder(spark)
@@ -255,6 +261,15 @@ def k3_staged(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("k3_streamed", "SELECT doc_id, length(text) AS size FROM documents")
+def k3_streamed(spark, sf_dir):
+    """Exactly-once micro-batches over a folder of files."""
+    folder = _folder(spark)
+    _docs(spark, sf_dir).select("doc_id", "text").repartition(6, "doc_id").write.parquet(f"{folder}/in")
+    sized = lambda d: d.select("doc_id", F.length("text").cast("long").alias("size"))
+    return stages.stream_stage(spark, f"{folder}/in", "doc_id long, text string", sized, f"{folder}/out", f"{folder}/log", files=2)
+
+
 @query("o5_round_order", "SELECT doc_id, CAST(doc_id // 100 AS BIGINT) AS round, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY sha1('42:' || doc_id), doc_id) AS place FROM documents")
 def o5_round_order(spark, sf_dir):
     return curate.round_order(_docs(spark, sf_dir).select("doc_id"), "doc_id", 100)
