@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What Python's str.strip() and \s take as white space.
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS_CHARACTERS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Words that announce a task.
 PREFIXES = ["Task", "Prompt", "Original Prompt", "Question", "The Problem", "Problem", "Scenario", "The senario", "Situation", "The situation", "Context", "Challenge", "Query", "Request", "Instructions", "Instruction", "Descriptions", "Description"]
 #: What begins an answer, and a solution step.
@@ -21,7 +24,7 @@ _STEP = "(?:" + "|".join(STEPS) + "):?"
 
 
 def strip(s: Column) -> Column:
-    return F.regexp_replace(s, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(s, F.lit(WS_CHARACTERS))
 
 
 def remove_prefix(s: Column) -> Column:
@@ -51,8 +54,10 @@ def sanitize(text: Column, family: str) -> Column:
     llama = "gemma-2" not in family
     low = F.lit("")
 
-    def place(s: Column, pattern: str) -> Column:
-        return F.when(s.rlike(pattern), F.length(F.get(F.split(s, pattern, 2), F.lit(0))))
+    def place(s: Column, words: list[str], pattern: str) -> Column:
+        """Characters before the first mark; the pattern is tried once, and only where one of its words occurs at all."""
+        parts = F.when(reduce(Column.__or__, [s.contains(w) for w in words]), F.split(s, pattern, 2))
+        return F.get(F.transform(F.array(parts), lambda x: F.when(F.size(x) > 1, F.length(F.get(x, F.lit(0))))), F.lit(0))
 
     def decide(x: Column) -> Column:
         first, s, mark, step = x["first"], x["second"], x["mark"], x["step"]
@@ -75,7 +80,7 @@ def sanitize(text: Column, family: str) -> Column:
         rule = rule.when(colon & s.contains("#"), out(_bare(_until(s, "#")), a)).when(colon & asks, out(bold(upto), b)).when(colon, out(plain, c))
         return rule.when(asks, out(bold(upto), d)).otherwise(out(plain, e))
 
-    one = F.transform(F.array(remove_prefix(text)), lambda f: F.struct(f.alias("first"), remove_prefix(f).alias("second"), place(f, _ASSISTANT).alias("mark"), place(f, _STEP).alias("step")))
+    one = F.transform(F.array(remove_prefix(text)), lambda f: F.struct(f.alias("first"), remove_prefix(f).alias("second"), place(f, MARKERS, _ASSISTANT).alias("mark"), (place(f, STEPS, _STEP) if llama else F.lit(None).cast("int")).alias("step")))
     got = F.transform(F.transform(one, decide), lambda r: F.struct(remove_prefix(r["t"]).alias("instruction"), r["class"].alias("class")))
     return F.get(got, F.lit(0))
 
@@ -90,6 +95,7 @@ def cut_at_stop(text: Column, tokens: list[str]) -> Column:
 
 def mcq_end(text: Column) -> Column:
     """struct(is_mcq, end): at least four option marks, and where the last one ends (code points), else -1."""
+    # Fixed value: what an option mark looks like.
     mark = r"(?iu)\([A-D]\)|[A-D][.)]|[a-d][.)]"
     parts = F.split(text, mark)
     tail = F.length(F.element_at(parts, -1))

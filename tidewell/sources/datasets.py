@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import time
@@ -90,13 +91,13 @@ def with_retry(call: Callable[[], str], retries: int = 5, sleep: Callable[[float
 
 
 class ChatClient:
-    """A chat API by HTTP, with retries of failed requests only (timeouts among them)."""
+    """A chat API by HTTP, with retries of failed requests only: errors of the connection (timeouts among them), answers that break off, bodies that aren't JSON."""
 
     def __init__(self, endpoint: str, headers: dict, timeout: float = 600.0):
         self.endpoint, self.headers, self.timeout = endpoint, headers, timeout
 
     def complete(self, messages: list[dict], params: dict) -> str | None:
-        return with_retry(lambda: chat_completion(messages, params, self.endpoint, self.headers, self.timeout), errors=(OSError,))
+        return with_retry(lambda: chat_completion(messages, params, self.endpoint, self.headers, self.timeout), errors=(OSError, http.client.HTTPException, json.JSONDecodeError))
 
 
 def chat_completion(messages: list[dict], params: dict, endpoint: str, headers: dict, timeout: float = 600.0) -> str:
