@@ -116,3 +116,21 @@ def test_arguments_and_names():
             tagging.check_arguments(**bad)
     tagging.check_arguments("google/Gemma-2", True, 1, None, 2, api=True, mission="quality")
     assert tagging.job_name("org/m", 10, 1.0, 0.9, 7) == "m_topp1_temp0.9_10_7"
+
+
+def test_answers_that_break_off_or_are_not_json_are_retried(monkeypatch):
+    import http.client
+    import json
+
+    for error in (http.client.IncompleteRead(b"x"), json.JSONDecodeError("no", "x", 0)):
+        calls = []
+
+        def call(*args, error=error, calls=calls):
+            calls.append(args)
+            if len(calls) < 3:
+                raise error
+            return "said"
+
+        monkeypatch.setattr(datasets.with_retry, "__defaults__", (5, lambda s: None, (Exception,)))
+        monkeypatch.setattr(datasets, "chat_completion", call)
+        assert datasets.ChatClient("http://x", {}).complete([], {}) == "said" and len(calls) == 3

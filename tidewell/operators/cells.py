@@ -131,6 +131,8 @@ class Plan:
 def plan(pivots: np.ndarray, asked: Stats, data: Stats, k: int, within: float | None, group_rows: int, least_groups: int) -> Plan:
     """within: beyond the nearest other row, only neighbours of a squared distance below this matter."""
     c = distances(pivots, pivots)
+    if not len(c):
+        return Plan(c, np.zeros((0, 0), bool), c, np.zeros(0, np.int64), np.zeros(0, np.int64), (0, 0))
     tol = 1e-6 * (1 + np.abs(pivots).max(initial=0) * max(1, pivots.shape[1]) ** 0.5)
     live_q, live_d = asked.n > 0, data.n > 0
     lower = np.maximum.reduce([np.zeros_like(c), c - asked.high[:, None] - data.high[None, :], np.where(live_d, data.low, 0)[None, :] - c - asked.high[:, None]])

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import BATCH_BYTES, asked
+
 
 class Generator(Protocol):
     def generate(self, prompts: list[str], seeds: list[int]) -> list[str]: ...
@@ -22,17 +24,19 @@ class StubGenerator:
         return [hashlib.sha1(f"{s}:{p}".encode()).hexdigest()[:12] for p, s in zip(prompts, seeds, strict=True)]
 
 
-def generate(df: DataFrame, build: Callable[[], Generator], prompt: str, key: str, out: str) -> DataFrame:
-    """df with a column of generated text, stripped; the engine is built once per task, samples are seeded by the row's key. Arrow batches pass all other columns through unchanged; a null prompt is read as the empty text."""
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` string"
+def generated(build: Callable[[], Generator], prompt: Column, key: Column, batch_bytes: int = BATCH_BYTES) -> Column:
+    """Generated text, stripped; the engine is built once per task, samples are seeded by the row's key. A null prompt is read as the empty text."""
+
+    def engine():
+        e = build()
+        return lambda prompts, seeds: [m.strip() for m in e.generate(prompts, seeds)]
+
+    return asked(engine, "string", prompt, key, batch_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = build()
-        for b in batches:
-            made = engine.generate([p or "" for p in b.column(prompt).to_pylist()], b.column(key).to_pylist())
-            yield pa.record_batch([*b.columns, pa.array([m.strip() for m in made], pa.string())], [*b.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+def generate(df: DataFrame, build: Callable[[], Generator], prompt: str | Column, key: str, out: str, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """df with a column of generated text; only prompts and keys leave the JVM, in batches of bounded bytes."""
+    return df.withColumn(out, generated(build, F.col(prompt) if isinstance(prompt, str) else prompt, F.col(key), batch_bytes))
 
 
 def instructions(spark, build: Callable[[], Generator], template: str, n: int, rounds: int) -> DataFrame:
@@ -58,9 +62,9 @@ def turns(df: DataFrame, build: Callable[[], Generator], n: int, key: str, syste
     said = [("user", F.col("instruction")), ("assistant", F.col("response"))]
     for k in range(2, n + 1):
         ask = F.concat(render(chat(*([("system", F.lit(system))] if system else []), *said), head, tail), F.lit(append))
-        df = generate(df.withColumn("_said", ask), build, "_said", key, f"instruction_{k}").drop("_said")
+        df = generate(df, build, ask, key, f"instruction_{k}")
         said.append(("user", F.col(f"instruction_{k}")))
-        df = generate(df.withColumn("_said", render(chat(*said), head, tail, "assistant")), build, "_said", key, f"response_{k}").drop("_said")
+        df = generate(df, build, render(chat(*said), head, tail, "assistant"), key, f"response_{k}")
         said.append(("assistant", F.col(f"response_{k}")))
     return df
 

@@ -1,7 +1,7 @@
 """Tagging, safety, reward, embedding and API stages; the models behind them are protocols with deterministic stubs.
 
-Every stage adds columns in the batch that holds the row, so nothing is joined back: only key,
-prompt and the new columns would differ from the input. Defined results: a null prompt reaches
+Every stage adds columns to the row that it asks about, so nothing is joined back; only prompts
+and keys go to Python, in batches of bounded bytes (see batches). Defined results: a null prompt reaches
 a model as the empty text; an answer that can't be parsed leaves all columns of its mission
 null, its generator among them.
 """
@@ -9,16 +9,15 @@ null, its generator among them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags, text
+from .batches import asked, asked_each, fresh
 from .models import Generator, generate
 
 
@@ -83,36 +82,20 @@ def render(messages: Column, head: str = "<|{role}|>\n", tail: str = "<|end|>\n"
     return F.concat(said, F.lit(head.format(role=ask))) if ask else said
 
 
-def _added(df: DataFrame, fn: Callable[[], Callable[[list[str]], pa.Array]], prompt: Column, out: str, kind: str) -> DataFrame:
-    """df with a column made from a prompt in Arrow batches; fn builds the model once per task."""
-    name = "_prompt"
-    while name in df.columns:
-        name += "_"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = fn()
-        for b in batches:
-            made = model([p or "" for p in b.column(b.num_columns - 1).to_pylist()])
-            yield pa.record_batch([*b.columns[:-1], made], [*b.schema.names[:-1], out])
-
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{out}` {kind}"])
-    return df.withColumn(name, F.coalesce(prompt, F.lit(""))).mapInArrow(run, schema)
-
-
 def tag(df: DataFrame, build: Callable[[], Generator], mission: str, generator: str, instruction: str = "instruction", key: str = "id") -> DataFrame:
     """The mission's columns and its generator's name, which is null where the answer couldn't be parsed."""
     prompt = F.concat(render(chat(("user", tags.prompt(mission, F.col(instruction)))), ask="assistant"), F.lit("{"))
-    made = generate(df.withColumn("_ask", prompt), build, "_ask", key, "_answer").drop("_ask")
-    made = made.withColumn("_tags", tags.parse_tags(text.repair_tags(F.col("_answer")), mission))
+    answer, at = fresh(df, "_answer"), fresh(df, "_tags")
+    made = generate(df, build, prompt, key, answer).withColumn(at, tags.parse_tags(text.repair_tags(F.col(answer)), mission))
     name = {"difficulty": "difficulty_generator", "quality": "quality_generator", "classification": "task_category_generator"}[mission]
-    columns = [F.from_json(F.col(f"_tags.{c}"), "array<string>").alias(c) if c == "other_task_category" else F.col(f"_tags.{c}").alias(c) for c in tags.MISSIONS[mission].values()]
-    return made.select(*[c for c in made.columns if c not in ("_answer", "_tags")], *columns, F.when(F.col("_tags.ok"), F.lit(generator)).alias(name))
+    columns = [F.from_json(F.col(at)[c], "array<string>").alias(c) if c == "other_task_category" else F.col(at)[c].alias(c) for c in tags.MISSIONS[mission].values()]
+    return made.select(*[F.col(f"`{c}`") for c in df.columns], *columns, F.when(F.col(at)["ok"], F.lit(generator)).alias(name))
 
 
 def safety(df: DataFrame, build: Callable[[], Generator], key: str = "id") -> DataFrame:
     """llama_guard_2: the guard's raw answer, up to a closing brace if it holds one."""
     prompt = render(chat(("user", F.col("instruction")), ("assistant", F.col("response"))))
-    made = generate(df.withColumn("_ask", prompt), build, "_ask", key, "llama_guard_2").drop("_ask")
+    made = generate(df, build, prompt, key, "llama_guard_2")
     return made.withColumn("llama_guard_2", text.strip(text.cut_at_stop(F.col("llama_guard_2"), ["}"])))
 
 
@@ -122,26 +105,20 @@ def reward(df: DataFrame, build: Callable[[], Scorer], model: str) -> DataFrame:
 
     def scorer():
         s = build()
-        return lambda chats: pa.array(s.score(chats), pa.float64())
+        return lambda chats, _: list(s.score(chats))
 
-    return _added(df, scorer, prompt, "instruct_reward", "double").withColumn("reward_model", F.lit(model))
+    return df.withColumn("instruct_reward", asked(scorer, "double", prompt)).withColumn("reward_model", F.lit(model))
 
 
 def preference_rewards(df: DataFrame, build: Callable[[], Scorer], instruction: str = "instruction", responses: str = "responses", out: str = "rewards_armorm") -> DataFrame:
     """One struct(score) for each response of a row, in their order; the scorer sees whole batches of chats."""
     chats = F.transform(F.coalesce(responses, F.array().cast("array<string>")), lambda r: render(chat(("user", F.col(instruction)), ("assistant", r))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = build()
-        for b in batches:
-            lists = b.column(b.num_columns - 1).to_pylist()
-            scores = scorer.score([c or "" for x in lists for c in x])
-            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-            cells = pa.StructArray.from_arrays([pa.array(scores, pa.float64())], ["score"])
-            yield pa.record_batch([*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), cells)], [*b.schema.names[:-1], out])
+    def scorer():
+        s = build()
+        return lambda chats, _: [{"score": float(x)} for x in s.score(chats)]
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{out}` array<struct<score:double>>"])
-    return df.withColumn("_chats", chats).mapInArrow(run, schema)
+    return df.withColumn(out, asked_each(scorer, "struct<score:double>", chats))
 
 
 def embed(df: DataFrame, build: Callable[[], Encoder], of: str = "instruction", out: str = "embedding") -> DataFrame:
@@ -149,25 +126,28 @@ def embed(df: DataFrame, build: Callable[[], Encoder], of: str = "instruction",
 
     def encoder():
         e = build()
-        return lambda texts: pa.array(e.encode(texts), pa.list_(pa.float32()))
+        return lambda texts, _: list(e.encode(texts))
 
-    return _added(df, encoder, F.col(of), out, "array<float>")
+    return df.withColumn(out, asked(encoder, "array<float>", F.col(of)))
 
 
 def api_responses(df: DataFrame, build: Callable[[], Client], prompt: str, params: dict, n: int = 1, threads: int = 8, out: str = "responses") -> DataFrame:
-    """n answers of a chat API for each row, each by a request of its own, several at a time within a batch; a request that gives none leaves the empty text, and `ok` says whether all gave one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        client = build()
-        with ThreadPoolExecutor(threads) as pool:
-            for b in batches:
-                asked = [{"role": "user", "content": p or ""} for p in b.column(prompt).to_pylist()]
-                futures = [[pool.submit(client.complete, [m], {**params, "seed": i}) for i in range(n)] for m in asked]
-                got = [[f.result() for f in row] for row in futures]
-                yield pa.record_batch([*b.columns, pa.array([[x or "" for x in row] for row in got], pa.list_(pa.string())), pa.array([None not in row for row in got])], [*b.schema.names, out, "ok"])
-
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{out}` array<string>", "ok boolean"])
-    return df.mapInArrow(run, schema)
+    """n answers of a chat API for each row, each by a request of its own, several at a time and no more rows in flight than threads; a request that gives none leaves the empty text, and `ok` says whether all gave one."""
+
+    def client():
+        c, pool = build(), ThreadPoolExecutor(threads)
+
+        def ask(prompts: list[str], _: list) -> list[dict]:
+            futures = [[pool.submit(c.complete, [{"role": "user", "content": p}], {**params, "seed": i}) for i in range(n)] for p in prompts]
+            got = [[f.result() for f in row] for row in futures]
+            return [{"responses": [x or "" for x in row], "ok": None not in row} for row in got]
+
+        return ask
+
+    at = fresh(df, "_got")
+    made = df.withColumn(at, asked(client, "struct<responses:array<string>,ok:boolean>", F.col(prompt), rows=threads))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (out, "ok")]
+    return made.select(*kept, F.col(at)["responses"].alias(out), F.col(at)["ok"].alias("ok"))
 
 
 def instruction_rows(made: DataFrame, template: str, generator: str, temperature: float, top_p: float, seed: int, family: str | None = None, created: int = 0, ids: str = "id", said: str = "instruction") -> DataFrame:
