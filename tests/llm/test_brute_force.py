@@ -57,7 +57,7 @@ def kneser_ney(texts, order=5):
     return bits
 
 
-def judge(rows, good, folds=2, prior=200.0, quantile=0.99, slack=1.1, least=20):
+def judge(rows, good, folds=2, prior=200.0, quantile=0.998, least=20):
     """Whether each row (id, lang, text) is accepted."""
     fold = lambda i: 0 if i is None else zlib.crc32(str(i).encode()) % folds
     models = [kneser_ney([t or "" for i, _, t in rows if i in good and fold(i) != f]) for f in range(folds)]
@@ -65,7 +65,7 @@ def judge(rows, good, folds=2, prior=200.0, quantile=0.99, slack=1.1, least=20):
     held = [j for j, r in enumerate(rows) if r[0] in good]
     mean = sum(bits[j] for j in held) / sum(len(rows[j][2] or "") for j in held)
     ppl = [2 ** ((b + prior * mean) / (len(r[2] or "") + prior)) for b, r in zip(bits, rows, strict=True)]
-    at = lambda x: sorted(x)[math.ceil(quantile * len(x)) - 1] * slack
+    at = lambda x: sorted(x)[math.ceil(quantile * len(x)) - 1]
     limits = {}
     for lang in {rows[j][1] for j in held}:
         own = [ppl[j] for j in held if rows[j][1] == lang]

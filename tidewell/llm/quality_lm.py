@@ -22,7 +22,7 @@ counts, and the perplexities of all trusted texts make the thresholds.
 
 A text's perplexity is per character, smoothed towards the trusted mean by `prior`
 characters so that short texts aren't judged by a few letters. The threshold of a language
-is the `quantile` of its trusted texts times `slack`; languages with fewer than `min_rows`
+is the `quantile` of its trusted texts; languages with fewer than `min_rows`
 such texts use the threshold of all. Texts above are rejected.
 
 Defined results: null and empty texts get the trusted mean and are accepted; a null
@@ -360,7 +360,7 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     return blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.99, slack: float = 1.1, min_rows: int = 20, folds: int = 2, prior: float = 200.0, order: int = ORDER, broadcast_bytes: int = 0, label_bytes: int = 64 << 20) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", quantile: float = 0.998, min_rows: int = 20, folds: int = 2, prior: float = 200.0, order: int = ORDER, broadcast_bytes: int = 0, label_bytes: int = 64 << 20) -> DataFrame:
     """Per row of docs, without its text: id, lang, key (the row's own, see row_key), perplexity, threshold, accepted. The trusted ids are broadcast while counted within `label_bytes`."""
     key = row_key(docs[id_col], docs[lang_col], docs[text_col])
     src = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), key.alias("key"), docs[text_col].alias("text"))
@@ -385,7 +385,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mean = sums.b / sums.c if sums.c else math.log2(chars) / 2
     perplexity = F.pow(F.lit(2.0), (F.col("lm_bits") + prior * mean) / (F.col("lm_chars") + prior))
     seen = held.select("lang", perplexity.alias("p"))
-    at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000)) * slack
+    at = F.percentile_approx("p", F.lit(quantile), F.lit(10_000))
     overall = seen.agg(at.alias("overall")).first().overall
     limits = staged(seen.groupBy("lang").agg(at.alias("own"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows).select(F.col("lang").alias("of"), "own"), "lm-limits")
     limits = F.broadcast(limits) if limits.count() <= 10_000 else limits
