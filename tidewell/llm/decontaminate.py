@@ -5,18 +5,19 @@ vocabulary, its suffixes are sorted (prefix doubling, to the window length), and
 distinct window of the test suffixes is binary-searched in the sorted order. Hit words are
 marked by differences, so equal windows cost nothing twice. From hit to hit the places in
 items that go on matching are carried along, which gives the longest verbatim match at each
-word; one is listed if the match at the word before doesn't cover it.
+word; one is listed if no match that begins before covers it, whichever item it is of.
 
 The benchmark's side is read by the driver in passes of about `max_bench_bytes`, by item,
 one at a time: a pass's table is broadcast, its hits are written, the table is freed, and the
-hits of all passes, rows of hit documents only, are put together by document.
+hits of all passes, rows of hit documents only, are put together by document. Which matches are
+listed is settled over all passes, so that their number doesn't change the result.
 
 Words: `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z. A window is
 `window` consecutive words of an item; a shorter item, but not an empty one, is one
 window. Defined results: null and empty texts have no words and no hits; repeated items
 count once by their id; null item ids are skipped in lists of ids but their windows hit; rows
-that repeat an id are judged one by one; of equally long matches at a word the item that
-comes first by id and text is named. An empty benchmark hits nothing, an empty table gives an
+that repeat an id are judged one by one; of equally long matches at a word the item is named
+whose id as text sorts first (null ids last), and of that the earliest word. An empty benchmark hits nothing, an empty table gives an
 empty result. Other columns of either table, whatever their names, are ignored.
 """
 
@@ -52,6 +53,9 @@ class Windows:
         self.seqs = [np.array(s, np.int64) for s in seqs]
         #: Length to distinct windows, and per window its places: `places[first[i] : first[i + 1]]`. A place is an index into `item` and `at`; the next one is the next word of the item.
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: Items by their ids as text, null ids last; equal ids share a place.
+        known = {x: n for n, x in enumerate(sorted({str(i) for i in self.ids if i is not None}))}
+        self.rank = np.array([len(known) if i is None else known[str(i)] for i in self.ids], np.int64)
         self.item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(s) + 1, i) for i, s in enumerate(self.seqs))])
         self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(s) + 1) for s in self.seqs)])
         base = np.cumsum([0, *(len(s) + 1 for s in self.seqs)])
@@ -166,7 +170,8 @@ def _longest(win: Windows, n: int, places: np.ndarray, first: np.ndarray, pos: n
         more[before] = 0
         more[own] = length
         last, before = p, own
-        best = int(np.argmax(length))
+        most = np.flatnonzero(length == length.max())
+        best = int(most[np.lexsort((win.at[own[most]], win.rank[win.item[own[most]]]))[0]])
         size = int(length[best]) + n - 1
         if found and found[-1][1] == p + 1 and found[-1][2] == size - 1:
             found.pop()  # covered by this match
@@ -174,6 +179,20 @@ def _longest(win: Windows, n: int, places: np.ndarray, first: np.ndarray, pos: n
     return [(d, p - int(starts[d]), size, i, q) for d, p, size, i, q in found]
 
 
+def outermost(matches: list[tuple]) -> list[tuple]:
+    """Of (word, length, item as text or None, item word) those that no match beginning before covers, one a word."""
+    out, to = [], 0
+    for m in sorted(matches, key=lambda m: (m[0], -m[1], m[2] is None, m[2] or "", m[3])):
+        if m[0] + m[1] > to:
+            out.append(m)
+            to = m[0] + m[1]
+    return out
+
+
+#: The same for an array of _MATCH.
+_OUTERMOST = """aggregate(array_sort(transform(matches, x -> struct(x.word, -x.length AS short, x.item IS NULL AS unknown, x.item, x.item_word))),
+  struct(cast(array() AS array<struct<word:bigint,length:bigint,item:string,item_word:bigint>>) AS kept, 0L AS to),
+  (a, x) -> if(x.word - x.short > a.to, struct(concat(a.kept, array(struct(x.word AS word, -x.short AS length, x.item AS item, x.item_word AS item_word))) AS kept, x.word - x.short AS to), a)).kept"""
 _MATCH = "struct<word:long,length:long,item:string,item_word:long>"
 
 
@@ -195,8 +214,9 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
             lens, hit, in_items, longest = match_block(b.column(1).to_pylist(), win)
             names = [sorted({str(win.ids[i]) for i in got if win.ids[i] is not None}) for got in in_items]
             found: list[list] = [[] for _ in names]
-            for d, p, n, i, q in sorted(longest):
-                found[d].append({"word": p, "length": n, "item": None if win.ids[i] is None else str(win.ids[i]), "item_word": q})
+            for d, p, n, i, q in longest:
+                found[d].append((p, n, None if win.ids[i] is None else str(win.ids[i]), q))
+            found = [[dict(zip(("word", "length", "item", "item_word"), m, strict=True)) for m in outermost(f)] for f in found]
             starts = np.cumsum(lens + 1) - lens - 1
             edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))).reshape(-1, 2)
             rows = np.searchsorted(starts, edges[:, 0], "right") - 1
@@ -223,7 +243,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         every = functools.reduce(DataFrame.unionByName, hits)
         gathered = every.groupBy("id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches")))
         covered = "aggregate(array_sort(spans), struct(0L as n, 0L as to), (a, x) -> struct(a.n + greatest(0L, x.e - greatest(x.s, a.to)) as n, greatest(a.to, x.e) as to)).n"
-        gathered = staged(gathered.selectExpr("id as key", f"{covered} as n_hit", "array_sort(array_distinct(items)) as items", "array_sort(matches) as matches"), "bench-gathered")
+        gathered = staged(gathered.selectExpr("id as key", f"{covered} as n_hit", "array_sort(array_distinct(items)) as items", f"{_OUTERMOST} as matches"), "bench-gathered")
         size = gathered.agg(F.coalesce(F.sum(64 + 48 * F.size("matches") + 24 * F.size("items")), F.lit(0)).alias("n")).first().n
         slim = counted.select(F.col("id.id").alias("id"), F.col("id").alias("key"), "n_words")
         gathered = F.broadcast(gathered) if size <= broadcast_bytes else gathered
