@@ -163,3 +163,73 @@ def test_circulant_signatures_estimate_similarity():
     x, y = minhash_dedup.minhashes(shingle_sets([a, b], 3), 2000)
     assert abs((x == y).mean() - 848 / 998) < 0.03
     assert len(np.unique(x)) > 900  # coordinates differ: the shift reorders the ring
+
+
+def test_decontamination_lists_the_same_matches_for_any_number_of_passes(spark):
+    from tidewell.llm import decontaminate
+
+    w = [f"w{i}" for i in range(60)]
+    items = [(10, " ".join(w[0:30])), (2, " ".join(w[5:40])), (None, " ".join(w[20:45])), (7, " ".join(w[0:30])), (3, " ".join(w[50:55])), (2, " ".join(w[12:33]))]
+    texts = [(1, " ".join(w)), (2, "x " + " ".join(w[3:37]) + " y " + " ".join(w[18:60])), (3, "none"), (4, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def got(n):
+        return {r.doc_id: (r.n_hit, r["items"], [tuple(m) for m in r.matches]) for r in decontaminate.contamination(docs, bench, max_bench_bytes=n).collect()}
+
+    one = got(1 << 20)
+    assert one == got(100) == got(300) and one[3] == one[4] == (0, [], [])
+
+    def longest(text):
+        d, best = (text or "").split(), {}
+        for item, t in items:
+            t = t.split()
+            for p in range(len(d)):
+                for q in range(len(t)):
+                    n = 0
+                    while p + n < len(d) and q + n < len(t) and d[p + n] == t[q + n]:
+                        n += 1
+                    if n >= min(10, len(t)):
+                        best.setdefault(p, []).append((-n, item is None, str(item), q))
+        out, to = [], 0
+        for p in sorted(best):
+            n, null, item, q = min(best[p])
+            if p - n > to:
+                out.append((p, -n, None if null else item, q))
+                to = p - n
+        return out
+
+    for i, text in texts:
+        assert one[i][2] == longest(text)
+
+
+def test_scratch_removes_all_of_a_failed_stage_and_only_its_own_threads(spark):
+    import threading
+
+    from tidewell.llm import common
+
+    outside = common.staged(spark.range(3), "t-outside")
+    made = []
+
+    def other():
+        made.append(common.staged(spark.range(4), "t-other"))
+
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        inside = common.staged(spark.range(5), "t-inside")
+        t = threading.Thread(target=other)
+        t.start()
+        t.join()
+        raise ZeroDivisionError
+    assert outside.count() == 3 and made[0].count() == 4
+    with pytest.raises(Exception):  # noqa: B017
+        inside.count()
+
+
+def test_conflicting_toxic_labels_count_as_toxic(spark):
+    from tidewell.llm import toxicity
+
+    docs = spark.createDataFrame([(i, f"you vile creature {i}" if i % 2 else f"a kind word {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(i, 0) for i in range(1, 200, 2)], "doc_id long, toxic int")
+    made = [toxicity.learn(docs, labels.orderBy(F.rand(s))) for s in (1, 2)]
+    assert made[0].__getstate__() == made[1].__getstate__()
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, made[0]).collect()}
+    assert all(got[i] == i % 2 for i in range(200))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,26 +13,25 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared
+from ..sources.shared import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_STAGED: list[str] = []
+_STAGED = threading.local()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the session names in spark.checkpoint.dir. Only a local master, whose executors are this machine, may do without; a cluster is told to name one."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="tidewell-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def _mine() -> list[str]:
+    """What this thread has staged and not removed."""
+    if not hasattr(_STAGED, "paths"):
+        _STAGED.paths = []
+    return _STAGED.paths
 
 
 def staged_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    _mine().append(path)
     return path
 
 
@@ -43,23 +42,29 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def last_staged() -> str:
+    """Where this thread's last staged table that is still there lies."""
+    return _mine()[-1]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes what is staged at a path; no error if it is gone."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    shared.remove(spark, path)
     with contextlib.suppress(ValueError):
-        _STAGED.remove(path)
+        _mine().remove(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession, keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
-    """Tables staged inside go when it ends, but for those that the DataFrames of keep() read; nothing that is evaluated later may read the others."""
-    before = len(_STAGED)
-    yield
-    needed = {f.rpartition("/")[0] for df in keep() for f in df.inputFiles()}
-    for path in _STAGED[before:]:
-        if not any(f.endswith(path.split(":", 1)[-1].lstrip("/")) for f in needed):
-            remove(spark, path)
+    """Tables that this thread stages inside go when it ends, all of them if it fails, else but for those that the DataFrames of keep() read; nothing that is evaluated later may read the others."""
+    before, needed = list(_mine()), set()
+    try:
+        yield
+        needed = {f.rpartition("/")[0] for df in keep() for f in df.inputFiles()}
+    finally:
+        for path in [p for p in _mine() if p not in before]:
+            if not any(f.endswith(path.split(":", 1)[-1].lstrip("/")) for f in needed):
+                remove(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
