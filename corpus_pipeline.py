@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import decontaminate, exact_dedup, jaccard_join, quality_lm, sentencepiece_lattice
-from tidewell.llm.common import documents, row_key, scratch, staged, table, without
+from tidewell.llm.common import documents, last_staged, remove, row_key, scratch, staged, table, without
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -59,11 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; each is written, after which what it staged on its way is deleted."""
-    docs = documents(spark, sf_dir)
+    """All stages; each is written, after which its input and what it staged on its way are deleted: no more than two corpora lie in the shared folder."""
+    docs, path = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         made: list[DataFrame] = []
         with scratch(spark, lambda: made):  # noqa: B023  used at once
             made.append(staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
-        docs = made[0]
+        if path:
+            remove(spark, path)
+        docs, path = made[0], last_staged()
     return STAGES[-1][1](spark, docs, sf_dir)
