@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.tags import CATEGORY, DIFFICULTY, QUALITY, whitelist
+from ..sources.shared import remove
 from .positions import top_by
 
 
@@ -58,6 +59,41 @@ def to_conversations(df: DataFrame, prefix: str, strict_fix: bool = False) -> Da
     return rows.withColumn("conversations", messages(F.col("instruction"), F.col("response"))).withColumn("gen_input_configs", F.col("gen_input_configs").withField("pre_query_template", F.col("pre_query_template"))).withColumn("difficulty", whitelist(F.col("difficulty"), DIFFICULTY)).withColumn("input_quality", whitelist(F.col("input_quality"), QUALITY)).withColumn("task_category", whitelist(F.col("task_category"), CATEGORY, strict_fix)).select(*COLUMNS)
 
 
+#: Kinds of violations of the generator rules.
+VIOLATIONS = ("missing", "differ", "foreign")
+
+
+def _violation(prefix: str) -> Column:
+    made, answered = F.col("gen_input_configs.input_generator"), F.col("gen_response_configs.output_generator")
+    return F.when(made.isNull() | answered.isNull(), "missing").when(made != answered, "differ").when(~made.contains(prefix), "foreign")
+
+
+def observed_generators(df: DataFrame, prefix: str, key: str = "conversation_id") -> tuple[DataFrame, Observation]:
+    """df, and an observation that an action on it fills: rows, and for each kind of violation its count and least key. Nothing is scanned for it alone."""
+    seen, kind = Observation(), _violation(prefix)
+    kinds = [m for v in VIOLATIONS for m in (F.count_if(F.coalesce(kind == v, F.lit(False))).alias(v), F.min(F.when(kind == v, F.col(key))).alias(f"{v}_first"))]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *kinds), seen
+
+
+def write_checked(df: DataFrame, prefix: str, path: str, key: str = "conversation_id") -> dict:
+    """Writes df as Parquet and gives what was observed on the way; if any row breaks the generator rules, the output is removed and the error names counts and least keys of all kinds at once."""
+    rows, seen = observed_generators(df, prefix, key)
+    rows.write.mode("overwrite").parquet(path)
+    found = seen.get
+    bad = [f"{found[v]} {v} (first: {found[f'{v}_first']})" for v in VIOLATIONS if found[v]]
+    if bad:
+        remove(df.sparkSession, path)
+        raise ValueError(f"generators of {found['rows']} rows: {', '.join(bad)}")
+    return found
+
+
+def long_turns(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """key, k, instruction, response: the k-th message of either side, any number of turns, one row each; a system turn isn't counted."""
+    said = df.where(F.col(role).isin("user", "assistant"))
+    said = said.withColumn("k", F.row_number().over(Window.partitionBy(key, role).orderBy(turn)))
+    return said.groupBy(key, "k").agg(*(F.max(F.when(F.col(role) == who, F.col(text))).alias(name) for who, name in (("user", "instruction"), ("assistant", "response"))))
+
+
 def debug_limit(df: DataFrame, n: int = 100, key: str = "row_idx") -> DataFrame:
     """The first n rows by their index."""
     return df.where(F.col(key) < n)

@@ -332,3 +332,32 @@ def sft_conversations(spark, sf_dir):
     config = F.concat_ws("|", *(F.col(f"gen_input_configs.{c}").cast("string") for c in ("temperature", "top_p", "input_generator", "seed", "pre_query_template"))).alias("gen_input_configs")
     flat = {"conversations": said, "gen_input_configs": config, "other_task_category": F.array_join("other_task_category", "|").alias("other_task_category")}
     return _sft(spark).select(*[flat.get(c, F.col(c)) for c in curate.COLUMNS])
+
+
+_GENERATORS = """(SELECT doc_id, CASE WHEN doc_id % 13 = 3 THEN NULL WHEN doc_id % 17 = 4 THEN 'org/other' ELSE 'org/model-a' END AS made,
+  CASE WHEN doc_id % 11 = 5 THEN NULL WHEN doc_id % 7 = 2 THEN 'org/model-b' WHEN doc_id % 17 = 4 THEN 'org/other' ELSE 'org/model-a' END AS answered FROM documents)"""
+_VIOLATED = "CASE WHEN made IS NULL OR answered IS NULL THEN 'missing' WHEN made <> answered THEN 'differ' WHEN NOT contains(made, 'model-a') THEN 'foreign' END"
+_COUNTED = ", ".join(f"count(*) FILTER (v = '{v}') AS n_{v}, min(doc_id) FILTER (v = '{v}') AS first_{v}" for v in curate.VIOLATIONS)
+
+
+@query("a1_assertions", f"SELECT count(*) AS n_rows, {_COUNTED} FROM (SELECT doc_id, {_VIOLATED} AS v FROM {_GENERATORS})")
+def a1_assertions(spark, sf_dir):
+    """The generator rules over all rows, counted while they are written."""
+    d = F.col("doc_id")
+    made = F.when(d % 13 == 3, None).when(d % 17 == 4, "org/other").otherwise("org/model-a")
+    answered = F.when(d % 11 == 5, None).when(d % 7 == 2, "org/model-b").when(d % 17 == 4, "org/other").otherwise("org/model-a")
+    rows = _docs(spark, sf_dir).select("doc_id", "text", F.struct(made.alias("input_generator")).alias("gen_input_configs"), F.struct(answered.alias("output_generator")).alias("gen_response_configs"))
+    path = _folder(spark)
+    rows, seen = curate.observed_generators(rows, "model-a", "doc_id")
+    rows.write.parquet(path)
+    shared.remove(spark, path)
+    names = {"n_rows": "rows"} | {k: n for v in curate.VIOLATIONS for k, n in ((f"n_{v}", v), (f"first_{v}", f"{v}_first"))}
+    return spark.createDataFrame([tuple(seen.get[n] for n in names.values())], ", ".join(f"{k} long" for k in names))
+
+
+@query("k1_json_array", "SELECT doc_id, text, lang FROM documents")
+def k1_json_array(spark, sf_dir):
+    """One JSON array in one file, written by the tasks and read back."""
+    rows, path = _docs(spark, sf_dir).select("doc_id", "text", "lang"), f"{_folder(spark)}.json"
+    datasets.write_json_array(rows, path)
+    return datasets.read_dataset(spark, path, rows.schema)

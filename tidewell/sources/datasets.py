@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_array import JsonArraySource
+
 #: Rows of the generation stage, and of the response stage.
 INSTRUCTIONS = """id long, pre_query_template string, raw_instruction string, instruction string,
 instruction_sanitize_class_num double, response string, created long,
@@ -62,13 +64,12 @@ def concatenate(spark: SparkSession, paths: list[str], to: str, schema=None) ->
     return read_jsonl(spark, to, rows.schema)
 
 
-def write_json_array(df: DataFrame, path: str, max_rows: int = 100_000) -> None:
-    """One indented array in one local file, for small results only: more than max_rows is an error."""
-    rows = [r.asDict(recursive=True) for r in df.limit(max_rows + 1).collect()]
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write JSON lines instead")
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=2, ensure_ascii=False)
+def write_json_array(df: DataFrame, path: str, max_rows: int | None = None) -> None:
+    """One indented array in one file, in place of what is there, in the order of df's partitions. Tasks write the text and the commit joins it, so any number of rows will do; path must be reachable for driver and executors. More than max_rows, if given, is an error."""
+    if max_rows is not None and df.count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    df.sparkSession.dataSource.register(JsonArraySource)
+    df.write.format("json_array").mode("overwrite").save(path)
 
 
 SUFFIX = {"response": "res", "multi_turn": "mt", "reward_pairs": "armorm", "classification": "category"}
