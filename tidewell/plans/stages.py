@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import tags, text
-from ..operators import curate, models, neighbours, positions, preference, tagging
+from ..operators import curate, models, neighbours, positions, preference, tagging, templates
 from ..sources import datasets, shared
 from ..sources import models as registry
 from ..streaming import stages
-from .registry import _KNN, _docs, _made_sql, query
+from .registry import _KNN, _docs, _made_sql, _strip_sql, query
 
 
 def _folder(spark: SparkSession) -> str:
@@ -141,6 +141,35 @@ def c15_family(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", registry.family(name).alias("family"))
 
 
+#: For the SQL: what each family's prompt starts with, its messages ({} is the content) and the opening of the answer; f: the system message of those that fold it.
+_PATTERNS = """t(family, start, plain, s, f, u, a, ask, trims) AS (VALUES
+('llama3', '<|begin_of_text|>', '', '<|start_header_id|>system<|end_header_id|>~~{}<|eot_id|>', '', '<|start_header_id|>user<|end_header_id|>~~{}<|eot_id|>', '<|start_header_id|>assistant<|end_header_id|>~~{}<|eot_id|>', '<|start_header_id|>assistant<|end_header_id|>~~', true),
+('gemma', '<bos>', '', '', '{}~~', '<start_of_turn>user~{}<end_of_turn>~', '<start_of_turn>model~{}<end_of_turn>~', '<start_of_turn>model~', true),
+('qwen', '', '<|im_start|>system~You are a helpful assistant.<|im_end|>~', '<|im_start|>system~{}<|im_end|>~', '', '<|im_start|>user~{}<|im_end|>~', '<|im_start|>assistant~{}<|im_end|>~', '<|im_start|>assistant~', false),
+('zephyr', '', '', '<|system|>~{}</s>~', '', '<|user|>~{}</s>~', '<|assistant|>~{}</s>~', '<|assistant|>~', false),
+('llama2', '', '', '', '<<SYS>>~{}~<</SYS>>~~', '<s>[INST] {} [/INST]', ' {} </s>', '', true),
+('tulu', '', '', '<|system|>~{}~', '', '<|user|>~{}~', '<|assistant|>~{}</s>~', '<|assistant|>~', false),
+('mistral', '<s>', '', '', '{}~', '[INST] {} [/INST]', ' {}</s>', '', false),
+('yi', '', '', '<|im_start|>system~{}<|im_end|>~', '', '<|im_start|>user~{}<|im_end|>~', '<|im_start|>assistant~{}<|im_end|>~', '<|im_start|>assistant~', false),
+('vicuna', '', 'A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user''s questions. ', '{} ', '', 'USER: {} ', 'ASSISTANT: {}</s>', 'ASSISTANT:', true))"""
+_PUT = lambda pattern, said: f"replace(replace({pattern}, '~', chr(10)), '{{}}', {said})"
+_TEMPLATES = f"""WITH {_PATTERNS},
+m AS (SELECT conv_id, turn, role, family, start, plain, s, f, u, a, ask, CASE WHEN trims THEN {_strip_sql("coalesce(text, '')")} ELSE coalesce(text, '') END AS said FROM (SELECT *, {_PICK(_KINDS, 'conv_id % 11')} AS family FROM conversations WHERE role IN ('system', 'user', 'assistant')) JOIN t USING (family)),
+n AS (SELECT *, max(CASE WHEN role = 'system' THEN {_PUT('f', 'said')} END) OVER (PARTITION BY conv_id) AS folded, role = 'user' AND row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) = 1 AS opens FROM m)
+SELECT conv_id, family, replace(any_value(start) || CASE WHEN bool_or(role = 'system') THEN '' ELSE any_value(plain) END, '~', chr(10))
+  || string_agg(CASE role WHEN 'system' THEN {_PUT('s', 'said')} WHEN 'user' THEN {_PUT('u', "CASE WHEN opens THEN coalesce(folded, '') ELSE '' END || said")} ELSE {_PUT('a', 'said')} END, '' ORDER BY turn) || replace(any_value(ask), '~', chr(10)) AS prompt
+FROM n GROUP BY conv_id, family"""
+
+
+@query("c16_templates", _TEMPLATES)
+def c16_templates(spark, sf_dir):
+    """Whole conversations in the template of a model's family, the next answer opened."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role in ('system', 'user', 'assistant')")
+    said = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("conv_id") % len(_NAMES)).cast("int"))
+    return templates.prompts(said.withColumn("family", registry.family(name)), templates.programs(spark)).select("conv_id", "family", "prompt")
+
+
 @query("c17_api_name", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'meta-llama/Llama-3-8b-chat-hf' WHEN 1 THEN 'meta-llama/Llama-3-70b-chat-hf' ELSE source END AS name FROM documents")
 def c17_api_name(spark, sf_dir):
     name = F.when(F.col("doc_id") % 3 == 0, "meta-llama/Meta-Llama-3-8B-Instruct").when(F.col("doc_id") % 3 == 1, "meta-llama/Meta-Llama-3-70B-Instruct").otherwise(F.col("source"))
