@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BATCH_BYTES, asked
+from .batches import BATCH_BYTES, asked, fresh
 
 
 class Generator(Protocol):
@@ -45,6 +45,17 @@ def instructions(spark, build: Callable[[], Generator], template: str, n: int, r
     return generate(ids, build, "pre_query_template", "id", "instruction")
 
 
+def instructions_of(df: DataFrame, build: Callable[[], Generator], template: str, n: int, key: str, system: str = "system") -> DataFrame:
+    """n instructions for each row of df, generated from the template with the row's own system prompt in the place of `{system}`: the row's key, round (from 0), id = key * n + round, which is the seed, and instruction. A null system prompt is the empty text."""
+    before, mark, after = template.partition("{system}")
+    if not mark:
+        raise ValueError("the template has no {system}")
+    at = fresh(df, "_prompt")
+    asks = df.select(key, F.concat(F.lit(before), F.coalesce(system, F.lit("")), F.lit(after)).alias(at), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("round"))
+    made = generate(asks.withColumn("id", F.col(key).cast("long") * n + F.col("round")), build, at, "id", "instruction")
+    return made.drop(at)
+
+
 def samples(df: DataFrame, build: Callable[[], Generator], n: int, prompt: str, key: str) -> DataFrame:
     """responses[]: n differently seeded samples per row."""
     each = df.select(key, prompt, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample")).withColumn("seed", F.col(key) * n + F.col("sample"))

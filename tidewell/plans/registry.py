@@ -161,8 +161,8 @@ def _prefix_sql(x: str) -> str:
     return _strip_sql(rf"regexp_replace({numbered}, '(?i)\A(?:{words}|Question \p{{Nd}}+:|Question \p{{Nd}}+\.|Part \p{{Nd}}+:|Q\p{{Nd}}+\.|Q\p{{Nd}}+:){text.WS}*', '')")
 
 
-def _sanitized_sql(llama: bool) -> str:
-    """The decision table of the sanitiser, rule by rule."""
+def _sanitized_sql(llama: bool, rows: str = _DERIVED_SQL) -> str:
+    """The decision table of the sanitiser, rule by rule, over doc_id and t of rows."""
     mark, step = "(?:" + "|".join(text.MARKERS) + ")s?:", "(?:" + "|".join(text.STEPS) + "):?"
     line, upto = _strip_sql("split_part(s, chr(10), 1)"), _strip_sql("split_part(s, '?', 1)") + " || '?'"
     gone = lambda x, what: _strip_sql(f"replace({x}, '{what}', '')")
@@ -184,7 +184,7 @@ def _sanitized_sql(llama: bool) -> str:
     ]
     first = " ".join(f"WHEN {test} THEN {made}" for test, made, _ in rules)
     number = " ".join(f"WHEN {test} THEN {n}" for test, _, n in rules)
-    return f"""WITH f AS (SELECT doc_id, {_prefix_sql('t')} AS f FROM {_DERIVED_SQL}),
+    return f"""WITH f AS (SELECT doc_id, {_prefix_sql('t')} AS f FROM {rows}),
 s AS (SELECT doc_id, f, {_prefix_sql('f')} AS s, CASE WHEN regexp_matches(f, '{mark}') THEN length(string_split_regex(f, '{mark}')[1]) END AS mark, CASE WHEN regexp_matches(f, '{step}') THEN length(string_split_regex(f, '{step}')[1]) END AS step FROM f),
 l AS (SELECT *, {line} AS line FROM s), r AS (SELECT doc_id, CASE {first} END AS made, CAST(CASE {number} END AS DOUBLE) AS class FROM l)
 SELECT doc_id, {_prefix_sql('made')} AS instruction, class FROM r"""
@@ -271,9 +271,11 @@ def _made_sql(seed: str, prompt: str) -> str:
     return f"substr(sha1(concat({seed}, ':', {prompt})), 1, 12)"
 
 
-@query("m1_generate", f"SELECT id, '<user>' AS pre_query_template, {_made_sql('id', "'<user>'")} AS instruction FROM range(300) t(id)")
+@query("m1_generate", f"SELECT doc_id, CAST(r AS INT) AS round, doc_id * 3 + r AS id, {_made_sql('doc_id * 3 + r', "'<system>' || coalesce(text, '') || '<user>'")} AS instruction FROM documents, range(3) t(r)")
 def m1_generate(spark, sf_dir):
-    return models.instructions(spark, models.StubGenerator, "<user>", 100, 3)
+    """Three instructions from each document as a system prompt."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return models.instructions_of(docs, models.StubGenerator, "<system>{system}<user>", 3, "doc_id", "text")
 
 
 @query("m2_respond", f"SELECT doc_id, {_made_sql('doc_id', 'text')} AS response FROM documents")

@@ -15,7 +15,7 @@ from ..operators import curate, models, neighbours, positions, preference, taggi
 from ..sources import datasets, shared
 from ..sources import models as registry
 from ..streaming import stages
-from .registry import _KNN, _docs, _made_sql, _strip_sql, query
+from .registry import _KNN, _docs, _made_sql, _sanitized_sql, _strip_sql, query
 
 
 def _folder(spark: SparkSession) -> str:
@@ -324,35 +324,40 @@ def u2_deduplicated(spark, sf_dir):
     return neighbours.deduplicated(_attached(spark, sf_dir))
 
 
-@query("r1_instruction_rows", f"SELECT id, '<user>' AS pre_query_template, {_made_sql('id', "'<user>'")} AS raw_instruction, {_made_sql('id', "'<user>'")} AS instruction, CAST(6.2 AS DOUBLE) AS class, CAST(NULL AS VARCHAR) AS response, CAST(5 AS BIGINT) AS created, CAST(0.5 AS DOUBLE) AS temperature, CAST(1.0 AS DOUBLE) AS top_p, 'org/a' AS input_generator, CAST(7 AS BIGINT) AS seed FROM range(60) t(id)")
+_RAW = f"(SELECT doc_id, {_strip_sql('text')} AS t FROM documents)"
+
+
+@query("r1_instruction_rows", f"SELECT c.doc_id AS id, '<user>' AS pre_query_template, t AS raw_instruction, instruction, class, CAST(NULL AS VARCHAR) AS response, CAST(5 AS BIGINT) AS created, CAST(0.5 AS DOUBLE) AS temperature, CAST(1.0 AS DOUBLE) AS top_p, 'org/a' AS input_generator, CAST(7 AS BIGINT) AS seed FROM ({_sanitized_sql(False, _RAW)}) c JOIN {_RAW} w ON w.doc_id = c.doc_id")
 def r1_instruction_rows(spark, sf_dir):
-    rows = tagging.instruction_rows(models.instructions(spark, models.StubGenerator, "<user>", 20, 3), "<user>", "org/a", 0.5, 1.0, 7, "gemma-2", 5)
+    """Documents as raw output of a generator: whole texts are stripped, sanitised and classed."""
+    rows = tagging.instruction_rows(_docs(spark, sf_dir), "<user>", "org/a", 0.5, 1.0, 7, "gemma-2", 5, "doc_id", "text")
     return rows.select("id", "pre_query_template", "raw_instruction", "instruction", F.col("instruction_sanitize_class_num").alias("class"), "response", "created", "gen_input_configs.*")
 
 
-def _sft(spark: SparkSession) -> DataFrame:
-    """From generation to conversation rows, over two shards of 40 and 60 rows."""
-    made = models.instructions(spark, models.StubGenerator, "<user>", 50, 2)
-    rows = tagging.instruction_rows(made, "<user>", "org/model-a", 1.0, 1.0, 1)
+def _sft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From documents as instructions to conversation rows, through all stages, over four shards."""
+    rows = tagging.instruction_rows(_docs(spark, sf_dir), "<user>", "org/model-a", 1.0, 1.0, 1, ids="doc_id", said="text")
     rows = models.generate(rows.drop("response"), models.StubGenerator, "instruction", "id", "response")
     rows = rows.withColumn("gen_response_configs", tagging.response_config(F.col("instruction"), "org/model-a", 0.0, 1.0, 1.0, 64, ["<e>"], "stub"))
     for mission in tags.MISSIONS:
         rows = tagging.tag(rows, lambda m=mission: tagging.StubTagger(m), mission, "tagger")
     rows = tagging.reward(tagging.safety(rows, models.StubGenerator), tagging.StubScorer, "rm")
-    rows = rows.withColumn("language", models.language(F.concat(F.lit("the cat and the dog "), "instruction")))
-    shards = rows.withColumn("file_idx", (F.col("id") >= 40).cast("int")).withColumn("id", F.col("id") - 40 * F.col("file_idx"))
-    return curate.to_conversations(shards, "model-a")
+    rows = rows.withColumn("language", models.language(F.col("instruction"))).withColumnRenamed("id", "doc_id")
+    return curate.to_conversations(positions.numbered(rows.withColumn("file_idx", F.col("doc_id") % 4), "doc_id", "file_idx"), "model-a")
 
 
-_I, _R = _made_sql("id", "'<user>'"), _made_sql("id", "i")
+_R = _made_sql("id", "i")
 _TURNS = f"{_said('user', 'i')} || {_said('assistant', 'r')}"
 _KEPT = "id % 11 <> 0"
-_SFT = f"""WITH a AS (SELECT id, {_I} AS i FROM range(100) t(id)), b AS (SELECT *, {_R} AS r FROM a)
-SELECT 'model-a_' || id AS conversation_id, i AS instruction, r AS response, 'human:' || i || '|gpt:' || r AS conversations, '1.0|1.0|org/model-a|1|<user>' AS gen_input_configs,
+_WORDS = "string_split_regex(lower(i), '[^\\p{L}]+')"
+_FOUND = ", ".join(f"4 * len(list_filter({_WORDS}, lambda w: w IN ({', '.join(map(repr, models.COMMON[c]))}))) + {n}" for n, c in enumerate(sorted(models.COMMON)))
+_CODE = f"{sorted(models.COMMON)!r}[CAST(f % 4 AS INT) + 1]"
+_SFT = f"""WITH a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id % 4, doc_id) - 1 AS place, {_strip_sql('text')} AS i FROM documents), b AS (SELECT *, {_R} AS r, greatest({_FOUND}) AS f FROM a)
+SELECT 'model-a_' || place AS conversation_id, i AS instruction, r AS response, 'human:' || i || '|gpt:' || r AS conversations, '1.0|1.0|org/model-a|1|<user>' AS gen_input_configs,
   CASE WHEN {_KEPT} THEN 'i' || id END AS intent, CAST(NULL AS VARCHAR) AS knowledge, CASE WHEN {_KEPT} THEN {_PICK(tags.DIFFICULTY, 'id % 5')} END AS difficulty, CASE WHEN {_KEPT} THEN 'tagger' END AS difficulty_generator,
   CASE WHEN {_KEPT} THEN {_PICK(tags.QUALITY, 'id % 5')} END AS input_quality, CASE WHEN {_KEPT} THEN 'e' || id END AS quality_explanation, CASE WHEN {_KEPT} THEN 'tagger' END AS quality_generator,
   CASE WHEN {_KEPT} AND id % 12 <> 11 THEN {_PICK(_CATEGORIES, 'id % 12')} END AS task_category, CASE WHEN {_KEPT} THEN 'Math|t' || id END AS other_task_category, CASE WHEN {_KEPT} THEN 'tagger' END AS task_category_generator,
-  {_made_sql('id', _TURNS)} AS llama_guard_2, {_score_sql(_TURNS)} AS instruct_reward, 'rm' AS reward_model, 'EN' AS language FROM b"""
+  {_made_sql('id', _TURNS)} AS llama_guard_2, {_score_sql(_TURNS)} AS instruct_reward, 'rm' AS reward_model, CASE WHEN i <> '' AND f > 3 THEN {_CODE} END AS language FROM b"""
 
 
 @query("sft_conversations", _SFT)
@@ -360,7 +365,7 @@ def sft_conversations(spark, sf_dir):
     said = F.array_join(F.transform("conversations", lambda m: F.concat(m["from"], F.lit(":"), m["value"])), "|").alias("conversations")
     config = F.concat_ws("|", *(F.col(f"gen_input_configs.{c}").cast("string") for c in ("temperature", "top_p", "input_generator", "seed", "pre_query_template"))).alias("gen_input_configs")
     flat = {"conversations": said, "gen_input_configs": config, "other_task_category": F.array_join("other_task_category", "|").alias("other_task_category")}
-    return _sft(spark).select(*[flat.get(c, F.col(c)) for c in curate.COLUMNS])
+    return _sft(spark, sf_dir).select(*[flat.get(c, F.col(c)) for c in curate.COLUMNS])
 
 
 _GENERATORS = """(SELECT doc_id, CASE WHEN doc_id % 13 = 3 THEN NULL WHEN doc_id % 17 = 4 THEN 'org/other' ELSE 'org/model-a' END AS made,
