@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags, text
 from ..operators import curate, models, neighbours, positions, preference, tagging, templates
-from ..sources import datasets, shared
+from ..sources import datasets, schemas, shared
 from ..sources import models as registry
 from ..streaming import stages
 from .registry import _KNN, _docs, _made_sql, _sanitized_sql, _strip_sql, query
@@ -244,6 +244,30 @@ def s12_shards(spark, sf_dir):
     return datasets.read_shards(spark, paths, rows.schema).select("file_idx", "doc_id", "text")
 
 
+_IN = "CAST(doc_id % 4 AS INT)"
+
+
+@query("s4_stages", f"""SELECT doc_id AS id, {_IN} AS file_idx, text AS instruction, CASE WHEN {_IN} > 0 THEN source END AS response, CASE WHEN {_IN} > 0 THEN 'e' END AS engine, CASE WHEN {_IN} > 1 THEN text END AS prompt,
+  CASE WHEN {_IN} = 2 THEN {_PICK(tags.DIFFICULTY, 'doc_id % 5')} END AS difficulty, CASE WHEN {_IN} = 2 THEN CAST(doc_id AS DOUBLE) WHEN {_IN} = 3 THEN doc_id + 0.5::DOUBLE END AS instruct_reward, CASE WHEN {_IN} = 3 THEN lang END AS language FROM documents""")
+def s4_stages(spark, sf_dir):
+    """Shards of four stages, with inferred schemas that disagree on what is null, whole or nested, read together."""
+    rows, folder = _docs(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("instruction"), "source", "lang"), _folder(spark)
+    null, settings = F.lit(None), F.struct(F.lit("e").alias("engine"), F.lit(1).alias("temperature"))
+    tag = F.get(F.array(*map(F.lit, tags.DIFFICULTY)), (F.col("id") % 5).cast("int"))
+    answered = {"response": F.col("source"), "gen_response_configs": F.struct(F.col("instruction").alias("prompt"), *[settings[c].alias(c) for c in ("engine", "temperature")])}
+    stages_of = [
+        {"response": null.cast("string"), "gen_response_configs": null.cast("string")},
+        {"response": F.col("source"), "gen_response_configs": settings},
+        answered | {"difficulty": tag, "instruct_reward": F.col("id")},
+        answered | {"instruct_reward": F.col("id") + 0.5, "language": F.col("lang")},
+    ]
+    paths = [f"{folder}/{i}.jsonl" for i in range(4)]
+    for i, (path, more) in enumerate(zip(paths, stages_of, strict=True)):
+        datasets.write_jsonl(rows.where(F.col("id") % 4 == i).withColumns(more).drop("source", "lang"), path)
+    found = schemas.read_stages(spark, paths)
+    return found.select("id", "file_idx", "instruction", "response", "gen_response_configs.engine", "gen_response_configs.prompt", "difficulty", "instruct_reward", "language")
+
+
 @query("s12_row_index", f"SELECT doc_id, {_SHARD} AS file_idx, row_number() OVER (PARTITION BY {_SHARD} ORDER BY doc_id) - 1 AS id, row_number() OVER (ORDER BY {_SHARD}, doc_id) - 1 AS row_idx FROM documents")
 def s12_row_index(spark, sf_dir):
     """Dense positions of rows read from files, in the files' order."""

@@ -21,25 +21,25 @@ gen_input_configs struct<temperature:double,top_p:double,input_generator:string,
 gen_response_configs struct<prompt:string,temperature:double,top_p:double,repetition_penalty:double,max_tokens:bigint,stop_tokens:array<string>,output_generator:string,engine:string>"""
 
 
-def read_json_array(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema=None, options: dict | None = None) -> DataFrame:
     """A file that holds one JSON array of records."""
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST").options(**options or {})
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_jsonl(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema=None, options: dict | None = None) -> DataFrame:
     """One record a line; a bad line fails the read."""
-    reader = spark.read.option("mode", "FAILFAST")
+    reader = spark.read.option("mode", "FAILFAST").options(**options or {})
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_dataset(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, schema=None, options: dict | None = None) -> DataFrame:
     """By suffix, .json or .jsonl; anything else is an error."""
     kind = os.path.splitext(path)[1]
     if kind == ".json":
-        return read_json_array(spark, path, schema)
+        return read_json_array(spark, path, schema, options)
     if kind == ".jsonl":
-        return read_jsonl(spark, path, schema)
+        return read_jsonl(spark, path, schema, options)
     raise ValueError(f"unknown dataset suffix {kind!r}: use .json or .jsonl")
 
 
