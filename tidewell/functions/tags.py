@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strict_json import strict_object
+
 #: Accepted tag values.
 DIFFICULTY = ["very easy", "easy", "medium", "hard", "very hard"]
 QUALITY = ["very poor", "poor", "average", "good", "excellent"]
@@ -48,22 +47,7 @@ def whitelist(col: Column, allowed: list[str], others: bool = False) -> Column:
 
 
 def parse_tags(text: Column, mission: str) -> Column:
-    """struct(ok, one string per column): null fields and ok = false unless the whole text is one JSON object that has every key."""
-    keys = list(MISSIONS[mission])
-    schema = "ok boolean, " + ", ".join(f"{c} string" for c in MISSIONS[mission].values())
-
-    @F.pandas_udf(schema)
-    def parse(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                found = json.loads(t)
-                got = [found[k] for k in keys]
-                cells = [g if g is None or isinstance(g, str) else json.dumps(g) for g in got]
-                "".join(c or "" for c in cells).encode()  # a lone surrogate is no text
-                rows.append([True, *cells])
-            except Exception:  # whatever a model's answer does to the parser, it costs that row's tags only
-                rows.append([False, *[None] * len(keys)])
-        return pd.DataFrame(rows, columns=["ok", *MISSIONS[mission].values()])
-
-    return parse(text)
+    """struct(ok, one string per column): null fields and ok = false unless the whole text is one JSON object that has every key (see strict_object)."""
+    found, columns = strict_object(text, list(MISSIONS[mission])), MISSIONS[mission].values()
+    named = lambda o: F.struct(o["ok"].alias("ok"), *[o[f"v{i}"].alias(c) for i, c in enumerate(columns)])
+    return F.get(F.transform(F.array(found), named), F.lit(0))

@@ -88,10 +88,15 @@ def tag(df: DataFrame, build: Callable[[], Generator], mission: str, generator:
     answer, at = fresh(df, "_answer"), fresh(df, "_tags")
     made = generate(df, build, prompt, key, answer).withColumn(at, tags.parse_tags(text.repair_tags(F.col(answer)), mission))
     name = {"difficulty": "difficulty_generator", "quality": "quality_generator", "classification": "task_category_generator"}[mission]
-    columns = [F.from_json(F.col(at)[c], "array<string>").alias(c) if c == "other_task_category" else F.col(at)[c].alias(c) for c in tags.MISSIONS[mission].values()]
+    columns = [_listed(F.col(at)[c]).alias(c) if c == "other_task_category" else F.col(at)[c].alias(c) for c in tags.MISSIONS[mission].values()]
     return made.select(*[F.col(f"`{c}`") for c in df.columns], *columns, F.when(F.col(at)["ok"], F.lit(generator)).alias(name))
 
 
+def _listed(tags: Column) -> Column:
+    """A JSON array's texts; any other value as the only one."""
+    return F.when(tags.startswith("["), F.coalesce(F.from_json(tags, "array<string>"), F.array(tags))).when(tags.isNotNull(), F.array(tags))
+
+
 def safety(df: DataFrame, build: Callable[[], Generator], key: str = "id") -> DataFrame:
     """llama_guard_2: the guard's raw answer, up to a closing brace if it holds one."""
     prompt = render(chat(("user", F.col("instruction")), ("assistant", F.col("response"))))

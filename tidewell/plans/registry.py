@@ -234,6 +234,22 @@ def c12_parse_tags(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tags.parse_tags(made, "difficulty").alias("t")).select("doc_id", "t.*")
 
 
+_ANSWERS = "(SELECT *, CAST(doc_id % 8 AS INT) AS kind FROM documents)"
+
+
+@query("c12_strict_json", f"""SELECT doc_id, kind IN (0, 1, 5, 6) AS ok, CASE kind WHEN 0 THEN text WHEN 5 THEN source || text WHEN 6 THEN '{{"a":[1,"' || source || '"]}}' END AS intent,
+  CASE WHEN kind IN (0, 1, 6) THEN source END AS knowledge, CASE WHEN kind IN (0, 1, 5, 6) THEN text END AS difficulty FROM {_ANSWERS}""")
+def c12_strict_json(spark, sf_dir):
+    """Answers made of whole texts: good ones, a null, trailing text, a lacking key, single quotes, a repeated key, a nested value, and the bare text."""
+    text_, source = [F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "") for c in ("text", "source")]
+    built = lambda intent, tail="": F.concat(F.lit('{"intent" : '), intent, F.lit(', "knowledge":'), source, F.lit(',\n"difficulty":'), text_, F.lit("}" + tail))
+    kind = F.col("doc_id") % 8
+    made = F.when(kind == 0, built(text_)).when(kind == 1, built(F.lit("null"), " \n")).when(kind == 2, built(text_, " done")).when(kind == 3, F.concat(F.lit('{"intent":'), text_, F.lit("}")))
+    made = made.when(kind == 4, F.translate(built(source), '"', "'")).when(kind == 5, F.concat(F.lit('{"intent":1,"difficulty":'), text_, F.lit(',"knowledge":null,"intent":'), F.regexp_replace(F.to_json(F.array(F.concat("source", "text"))), r"^\[|\]$", ""), F.lit("}")))
+    made = made.when(kind == 6, built(F.concat(F.lit('{"a" : [1, '), source, F.lit("]}")))).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", tags.parse_tags(made, "difficulty").alias("t")).select("doc_id", "t.*")
+
+
 _PROMPT_SIZES = ", ".join(f"CAST(length(text) + {sum(map(len, tags.around(m)))} AS INT) AS {m}" for m in tags.MISSIONS)
 
 
