@@ -13,8 +13,8 @@ all others the outcome, no collision, is known. The templates are a parameter of
 size (`MAX_TEMPLATES`) and travel as literals; nothing but the result is shuffled.
 
 Defined results: null and empty texts have no matches; a template counts once per row of
-the table, at its first best window among those that stay: a match is dropped only if its matched
-words overlap those of a better match, of another template, that stays; ids may repeat or be null (row by row, rows equal in
+the table, at its first best window among those that stay: an incomplete match is dropped only if its matched
+words overlap those of a better match (one that shares more shingles), of another template, that stays; ids may repeat or be null (row by row, rows equal in
 id and text are returned as often as they stand there); other columns are ignored.
 """
 
@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .license_texts import TEXTS
 
-#: Usual notices, by licence.
+#: Usual notices, by licence; whole texts stand beside them.
 TEMPLATES = {
     "mit": "Released under the MIT License.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction",
@@ -42,6 +43,7 @@ TEMPLATES = {
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "all-rights-reserved": "All rights reserved.",
+    **TEXTS,
 }
 MAX_TEMPLATES = 500
 SHINGLE = 5
@@ -108,15 +110,15 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_co
     shared = f"if({share} >= {containment}, filter(transform(wsh, (x, i) -> if(array_contains(sh, x), i, null)), i -> i is not null), null)"
     # The words a match covers: those of the shared shingles in the run of m words with most of them, the first such run.
     inside = f"filter(at, i -> i >= p and i <= p + m - least(m, {SHINGLE}))"
-    run = f"array_max(transform(at, p -> struct(size(array_distinct(transform({inside}, i -> wsh[i]))) / size(sh) as o, -p as p)))"
+    run = f"array_max(transform(at, p -> struct(cast(size(array_distinct(transform({inside}, i -> wsh[i]))) as double) as o, -p as p)))"
     words = f"array_distinct(flatten(transform({inside}, i -> sequence(start + i, start + i + least(m, {SHINGLE}) - 1))))"
     hits = hits.selectExpr("id", "rk", "row", "m", "license", "sh", "wsh", "start", f"{share} as share", f"{shared} as at").selectExpr("*", f"{run} as run").selectExpr("*", "-run.p as p")
-    hits = hits.selectExpr("id", "rk", "row", f"if(at is not null, struct(-run.o as o, start as start, license as license, share as share, {words} as words), null) as hit")
+    hits = hits.selectExpr("id", "rk", "row", f"if(at is not null, struct(-run.o as o, start as start, license as license, share as share, {words} as words, run.o >= size(sh) as whole), null) as hit")
     # One row per row and window: folded map-side, by row and then by licence, without a hot key.
     best = hits.groupBy("id", "rk", "row").agg(F.collect_set("hit").alias("hits"))
-    # Best matches first, by what their run shares: one stays unless it shares words with a better one, of another licence, that stays.
+    # Best matches first, by how many shingles their run shares, so that a whole text comes before a notice within it: one stays if it is complete, or unless it shares words with a better one, of another licence, that stays.
     rival = "exists(kept, y -> y.o < x.o and y.license <> x.license and arrays_overlap(y.words, x.words))"
-    kept = f"aggregate(array_sort(hits), cast(array() as array<struct<o:double,start:int,license:string,share:double,words:array<int>>>), (kept, x) -> if(x.o > -1 and {rival}, kept, concat(kept, array(x))))"
+    kept = f"aggregate(array_sort(hits), cast(array() as array<struct<o:double,start:int,license:string,share:double,words:array<int>,whole:boolean>>), (kept, x) -> if(not x.whole and {rival}, kept, concat(kept, array(x))))"
     best = best.selectExpr("id", f"{kept} as kept")
     one = "transform(array_sort(array_distinct(transform(kept, x -> x.license))), l -> struct(l as license, array_max(transform(filter(kept, x -> x.license = l), x -> struct(x.share as share, -x.start as at))) as top))"
     return best.selectExpr(f"id as `{id_col}`", f"transform({one}, x -> struct(x.license as license, x.top.share as containment, -x.top.at as first_word)) as matches")
