@@ -9,11 +9,12 @@ seen, of all orders, and the back-off weight of each context.
 
 Scoring: texts are read in blocks, and a block asks for its distinct n-grams of the highest
 order only. The distinct n-grams of all blocks are joined with the model's shards: first by
-themselves, and only those never seen go on to the contexts and the lower orders. The
-probabilities found return to the blocks by an equi-join on the n-gram's 64-bit key, so that
+themselves, and only those never seen go on to the contexts and the lower orders, down to the
+first order found. The probabilities found return to the blocks by an equi-join on the n-gram's 64-bit key, so that
 no task holds more than one block and its answers. The `hot` most frequent n-grams of the training texts,
-which nearly every block would ask for, are a broadcast table of that fixed size, so that no
-n-gram of the join is hot. With `broadcast_bytes` above 0 a model within that counted size
+which nearly every block would ask for, are a broadcast table of that fixed size; so are the
+`hot` contexts and n-grams of lower orders that most n-grams lead to, so that no key of
+either join is hot. With `broadcast_bytes` above 0 a model within that counted size
 is looked up in a sorted copy instead; both ways give the same figures.
 
 Cross-fit: trusted texts are dealt into `folds` by crc32(id); a document, trusted or not, is
@@ -133,7 +134,7 @@ class _Index:
 
 @dataclasses.dataclass
 class Model:
-    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, and the most frequent n-grams of the highest order (key, value)."""
+    """A table of keys and values, its counted rows, the probability of a character never seen, the characters seen, the most frequent n-grams of the highest order and the most frequent n-grams and contexts of the lower ones (key, value)."""
 
     order: int
     rows: DataFrame
@@ -141,6 +142,7 @@ class Model:
     floor: float
     chars: int
     hot: DataFrame | None = None
+    low: DataFrame | None = None
 
     @functools.cached_property
     def shared(self):
@@ -151,6 +153,16 @@ class Model:
         return self.rows.sparkSession.sparkContext.broadcast((keys[by], values[by]))
 
 
+def _common(rows: DataFrame):
+    """A broadcast of the keys and values of a table of a counted bound."""
+    got = rows.toArrow()
+    keys = pa.concat_arrays([pa.array([], pa.int64()), *got.column("key").chunks]).to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast((keys, got.column("value").to_numpy().astype(np.float64)))
+    del got
+    pa.default_memory_pool().release_unused()
+    return shared
+
+
 def _bits(texts: list[str | None], order: int, floor: float, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits and characters of each text; `known` is sorted."""
 
@@ -214,6 +226,18 @@ def _keyed(df: DataFrame, order: int, length: int, context: bool) -> DataFrame:
     return df.mapInArrow(run, f"key long, {name} {kind}")
 
 
+def _most(rows: DataFrame, n: int) -> DataFrame:
+    """The rows of the greatest column n, cut where a count of counts says that no more than n are left."""
+    step = F.floor(F.log2("n") * 8)
+    left, cut = n, None
+    for r in sorted(rows.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r.step
+    return rows.where(step >= cut if cut is not None else F.lit(False))
+
+
 def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: int = HOT) -> Model | None:
     """The model of all trusted texts; None if they hold no character."""
     src = trusted.select(trusted[text_col].alias("text"))
@@ -226,7 +250,7 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: i
     sizes = {r.order: r for r in sizes.groupBy("order").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"), *tallies).collect()}
     if not sizes:
         return None
-    lower, parts, floor, chars = None, [], 1.0, sizes[1].rows + 1
+    lower, parts, probs, floor, chars = None, [], [], 1.0, sizes[1].rows + 1
     for n, counts in enumerate(grams, 1):
         n1, n2, n3, n4 = (sizes[n][f"n{i}"] for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -242,19 +266,18 @@ def train(trusted: DataFrame, text_col: str = "text", order: int = ORDER, hot: i
             p = joined.select("gram", "n", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("gamma") * F.col("below")).alias("p"))
             parts.append(_keyed(contexts.select("context", F.col("gamma").cast("float").alias("value")), n, n - 1, True))
         lower = staged(p, "lm-probs")
+        probs.append(lower)
         parts.append(_keyed(lower.select("gram", F.col("p").cast("float").alias("value")), n, n, False))
     rows = staged(functools.reduce(DataFrame.unionByName, parts), "lm-model")
-    # The most frequent n-grams, cut where a count of counts says that no more than `hot` are left.
-    step = F.floor(F.log2("n") * 8)
-    left, cut = hot, None
-    for r in sorted(lower.groupBy(step.alias("step")).count().collect(), key=lambda r: -r.step):
-        left -= r["count"]
-        if left < 0:
-            break
-        cut = r.step
-    most = lower.where(step >= cut if cut is not None else F.lit(False)).select("gram", F.col("p").cast("float").alias("value"))
+    most = _most(lower, hot).select("gram", F.col("p").cast("float").alias("value"))
     most = staged(_keyed(most, order, order, False), "lm-hot")
-    return Model(order, rows, rows.count(), floor, chars, most)
+    low = None
+    if order > 1:  # half of the keys are n-grams, half the contexts that they are
+        leading = _most(functools.reduce(DataFrame.unionByName, [g.select("gram", "n", F.lit(n).alias("length")) for n, g in enumerate(probs[:-1], 1)]), hot // 2)
+        leading = staged(leading.select("gram", "length"), "lm-leading")
+        keys = [_keyed(leading.where(F.col("length") == n), n + context, n, bool(context)).select("key") for n in range(1, order) for context in (0, 1)]
+        low = staged(rows.join(F.broadcast(functools.reduce(DataFrame.unionByName, keys)), "key", "left_semi"), "lm-low")
+    return Model(order, rows, rows.count(), floor, chars, most, low)
 
 
 def _gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -273,25 +296,44 @@ def _gram_keys(grams: list[str], order: int) -> tuple[np.ndarray, list[np.ndarra
 
 def _resolved(grams: DataFrame, model: Model) -> DataFrame:
     """key and p of distinct n-grams of the highest order, by joins with the model's shards."""
-    order = model.order
+    order, slots = model.order, 2 * model.order - 2
+    first = staged(_keyed(grams.select("gram", F.col("gram").alias("said")), order, order, False).join(model.rows, "key", "left"), "lm-first")
+    seen = first.where("value is not null").select("key", F.col("value").cast("double").alias("p"))
+    if not slots:
+        return first.select("key", F.coalesce(F.col("value").cast("double"), F.lit(model.floor)).alias("p"))
+    low = _common(model.low)  # HOT rows at most
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leading = _Index(low.value[0])
         for b in batches:
-            if b.num_rows:
-                own, rest = _gram_keys(b.column(0).to_pylist(), order)
-                flat = pa.array(np.stack(rest, 1).ravel())
-                yield pa.record_batch([pa.array(own), pa.array(own), pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * len(rest)), flat)], ["key", "own", "rest"])
-
-    shards = model.rows.select(F.col("key").alias("own"), "value")
-    first = staged(grams.mapInArrow(keys, "key long, own long, rest array<long>").join(shards, "own", "left"), "lm-first")
-    seen = first.where("value is not null").select("key", F.col("value").cast("double").alias("p"))
-    rest = first.where("value is null").select("key", F.posexplode("rest").alias("slot", "own")).join(shards, "own", "left")
-    wide = rest.groupBy("key").agg(*[F.max(F.when(F.col("slot") == i, F.col("value").cast("double"))).alias(f"v{i}") for i in range(2 * order - 2)])
+            if not b.num_rows:
+                continue
+            _, keys = _gram_keys(b.column(1).to_pylist(), order)
+            known, asked = np.full((b.num_rows, slots), np.nan), np.zeros((b.num_rows, slots), bool)
+            open_ = np.arange(b.num_rows)
+            for i, key in enumerate(keys):
+                at = leading.find(key[open_])
+                hit = at >= 0
+                known[open_[hit], i] = low.value[1][at[hit]]
+                asked[open_[~hit], i] = True
+                if i % 2:  # an n-gram, not a context: nothing below one that was seen is needed
+                    open_ = open_[~hit]
+            ends = np.concatenate([[0], np.cumsum(asked.sum(1))]).astype(np.int32)
+            which, own = np.nonzero(asked)[1].astype(np.int32), np.stack(keys, 1)[asked]
+            asks = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(which), pa.array(own)], ["slot", "own"]))
+            yield pa.record_batch([b.column(0), *(pa.array(known[:, i], mask=np.isnan(known[:, i])) for i in range(slots)), asks], ["key", *values, "asks"])
+
+    values = [f"v{i}" for i in range(slots)]
+    left = first.where("value is null").select("key", "said").mapInArrow(rest, f"key long, {', '.join(f'{v} double' for v in values)}, asks array<struct<slot:int,own:long>>")
+    left = staged(left, "lm-rest")
+    found = left.select("key", F.inline("asks")).join(model.rows.select(F.col("key").alias("own"), "value"), "own")
+    found = found.select("key", *[F.when(F.col("slot") == i, F.col("value").cast("double")).alias(v) for i, v in enumerate(values)])
+    wide = left.where("size(asks) > 0").select("key", *values).unionByName(found).groupBy("key").agg(*[F.max(v).alias(v) for v in values])
     p = F.lit(model.floor)
     for n in range(1, order):  # at slots from the end: order 1, context of 2, order 2, context of 3, ...
         at = 2 * (order - n) - 1
         p = F.coalesce(F.col(f"v{at - 1}"), F.lit(1.0)) * F.coalesce(F.col(f"v{at}"), p)
-    return seen.unionByName(wide.select("key", p.alias("p")))
+    return seen.unionByName(left.where("size(asks) = 0").select("key", p.alias("p"))).unionByName(wide.select("key", p.alias("p")))
 
 
 def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame:
@@ -307,14 +349,11 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
     if model.size * 12 <= broadcast_bytes:
         shared = model.shared
         return by_blocks(src, lambda b: scored(b, *_bits(b.column("text").to_pylist(), order, floor, *shared.value)), schema, limit=BLOCK)
-    got = model.hot.toArrow()  # HOT rows at most
-    common = src.sparkSession.sparkContext.broadcast((pa.concat_arrays([pa.array([], pa.int64()), *got.column("key").chunks]), got.column("value").to_numpy().astype(np.float64)))
-    del got
-    pa.default_memory_pool().release_unused()
+    common = _common(model.hot)  # HOT rows at most
     blocks = staged(packed(src, "text", ASK), "lm-blocks")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = _Index(common.value[0].to_numpy())
+        hot = _Index(common.value[0])
         for b in batches:
             for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 keys, grams = [np.array([], np.int64)], [pa.array([], pa.string())]
@@ -332,7 +371,7 @@ def tallied(src: DataFrame, model: Model, broadcast_bytes: int = 0) -> DataFrame
                 yield pa.record_batch([pa.array(np.full(len(wanted), block, np.int64)), wanted], ["block", "gram"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, none = _Index(common.value[0].to_numpy()), np.array([], np.int64)
+        hot, none = _Index(common.value[0]), np.array([], np.int64)
         for b in batches:
             for body, pairs in zip(b.column(0), b.column(1), strict=True):
                 own, known = none, np.array([])
