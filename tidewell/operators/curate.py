@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tags import CATEGORY, DIFFICULTY, QUALITY, whitelist
 from ..sources.shared import remove
-from .positions import top_by
+from .positions import hashed, numbered, top_by
 
 
 def high_quality(df: DataFrame, quality: str = "input_quality", reward: str = "instruct_reward", text: str = "instruction", near: str = "min_similar_conversation_id", key: str = "conversation_id", least: float = -10.0) -> DataFrame:
@@ -29,8 +29,14 @@ def with_least_equal(df: DataFrame, text: str, key: str, out: str) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """A fixed order by a hash of seed and key, the same for any partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+    """A fixed order by a hash of seed and key (positions.hashed), ties by key, the same for any partitioning."""
+    return df.orderBy(hashed(key, seed), key)
+
+
+def shuffled_places(df: DataFrame, key: str, seed: int = 42, out: str = "place", width: int = 1 << 44) -> DataFrame:
+    """df with each row's place, from 0, in the order of `shuffled`. Hashes are spread evenly, so a block of `width` of the 2^60 holds a 65,536th of the rows."""
+    rows = df.withColumns({"_h": hashed(key, seed), "_all": F.lit(0)})
+    return numbered(rows, "_h", "_all", out, width, key).drop("_h", "_all")
 
 
 def messages(instruction: Column, response: Column) -> Column:

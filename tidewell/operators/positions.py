@@ -14,14 +14,20 @@ from ..sources.shared import remove, written
 BLOCK, RUN = 1 << 16, 1 << 10
 
 
-def numbered(df: DataFrame, key: str, file_col: str, out: str = "id", block: int = BLOCK) -> DataFrame:
+def hashed(key: str, seed: int = 42) -> Column:
+    """A row's rank in a shuffle: 60 bits of the SHA-1 of `seed:key`, which other engines can restate. A null key counts as empty."""
+    digest = F.sha1(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def numbered(df: DataFrame, key: str, file_col: str, out: str = "id", block: int = BLOCK, tie: str | None = None) -> DataFrame:
     """df with each row's dense position, from 0, among the rows of its file in the order of an integer key.
 
     Rows meet only in windows over a block of consecutive keys. How many rows stand before a
     block is a prefix sum over counts: over the blocks of a run, and over the runs of a file,
     whose counts are one row for some tens of millions of keys. The result depends on neither
     partitions nor sampling, so a recomputed task gives the same numbers. Rows of equal keys are
-    numbered in any order; a null key stands first.
+    numbered by `tie`, without one in any order; a null key stands first.
     """
     place, run = F.floor(F.coalesce(F.col(key), F.lit(-(1 << 62))) / block), F.floor(F.col("_block") / RUN)
     rows = df.withColumn("_file", F.col(file_col)).withColumn("_block", place)
@@ -31,7 +37,7 @@ def numbered(df: DataFrame, key: str, file_col: str, out: str = "id", block: int
     inner = counts.withColumn("_in_run", F.coalesce(F.sum("_n").over(before("_file", "_run", "_block")), F.lit(0)))
     known = lambda a, b, *on: reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in on])
     offsets = inner.join(runs, known(inner, runs, "_file", "_run")).select(inner["_file"].alias("_of"), inner["_block"].alias("_at"), (F.col("_in_run") + F.col("_runs_before")).alias("_offset"))
-    local = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_file", "_block").orderBy(key)) - 1)
+    local = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_file", "_block").orderBy(key, *([tie] if tie else []))) - 1)
     joined = local.join(offsets, F.col("_file").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_at")))
     return joined.withColumn(out, F.col("_nth") + F.col("_offset")).drop("_file", "_block", "_nth", "_of", "_at", "_offset")
 

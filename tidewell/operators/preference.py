@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .positions import hashed
+
 
 def collected(df: DataFrame, key: str, order: str, response: str, score: str) -> DataFrame:
     """responses[] and rewards[] per key, in sample order."""
@@ -25,10 +27,10 @@ def pairs(df: DataFrame, instruction: str = "instruction", responses: str = "res
     return df.withColumn("chosen", talk(best)).withColumn("rejected", talk(worst))
 
 
-def split(df: DataFrame, key: str, share: float = 0.02, seed: int = 42, buckets: int = 1 << 12) -> DataFrame:
-    """is_test on exactly ceil(share * n) rows, those of least hash; ranks come from counts of hash ranges, so no task sees all rows."""
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key)).withColumn("_b", F.shiftrightunsigned("_h", 52).cast("int"))
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
+def split(df: DataFrame, key: str, share: float = 0.02, seed: int = 42) -> DataFrame:
+    """is_test on exactly ceil(share * n) rows, those of least hash (positions.hashed), ties by key; ranks come from counts of hash ranges, so no task sees all rows."""
+    rows = df.withColumn("_h", hashed(key, seed)).withColumn("_b", F.shiftright("_h", 48).cast("int"))
+    counts = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("_b", F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all"))
-    ranked = hashed.join(F.broadcast(before), "_b").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
+    ranked = rows.join(F.broadcast(before), "_b").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
     return ranked.withColumn("is_test", F.col("rank") <= F.ceil(F.lit(share) * F.col("all"))).drop("_h", "_b", "before", "all", "rank")

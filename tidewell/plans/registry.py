@@ -54,9 +54,14 @@ def o3_top_k(spark, sf_dir):
     return curate.longest(_docs(spark, sf_dir), 100, "text", "doc_id").select("doc_id", F.col("response_length").cast("long").alias("response_length"))
 
 
-@query("r6_whitelist", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Math' END AS category, CASE WHEN doc_id % 3 = 0 THEN 'Math' WHEN doc_id % 3 = 1 THEN 'Other' END AS fixed FROM documents")
+_RAW_TAG = f"CASE WHEN length(text) % 4 = 3 THEN text ELSE {[*tags.CATEGORY[:-1], 'Others', 'math', 'Other']!r}[CAST(length(text) % 14 AS INT) + 1] END"
+_TAG_LIST = ", ".join(f"'{c}'" for c in tags.CATEGORY)
+
+
+@query("r6_whitelist", f"SELECT doc_id, CASE WHEN t IN ({_TAG_LIST}) THEN t END AS category, CASE WHEN t = 'Others' THEN 'Other' WHEN t IN ({_TAG_LIST}) THEN t END AS fixed FROM (SELECT doc_id, {_RAW_TAG} AS t FROM documents)")
 def r6_whitelist(spark, sf_dir):
-    raw = F.when(F.col("doc_id") % 3 == 0, "Math").when(F.col("doc_id") % 3 == 1, "Others").otherwise("math")
+    """Every category by the text's length, known and unknown spellings, and the whole text itself."""
+    raw = F.when(F.length("text") % 4 == 3, F.col("text")).otherwise(F.get(F.array(*map(F.lit, [*tags.CATEGORY[:-1], "Others", "math", "Other"])), (F.length("text") % 14).cast("int")))
     return _docs(spark, sf_dir).select("doc_id", tags.whitelist(raw, tags.CATEGORY).alias("category"), tags.whitelist(raw, tags.CATEGORY, True).alias("fixed"))
 
 
@@ -75,14 +80,17 @@ def r3_messages(spark, sf_dir):
     return rows.selectExpr("doc_id", "m[0].`from` as first_from", "m[0].value as first_value", "m[1].`from` as second_from", "m[1].value as second_value")
 
 
-@query("o4_shuffle", "SELECT doc_id FROM documents")
+_SHUFFLED = "substr(sha1('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15), doc_id"
+
+
+@query("o4_shuffle", f"SELECT doc_id, row_number() OVER (ORDER BY {_SHUFFLED}) - 1 AS place FROM documents")
 def o4_shuffle(spark, sf_dir):
-    return curate.shuffled(_docs(spark, sf_dir).select("doc_id"), "doc_id")
+    return curate.shuffled_places(_docs(spark, sf_dir).select("doc_id"), "doc_id")
 
 
-@query("o6_split", "SELECT count(*) AS n, CAST(ceil(0.02 * count(*)) AS BIGINT) AS test_rows FROM documents")
+@query("o6_split", f"SELECT doc_id, row_number() OVER (ORDER BY {_SHUFFLED}) <= ceil(0.02 * count(*) OVER ()) AS is_test FROM documents")
 def o6_split(spark, sf_dir):
-    return preference.split(_docs(spark, sf_dir).select("doc_id"), "doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("test_rows"))
+    return preference.split(_docs(spark, sf_dir).select("doc_id"), "doc_id").select("doc_id", "is_test")
 
 
 def _scored(spark, sf_dir):
@@ -250,12 +258,13 @@ def c12_strict_json(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tags.parse_tags(made, "difficulty").alias("t")).select("doc_id", "t.*")
 
 
-_PROMPT_SIZES = ", ".join(f"CAST(length(text) + {sum(map(len, tags.around(m)))} AS INT) AS {m}" for m in tags.MISSIONS)
+_PROMPTS = ", ".join("sha256('{}' || text || '{}') AS {}".format(*(x.replace("'", "''") for x in tags.around(m)), m) for m in tags.MISSIONS)
 
 
-@query("c13_prompts", f"SELECT doc_id, {_PROMPT_SIZES} FROM documents")
+@query("c13_prompts", f"SELECT doc_id, {_PROMPTS} FROM documents")
 def c13_prompts(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", *[F.length(tags.prompt(m, F.col("text"))).alias(m) for m in tags.MISSIONS])
+    """Digests of whole prompts."""
+    return _docs(spark, sf_dir).select("doc_id", *[F.sha2(tags.prompt(m, F.col("text")), 256).alias(m) for m in tags.MISSIONS])
 
 
 _HASH = "sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(text))"

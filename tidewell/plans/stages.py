@@ -358,6 +358,15 @@ def r1_instruction_rows(spark, sf_dir):
     return rows.select("id", "pre_query_template", "raw_instruction", "instruction", F.col("instruction_sanitize_class_num").alias("class"), "response", "created", "gen_input_configs.*")
 
 
+@query("r2_response_configs", f"SELECT doc_id, {_made_sql('doc_id', 'text')} AS response, text AS prompt, CAST(0.7 AS DOUBLE) AS temperature, CAST(0.9 AS DOUBLE) AS top_p, CAST(1.1 AS DOUBLE) AS repetition_penalty, CAST(64 AS BIGINT) AS max_tokens, '<e>|<f>' AS stop_tokens, 'org/a' AS output_generator, 'stub' AS engine FROM documents")
+def r2_response_configs(spark, sf_dir):
+    """Responses with the settings they were made with, the whole prompt among them."""
+    rows = models.generate(_docs(spark, sf_dir).select("doc_id", "text"), models.StubGenerator, "text", "doc_id", "response")
+    config = tagging.response_config(F.col("text"), "org/a", 0.7, 0.9, 1.1, 64, ["<e>", "<f>"], "stub")
+    rows = rows.withColumn("gen_response_configs", config).select("doc_id", "response", "gen_response_configs.*")
+    return rows.withColumn("stop_tokens", F.array_join("stop_tokens", "|"))
+
+
 def _sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From documents as instructions to conversation rows, through all stages, over four shards."""
     rows = tagging.instruction_rows(_docs(spark, sf_dir), "<user>", "org/model-a", 1.0, 1.0, 1, ids="doc_id", said="text")
