@@ -1,5 +1,7 @@
 """Exact neighbour search by cells: pruning, bounds on what is sent, and the index on disk."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -88,3 +90,47 @@ def test_search_of_nothing_and_in_nothing(spark, tmp_path):
     neighbours.save_index(_frame(spark, v), path)
     assert neighbours.search_index(_frame(spark, v).where(F.lit(False)), path, 2).count() == 0
     assert _got(neighbours.search_index(_frame(spark, v, [1]), path, 50)) == _brute(v, 5, [1])
+
+
+@pytest.mark.parametrize("kind", [int, str])
+def test_best_of_chunks_equals_a_full_sort_with_ties(kind):
+    r, n, k = np.random.default_rng(8), 2 * cells.CHUNK + 7, 5
+    best, seen = cells._Best(n, k), {}
+    for _ in range(30):
+        for chunk in range(3):
+            q = r.integers(0, min(cells.CHUNK, n - chunk * cells.CHUNK), 2500)
+            d, ids = r.integers(0, 6, len(q)).astype(float), r.permutation(10**6)[: len(q)]
+            nid = ids if kind is int else np.array([f"n{i}" for i in ids], object)
+            best.add(chunk, q, d, nid)
+            for x in zip((chunk * cells.CHUNK + q).tolist(), d.tolist(), nid.tolist(), strict=True):
+                seen.setdefault(x[0], []).append(x[1:])
+    got = {}
+    for chunk in range(3):
+        for q, d, nid, rank in zip(*(x.tolist() for x in best.merge(chunk)), strict=True):
+            assert rank == len(got.setdefault(chunk * cells.CHUNK + q, []))
+            got[chunk * cells.CHUNK + q].append((d, nid))
+    assert got == {q: sorted(rows)[:k] for q, rows in seen.items()}
+    assert all(best.kth[q] == rows[-1][0] for q, rows in got.items() if len(rows) == k)
+
+
+def test_a_merge_copies_a_chunk_and_not_all_pairs_of_a_task():
+    chunks, k, r = 16, 100, np.random.default_rng(2)
+    best = cells._Best(chunks * cells.CHUNK, k)
+    q, d, nid = np.repeat(np.arange(cells.CHUNK), k), r.random(k * cells.CHUNK), np.arange(k * cells.CHUNK)
+    tracemalloc.start()
+    for chunk in range(chunks):
+        best.add(chunk, q, d + chunk, nid + chunk)
+        best.add(chunk, q[:5000], d[:5000], nid[:5000])
+        best.merge(chunk)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 1.4 * held, (peak, held)
+
+
+def test_within_a_threshold_only_rows_below_it_and_the_nearest_other_are_kept():
+    d = np.random.default_rng(1).random((50, 3000)) + 0.9
+    d[7] = 3.0
+    d[7, :2] = 0.0, 2.5
+    limit = cells._limits(d, np.full(50, np.inf), np.zeros(50), 500, 0.95)
+    assert (np.sort(d, axis=1)[:, 1] <= limit).all() and limit[7] == 2.5
+    assert (np.delete(limit, 7) == 0.95).all()  # not the 500th nearest

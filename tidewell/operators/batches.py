@@ -6,13 +6,20 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of prompts, and prompts, that a model gets at once.
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 1_000
 
 
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Sets the session to Arrow batches of about so many bytes, unless it has a number of its own: the 64 MB of the default are held more than once, in every worker of a task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).lower() in ("67108864", "67108864b", "64m", "64mb"):
+        spark.conf.set(name, str(size))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import small_batches
+
 #: Pivots at most, and bytes of all pivots together.
 MAX_PIVOTS, PIVOT_BYTES = 1024, 8 << 20
 BLOCK = "cell int, n int, low double, high double, ids array<{kind}>, vectors binary"
@@ -177,36 +179,89 @@ def plan(pivots: np.ndarray, asked: Stats, data: Stats, k: int, within: float |
     return Plan(lower, needed, order, first, parts, (int(pair_needed.sum()), int(live_q.sum() * live_d.sum())))
 
 
+#: Queries whose best are kept, merged and returned together.
+CHUNK = 1024
+
+
+def _values(ids: pa.Array) -> np.ndarray:
+    """Ids as numbers, or as objects of any sortable type."""
+    if pa.types.is_integer(ids.type) and not ids.null_count:
+        return ids.to_numpy(zero_copy_only=False)
+    out = np.empty(len(ids), object)
+    out[:] = ids.to_pylist()
+    return out
+
+
+def _ordered(q: np.ndarray, d: np.ndarray, nid: np.ndarray) -> np.ndarray:
+    """Order by q, d and nid. Only rows that agree in q and d are sorted by nid."""
+    by = np.argsort(d)
+    by = by[np.argsort(q[by], kind="stable")]  # a radix sort, q being 16 bits wide
+    same = (q[by[1:]] == q[by[:-1]]) & (d[by[1:]] == d[by[:-1]])
+    if same.any():
+        at = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        tied = by[at]
+        code = pd.factorize(nid[tied], sort=True)[0]
+        by[at] = tied[np.lexsort((np.where(code < 0, len(code), code), d[tied], q[tied]))]
+    return by
+
+
 class _Best:
-    """The k best (distance, id) of each query of a task; new pairs are merged in bulk."""
+    """The k best (distance, id) of each query of a task, by chunks of queries, so that what a merge copies is bounded by a chunk and not by the task."""
 
     def __init__(self, queries: int, k: int):
         self.k, self.kth, self.second = k, np.full(queries, np.inf), np.full(queries, np.inf)
-        self.rows = pd.DataFrame({"q": np.zeros(0, np.int64), "d": np.zeros(0), "nid": []})
-        self.new: list[pd.DataFrame] = []
-        self.waiting = 0
-
-    def add(self, q: np.ndarray, d: np.ndarray, nid) -> None:
-        self.new.append(pd.DataFrame({"q": q, "d": d, "nid": nid}))
-        self.waiting += len(q)
-        if self.waiting > max(4096, len(self.rows), len(self.kth) * min(self.k, 8)):
-            self.merge()
-
-    def merge(self) -> pd.DataFrame:
-        if self.new:
-            rows = pd.concat([x for x in (self.rows, *self.new) if len(x)] or [self.rows], ignore_index=True).sort_values(["q", "d", "nid"], kind="stable", ignore_index=True)
-            rank = rows.groupby("q").cumcount().to_numpy()
-            q, d = rows.q.to_numpy(), rows.d.to_numpy()
-            self.second[q[rank == 1]] = d[rank == 1]
-            self.kth[q[rank == self.k - 1]] = d[rank == self.k - 1]
-            self.rows, self.new, self.waiting = rows[rank < self.k], [], 0
-        return self.rows
+        self.parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in range(0, queries, CHUNK)]
+        self.waiting = [0] * len(self.parts)
+        self.held = [0] * len(self.parts)
+
+    def add(self, chunk: int, q: np.ndarray, d: np.ndarray, nid: np.ndarray) -> None:
+        """More pairs of one chunk; q counts from the chunk's first query."""
+        self.parts[chunk].append((q.astype(np.uint16), d, nid))
+        self.waiting[chunk] += len(q)
+        if self.waiting[chunk] > max(4096, self.held[chunk] // 2):
+            self.merge(chunk)
+
+    def merge(self, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """q (from the chunk's first query), d, nid and rank (from 0) of the chunk's best, in order."""
+        parts = self.parts[chunk]
+        if not parts:
+            return np.zeros(0, np.uint16), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        q, d, nid = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts, strict=True))
+        if self.waiting[chunk]:
+            by = _ordered(q, d, nid)
+            q, d, nid = q[by], d[by], nid[by]
+        n = np.bincount(q)
+        rank = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+        if self.waiting[chunk]:
+            at = chunk * CHUNK + q.astype(np.int64)
+            self.second[at[rank == 1]] = d[rank == 1]
+            self.kth[at[rank == self.k - 1]] = d[rank == self.k - 1]
+            keep = rank < self.k
+            q, d, nid, rank = q[keep], d[keep], nid[keep], rank[keep]
+            self.parts[chunk], self.waiting[chunk], self.held[chunk] = [(q, d, nid)], 0, len(q)
+        return q, d, nid, rank
+
+    def drop(self, chunk: int) -> None:
+        self.parts[chunk], self.waiting[chunk] = [], 0
+
+
+def _limits(d: np.ndarray, limit: np.ndarray, slack: np.ndarray, k: int, within: float | None) -> np.ndarray:
+    """limit, lowered where these distances alone show that fewer matter: the k nearest, and with within those nearer than it and the nearest other row."""
+    for rank, floor in [(k, 0.0), *([] if within is None else [(min(k, 2), within)])]:
+        if d.shape[1] <= rank:
+            continue
+        open_ = np.flatnonzero(limit > floor)
+        open_ = open_[np.count_nonzero(d[open_] <= (limit + slack)[open_, None], axis=1) > rank]
+        if len(open_):
+            near = np.partition(d[open_], rank - 1, axis=1)[:, rank - 1] + slack[open_]
+            limit[open_] = np.minimum(limit[open_], np.maximum(floor, near))
+    return limit
 
 
 def _exact(q: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Squared distances of the pairs, each computed alone, so that equal pairs give equal numbers."""
     out = np.empty(len(i))
-    step = max(1, (4 << 20) // max(1, q.shape[1]))
+    step = max(1, (1 << 19) // max(1, q.shape[1]))
     for at in range(0, len(i), step):
         diff = q[i[at : at + step]] - m[j[at : at + step]]
         out[at : at + step] = np.einsum("ij,ij->i", diff, diff)
@@ -216,6 +271,7 @@ def _exact(q: np.ndarray, m: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
 def search(asked: DataFrame, data: DataFrame, pivots: np.ndarray, k: int, within: float | None = None, fold=None, schema: str | None = None, group_bytes: int = 32 << 20, list_bytes: int = 96 << 20) -> tuple[DataFrame, Plan]:
     """id, nid, d, rank of the k nearest data rows of each query, and the plan. asked and data are blocks over the same pivots. fold: maps a task's rows (id, nid, d, rank; pandas) to what is returned instead, with its schema."""
     spark = asked.sparkSession
+    small_batches(spark)
     kind, nkind = (dict(x.dtypes)["ids"].removeprefix("array<").removesuffix(">") for x in (asked, data))
     width = max(1, pivots.shape[1])
     rows = max(1, min(group_bytes // (4 * width), list_bytes // (24 * k)))
@@ -262,21 +318,22 @@ def search(asked: DataFrame, data: DataFrame, pivots: np.ndarray, k: int, within
         def compare():
             cell, low, high = held[0][0], min(h[1] for h in held), max(h[2] for h in held)
             m = np.concatenate([h[4] for h in held]).astype(np.float64)
-            nids = np.concatenate([np.asarray(h[3].to_pylist()) for h in held])
-            q, pivot = state["q"], shared.value[cell]
+            nids = np.concatenate([_values(h[3]) for h in held])
+            q, pivot, norms, mine = state["q"], shared.value[cell], state["norms"], (m**2).sum(1)
             to = distances(q, pivot[None, :])[:, 0]
             bound = best.kth if within is None else np.minimum(best.kth, np.maximum(within, best.second))
             live = np.flatnonzero(np.maximum(to - high, low - to) <= np.sqrt(bound) + tol)
-            for at in range(0, len(live), 1024):
-                some = live[at : at + 1024]
-                d = state["norms"][some][:, None] + (m**2).sum(1)[None, :] - 2 * q[some] @ m.T
-                slack = 1e-9 * (state["norms"][some] + (m**2).sum(1).max() + 1)
-                limit = bound[some]
-                if d.shape[1] > k:
-                    limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1] + slack)
+            for chunk in np.unique(live // CHUNK).tolist():
+                some = live[live // CHUNK == chunk]
+                d = q[some] @ m.T
+                d *= -2
+                d += norms[some][:, None]
+                d += mine
+                slack = 1e-9 * (norms[some] + mine.max() + 1)
+                limit = _limits(d, bound[some], slack, k, within)
                 i, j = np.nonzero(d <= (limit + slack)[:, None])
                 if len(i):
-                    best.add(some[i], _exact(q, m, some[i], j), nids[j])
+                    best.add(chunk, some[i] - chunk * CHUNK, _exact(q, m, some[i], j), nids[j])
             held.clear()
 
         for b in batches:
@@ -301,19 +358,25 @@ def search(asked: DataFrame, data: DataFrame, pivots: np.ndarray, k: int, within
             if not parts:
                 return
             best = begin()
-        found = best.merge()
         names = pa.concat_arrays(ids)
-        rank = found.groupby("q").cumcount().to_numpy() + 1
-        for at in range(0, len(names), 2000) if fold else [0]:
-            q = found.q.to_numpy()
-            some = np.flatnonzero((q >= at) & (q < at + 2000)) if fold else np.arange(len(q))
-            out = pd.DataFrame({"id": names.take(pa.array(q[some])).to_pandas(), "nid": found.nid.to_numpy()[some], "d": found.d.to_numpy()[some], "rank": rank[some].astype(np.int32)})
-            for x in (fold(out, names.slice(at, 2000).to_pandas()) if fold else out,):
-                for a in range(0, len(x), 50_000):
-                    yield pa.RecordBatch.from_pandas(x.iloc[a : a + 50_000], preserve_index=False, schema=arrow)
+        ids, parts = [], []
+        state.clear()
+        for chunk, at in enumerate(range(0, len(names), CHUNK)):
+            q, d, nid, rank = best.merge(chunk)
+            best.drop(chunk)
+            rank = (rank + 1).astype(np.int32)
+            mine = names.slice(at, CHUNK)
+            if fold:
+                rows = pd.DataFrame({"id": mine.take(pa.array(q)).to_pandas(), "nid": nid, "d": d, "rank": rank})
+                yield pa.RecordBatch.from_pandas(fold(rows, mine.to_pandas()), preserve_index=False, schema=arrow)
+                continue
+            for a in range(0, len(q), 50_000):
+                some = slice(a, a + 50_000)
+                yield pa.record_batch([mine.take(pa.array(q[some])), pa.array(nid[some], nid_type), pa.array(d[some]), pa.array(rank[some])], ["id", "nid", "d", "rank"])
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark.createDataFrame([], empty).schema)
+    nid_type = to_arrow_schema(data.select(F.explode("ids").alias("nid")).schema).field("nid").type
     out = sides.select(columns).repartitionById(groups, "group").sortWithinPartitions("group", "is_data", "near", "cell").mapInArrow(searched, empty)
     return out, p
