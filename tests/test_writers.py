@@ -98,3 +98,38 @@ def test_an_aborted_array_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         datasets.write_json_array(df, path)
     assert os.listdir(tmp_path) == []
+
+
+def test_json_array_is_read_back_in_splits_whatever_its_strings_hold(spark, tmp_path):
+    odd = ['\n  }', '",\n  {\n', "]", "[\n  {", "é \U0001f600", "\\", '"', "", None, "}\n]"]
+    rows = [(i, odd[i % len(odd)], [{"k": odd[(i + 3) % len(odd)]}, None] if i % 3 else None, {"a": i} if i % 2 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, s string, l array<struct<k:string>>, m map<string,long>")
+    path = str(tmp_path / "a.json")
+    datasets.write_json_array(df.repartition(3), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = datasets.read_dataset(spark, path, df.schema)
+        assert got.rdd.getNumPartitions() > 8
+        assert got.schema == df.schema
+        assert sorted(got.collect()) == sorted(df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("body", ['[{"id": 1}, {"id": 2}]', '[\n  {\n    "id": 1\n  }, {"id": 2}, {\n "id": 3\n  }\n]', '[\n    {\n        "id": 1\n    },\n    {\n        "id": 2, "x": {\n        }\n    }\n]\n', "[\r\n  {\r\n  }\r\n]", "[]", "[\n]", '[\n  {"id": 4},\n  {\n    "id": 5\n  }\n]', '[\n\t{\n\t\t"id": 6\n\t},\n\t{\n\t\t"id": null\n\t}\n]'])
+def test_json_arrays_of_any_layout_equal_the_parser(spark, tmp_path, body):
+    path = str(tmp_path / "a.json")
+    with open(path, "w", newline="") as f:
+        f.write(body)
+    key = lambda x: (x is None, x)
+    assert sorted((r.id for r in datasets.read_dataset(spark, path, "id long").collect()), key=key) == sorted((r.get("id") for r in json.loads(body)), key=key)
+
+
+@pytest.mark.parametrize("body", ['[\n  {\n    "id": 1\n  },\n', '[\n  {\n    "id": 1\n  }', '[\n  {\n    "id": 1\n  },\n  {\n    "id": \n  }\n]', '[\n  {\n    "id": 1\n  }\n  {\n    "id": 2\n'])
+def test_broken_json_arrays_fail(spark, tmp_path, body):
+    path = str(tmp_path / "a.json")
+    with open(path, "w") as f:
+        f.write(body)
+    with pytest.raises(Exception, match="(?i)malformed|corrupt|parse"):
+        datasets.read_dataset(spark, path, "id long").collect()

@@ -5,12 +5,14 @@ from __future__ import annotations
 import http.client
 import json
 import os
+import re
 import time
 import urllib.request
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from .json_array import JsonArraySource
 
@@ -22,11 +24,42 @@ gen_response_configs struct<prompt:string,temperature:double,top_p:double,repeti
 
 
 def read_json_array(spark: SparkSession, path: str, schema=None, options: dict | None = None) -> DataFrame:
-    """A file that holds one JSON array of records."""
+    """A file that holds one JSON array of records. With a schema and no options, an array in the layout of write_json_array is read in splits; any other is read by one task."""
+    indent = _layout(spark, path) if schema is not None and not options else None
+    if indent is not None:
+        return _read_split_array(spark, path, schema, indent)
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST").options(**options or {})
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _layout(spark: SparkSession, path: str) -> str | None:
+    """The indentation of the records of an array file that opens and closes in the layout of write_json_array: brackets, and the records' outer braces, alone in their lines. Only both ends of the file are read; None for anything else."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at) or not files.isFile(at):
+        return None
+    size, ends = files.getFileStatus(at).getLen(), []
+    for start in (0, max(0, size - 64)):
+        stream = files.open(at)
+        try:
+            stream.seek(start)
+            ends.append(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(64, size))))
+        finally:
+            stream.close()
+    head = re.match(rb"\[\n([ \t]+)\{\n", ends[0])
+    if head and re.search(rb"\n" + head[1] + rb"\}\n\]\s*\Z", ends[1]):
+        return head[1].decode()
+    return None
+
+
+def _read_split_array(spark: SparkSession, path: str, schema, indent: str) -> DataFrame:
+    """Valid JSON has no raw line break inside a string, so a line that holds the indentation and a closing brace ends a record, and Spark can split the file there. Each piece is parsed as an array of its own: where a file leaves the layout, a piece is either several whole records or fails."""
+    kind = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    pieces = spark.read.option("lineSep", f"\n{indent}}}").text(path).where(~F.col("value").rlike(r"\A\s*\]\s*\z"))
+    body = F.concat(F.lit("["), F.regexp_replace("value", r"\A[\[,]", ""), F.lit("}]"))
+    return pieces.select(F.from_json(body, ArrayType(kind), {"mode": "FAILFAST"}).alias("rows")).selectExpr("inline(rows)")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema=None, options: dict | None = None) -> DataFrame:
     """One record a line; a bad line fails the read."""
     reader = spark.read.option("mode", "FAILFAST").options(**options or {})
