@@ -124,3 +124,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_keywords_are_searched_by_one_automaton_in_one_pass(spark):
+    odd = ["c++", "f-test", "\n```", ".", "a|b", "é\U0001f600", "(", "\\d"]
+    texts = [None, "", "C++", "cpp", "F-TEST", "ftest", "x\n```", "x```", "nothing", "a|b", "ab", "É\U0001f600", "é", "5", "\\D", "\x00(", "tangen t", "a TANGENT b"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    for words in (odd, text.MATH_KEYWORDS, text.CODE_KEYWORDS, [""]):
+        found = rows.select("i", text.has_keyword(F.col("t"), words).alias("x"))
+        assert [r.x for r in found.orderBy("i").collect()] == [None if t is None else any(w.lower() in t.lower() for w in words) for t in texts]
+        assert "exists(" not in found._jdf.queryExecution().optimizedPlan().toString()  # which tries word after word
+    assert [r.x for r in rows.select(text.has_keyword(F.col("t"), []).alias("x")).distinct().collect()].count(True) == 0

@@ -1,10 +1,12 @@
-"""Scalar functions on instruction text, all JVM-side expressions."""
+"""Scalar functions on instruction text: JVM-side expressions, but for the keyword search."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What Python's str.strip() and \s take as white space.
@@ -158,6 +160,17 @@ CODE_KEYWORDS = [
 
 
 def has_keyword(text: Column, words: list[str], ignore_case: bool = True) -> Column:
-    """Whether the text holds one of the words."""
+    """Whether the text holds one of the words. One automaton for all words reads the text once, in Arrow batches; lower-casing stays on the JVM."""
+    from ..operators.batches import small_batches
+
+    small_batches(SparkSession.active())
+    kept = sorted({w.lower() if ignore_case else w for w in words})
     low = F.lower(text) if ignore_case else text
-    return F.exists(F.array(*(F.lit(w.lower() if ignore_case else w) for w in words)), lambda k: low.contains(k))
+    if not kept:
+        return F.when(low.isNotNull(), False)
+    pattern = "|".join("".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in w) for w in kept)
+
+    def holds(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern)
+
+    return F.arrow_udf(holds, "boolean")(low)
