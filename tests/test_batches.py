@@ -1,5 +1,6 @@
 """Model batches of bounded bytes, and stages that leave a user's columns alone."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +70,19 @@ def test_api_rows_in_flight_are_bounded(spark):
     df = spark.range(50).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("p"))
     got = tagging.api_responses(df, Counting, "p", {}, threads=4).collect()
     assert all(r.ok and r.responses == [r.p.upper()] for r in got) and len(got) == 50
+
+
+def test_model_calls_keep_arrow_batches_small_unless_the_session_says_otherwise(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        rows = spark.range(0, 4000, 1, 1).select(F.col("id"), F.repeat(F.lit("x"), 10_000).alias("t"))  # 40 MB
+        assert rows.select(batches.asked(lambda: lambda p, k: [len(x) for x in p], "long", F.col("t")).alias("n")).distinct().collect()[0].n == 10_000
+        sizes = rows.mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in bs), "n long").collect()
+        assert max(r.n for r in sizes) < 8 << 20
+        spark.conf.set(name, "1000000")
+        batches.small_batches(spark)
+        assert spark.conf.get(name).rstrip("b") == "1000000"
+    finally:
+        spark.conf.set(name, before)
