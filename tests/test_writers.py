@@ -133,3 +133,13 @@ def test_broken_json_arrays_fail(spark, tmp_path, body):
         f.write(body)
     with pytest.raises(Exception, match="(?i)malformed|corrupt|parse"):
         datasets.read_dataset(spark, path, "id long").collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 60, 199, 200, 500])
+def test_the_sample_is_the_first_by_hash_and_no_sort_gathers_texts(spark, n):
+    rows = spark.createDataFrame([("DE" if i % 3 else "EN", f"text {i}", i // 4) for i in range(200)], "lang string, text string, i long").select("lang", "text", F.xxhash64("i").alias("h"))
+    got = language._first(rows.repartition(5), n)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    keys = sorted((r.h, r.lang) for r in rows.collect())[:n]
+    assert sorted((r.h, r.lang) for r in got.collect()) == keys

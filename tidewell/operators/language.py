@@ -56,10 +56,30 @@ class NgramDetector:
         return [None if s is None else self.names[int(s.argmax())] for s in found]
 
 
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """The n first rows by h (64 bits) and lang, of rows that agree in both any. The cut-off is found from counts, by the 16 leading bits and then by the keys of one such bucket, so texts don't meet in one task; only of equal keys at the cut-off, if not all are wanted, some are taken by a limit."""
+    lead = F.shiftright("h", 48)
+    before, cut = 0, None
+    for bucket, count in sorted((r.b, r["count"]) for r in rows.groupBy(lead.alias("b")).count().collect()):  # 65,536 at most
+        if before + count > n:
+            cut = bucket
+            break
+        before += count
+    if cut is None:
+        return rows
+    for h, lang, count in sorted(tuple(r) for r in rows.where(lead == cut).groupBy("h", "lang").count().collect()):
+        if before + count > n:
+            break
+        before += count
+    at = F.col("h") == h
+    head = rows.where((F.col("h") < h) | at & (F.col("lang") < lang))
+    return head.unionByName(rows.where(at & (F.col("lang") == lang)).limit(n - before)) if before < n else head
+
+
 def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 20_000, grams: int = GRAMS, seed: int = 0) -> NgramDetector:
     """A detector from at most `sample_rows` rows with a language, taken by a hash of the id. N-grams are counted by tasks and summed by bucket; languages x buckets are CELLS at most, which is what the driver gets. A language's name is its upper-case code."""
     rows = df.select(F.upper(df[lang_col]).alias("lang"), df[text_col].alias("text"), F.xxhash64(F.lit(seed), df[id_col]).alias("h")).where("lang is not null and text is not null")
-    rows = rows.orderBy("h", "lang").limit(sample_rows)
+    rows = _first(rows, sample_rows)
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     names = sorted(counts)
     if not names:
