@@ -58,3 +58,16 @@ def test_chunks_of_every_length_at_the_end_of_the_lattice(spark):
     assert {60, 61, 62, 63, 64} <= sizes
     got = sentencepiece_lattice.encode(docs(spark, texts), pieces).collect()
     assert len(got) == len(texts) and all(r.ids == sp.encode(texts[r.doc_id]) and r.round_trip for r in got)
+
+
+def test_cutting_a_block_into_chunks_takes_little_memory():
+    import tracemalloc
+
+    from tidewell.llm import sentencepiece_lattice as lattice
+
+    pieces, words = lattice.load(), [f"word{i % 977} {i % 31}" for i in range(lattice.CHUNK_BYTES // 10)]
+    tracemalloc.start()
+    lattice.chunks([" ".join(words)], pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20, peak

@@ -170,6 +170,10 @@ def chunks(texts: list[str | None], pieces: Pieces) -> tuple[str, np.ndarray, np
     return joined, starts, sizes, keys, counts
 
 
+#: Bytes of text that a task cuts into chunks at a time; a worker takes some forty times as much for it.
+CHUNK_BYTES = 1 << 19
+
+
 def chunk_table(src: DataFrame, shared) -> DataFrame:
     """The distinct chunks of src.text, as key and chunk."""
 
@@ -179,7 +183,7 @@ def chunk_table(src: DataFrame, shared) -> DataFrame:
         found = [joined[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)]
         return pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["key", "chunk"])
 
-    return by_blocks(src, block, "key long, chunk string", limit=2 << 20).distinct()
+    return by_blocks(src, block, "key long, chunk string", limit=CHUNK_BYTES).distinct()
 
 
 #: One edge in a long: rank of its score, start, end, piece id; so edges sort by score, then from the left.
