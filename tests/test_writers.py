@@ -143,3 +143,15 @@ def test_the_sample_is_the_first_by_hash_and_no_sort_gathers_texts(spark, n):
     assert "TakeOrdered" not in plan and "Sort" not in plan
     keys = sorted((r.h, r.lang) for r in rows.collect())[:n]
     assert sorted((r.h, r.lang) for r in got.collect()) == keys
+
+
+def test_the_detector_learns_from_every_row(spark):
+    n = 24_000
+    rows = spark.range(n).selectExpr("id as doc_id", "if(id % 3 = 0, 'en', 'de') as lang", "concat(if(id % 3 = 0, 'the ', 'das '), translate(cast(id as string), '0123456789', 'abcdefghij')) as text")
+    d = language.learn(rows)
+    assert d.names == ["DE", "EN"] and np.allclose(np.exp(d.shares), [2 / 3, 1 / 3], rtol=0, atol=1e-12)
+    size = d.weights.shape[1]
+    counts = np.full((2, size), 0.5)
+    for r in rows.collect():
+        np.add.at(counts[int(r.lang == "en")], language.buckets(r.text, size), 1)
+    assert np.array_equal(d.weights, np.log(counts / counts.sum(1, keepdims=True)))

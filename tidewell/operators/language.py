@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import asked
+from .batches import asked, small_batches
 
 #: Longest n-gram, and cells of the model in all.
 GRAMS, CELLS = 4, 1 << 22
@@ -57,7 +57,7 @@ class NgramDetector:
 
 
 def _first(rows: DataFrame, n: int) -> DataFrame:
-    """The n first rows by h (64 bits) and lang, of rows that agree in both any. The cut-off is found from counts, by the 16 leading bits and then by the keys of one such bucket, so texts don't meet in one task; only of equal keys at the cut-off, if not all are wanted, some are taken by a limit."""
+    """Not part of learn(), which reads all rows. The n first rows by h (64 bits) and lang, of rows that agree in both any. The cut-off is found from counts, by the 16 leading bits and then by the keys of one such bucket, so texts don't meet in one task; only of equal keys at the cut-off, if not all are wanted, some are taken by a limit."""
     lead = F.shiftright("h", 48)
     before, cut = 0, None
     for bucket, count in sorted((r.b, r["count"]) for r in rows.groupBy(lead.alias("b")).count().collect()):  # 65,536 at most
@@ -76,10 +76,14 @@ def _first(rows: DataFrame, n: int) -> DataFrame:
     return head.unionByName(rows.where(at & (F.col("lang") == lang)).limit(n - before)) if before < n else head
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 20_000, grams: int = GRAMS, seed: int = 0) -> NgramDetector:
-    """A detector from at most `sample_rows` rows with a language, taken by a hash of the id. N-grams are counted by tasks and summed by bucket; languages x buckets are CELLS at most, which is what the driver gets. A language's name is its upper-case code."""
-    rows = df.select(F.upper(df[lang_col]).alias("lang"), df[text_col].alias("text"), F.xxhash64(F.lit(seed), df[id_col]).alias("h")).where("lang is not null and text is not null")
-    rows = _first(rows, sample_rows)
+#: Buckets that a task holds before it adds them to its counts, and cells it sends at a time.
+HELD = 1 << 18
+
+
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", grams: int = GRAMS) -> NgramDetector:
+    """A detector from all rows that have a language and a text. N-grams are counted by tasks and summed by bucket; languages x buckets are CELLS at most, which is what the driver gets. A language's name is its upper-case code."""
+    small_batches(df.sparkSession)
+    rows = df.select(F.upper(df[lang_col]).alias("lang"), df[text_col].alias("text")).where("lang is not null and text is not null")
     counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
     names = sorted(counts)
     if not names:
@@ -88,16 +92,25 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     place = {n: i for i, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(names), size), np.int64)
+        table, held, n = np.zeros(len(names) * size, np.int64), [], 0
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                table[place[lang]] += np.bincount(buckets(text, size, grams), minlength=size)
-        lang, at = np.nonzero(table)
-        yield pa.record_batch([pa.array(lang), pa.array(at), pa.array(table[lang, at])], ["lang", "at", "n"])
-
-    table = np.full((len(names), size), 0.5)
-    for r in rows.select("lang", "text").mapInArrow(count, "lang long, at long, n long").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect():
-        table[r.lang, r.at] += r.n
+                held.append(buckets(text, size, grams) + place[lang] * size)
+                n += len(held[-1])
+                if n >= HELD:
+                    np.add.at(table, np.concatenate(held), 1)
+                    held, n = [], 0
+        if held:
+            np.add.at(table, np.concatenate(held), 1)
+        cells = np.flatnonzero(table)
+        for i in range(0, len(cells), HELD):
+            at = cells[i : i + HELD]
+            yield pa.record_batch([pa.array(at), pa.array(table[at])], ["cell", "n"])
+
+    table = np.full(len(names) * size, 0.5)
+    found = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table[found.column("cell").to_numpy()] += found.column("n").to_numpy()
+    table = table.reshape(len(names), size)
     total = sum(counts.values())
     return NgramDetector(names, np.log(table / table.sum(1, keepdims=True)), np.array([math.log(counts[n] / total) for n in names]), grams)
 

@@ -315,7 +315,7 @@ def m5_samples(spark, sf_dir):
 
 @query("m11_language")
 def m11_language(spark, sf_dir):
-    """A detector learned from four fifths of the rows, by crc32(doc_id), and what it says of all; held_out rows are the others."""
+    """A detector learned from all rows but a fifth that is held out, by crc32(doc_id), and what it says of all rows."""
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     made = language.learn(docs.where(~held))
