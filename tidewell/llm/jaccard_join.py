@@ -18,19 +18,25 @@ n^2 / 2^65. Otherwise the join is exact.
 3. A signature that more than `cap` sets of one block of texts share is settled in that
    block: there its sets are a group of their own, and only the least of them stays in the
    shared one; the same once more over the blocks of a task. So a hot signature reaches its
-   task of the exchange as at most `cap` rows from each task before. Rows are dealt by
-   signature and sorted (spilling), then read as a stream that keeps at most `cap` members of
-   a group, whatever its size. If the shared group holds several components in the end, the
-   groups settled below it are opened as well.
+   task of the exchange as at most `cap` rows from each block before. Rows are dealt to
+   buckets by a hash of their signature and travel packed: a task sends one binary for each
+   bucket and PACKED rows, so the JVM moves few rows, and a bucket is put in order as arrays.
+   Only signatures that occur twice in it go on to the groups. If the shared group holds
+   several components in the end, the groups settled below it are opened as well.
 4. Within a group each member is compared with the group's least member;
    verified links give components. Only groups that still hold several components go on.
    Groups of at most `cap` members compare the pairs across components. A larger group
    matters only to sets that have too few small groups to be sure (their distance could touch
-   all of those). Such sets that hang together by large groups form a cloud; it is dealt into
-   blocks of about `block` sets, and each pair of blocks is one bounded product of incidence
-   matrices that returns one link for each two components. Blocks inside one component aren't
-   compared. So no link between components is lost, and no pairs of a hot group are emitted;
-   the work within one cloud does grow with the square of its blocks.
+   all of those). What makes such a group large is mostly a common passage, so these sets are
+   grouped once more, by their rarest shingles among them: of a set of n all but the
+   ceil(0.8 n) - 1 most frequent ones, of which two linked sets share one in any case; a set
+   whose rarest ones are its own leaves. Small groups compare pairs again, large ones their
+   least member, and large ones that hold several components still hang together as clouds.
+   A cloud is dealt into blocks of about `block` sets, and each pair of blocks is one bounded
+   product of incidence matrices that returns one link for each two components. Blocks inside
+   one component aren't compared. So no link between components is lost, and no pairs of a hot
+   group are emitted; the work within one cloud, a family of near copies that no member links,
+   does grow with the square of its blocks.
 
 Candidates are compared by sketches first (counts of 256 parts of the domain bound the
 distance from below, so no link is lost). Verification reads the texts themselves; only
@@ -46,14 +52,14 @@ table gives an empty result; other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, in_blocks, small_batches, staged
@@ -83,7 +89,8 @@ def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
     out, start = [], 0
     for n in lens.tolist():
         if n >= k:
-            out.append(np.unique(mixed[start : start + n - k + 1]))
+            s = np.sort(mixed[start : start + n - k + 1])
+            out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif n:
             with np.errstate(over="ignore"):
                 out.append(_mix(np.array([sum((int(h) * int(_A[j % 5]) for j, h in enumerate(hashed[start : start + n])), n) & (2**64 - 1)], np.uint64)))
@@ -99,6 +106,18 @@ def set_key(s: np.ndarray) -> int:
         return int(_mix(np.array([s.sum(dtype=np.uint64) + np.bitwise_xor.reduce(_mix(s + _A[1])) * _A[0] + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def set_keys(sets: list[np.ndarray]) -> list[int | None]:
+    """set_key of each set; None for empty ones."""
+    full = [s for s in sets if len(s)]
+    if not full:
+        return [None] * len(sets)
+    flat, lens = np.concatenate(full), np.array([len(s) for s in full])
+    at = np.cumsum(lens) - lens
+    with np.errstate(over="ignore"):
+        keys = iter(_mix(np.add.reduceat(flat, at) + np.bitwise_xor.reduceat(_mix(flat + _A[1]), at) * _A[0] + lens.astype(np.uint64)).view(np.int64).tolist())
+    return [next(keys) if len(s) else None for s in sets]
+
+
 #: First-level partitions: bands of this ratio.
 _GRID = np.unique([round(1.5625**i) for i in range(50)])
 #: Second-level parts of each partition, differences allowed in it, and the subsets enumerated.
@@ -183,13 +202,11 @@ def signatures(sets: list[np.ndarray], scheme: Scheme, only_spare: bool = False)
     return sig[some].view(np.int64), np.repeat(owner[of], some.sum(1)), spare
 
 
-def _members(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """rk, id, text -> rk, id, set, n, spare."""
+def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """rk, id, text -> rk, id, set, n."""
     for b in in_blocks(batches, "text", 2 << 20):
         sets = shingle_sets(b.column(2).to_pylist(), k)
-        _, _, spare = signatures(sets, scheme, True)
-        keys = [set_key(s) if len(s) else None for s in sets]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(spare)], ["rk", "id", "set", "n", "spare"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(set_keys(sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["rk", "id", "set", "n"])
 
 
 class Settled:
@@ -229,8 +246,7 @@ class Settled:
 
     @staticmethod
     def _rows(sig: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
-        by = np.argsort(sig)  # sorted runs make the sort after the exchange cheap
-        return pa.record_batch([pa.array(sig[by]), pa.array(sets[by])], ["sig", "set"])
+        return pa.record_batch([pa.array(sig), pa.array(sets)], ["sig", "set"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int) -> Iterator[pa.RecordBatch]:
@@ -239,8 +255,8 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int)
     out = Settled(cap)
     for b in in_blocks(batches, "text", 2 << 20):
         fresh = []
-        for s in shingle_sets(b.column(0).to_pylist(), k):
-            key = set_key(s) if len(s) else None
+        sets = shingle_sets(b.column(0).to_pylist(), k)
+        for key, s in zip(set_keys(sets), sets, strict=True):
             if key is not None and key not in seen:
                 seen.add(key)
                 fresh.append((key, s))
@@ -250,6 +266,48 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int)
     yield from out.close()
 
 
+#: Rows that a task holds before it packs them, and buckets for each partition of the exchange.
+PACKED, BUCKETS = 1 << 19, 8
+
+
+def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """sig, set -> bucket, body: the signatures, then the sets, of a bucket's rows among PACKED."""
+    held, n = [], 0
+
+    def packs() -> pa.RecordBatch:
+        sig, sets = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+        at = ((_mix((sig >> 1).view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+        by = np.argsort(at, kind="stable")
+        sig, sets, at = sig[by], sets[by], at[by]
+        edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        bodies = [sig[i:j].tobytes() + sets[i:j].tobytes() for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(at)], strict=True)]
+        return pa.record_batch([pa.array(at[edges].astype(np.int32)), pa.array(bodies, pa.binary())], ["bucket", "body"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= PACKED:
+            yield packs()
+            held, n = [], 0
+    if held:
+        yield packs()
+
+
+def _bucket_groups(bodies: list[bytes], cap: int) -> list[pa.RecordBatch]:
+    """The groups (see _groups) of a whole bucket; what occurs once is left out before it is sorted by set."""
+    arrays = [np.frombuffer(b, np.int64) for b in bodies]
+    sig, sets = (np.concatenate(x) for x in zip(*((a[: len(a) // 2], a[len(a) // 2 :]) for a in arrays), strict=True))
+    by = np.argsort(sig)  # the last bit is the flag, so rows of one group stay together
+    sig, sets = sig[by], sets[by]
+    big, sig = (sig & 1).astype(bool), sig >> 1
+    same = sig[1:] == sig[:-1]
+    keep = big | np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    sig, sets, big = sig[keep], sets[keep], big[keep]
+    by = np.lexsort((~big, sets, sig))
+    return list(_groups(iter([pa.record_batch([pa.array(sig[by]), pa.array(sets[by]), pa.array(big[by])], ["sig", "set", "big"])]), cap))
+
+
 def _groups(batches: Iterator[pa.RecordBatch], cap: int) -> Iterator[pa.RecordBatch]:
     """Rows (sig, set and, if there, big) sorted by sig, set and big, true first -> sig, set, lo (the group's least set), heavy (more than cap members, or one that is big), of groups with two sets or more, or heavy ones. Keeps cap + 1 rows of an open group at most."""
     sig = sets = np.zeros(0, np.int64)  # the open group's rows while it isn't heavy
@@ -349,6 +407,27 @@ def _compare(k: int, num: int, den: int):
     return run
 
 
+def _listed(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """set, text (compressed) -> set, least (the fewest shingles that it shares with a linked set), shingle: a row for each shingle."""
+    for b in batches:
+        for at in range(0, b.num_rows, 64):
+            part = b.slice(at, 64)
+            sets = shingle_sets(_opened(part.column(1)), k)
+            lens = np.array([len(s) for s in sets], np.int64)
+            yield pa.record_batch([pa.array(np.repeat(part.column(0).to_numpy(), lens)), pa.array(np.repeat(-(-num * lens // den), lens)), pa.array(np.concatenate(sets).view(np.int64))], ["set", "least", "shingle"])
+
+
+def rare_groups(texts: DataFrame, k: int, num: int, den: int, cap: int) -> DataFrame:
+    """The groups (sig, set, lo, heavy) of sets (set, text) by shared rare shingles: two sets that link are in one of them together."""
+    rows = staged(texts.select("set", "text").mapInArrow(lambda it: _listed(it, k, num, den), "set long, least long, shingle long"), "join-shingles")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # The common shingle that comes first in the order of all has least - 1 others behind it in either set, at least; `often` is its count, so one of a single set needs no place.
+    place = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("often"), F.desc("shingle")))
+    rare = staged(rows.join(often, "shingle").withColumn("place", place).where("place >= least").select(F.col("shingle").alias("sig"), "set"), "join-rare")
+    shared = rare.groupBy("sig").agg(F.min("set").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return staged(rare.join(shared, "sig").select("sig", "set", "lo", (F.col("n") > cap).alias("heavy")), "join-groups")
+
+
 def _clouds(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame:
     """Links across components among sets that share large groups: rest has sig, set, comp."""
     hubs = rest.groupBy("sig").agg(F.min("set").alias("hub"))
@@ -377,14 +456,14 @@ def _clouds(rest: DataFrame, texts: DataFrame, k: int, num: int, den: int, block
 PARTS = 256
 
 
-def _sketched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """set, text -> set, n, sketch (elements per part of the domain, a byte each, at most 255), text (compressed)."""
+def _sketched(batches: Iterator[pa.RecordBatch], k: int, signed: Scheme | None) -> Iterator[pa.RecordBatch]:
+    """set, text -> set, n, spare (see signatures; 1 without a scheme), sketch (elements per part of the domain, a byte each, at most 255), text (compressed)."""
     pack = zstandard.ZstdCompressor(level=3)
     for b in in_blocks(batches, "text", 2 << 20):
         texts = b.column(1).to_pylist()
         sets = shingle_sets(texts, k)
         rows = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
-        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary()), pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], ["set", "n", "sketch", "text"])
+        yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures(sets, signed, True)[2] if signed else np.ones(len(sets), np.int64)), pa.array(rows, pa.binary()), pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], ["set", "n", "spare", "sketch", "text"])
 
 
 def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
@@ -398,31 +477,38 @@ def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
         yield b.select([0, 1]).filter(pa.array(np.abs(one - two).sum(axis=1) <= allowed))
 
 
-def grouped(signed: DataFrame, cap: int) -> DataFrame:
-    """The groups (sig, set, lo, heavy) of rows (sig, set) as Settled gives them."""
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = signed.repartition(parts, F.shiftright("sig", 1)).select(F.shiftright("sig", 1).alias("sig"), "set", ((F.col("sig") % 2) != 0).alias("big"))
-    groups = dealt.sortWithinPartitions("sig", "set", F.desc("big")).mapInArrow(lambda it: _groups(it, cap), "sig long, set long, lo long, heavy boolean")
+def grouped(src: DataFrame, signed: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], cap: int) -> DataFrame:
+    """The groups (sig, set, lo, heavy) of the rows (sig, set) that `signed` gives, as Settled does."""
+    buckets = BUCKETS * int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = pa.schema([("sig", pa.int64()), ("set", pa.int64()), ("lo", pa.int64()), ("heavy", pa.bool_())])
+    packs = src.mapInArrow(lambda it: dealt(signed(it), buckets), "bucket int, body binary")
+    groups = packs.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(_bucket_groups(t.column("body").to_pylist(), cap), schema), "sig long, set long, lo long, heavy boolean")
     return staged(groups, "join-groups")
 
 
-def group_links(src: DataFrame, members: DataFrame, groups: DataFrame, scheme: Scheme, k: int, block: int, broadcast_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links between sets of one group (a, b, inter, both), enough of them for the components, and comps (node, comp) of the linked sets. src has rk and text, members rk, set, n and spare."""
+def group_links(src: DataFrame, members: DataFrame, groups: DataFrame, scheme: Scheme, k: int, cap: int, block: int, broadcast_bytes: int, enumerated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Verified links between sets of one group (a, b, inter, both), enough of them for the components, and comps (node, comp) of the linked sets. src has rk and text, members rk, set and n. enumerated: the groups are those of the scheme's signatures; else a set could owe a link to any one large group."""
     num, den = scheme.num, scheme.den
-    sizes = members.where("n > 0").groupBy("set").agg(F.min("rk").alias("rk"), F.first("n").alias("n"), F.first("spare").alias("spare"))
+    sizes = members.where("n > 0").groupBy("set").agg(F.min("rk").alias("rk"))
     needed = staged(groups.select("set").distinct().join(sizes, "set"), "join-needed")
     small = needed.count() * 16 <= broadcast_bytes
     texts = src.select("rk", "text").join(F.broadcast(needed.select("rk", "set")) if small else needed.select("rk", "set"), "rk").select("set", "text")
-    packed = texts.mapInArrow(lambda it: _sketched(it, k), "set long, n long, sketch binary, text binary")
-    sketches = staged(packed.groupBy("set").agg(F.first(F.struct("n", "sketch", "text")).alias("x")).select("set", "x.*"), "join-sketches")
+    packed = texts.mapInArrow(lambda it: _sketched(it, k, scheme if enumerated else None), "set long, n long, spare long, sketch binary, text binary")
+    sketches = staged(packed.groupBy("set").agg(F.first(F.struct("n", "spare", "sketch", "text")).alias("x")).select("set", "x.*"), "join-sketches")
     texts = sketches.select("set", "text")
 
+    def only(sets: DataFrame) -> DataFrame:
+        """texts of the sets given, so that no others go through an exchange; their keys are broadcast within the bound."""
+        wanted = staged(sets.distinct(), "join-wanted")
+        return texts.join(F.broadcast(wanted) if wanted.count() * 16 <= broadcast_bytes else wanted, "set", "left_semi")
+
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) whose sizes and sketches allow a link, compared exactly."""
         at = {c: sketches.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")}
         sized = pairs.distinct().join(at["b"], "b").join(at["a"], "a").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
         likely = staged(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda it: _near_enough(it, scheme), "a long, b long"), "join-likely")
-        full = likely.join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
+        one, two = (only(likely.select(F.col(c).alias("set"))).select(F.col("set").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
+        full = likely.join(two, "b").join(one, "a")
         return staged(full.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, k), "a long, b long, inter long, both long"), "join-verified")
 
     def linked(done: DataFrame) -> DataFrame:
@@ -449,7 +535,7 @@ def group_links(src: DataFrame, members: DataFrame, groups: DataFrame, scheme: S
         done = done.unionByName(verify(across(light)))
         comps = components(linked(done))
     # A set with `spare` large groups or more could owe a link to those alone.
-    owing = groups.where("heavy").groupBy("set").agg(F.count(F.lit(1)).alias("large")).join(needed.select("set", "spare"), "set").where("large >= spare").select("set")
+    owing = groups.where("heavy").groupBy("set").agg(F.count(F.lit(1)).alias("large")).join(sketches.select("set", "spare"), "set").where("large >= spare").select("set")
     large = staged(groups.where("heavy").join(owing, "set", "left_semi"), "join-large")
     at = placed(large, comps)
     open_groups = staged(mixed(at), "join-mixed")
@@ -458,20 +544,27 @@ def group_links(src: DataFrame, members: DataFrame, groups: DataFrame, scheme: S
             below = large.join(large.join(open_groups, "sig", "left_semi").select(F.col("set").alias("lo")).distinct(), "lo", "left_semi").select("sig")
             open_groups = staged(open_groups.unionByName(below).distinct(), "join-mixed")
         rest = staged(at.join(open_groups, "sig", "left_semi").select("sig", "set", "comp"), "join-apart")
-        done = done.unionByName(_clouds(rest, texts, k, num, den, block))
+        at = placed(rare_groups(only(rest.select("set")), k, num, den, cap), comps)
+        apart = staged(at.join(mixed(at), "sig", "left_semi"), "join-apart")
+        done = done.unionByName(verify(across(apart.where("not heavy")).unionByName(apart.where("heavy and set <> lo").select(F.col("lo").alias("a"), F.col("set").alias("b")))))
         comps = components(linked(done))
+        at = placed(apart.where("heavy").drop("comp"), comps)
+        rest = staged(at.join(mixed(at), "sig", "left_semi").select("sig", "set", "comp"), "join-apart")
+        if not rest.isEmpty():
+            done = done.unionByName(_clouds(rest, only(rest.select("set")), k, num, den, block))
+            comps = components(linked(done))
     return linked(done), comps
 
 
 def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = 80, den: int = 100, slack: float = 1.0, cap: int = CAP, block: int = 512, broadcast_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members (rk, id, set, n, spare), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
+    """members (rk, id, set, n), verified links between sets (a, b, inter, both), and comps (node, comp) of the linked sets."""
     scheme = Scheme(num, den, slack)
     small_batches(docs.sparkSession)
     src = keyed(docs, id_col, text_col)
     kind = dict(src.dtypes)["id"]
-    members = staged(src.mapInArrow(lambda it: _members(it, k, scheme), f"rk long, id {kind}, set long, n long, spare long"), "join-members")
-    groups = grouped(src.select("text").mapInArrow(lambda it: _signed(it, k, scheme, cap), "sig long, set long"), cap)
-    return members, *group_links(src, members, groups, scheme, k, block, broadcast_bytes)
+    members = staged(src.mapInArrow(lambda it: _members(it, k), f"rk long, id {kind}, set long, n long"), "join-members")
+    groups = grouped(src.select("text"), lambda it: _signed(it, k, scheme, cap), cap)
+    return members, *group_links(src, members, groups, scheme, k, cap, block, broadcast_bytes, enumerated=True)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, in_blocks, small_batches, staged
-from .jaccard_join import CAP, Scheme, Settled, _mix, component_ids, group_links, grouped, keyed, set_key, shingle_sets
+from .jaccard_join import CAP, Scheme, Settled, _mix, component_ids, group_links, grouped, keyed, set_keys, shingle_sets
 
 WORDS, NUM, DEN, BANDS, ROWS = 3, 85, 100, 20, 5
 #: The ring's step; odd, so that steps don't repeat.
@@ -72,11 +72,11 @@ def band_keys(hashes: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _members(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """rk, id, text -> rk, id, set, n, spare, keys: the set's digest and size, and its band keys where the task meets it first."""
+    """rk, id, text -> rk, id, set, n, keys: the set's digest and size, and its band keys where the task meets it first."""
     seen: set[int] = set()
     for b in in_blocks(batches, "text", 2 << 20):
         sets = shingle_sets(b.column(2).to_pylist(), k)
-        keys = [set_key(s) if len(s) else None for s in sets]
+        keys = set_keys(sets)
         new = []
         for i, key in enumerate(keys):
             if key is not None and key not in seen:
@@ -86,7 +86,7 @@ def _members(batches: Iterator[pa.RecordBatch], k: int, bands: int, rows: int) -
         for i, row in zip(new, band_keys(minhashes([sets[i] for i in new], bands * rows), rows), strict=True):
             found[i] = row.tobytes()
         sizes = [len(s) for s in sets]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.ones(len(sets), np.int64)), pa.array(found, pa.binary())], ["rk", "id", "set", "n", "spare", "keys"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.binary())], ["rk", "id", "set", "n", "keys"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, cap: int, block: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -114,9 +114,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of docs: id, n_shingles, component_id, kept."""
     small_batches(docs.sparkSession)
     src = keyed(docs, id_col, text_col)
-    members = staged(src.mapInArrow(lambda it: _members(it, k, bands, rows), f"rk long, id {dict(src.dtypes)['id']}, set long, n long, spare long, keys binary"), "minhash-members")
-    signed = members.where("keys is not null").select("set", "keys").mapInArrow(lambda it: _signed(it, bands, cap), "sig long, set long")
-    _, comps = group_links(src, members, grouped(signed, cap), Scheme(num, den), k, block, broadcast_bytes)
+    members = staged(src.mapInArrow(lambda it: _members(it, k, bands, rows), f"rk long, id {dict(src.dtypes)['id']}, set long, n long, keys binary"), "minhash-members")
+    groups = grouped(members.where("keys is not null").select("set", "keys"), lambda it: _signed(it, bands, cap), cap)
+    _, comps = group_links(src, members, groups, Scheme(num, den), k, cap, block, broadcast_bytes)
     out = component_ids(members, comps, id_col)
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
