@@ -15,9 +15,11 @@
    after its turn. `Pieces.irregular` holds the others (here runs of spaces); a chunk with
    such an edge starts over after every merge instead. Characters without a piece become the
    ids of their bytes.
-4. The encoded chunks return to the documents: as a broadcast table while its counted size
-   is at most `broadcast_bytes`; beyond that each block of texts asks for its distinct chunks
-   by an equi-join and gets them back in one row.
+4. The encoded chunks return to the documents by their 64-bit keys, which are made anew with
+   another seed should two chunks share one: as a broadcast table while its counted size is
+   at most `broadcast_bytes`; beyond that each block of texts asks for its distinct keys. The
+   chunks and what is asked meet in buckets of keys and travel packed, a binary for each
+   block and bucket, and a block's answers meet its texts.
 
 Chunks longer than 62 characters (long runs of letters or spaces) are merged by the same
 rule in a heap, in a Python function: a long has no more bits.
@@ -35,13 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_blocks, documents, in_blocks, packed, staged, unpacked
+from .common import documents, in_blocks, packed, small_batches, staged, unpacked
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SPACE, LONGEST, BLOCK = "▁", 62, 2 << 20
+SPACE, LONGEST, BLOCK = "▁", 62, 4 << 20
 
 
 class Pieces:
@@ -93,9 +96,12 @@ class Pieces:
 
         return [i for p, i in self.index.items() if not regular(p, rank[i])]
 
-    def decode(self, ids: list[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
+    @functools.cached_property
+    def raw_array(self) -> np.ndarray:
+        return np.array(self.raw, object)
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        text = b"".join(self.raw_array[ids].tolist() if len(ids) else []).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     def merge(self, chunk: str) -> list[int]:
@@ -146,7 +152,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def chunks(texts: list[str | None], pieces: Pieces) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def chunks(texts: list[str | None], pieces: Pieces, seed: int = 0) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined marked texts; chunk starts, lengths and 64-bit keys in it; and the number of chunks of each text."""
     marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
     joined = "".join(marked)
@@ -164,7 +170,7 @@ def chunks(texts: list[str | None], pieces: Pieces) -> tuple[str, np.ndarray, np
     sizes = np.diff(np.append(starts, len(cp)))
     pos = (np.arange(len(cp)) - np.repeat(starts, sizes)).astype(np.uint64)
     with np.errstate(over="ignore"):
-        keys = np.add.reduceat(_mix(cp.astype(np.uint64) + (pos + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
+        keys = np.add.reduceat(_mix(cp.astype(np.uint64) + np.uint64(seed << 32) + (pos + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
     ends = np.cumsum(lens)
     counts = np.searchsorted(starts, ends) - np.searchsorted(starts, ends - lens)
     return joined, starts, sizes, keys, counts
@@ -174,16 +180,36 @@ def chunks(texts: list[str | None], pieces: Pieces) -> tuple[str, np.ndarray, np
 CHUNK_BYTES = 1 << 19
 
 
-def chunk_table(src: DataFrame, shared) -> DataFrame:
+#: Keys that a task remembers, so that it seldom sends a chunk twice.
+SEEN = 1 << 20
+
+
+def chunk_table(src: DataFrame, shared, seed: int = 0) -> DataFrame:
     """The distinct chunks of src.text, as key and chunk."""
+    small_batches(src.sparkSession)
 
-    def block(b: pa.RecordBatch) -> pa.RecordBatch:
-        joined, starts, sizes, keys, _ = chunks(b.column(0).to_pylist(), shared.value)
-        keys, first = np.unique(keys, return_index=True)
-        found = [joined[s : s + n] for s, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)]
-        return pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["key", "chunk"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = ~np.arange(SEEN)  # the last key at each place; a place never begins with a key of its own
+        for b in in_blocks(batches, "text", CHUNK_BYTES):
+            joined, starts, sizes, keys, _ = chunks(b.column(0).to_pylist(), shared.value, seed)
+            at = keys & (SEEN - 1)
+            new = np.flatnonzero(last[at] != keys)
+            keys, first = np.unique(keys[new], return_index=True)
+            last[keys & (SEEN - 1)] = keys
+            found = [joined[s : s + n] for s, n in zip(starts[new[first]].tolist(), sizes[new[first]].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(found, pa.string())], ["key", "chunk"])
+            pa.default_memory_pool().release_unused()
 
-    return by_blocks(src, block, "key long, chunk string", limit=CHUNK_BYTES).distinct()
+    return src.mapInArrow(run, "key long, chunk string").distinct()
+
+
+def keyed_chunks(src: DataFrame, shared) -> tuple[DataFrame, int]:
+    """The chunk table, staged, and a seed by which no two chunks share a key."""
+    for seed in range(8):
+        table = staged(chunk_table(src, shared, seed), "pieces-chunks")
+        if table.groupBy("key").count().where("count > 1").isEmpty():
+            return table, seed
+    raise ValueError("chunks share keys under every seed")
 
 
 #: One edge in a long: rank of its score, start, end, piece id; so edges sort by score, then from the left.
@@ -242,16 +268,100 @@ def lattice_ids(table: DataFrame, pieces: Pieces) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def _gathered(keys: np.ndarray, known: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each key, and the ids one after another; known is sorted and has every key."""
+    at = np.searchsorted(known, keys)
+    lens = (offsets[at + 1] - offsets[at]).astype(np.int64)
+    total = np.cumsum(lens) - lens
+    return lens, values[np.repeat(offsets[at] - total, lens) + np.arange(int(lens.sum()))]
+
+
+def _ordered(keys: np.ndarray, lens: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table (known, offsets, values) of keys in any order, their numbers of ids, and the ids one after another."""
+    by = np.argsort(keys)
+    starts, sizes = (np.cumsum(lens) - lens)[by], lens[by].astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return keys[by], offsets, ids[np.repeat(starts - offsets[:-1], sizes) + np.arange(int(offsets[-1]))]
+
+
+def _rows(ids: pa.Array, texts: list[str | None], pieces: Pieces, seed: int, *table: np.ndarray) -> pa.RecordBatch:
+    """id, ids and round_trip of each text, by a table (known, offsets, values) that has all their chunks."""
+    _, _, _, keys, counts = chunks(texts, pieces, seed)
+    distinct, back = np.unique(keys, return_inverse=True)
+    lens, flat = _gathered(distinct, *table)
+    starts = np.cumsum(lens) - lens
+    lens, starts = lens[back], starts[back]
+    total = np.concatenate([[0], np.cumsum(lens)])
+    flat = flat[np.repeat(starts - total[:-1], lens) + np.arange(total[-1])].astype(np.int32)
+    ends = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+    same = [pieces.decode(flat[s:e]) == (t or "").replace(SPACE, " ") for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same, pa.bool_())], ["id", "ids", "round_trip"])
+
+
+#: Chunks of a bucket, where keys of chunks and of blocks meet.
+CHUNKS_A_BUCKET = 64_000
+
+
+def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by bucket, the buckets that there are, and where each begins in that order."""
+    with np.errstate(over="ignore"):
+        at = ((_mix(keys.view(np.uint64) + np.uint64(1)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+    by = np.lexsort((keys, at))
+    at = at[by]
+    edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    return by, at[edges], edges
+
+
+def answers(blocks: DataFrame, encoded: DataFrame, shared, seed: int, buckets: int) -> DataFrame:
+    """block, keys, lens, ids: what the blocks (block, body) need of the encoded chunks, a row for each block and bucket."""
+    kind = "bucket int, block long, keys binary, lens binary, ids binary"
+    names = ["bucket", "block", "keys", "lens", "ids"]
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, lists = b.column(0).to_numpy(), b.column(1)
+            by, at, edges = _by_bucket(keys, buckets)
+            lists = lists.take(pa.array(by))
+            ends = [*edges[1:].tolist(), len(by)]
+            part = [(lists.slice(i, j - i), i, j) for i, j in zip(edges.tolist(), ends, strict=True)]
+            lens = [np.diff(x.offsets.to_numpy()).astype(np.int32).tobytes() for x, _, _ in part]
+            ids = [x.flatten().to_numpy().astype(np.int32).tobytes() for x, _, _ in part]
+            yield pa.record_batch([pa.array(at), pa.nulls(len(at), pa.int64()), pa.array([keys[by[i:j]].tobytes() for _, i, j in part], pa.binary()), pa.array(lens, pa.binary()), pa.array(ids, pa.binary())], names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                parts = [np.unique(chunks(part.column("text").to_pylist(), shared.value, seed)[3]) for part in unpacked(body, "text", CHUNK_BYTES)]
+                keys = np.unique(np.concatenate(parts))
+                by, at, edges = _by_bucket(keys, buckets)
+                wanted = [keys[by[i:j]].tobytes() for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True)]
+                nothing = pa.nulls(len(at), pa.binary())
+                yield pa.record_batch([pa.array(at), pa.array([block] * len(at), pa.int64()), pa.array(wanted, pa.binary()), nothing, nothing], names)
+
+    def meet(t: pa.Table) -> pa.Table:
+        mine = t.filter(pc.is_null(t["block"]))
+        keys, lens, ids = (np.frombuffer(b"".join(mine[c].to_pylist()), dtype) for c, dtype in (("keys", np.int64), ("lens", np.int32), ("ids", np.int32)))
+        table = _ordered(keys, lens, ids)
+        asked = t.filter(pc.is_valid(t["block"]))
+        found = [_gathered(np.frombuffer(x, np.int64), *table) for x in asked["keys"].to_pylist()]
+        return pa.table([asked["block"], asked["keys"], pa.array([n.astype(np.int32).tobytes() for n, _ in found], pa.binary()), pa.array([x.tobytes() for _, x in found], pa.binary())], ["block", "keys", "lens", "ids"])
+
+    rows = encoded.select("key", "ids").mapInArrow(known, kind).unionByName(blocks.mapInArrow(ask, kind))
+    return rows.groupBy("bucket").applyInArrow(meet, "block long, keys binary, lens binary, ids binary")
+
+
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 256 << 20) -> DataFrame:
     """Per row of docs: id, ids and round_trip (the ids decode to the text)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(pieces)
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = dict(src.dtypes)["id"]
-    table = staged(chunk_table(src.select("text"), shared), "pieces-chunks")
+    kind = f"id {dict(src.dtypes)['id']}, ids array<int>, round_trip boolean"
+    table, seed = keyed_chunks(src.select("text"), shared)
     encoded = lattice_ids(table, pieces)
-    size = encoded.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("keys"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
-    if size.n == size.keys and size.n * 16 + size.ids * 4 <= broadcast_bytes:
+    size = encoded.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("ids")).first()
+    if size.n * 16 + size.ids * 4 <= broadcast_bytes:
         got = encoded.select("key", "ids").orderBy("key").toArrow()
         lists = got.column("ids").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -259,50 +369,23 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         del got, lists
         pa.default_memory_pool().release_unused()
 
-        def block(b: pa.RecordBatch) -> pa.RecordBatch:
-            known, offsets, values = lookup.value
-            texts = b.column(1).to_pylist()
-            _, _, _, keys, counts = chunks(texts, shared.value)
-            distinct, back = np.unique(keys, return_inverse=True)
-            at = np.searchsorted(known, distinct)[back]
-            lens = (offsets[at + 1] - offsets[at]).astype(np.int64)
-            total = np.concatenate([[0], np.cumsum(lens)])
-            flat = values[np.repeat(offsets[at] - total[:-1], lens) + np.arange(total[-1])].astype(np.int32)
-            ends = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-            rows = flat.tolist()
-            same = [shared.value.decode(rows[s:e]) == (t or "").replace(SPACE, " ") for t, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            return pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(same)], ["id", "ids", "round_trip"])
-
-        return by_blocks(src, block, f"id {kind}, ids array<int>, round_trip boolean", limit=1 << 20).withColumnRenamed("id", id_col)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in in_blocks(batches, "text", CHUNK_BYTES):
+                yield _rows(b.column(0), b.column(1).to_pylist(), shared.value, seed, *lookup.value)
+                pa.default_memory_pool().release_unused()
+
+        return src.mapInArrow(run, kind).withColumnRenamed("id", id_col)
 
     # Beyond the bound: each block asks for its distinct chunks, whatever the number of their occurrences.
     blocks = staged(packed(src, "text", BLOCK), "pieces-blocks")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                wanted: set[str] = set()
-                for part in unpacked(body, "text", 1 << 20):
-                    joined, starts, sizes, _, _ = chunks(part.column("text").to_pylist(), shared.value)
-                    wanted.update(joined[s : s + n] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True))
-                yield pa.record_batch([pa.array([block] * len(wanted), pa.int64()), pa.array(list(wanted), pa.string())], ["block", "chunk"])
+    def answer(mine: pa.Table, got: pa.Table) -> pa.Table:
+        keys, lens, ids = (np.frombuffer(b"".join(got[c].to_pylist()), dtype) for c, dtype in (("keys", np.int64), ("lens", np.int32), ("ids", np.int32)))
+        table = _ordered(keys, lens, ids)
+        return pa.Table.from_batches([_rows(part.column("id"), part.column("text").to_pylist(), shared.value, seed, *table) for body in mine["body"].combine_chunks() for part in unpacked(body, "text", CHUNK_BYTES)])
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for body, pairs in zip(b.column(0), b.column(1), strict=True):
-                known = dict(zip(pairs.values.field(0).to_pylist(), pairs.values.field(1).to_pylist(), strict=True)) if pairs.is_valid else {}
-                for part in unpacked(body, "text", 1 << 20):
-                    texts = part.column("text").to_pylist()
-                    joined, starts, sizes, _, counts = chunks(texts, shared.value)
-                    found = [known[joined[s : s + n]] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
-                    ends = np.cumsum(counts).tolist()
-                    rows = [[i for ids in found[e - n : e] for i in ids] for e, n in zip(ends, counts.tolist(), strict=True)]
-                    same = [shared.value.decode(i) == (t or "").replace(SPACE, " ") for t, i in zip(texts, rows, strict=True)]
-                    yield pa.record_batch([part.column("id"), pa.array(rows, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["id", "ids", "round_trip"])
-
-    answers = blocks.mapInArrow(ask, "block long, chunk string").join(encoded.select("chunk", "ids"), "chunk").groupBy("block").agg(F.collect_list(F.struct("chunk", "ids")).alias("pairs"))
-    out = blocks.join(answers, "block", "left").select("body", "pairs").mapInArrow(answer, f"id {kind}, ids array<int>, round_trip boolean")
-    return out.withColumnRenamed("id", id_col)
+    found = answers(blocks, encoded, shared, seed, max(1, -(-size.n // CHUNKS_A_BUCKET)))
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(answer, kind).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
