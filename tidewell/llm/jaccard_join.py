@@ -204,9 +204,10 @@ def signatures(sets: list[np.ndarray], scheme: Scheme, only_spare: bool = False)
 
 def _members(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """rk, id, text -> rk, id, set, n."""
-    for b in in_blocks(batches, "text", 2 << 20):
+    for b in in_blocks(batches, "text", 1 << 20):
         sets = shingle_sets(b.column(2).to_pylist(), k)
         yield pa.record_batch([b.column(0), b.column(1), pa.array(set_keys(sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["rk", "id", "set", "n"])
+        pa.default_memory_pool().release_unused()
 
 
 class Settled:
@@ -253,7 +254,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int)
     """text -> sig, set (see Settled); copies within the task count once."""
     seen: set[int] = set()
     out = Settled(cap)
-    for b in in_blocks(batches, "text", 2 << 20):
+    for b in in_blocks(batches, "text", 1 << 20):
         fresh = []
         sets = shingle_sets(b.column(0).to_pylist(), k)
         for key, s in zip(set_keys(sets), sets, strict=True):
@@ -267,7 +268,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int, scheme: Scheme, cap: int)
 
 
 #: Rows that a task holds before it packs them, and buckets for each partition of the exchange.
-PACKED, BUCKETS = 1 << 19, 8
+PACKED, BUCKETS = 1 << 17, 4
 
 
 def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -290,6 +291,7 @@ def dealt(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         if n >= PACKED:
             yield packs()
             held, n = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield packs()
 
@@ -305,6 +307,7 @@ def _bucket_groups(bodies: list[bytes], cap: int) -> list[pa.RecordBatch]:
     keep = big | np.concatenate([same, [False]]) | np.concatenate([[False], same])
     sig, sets, big = sig[keep], sets[keep], big[keep]
     by = np.lexsort((~big, sets, sig))
+    pa.default_memory_pool().release_unused()
     return list(_groups(iter([pa.record_batch([pa.array(sig[by]), pa.array(sets[by]), pa.array(big[by])], ["sig", "set", "big"])]), cap))
 
 
@@ -459,11 +462,12 @@ PARTS = 256
 def _sketched(batches: Iterator[pa.RecordBatch], k: int, signed: Scheme | None) -> Iterator[pa.RecordBatch]:
     """set, text -> set, n, spare (see signatures; 1 without a scheme), sketch (elements per part of the domain, a byte each, at most 255), text (compressed)."""
     pack = zstandard.ZstdCompressor(level=3)
-    for b in in_blocks(batches, "text", 2 << 20):
+    for b in in_blocks(batches, "text", 1 << 20):
         texts = b.column(1).to_pylist()
         sets = shingle_sets(texts, k)
         rows = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes() for s in sets]
         yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signatures(sets, signed, True)[2] if signed else np.ones(len(sets), np.int64)), pa.array(rows, pa.binary()), pa.array([pack.compress(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())], ["set", "n", "spare", "sketch", "text"])
+        pa.default_memory_pool().release_unused()
 
 
 def _near_enough(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
@@ -507,7 +511,8 @@ def group_links(src: DataFrame, members: DataFrame, groups: DataFrame, scheme: S
         at = {c: sketches.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in ("a", "b")}
         sized = pairs.distinct().join(at["b"], "b").join(at["a"], "a").where(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
         likely = staged(sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lambda it: _near_enough(it, scheme), "a long, b long"), "join-likely")
-        one, two = (only(likely.select(F.col(c).alias("set"))).select(F.col("set").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
+        asked = only(likely.select(F.explode(F.array("a", "b")).alias("set")))
+        one, two = (asked.select(F.col("set").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b"))
         full = likely.join(two, "b").join(one, "a")
         return staged(full.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, k), "a long, b long, inter long, both long"), "join-verified")
 
